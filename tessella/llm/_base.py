@@ -51,13 +51,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches of Python stages by rows, and by bytes where Spark can, unless the session did."""
-    for key, value, default in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows), "10000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20), str(2**63 - 1)),
-    ):
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, value)
+    """Bound the rows of Arrow batches of Python stages, unless the session did; Spark bounds their bytes itself."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:

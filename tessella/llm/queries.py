@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm._base import table
+from tessella.llm._base import shared_dir, table, written
 from tessella.llm.chat_format import digest_chats, format_chats
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.license_scan import scan_licenses
 from tessella.llm.mixing import mix_sources
+from tessella.llm.piece_lattice import encode_pieces
+from tessella.llm.quality_crf import score_quality, train
+from tessella.llm.token_rollup import TokenRollup, count_tokens, count_words, signed
+
+
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are loaded under two tokenizer versions, those labelled toxic are withdrawn, and both batches are committed twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = written(count_tokens(docs).unionByName(count_words(docs)))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    changes = {"load": signed(inserted=counts), "withdraw": signed(deleted=counts.join(toxic, "doc_id", "left_semi"))}
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup/{uuid.uuid4().hex}")
+    for _ in range(2):
+        for batch, rows in changes.items():
+            rollup.commit(batch, rows)
+    return rollup.totals()
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -33,4 +59,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_mix_sources, op7_chat_format, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op10_license_scan)}
