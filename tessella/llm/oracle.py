@@ -46,5 +46,15 @@ FROM p GROUP BY conv_id
 """
 
 
+# All pages of the synthetic table hold one article of headings and paragraphs, so SQL can cut it out.
+OP8 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(h1|p|br)[^a-zA-Z>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(x, '&(amp|quot|lt|gt)\b;?', '&\1;', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op7_chat_format": OP7}
+    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_html_extract": OP8}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm._base import shared_dir, table, written
 from tessella.llm.chat_format import digest_chats, format_chats
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.html_extract import extract_text
 from tessella.llm.license_scan import scan_licenses
 from tessella.llm.mixing import mix_sources
 from tessella.llm.piece_lattice import encode_pieces
@@ -54,9 +55,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(rows))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op10_license_scan)}
