@@ -15,6 +15,7 @@ from tessella.llm.license_scan import scan_licenses
 from tessella.llm.mixing import mix_sources
 from tessella.llm.piece_lattice import encode_pieces
 from tessella.llm.quality_crf import score_quality, train
+from tessella.llm.signature_trees import similar_documents
 from tessella.llm.vector_forest import near_duplicates
 from tessella.llm.token_rollup import TokenRollup, count_tokens, count_words, signed
 
@@ -28,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
 
@@ -69,4 +74,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan)}
