@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, exact dedup, near dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's documents.
+read again as the next stage's documents. Each works on all that its predecessor kept.
 """
 
 from __future__ import annotations
@@ -10,20 +10,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.exact_dedup import keep_first_copies
-from tessella.llm.mixing import take_mix
+from tessella.llm import exact_dedup as copies
+from tessella.llm import mixing, piece_lattice, quality_crf, signature_trees
 from tessella.llm._base import shared_dir, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF, fitted on the labelled ones outside the held-out fold, takes for good."""
+    return quality_crf.keep_good(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first_copies(docs)
+    """Of equal texts, the row with the smallest id."""
+    return copies.keep_first_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by n-gram Jaccard similarity, the row with the smallest id."""
+    return signature_trees.keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return take_mix(docs)
+    """Rows as often as the mix takes them: none, once or repeatedly."""
+    return mixing.take_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of each row's text, seeded by its id."""
+    return piece_lattice.encode_pieces(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix", mix)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
 #: A trained classifier, a similarity join and sampled segmentations are not SQL.
 ORACLE_SQL = None
