@@ -172,7 +172,7 @@ def _encode_slice(batch: list, keys: list[int], v: Vocabulary, out: list) -> Non
     count = np.zeros(len(starts), np.int64)
     order = np.argsort(wide, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(wide[order])) + 1):
-        for part in np.array_split(group, max(1, len(group) * int(wide[group[0]]) // SLICE)):
+        for part in np.array_split(group, min(len(group), max(1, len(group) * int(wide[group[0]]) // SLICE))):
             pieces += _sample(part, chars, starts[part], length[part], int(wide[part[0]]), seed[part], v, count)
     unit, back, ids = (np.concatenate([p[k] for p in pieces]) for k in range(3))
     at = np.concatenate([[0], np.cumsum(count)])

@@ -75,7 +75,8 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -117,7 +118,7 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
 
 
 def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, node, check, prefix, bits, slack) of each document; node and check are hashes of the whole set, null without words.
+    """(id, key, n, node, check, prefix, bits, slack) of each document; key is a hash of the text, node and check are hashes of the whole set, null without words.
 
     The order of tokens is (frequency class, hash): common passages come last, so that they
     are no bucket unless a document has little else.
@@ -145,10 +146,10 @@ def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
                 cols[4].append(bits.tobytes())
                 cols[5].append(n - int(np.bitwise_count(bits).sum()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n", "node", "check", "prefix", "bits", "slack"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "n", "node", "check", "prefix", "bits", "slack"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n long, node long, check long, prefix array<long>, bits binary, slack long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, n long, node long, check long, prefix array<long>, bits binary, slack long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,6 +304,11 @@ def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT
     empty table gives no rows; other columns are ignored. Sets are told apart by 64 bits of a
     128-bit hash, and the other half is compared: a clash raises an error.
     """
+    return _marked(docs, size, percent, chunk, id_col, text_col).drop("_t_key")
+
+
+def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """similar_documents with _t_key, a hash of the text that tells rows of one id apart."""
     if percent != PERCENT:
         raise ValueError("the traversals are compiled for PERCENT")
     small_batches(docs.sparkSession)
@@ -347,15 +353,19 @@ def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(least, "component").select(F.col("node").alias("f_node"), "component_id")
     lone = nodes.select(F.col("node").alias("o_node"), "least").join(final, F.col("o_node") == F.col("f_node"), "left").select("o_node", F.coalesce("component_id", "least").alias("component_id"))
-    out = every.select("id", "n", "node").join(lone, F.col("node") == F.col("o_node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = every.select("id", "key", "n", "node").join(lone, F.col("node") == F.col("o_node"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("_t_key"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the least of their component, with all their columns; of repeated rows, one.
+    """The rows of docs that are the least of their component, with all their columns.
 
-    Rows with a null id are kept only if their whole component has no id.
+    Of rows repeated with one id and text, one stays. Rows without an id are dropped if their
+    component has a row with one; else those of different text all stay.
     """
-    marks = similar_documents(docs, id_col=id_col, text_col=text_col)
-    gone = marks.where(~F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())).select(F.col(id_col).alias("_t_id")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_t_id")), "left_anti").dropDuplicates([id_col])
+    marks = _marked(docs, id_col=id_col, text_col=text_col)
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = marks.where(~stays).select(F.col(id_col).alias("_t_id"), "_t_key").distinct()
+    keyed = docs.withColumn("_t_own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_t_id")) & (F.col("_t_own") == F.col("_t_key")), "left_anti")
+    return left.dropDuplicates([id_col, "_t_own"]).drop("_t_own")
