@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,9 @@ from tessella.llm._base import checkpointed, components, small_batches, written
 
 WORDS, PERCENT = 5, 80
 #: Bits of a document's bitmap, counters of the frequency sketch, documents of a bucket compared in one task, children of a node.
-BITS, SKETCH_BITS, CHUNK, FAN = 4096, 18, 1024, 4
-#: Sets wanted by id: up to so many ids are broadcast (8 MB), more are joined by a shuffle.
-FEW_IDS = 1_000_000
+BITS, SKETCH_BITS, CHUNK, FAN = 2048, 18, 1024, 4
+#: Lists of up to so many ids are broadcast (some 40 MB); longer ones are joined by a shuffle.
+FEW_IDS = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -118,7 +119,10 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
 
 
 def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, n, node, check, prefix, bits, slack) of each document; key is a hash of the text, node and check are hashes of the whole set, null without words.
+    """(id, key, uid, n, node, check, prefix, bits, slack) of each row.
+
+    key is a hash of the text, uid a number of the row that holds once the rows are written; node
+    and check are hashes of the whole set, null without words.
 
     The order of tokens is (frequency class, hash): common passages come last, so that they
     are no bucket unless a document has little else.
@@ -127,6 +131,7 @@ def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rank = _Words(), known.value.astype(np.uint64)
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
             cols = [[] for _ in range(6)]
             for text in _bytes(batch.column("text")):
@@ -146,17 +151,25 @@ def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
                 cols[4].append(bits.tobytes())
                 cols[5].append(n - int(np.bitwise_count(bits).sum()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "n", "node", "check", "prefix", "bits", "slack"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(range(at, at + batch.num_rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "uid", "n", "node", "check", "prefix", "bits", "slack"])
+            at += batch.num_rows
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, n long, node long, check long, prefix array<long>, bits binary, slack long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, uid long, n long, node long, check long, prefix array<long>, bits binary, slack long")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few; else the join is left to a shuffle."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, tokens) for wanted (node, id of one of its documents): whole sets, made again from the texts of those documents only."""
-    ids = wanted.select(F.col("least").alias("w_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    chosen = _texts(docs, id_col, text_col).join(ids, F.col("id") == F.col("w_id"), "left_semi")
+    """(node, tokens) of one document of each wanted node (least, text_key): whole sets, made again from those texts only.
+
+    Rows repeated with one id and text give their set as often.
+    """
+    ids = _few(wanted.select(F.col("least").alias("w_id"), F.col("text_key").alias("w_key")).distinct())
+    chosen = _texts(docs, id_col, text_col).join(ids, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -165,8 +178,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS, id_col: str =
             nodes = [int.from_bytes(xxhash.xxh3_128_digest(m)[:8], "big", signed=True) for m in made]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "tokens"])
 
-    made = chosen.select("text").mapInArrow(run, "node long, tokens binary")
-    return made.join(wanted.select(F.col("node").alias("w_node")), F.col("node") == F.col("w_node"), "left_semi").dropDuplicates(["node"])
+    return chosen.select("text").mapInArrow(run, "node long, tokens binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -277,12 +289,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def _pairs_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose bitmaps leave an overlap that is large enough."""
     for batch in batches:
-        ta, tb = (batch.column(c).to_pylist() for c in ("ta", "tb"))
-        sizes = [(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in ((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(ta, tb, strict=True))]
-        good = pa.array([bool(linked(*s)) for s in sizes], pa.bool_())
-        yield batch.select(["a", "b"]).filter(good)
+        bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b")]
+        n, m, s, t = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "slack_a", "slack_b"))
+        most = np.minimum(np.bitwise_count(bits[0] & bits[1]).sum(axis=1, dtype=np.int64) + np.minimum(s, t), np.minimum(n, m))
+        yield batch.select(["a", "b"]).filter(pa.array(linked(most, n, m)))
+
+
+def _pairs_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are alike; a pair comes as two or more rows, one set each."""
+    for group in _grouped(batches, ("a", "b")):
+        sets = dict(zip(group.column("side").to_pylist(), group.column("tokens").to_pylist(), strict=True))
+        x, y = (np.frombuffer(sets[k], np.uint64) for k in (0, 1))
+        if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+            yield group.select(["a", "b"]).slice(0, 1).combine_chunks().to_batches()[0]
 
 
 def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,37 +335,45 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
         raise ValueError("the traversals are compiled for PERCENT")
     small_batches(docs.sparkSession)
     every = written(features(docs, frequency_classes(docs, size, id_col, text_col), size, percent, id_col, text_col))
-    nodes = written(
-        every.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("slack").alias("slack"), (F.min("check") != F.max("check")).alias("clash"))
-    )
-    if not nodes.where("clash").isEmpty():
+    sound = every.where("node IS NOT NULL")
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "uid", F.col("key"), "n")
+    heads = sound.groupBy("node").agg(F.min(one).alias("m"), (F.min("check") != F.max("check")).alias("clash"))
+    names = checkpointed(heads.select("node", F.col("m.id").alias("least"), F.col("m.uid").alias("head"), F.col("m.key").alias("text_key"), F.col("m.n").alias("n"), "clash"))
+    if not names.where("clash").isEmpty():
         raise ValueError("two sets have one 64-bit key")
-
-    rows = nodes.select("node", "n", F.explode("prefix").alias("token")).repartition("token")  # one exchange for the sums and the join
-    heads = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select(F.col("token").alias("h_token"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = checkpointed(rows.join(heads, F.col("token") == F.col("h_token")).select("token", "node", "n", "hub", "hub_n"))
-
-    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("node") != F.col("hub"))
-    first = checkpointed(shared.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    names = nodes.select("node", "least")
-    wanted = names.join(first.select("a").union(first.select("b")).distinct(), F.col("node") == F.col("a"), "left_semi")
-    sets = checkpointed(sets_of(docs, wanted, size, id_col, text_col))
-    side = lambda c, t: sets.select(F.col("node").alias(c + "_"), F.col("tokens").alias(t))
-    paired = first.join(side("a", "ta"), F.col("a") == F.col("a_")).join(side("b", "tb"), F.col("b") == F.col("b_")).select("a", "b", "ta", "tb")
-    links = checkpointed(paired.mapInArrow(_pairs_verified, "a long, b long"))
-
+    copies = checkpointed(sound.select("uid", F.col("node").alias("e_node")).join(names, F.col("e_node") == F.col("node")).where("uid <> head").select(F.col("uid").alias("c_uid")))
+    nodes = sound.join(_few(copies), F.col("uid") == F.col("c_uid"), "left_anti")
+
+    rows = nodes.select("node", F.explode("prefix").alias("token")).repartition("token")  # one exchange for the sums and the join
+    hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select(F.col("token").alias("h_token"), "hub")
+    shared = written(rows.join(hubs, F.col("token") == F.col("h_token")).select("token", "node", "hub"))
+
+    # Every node against the least one of its buckets: bitmaps first, then whole sets.
+    sizes = lambda c: names.select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"size_{c}"))
+    near = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = near.join(sizes("a"), F.col("a") == F.col("a_node")).join(sizes("b"), F.col("b") == F.col("b_node"))
+    near = checkpointed(near.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b"))
+    marks = lambda c: nodes.join(_few(near.select(F.col(c).alias("x")).distinct()), F.col("node") == F.col("x"), "left_semi").select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"n_{c}"), F.col("slack").alias(f"slack_{c}"), F.col("bits").alias(f"bits_{c}"))
+    first = near.join(marks("a"), F.col("a") == F.col("a_node")).join(marks("b"), F.col("b") == F.col("b_node"))
+    first = checkpointed(first.select("a", "b", "n_a", "n_b", "slack_a", "slack_b", "bits_a", "bits_b").mapInArrow(_possible, "a long, b long"))
+    ends_of = first.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("e")).select("a", "b", "e.node", "e.side")
+    wanted = checkpointed(ends_of.join(names.select(F.col("node").alias("w_node"), "least", "text_key"), F.col("node") == F.col("w_node")).select("a", "b", F.col("node").alias("w_node"), "side", "least", "text_key"))
+    sets = sets_of(docs, wanted, size, id_col, text_col)
+    paired = sets.join(_few(wanted.select("a", "b", "w_node", "side")), F.col("node") == F.col("w_node")).select("a", "b", "side", "tokens")
+    links = checkpointed(paired.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_pairs_verified, "a long, b long"))
+
+    # Buckets that still hold two classes, one for each set of nodes.
     classes = checkpointed(components(links))
-    labelled = shared.select("token", "node", "n").join(classes.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("label"))
-    labelled = checkpointed(labelled)
+    labelled = written(shared.select("token", "node").join(classes.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").select("token", "node", F.coalesce("component", "node").alias("label")))
     buckets = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.expr("bit_xor(xxhash64(node))").alias("m0"), F.expr("bit_xor(xxhash64(node, 1))").alias("m1")).where("l0 <> l1")
-    picked = buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token")).select("p_token", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
-    live = labelled.join(picked, F.col("token") == F.col("p_token")).select("token", "node", "label", "chunks")
+    picked = checkpointed(buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token")).select("p_token", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
+    live = labelled.join(_few(picked), F.col("token") == F.col("p_token")).select("token", "node", "label", "chunks")
     live = live.join(nodes.select(F.col("node").alias("n_node"), "n", "slack", "bits"), F.col("node") == F.col("n_node"))
     live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     live = live.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "slack", "bits")
     kind = "token long, lo int, hi int, own int, node long, label long, n long, slack long, bits binary"
     left = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_survivors, kind))
-    more = names.join(left.select(F.col("node").alias("l_node")).distinct(), F.col("node") == F.col("l_node"), "left_semi")
+    more = checkpointed(names.join(left.select(F.col("node").alias("l_node")).distinct(), F.col("node") == F.col("l_node"), "left_semi"))
     whole = sets_of(docs, more, size, id_col, text_col).select(F.col("node").alias("s_node"), "tokens")
     again = left.join(whole, F.col("node") == F.col("s_node")).drop("s_node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     found = checkpointed(links.unionByName(again.mapInArrow(_verified, "a long, b long")))
@@ -352,7 +382,7 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     named = ends.join(names.select(F.col("node").alias("n_node"), "least"), F.col("node") == F.col("n_node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(least, "component").select(F.col("node").alias("f_node"), "component_id")
-    lone = nodes.select(F.col("node").alias("o_node"), "least").join(final, F.col("o_node") == F.col("f_node"), "left").select("o_node", F.coalesce("component_id", "least").alias("component_id"))
+    lone = names.select(F.col("node").alias("o_node"), "least").join(final, F.col("o_node") == F.col("f_node"), "left").select("o_node", F.coalesce("component_id", "least").alias("component_id"))
     out = every.select("id", "key", "n", "node").join(lone, F.col("node") == F.col("o_node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("_t_key"))
 
