@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 SEPARATOR = "<SEP>"
+#: Names of one evidence request; they are broadcast.
+MOST_ASKED = 10_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -114,6 +116,8 @@ def evidence(entities: DataFrame, wanted: DataFrame, most: int = 8) -> DataFrame
     Only names of the best tier count; chunks are those of its names in order, each once.
     """
     asked = wanted.select(F.trim("entity").alias("entity")).where("entity <> ''").distinct()
+    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} names asked for at once")
     low, name = F.lower("entity"), F.lower("name")
     tier = F.when(F.col("name") == F.col("entity"), 0).when(name == low, 1).otherwise(2)
     pairs = entities.join(F.broadcast(asked), F.contains(name, low) | F.contains(low, name)).where(F.size("chunk_ids") > 0).withColumn("tier", tier)

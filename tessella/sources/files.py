@@ -104,7 +104,8 @@ def read_packed_vectors(spark: SparkSession, path: str) -> DataFrame:
                 n, dim = struct.unpack_from("<ii", c) if len(c) >= 8 else (0, 0)
                 ok = n > 0 and dim > 0 and len(c) == 8 + 4 * n * dim
                 rows = [struct.unpack_from(f"<{dim}f", c, 8 + 4 * dim * k) for k in range(n)] if ok else []
-                yield pd.DataFrame({"path": p, "offset": range(len(rows)), "embedding": [list(r) for r in rows]})
+                if rows:
+                    yield pd.DataFrame({"path": p, "offset": range(len(rows)), "embedding": [list(r) for r in rows]})
 
     return raw.mapInPandas(run, "path string, offset int, embedding array<float>")
 

@@ -23,7 +23,7 @@ class _Writer(HTMLParser):
         self.lists: list[list] = []
         self.row: list[str] | None = None
         self.rows: list[list[str]] = []
-        self.code = False
+        self.code = self.cell = False
         self.link: list[tuple[str, int]] = []
 
     def close_line(self) -> None:
@@ -32,6 +32,17 @@ class _Writer(HTMLParser):
             self.blocks.append(f"```\n{text.strip(chr(10))}\n```" if self.code else self.lead + text)
         self.line, self.lead = "", ""
 
+    def close_cell(self) -> None:
+        if self.cell:
+            self.row.append(re.sub(r"\s+", " ", self.line).strip().replace("|", "\\|"))
+            self.cell, self.line = False, ""
+
+    def close_row(self) -> None:
+        self.close_cell()
+        if self.row is not None:
+            self.rows.append(self.row)
+            self.row = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
@@ -50,9 +61,11 @@ class _Writer(HTMLParser):
         elif tag == "table":
             self.rows = []
         elif tag == "tr":
+            self.close_row()
             self.row = []
         elif tag in ("td", "th"):
-            self.line = ""
+            self.close_cell()
+            self.cell, self.line = self.row is not None, ""
         elif tag == "pre":
             self.code = True
         elif tag == "br" and self.row is not None:
@@ -70,14 +83,12 @@ class _Writer(HTMLParser):
             return
         if self.skip:
             return
-        if tag in ("td", "th") and self.row is not None:
-            self.row.append(re.sub(r"\s+", " ", self.line).strip().replace("|", "\\|"))
-            self.line = ""
-        elif tag == "tr" and self.row is not None:
-            self.rows.append(self.row)
-            self.row = None
+        if tag in ("td", "th"):
+            self.close_cell()
+        elif tag == "tr":
+            self.close_row()
         elif tag == "table":
-            self.row = None
+            self.close_row()
             wide = max(map(len, self.rows), default=0)
             if wide:
                 lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in self.rows]
