@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
-from tessella.operators import analytics, chunking, fulltext, fusion, graph, tasks, vector, wiki
+from tessella.operators import analytics, chunking, drafts, fulltext, fusion, graph, lookups, macro, tasks, vector, wiki
 from tessella.plans import fixtures as fx
 from tessella.plans import oracles
+from tessella.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -422,6 +423,118 @@ def html_to_markdown(spark, d):
     return convert_pages(fx.read(spark, d, "pages")).select("page_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("digest"))
 
 
+# -- more of the tables
+
+
+@query
+def wiki_list(spark, d):
+    docs = fx.read(spark, d, "documents")
+    refs = F.array(F.struct(F.col("source").alias("documentId")))
+    entries = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.lit("active").alias("status"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), refs.alias("refs"), F.col("n_chars").alias("updated_at"))
+    return wiki.list_entries(entries, kind="en", search="license", documents=["src1", "src2", "src3", "src4"], limit=15).select("id", F.length("preview").alias("preview"), "ref_count")
+
+
+@query
+def citation_confidence(spark, d):
+    o = fx.read(spark, d, "orders")
+    entries = fx.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") % 10) / 10).alias("confidence"))
+    return wiki.cite(entries, o.select(F.col("o_custkey").alias("id"))).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def index_markdown(spark, d):
+    p = fx.read(spark, d, "part")
+    entries = p.select(F.col("p_brand").alias("user_id"), F.col("p_type").alias("type"), F.col("p_name").alias("title"), F.format_string("%07d", "p_partkey").alias("slug"), F.lit("active").alias("status"))
+    return wiki.index_markdown(entries).select("user_id", F.md5("markdown").alias("digest"), F.length("markdown").alias("n"))
+
+
+@query
+def draft_assemble(spark, d):
+    c = fx.read(spark, d, "conversations")
+    sections = c.select(F.col("conv_id").alias("draft_id"), F.col("turn").alias("idx"), F.col("role").alias("title"), F.col("text").alias("content"), F.when(F.col("role") == "assistant", "confirmed").otherwise("pending").alias("status"))
+    return drafts.assemble(sections).select("draft_id", F.md5("content").alias("digest"))
+
+
+@query
+def embedding_manifest(spark, d):
+    e = fx.read(spark, d, "embeddings")
+    return files.embedding_manifest(e.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("idx")))
+
+
+@query
+def model_resolution(spark, d):
+    c = fx.read(spark, d, "customer")
+    k = F.col("c_custkey")
+    models = c.select(F.col("c_nationkey").alias("user_id"), k.alias("id"), F.array(F.when(k % 3 == 0, "chat").when(k % 3 == 1, "writing").otherwise("embed")).alias("capabilities"), F.when(k % 17 == 0, F.array(F.lit("draft"))).otherwise(F.array().cast("array<string>")).alias("default_for"), (k % 11 == 0).alias("is_default"))
+    return lookups.resolve_model(models, "draft", "chat").select("user_id", "id")
+
+
+@query
+def stalled_tasks(spark, d):
+    t = fx.tasks(spark, d).withColumns({"heartbeat_at": F.lit(None).cast("timestamp"), "started_at": F.col("created_at")})
+    return tasks.stalled(t, "1998-01-01 00:00:00", 60 * 24 * 30).select("id")
+
+
+@query
+def section_prefix(spark, d):
+    o = fx.sections(spark, d)
+    idx = F.row_number().over(W.partitionBy("draft_id").orderBy("section_id")) - 1
+    return tasks.completed_prefix(o.select("draft_id", idx.alias("idx"), (F.col("status") == "confirmed").alias("done")), ["draft_id"])
+
+
+@query
+def section_depth(spark, d):
+    o = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    up = F.when(F.col("id") % 16 > 0, F.col("id") - F.when(F.col("id") % 2 == 1, 1).when(F.col("id") % 4 == 2, 2).when(F.col("id") % 8 == 4, 4).otherwise(8))
+    return graph.depths(o.withColumn("parent_id", up))
+
+
+@query
+def entity_merge(spark, d):
+    e = fx.edges(spark, d)
+    nodes = e.select(F.col("source").alias("id")).union(e.select("target")).distinct().select("id", F.lit("entity").alias("entity_type"), F.lit("").alias("description"), F.lit("d/c").alias("source_id"))
+    renames = nodes.where("id RLIKE '^s[0-9]*[13579]$'").select(F.col("id").alias("old"), F.concat(F.lit("s"), (F.substring("id", 2, 9).cast("int") - 1).cast("string")).alias("new"))
+    return graph.merge_entities(nodes, e, renames)[1]
+
+
+@query
+def related_images(spark, d):
+    docs, pages = fx.read(spark, d, "documents"), fx.read(spark, d, "pages")
+    hits = docs.select("doc_id", "source").orderBy(F.desc("n_chars"), "doc_id").limit(50)
+    images = pages.select((F.col("page_id") % 1000).alias("doc_id"), F.col("url").alias("filename"))
+    return fusion.attach_images(hits, images).select("doc_id", F.size("images").alias("images"))
+
+
+@query
+def segment_metrics(spark, d):
+    docs = fx.read(spark, d, "documents")
+    n = chunking.atoms(docs).groupBy("doc_id").agg(F.count("*").alias("atoms"))
+    return analytics.segmentation_metrics(chunking.segments(docs), n)
+
+
+@query
+def contextual_chunks(spark, d):
+    from tessella.sources.html_markdown import convert_pages
+
+    pages = convert_pages(fx.read(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))
+    n = chunking.atoms(pages).groupBy("doc_id").agg(F.count("*").alias("atoms"))
+    return chunking.graph_chunks(chunking.chunks(pages, 300, 50), chunking.segments(pages), n).select("doc_id", "idx", F.md5("content").alias("digest"), "segment")
+
+
+@query
+def outline_chunks(spark, d):
+    from tessella.sources.html_markdown import convert_pages
+
+    pages = convert_pages(fx.read(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))
+    return macro.outline_chunks(pages, 500).select("doc_id", "idx", "path", F.md5("content").alias("digest"))
+
+
+@query
+def sanitized_markdown(spark, d):
+    docs = fx.read(spark, d, "documents")
+    return chunking.per_document(docs, lambda t: [(len(chunking.sanitize_markdown(t)),)], "n int")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

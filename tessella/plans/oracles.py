@@ -152,3 +152,56 @@ SQL = {
     "earlier_summaries": f"""WITH {_SECTIONS}, l AS (SELECT draft_id, section_id AS idx, list(CASE WHEN status = 'confirmed' THEN words::VARCHAR END) OVER (PARTITION BY draft_id ORDER BY section_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM secs),
       f AS (SELECT draft_id, idx, coalesce(list_filter(l, lambda x: x IS NOT NULL), []) AS l FROM l) SELECT draft_id, idx, len(l)::INT AS n, array_to_string(l, '|') AS earlier FROM f""",
 }
+
+SQL |= {
+    "pipeline_progress": """WITH o AS (SELECT o_orderkey % 5 AS k, o_orderkey % 2 = 0 AS conv, o_orderkey % 101 AS p, (o_orderkey % 101) / 100.0::DOUBLE AS f, o_orderstatus AS s FROM orders),
+      x AS (SELECT *, CASE k WHEN 0 THEN 1
+          WHEN 1 THEN CASE s WHEN 'F' THEN 3 WHEN 'O' THEN CASE WHEN conv THEN 2 + least(f, 1) ELSE 1 + least(f, 1) END ELSE 1 END
+          WHEN 2 THEN CASE s WHEN 'F' THEN 5 WHEN 'O' THEN CASE WHEN p >= 70 THEN 4 + least(f, 1) ELSE 3 + least(f, 1) END ELSE 3 END
+          WHEN 3 THEN CASE s WHEN 'F' THEN 6 WHEN 'O' THEN 5 + least(f, 1) ELSE 5 END
+          ELSE CASE s WHEN 'F' THEN 7 WHEN 'O' THEN 5 + least(f, 1) + least(f, 1) ELSE 5 END END::DOUBLE AS done,
+        k >= 3 OR (k = 2 AND s = 'F') AS basic FROM o),
+      d AS (SELECT *, CASE WHEN k = 4 AND s = 'F' THEN 'ready' WHEN k > 0 AND s NOT IN ('F', 'O') THEN 'failed' WHEN basic THEN 'enhancing' ELSE 'processing' END AS display FROM x)
+      SELECT display, count(*) AS documents, sum(floor(done / 7 * 100 + 0.5))::BIGINT AS percent_sum, count(*) FILTER (WHERE basic) AS basic_ready FROM d GROUP BY display""",
+    "document_atoms": """SELECT doc_id, 0 AS idx, 'paragraph' AS kind, greatest(1, ceil(length(trim(text)) / 1.5))::BIGINT AS tokens, 0 AS char_start, length(trim(text))::INT AS char_end FROM documents""",
+    "atoms_windows_segments": r"""SELECT doc_id, 0 AS idx, substr(trim(regexp_replace(substr(text, 1, 120), '\s+', ' ', 'g')), 1, 80) AS title, 0 AS start_atom, 0 AS end_atom, greatest(1, ceil(length(text) / 1.5))::BIGINT AS tokens FROM documents""",
+    "split_sentences": r"""SELECT doc_id, (len(regexp_extract_all(text, '[。！？.!?][\sA-Z\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]')) + len(string_split(text, chr(10))) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END)::BIGINT AS sentences, length(text)::BIGINT AS chars FROM documents""",
+    "wiki_section_query": f"""WITH e AS (SELECT doc_id AS id, substr(text, 1, 60) AS title, text AS content, (doc_id % 10) / 10.0::DOUBLE AS confidence FROM documents),
+      {_bm25([['public'], ['license']]).replace("coalesce(text, '')", "substr(text, 1, 60) || ' ' || text")},
+      h AS (SELECT doc_id AS id, rank FROM ranked ORDER BY rank, doc_id LIMIT 80),
+      l AS (SELECT id, NULL::DOUBLE AS rank FROM e WHERE (contains(lower(title), 'public') OR contains(lower(title), 'license')) AND id NOT IN (SELECT id FROM h) AND (SELECT count(*) FROM h) < 40
+        AND len(list_intersect(['public', 'license'], {_TITLE.format("title")})) / len(list_distinct(list_concat(['public', 'license'], {_TITLE.format("title")}))) >= 0.34::DOUBLE ORDER BY id LIMIT 160),
+      c AS (SELECT e.*, rank FROM e JOIN (SELECT * FROM h UNION ALL SELECT * FROM l) USING (id)),
+      r AS (SELECT *, 3 * contains(lower(title), 'public')::INT + 3 * contains(lower(title), 'license')::INT + contains(lower(content), 'public')::INT + contains(lower(content), 'license')::INT AS raw FROM c),
+      s AS (SELECT id, raw, raw * (0.5::DOUBLE + confidence * 0.5::DOUBLE) + CASE WHEN rank < 0 THEN 0.5::DOUBLE / (1 + abs(rank)) ELSE 0 END AS score FROM r)
+      SELECT id, raw, round(score, 6) AS score FROM s WHERE raw >= 2 AND score > 0 ORDER BY s.score DESC, id LIMIT 20""",
+    "graph_overview": f"""WITH {_EDGES}, {_WAYS}, {_DEG},
+      n AS (SELECT 's' || l_suppkey AS node, l_orderkey % 8 AS doc FROM lineitem UNION SELECT 'p' || l_partkey, l_orderkey % 8 FROM lineitem WHERE l_partkey % 50 = 0),
+      k AS (SELECT node, list_sort(list(DISTINCT doc::VARCHAR)) AS docs FROM n GROUP BY node), known AS (SELECT k.node, docs, coalesce(degree, 0) AS degree FROM k LEFT JOIN deg USING (node)),
+      b AS (SELECT least((SELECT count(*) FROM known WHERE len(docs) > 1), 26) AS x, greatest((SELECT count(DISTINCT doc) FROM n), 1) AS d), bd AS (SELECT greatest(floor((80 - x) / d), 5) AS per FROM b),
+      ts AS (SELECT node FROM known WHERE len(docs) > 1 ORDER BY degree DESC, node LIMIT 26),
+      td AS (SELECT node FROM (SELECT DISTINCT known.node, doc, row_number() OVER (PARTITION BY doc ORDER BY degree DESC, known.node) AS r FROM known JOIN (SELECT DISTINCT node, doc FROM n) m ON known.node = m.node), bd WHERE r <= per),
+      ch AS (SELECT node FROM ts UNION SELECT node FROM td), f AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS r FROM known WHERE node NOT IN (SELECT node FROM ch)) WHERE r <= greatest(80 - (SELECT count(*) FROM ch), 0)),
+      se AS (SELECT * FROM known WHERE node IN (SELECT node FROM ch UNION SELECT node FROM f)), rl AS (SELECT count(*) FILTER (WHERE degree >= 2) < 0.6 * count(*) AS relax FROM se)
+      SELECT node, degree, array_to_string(docs, ',') AS documents FROM se, rl WHERE degree >= CASE WHEN relax THEN 1 ELSE 2 END""",
+}
+
+SQL |= {
+    "wiki_list": "SELECT doc_id AS id, least(length(text), 200)::INT AS preview, 1 AS ref_count FROM documents WHERE lang = 'en' AND (contains(lower(text), 'license')) AND source IN ('src1', 'src2', 'src3', 'src4') ORDER BY n_chars DESC, doc_id LIMIT 15",
+    "citation_confidence": "SELECT c_custkey AS id, round(least(1.0::DOUBLE, (c_custkey % 10) / 10.0::DOUBLE + 0.03::DOUBLE * count(o_orderkey)), 6) AS confidence FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    "index_markdown": """WITH g AS (SELECT p_brand AS u, p_type AS t, count(*) AS n, string_agg('- [' || p_name || '](' || printf('%07d', p_partkey) || '.md)', chr(10) ORDER BY p_name, printf('%07d', p_partkey)) AS lines FROM part GROUP BY ALL),
+      m AS (SELECT u AS user_id, '# Index' || chr(10) || chr(10) || string_agg('## ' || t || ' (' || n || ')' || chr(10) || chr(10) || lines, chr(10) || chr(10) ORDER BY t) AS m FROM g GROUP BY u) SELECT user_id, md5(m) AS digest, length(m)::INT AS n FROM m""",
+    "draft_assemble": """SELECT conv_id AS draft_id, md5(string_agg('## ' || role || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+    "embedding_manifest": 'SELECT label AS doc_id, vec_id AS chunk_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS "offset" FROM embeddings',
+    "model_resolution": "SELECT c_nationkey AS user_id, c_custkey AS id FROM customer WHERE c_custkey % 3 < 2 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 17 = 0 THEN 0 WHEN c_custkey % 11 = 0 THEN 1 ELSE 2 END, c_custkey) = 1",
+    "stalled_tasks": f"WITH {_TASKS} SELECT id FROM tasks WHERE status = 'running' AND created_at < TIMESTAMP '1997-12-02'",
+    "section_prefix": f"""WITH {_SECTIONS}, i AS (SELECT draft_id, row_number() OVER (PARTITION BY draft_id ORDER BY section_id) - 1 AS idx, status FROM secs)
+      SELECT draft_id, coalesce(min(CASE WHEN status <> 'confirmed' THEN idx END), count(*)) AS prefix FROM i GROUP BY draft_id""",
+    "section_depth": """WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 16 > 0 THEN o_orderkey - CASE WHEN o_orderkey % 2 = 1 THEN 1 WHEN o_orderkey % 4 = 2 THEN 2 WHEN o_orderkey % 8 = 4 THEN 4 ELSE 8 END END AS up FROM orders),
+      w AS (SELECT id, 0 AS depth FROM t WHERE up IS NULL OR up NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, w.depth + 1 FROM t JOIN w ON t.up = w.id) SELECT id, depth FROM w""",
+    "entity_merge": f"""WITH {_EDGES}, m AS (SELECT source, CASE WHEN substr(target, 2)::INT % 2 = 1 THEN 's' || (substr(target, 2)::INT - 1) ELSE target END AS target, weight FROM edges)
+      SELECT source, target, sum(weight)::BIGINT AS weight FROM m GROUP BY ALL""",
+    "related_images": "WITH h AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50) SELECT h.doc_id, count(page_id)::INT AS images FROM h LEFT JOIN pages ON page_id % 1000 = h.doc_id GROUP BY h.doc_id",
+    "segment_metrics": "SELECT doc_id, 1 AS segments, greatest(1, ceil(length(text) / 1.5))::BIGINT AS tokens_avg, greatest(1, ceil(length(text) / 1.5))::BIGINT AS tokens_max, 1.0::DOUBLE AS coverage FROM documents",
+    "sanitized_markdown": r"SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '!\[([^\]]*)\]\([^)]+\)', '[Image: \1]', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))::INT AS n FROM documents",
+}
