@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from tessella.llm._base import checkpointed, components, small_batches, written
 
 WORDS, PERCENT = 5, 80
-#: Bits of a document's bitmap, counters of the frequency sketch, documents of a bucket compared in one task, children of a node.
-BITS, SKETCH_BITS, CHUNK, FAN = 2048, 18, 1024, 4
+#: Bits of a document's bitmap by size band: (largest size but one, bits). A document up to a quarter over a band's
+#: floor has partners in the band below and stands in both, with its bitmap folded.
+BANDS = ((1024, 2048), (4096, 8192), (2**62, 32768))
+#: Counters of the frequency sketch, documents of a bucket compared in one task, children of a node.
+SKETCH_BITS, CHUNK, FAN = 18, 1024, 4
+#: Rows of a bucket that are looked through at once for partners by size; a larger bucket is passed on as it is.
+LOOK = 200_000
 #: Lists of up to so many ids are broadcast (some 40 MB); longer ones are joined by a shuffle.
 FEW_IDS = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -69,12 +74,33 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _width(n: int) -> int:
+    return next(bits for least, bits in BANDS if n < least)
+
+
 def _bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(h & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    width = _width(len(h))
+    bits = np.zeros(width, np.uint8)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
 
 
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap as words of 64 bits, folded to `width` bits: that is the bitmap of the same tokens at that width."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 64), axis=0)
+
+
+def _bands(n):
+    """The bands that a document of n tokens stands in."""
+    floors = [0, *(least for least, _ in BANDS[:-1])]
+    own = F.lit(0)
+    below = F.lit(False)
+    for k, floor in enumerate(floors[1:], 1):
+        own = F.when(n >= floor, k).otherwise(own)
+        below = F.when(n >= floor, PERCENT * n <= 100 * floor).otherwise(below)
+    return F.when(below, F.array(own - 1, own)).otherwise(F.array(own))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -119,7 +145,7 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
 
 
 def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, uid, n, node, check, prefix, bits, slack) of each row.
+    """(id, key, uid, n, node, check, prefix, bits) of each row.
 
     key is a hash of the text, uid a number of the row that holds once the rows are written; node
     and check are hashes of the whole set, null without words.
@@ -133,29 +159,27 @@ def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
         words, rank = _Words(), known.value.astype(np.uint64)
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(5)]
             for text in _bytes(batch.column("text")):
                 s = shingles(text, words, size)
                 n = len(s)
                 if not n:
-                    for c, v in zip(cols, (0, None, None, None, None, 0), strict=True):
+                    for c, v in zip(cols, (0, None, None, None, None), strict=True):
                         c.append(v)
                     continue
                 key = np.sort((rank[_slot(s)] << np.uint64(58)) | (s >> np.uint64(6)))
-                bits = _bitmap(s)
                 whole = xxhash.xxh3_128_digest(s.tobytes())
                 cols[0].append(n)
                 cols[1].append(int.from_bytes(whole[:8], "big", signed=True))
                 cols[2].append(int.from_bytes(whole[8:], "big", signed=True))
                 cols[3].append(key[: n - int(need(n, percent)) + 1].astype(np.int64))
-                cols[4].append(bits.tobytes())
-                cols[5].append(n - int(np.bitwise_count(bits).sum()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(range(at, at + batch.num_rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "uid", "n", "node", "check", "prefix", "bits", "slack"])
+                cols[4].append(_bitmap(s).tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(range(at, at + batch.num_rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "uid", "n", "node", "check", "prefix", "bits"])
             at += batch.num_rows
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, uid long, n long, node long, check long, prefix array<long>, bits binary, slack long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, uid long, n long, node long, check long, prefix array<long>, bits binary")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -181,8 +205,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS, id_col: str =
     return chosen.select("text").mapInArrow(run, "node long, tokens binary")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The groups of batches that are sorted by keys; a group is held until its last row is seen."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 2**62) -> Iterator[pa.Table]:
+    """The groups of batches that are sorted by keys; a group is held until its last row, or `most` rows, are seen."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -192,7 +216,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             at = tuple(k[lo].tolist())
-            if held and at != last:
+            if held and (at != last or sum(b.num_rows for b in held) > most):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
@@ -245,23 +269,40 @@ def _tree(group: pa.Table) -> tuple[np.ndarray, SignatureTree, np.ndarray | None
     """The group's rows in tree order (label, size), their tree, and their chunk sides if it is a pair of chunks."""
     n, label = group.column("n").to_numpy(), group.column("label").to_numpy()
     order = np.lexsort((n, label))
-    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    tree = SignatureTree(bits[order], n[order], group.column("slack").to_numpy()[order], label[order])
+    width = BANDS[group.column("band")[0].as_py()][1]
+    bits = np.stack([_folded(b, width) for b in group.column("bits").to_pylist()])
+    slack = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    tree = SignatureTree(bits[order], n[order], slack[order], label[order])
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
     return order, tree, None if lo == hi else group.column("own").to_numpy()[order]
 
 
-_KEYS = ("token", "lo", "hi")
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node, label, n), sorted by token and size, with a document of another class and a fitting size in their bucket."""
+    last = None
+    for group in _grouped(batches, ("token",), LOOK):
+        token, n, label = group.column("token")[0].as_py(), group.column("n").to_numpy(), group.column("label").to_numpy()
+        if len(n) <= LOOK and token != last:
+            runs = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+            of = np.searchsorted(runs, np.arange(len(n)), side="right") - 1
+            before, after = runs[of] - 1, np.append(runs[1:], len(n))[of]
+            low, high = np.searchsorted(n, need(n)), np.searchsorted(n, 100 * n // PERCENT, side="right")
+            group = group.filter(pa.array(((before >= 0) & (before >= low)) | (after < high)))
+        last = token
+        yield from group.combine_chunks().to_batches()
+
+
+_KEYS = ("token", "band", "lo", "hi")
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, lo, hi, own, node, label) of the documents of each bucket that have a pair left."""
+    """(token, band, lo, hi, own, node, label) of the documents of each bucket that have a pair left."""
     for group in _grouped(batches, _KEYS):
         order, tree, side = _tree(group)
         x, y = tree.pairs(side)
         if len(x):
             rows = np.unique(order[np.concatenate([x, y])])
-            yield from group.select([*_KEYS, "own", "node", "label", "n", "slack", "bits"]).take(rows).combine_chunks().to_batches()
+            yield from group.select([*_KEYS, "own", "node", "label", "n", "bits"]).take(rows).combine_chunks().to_batches()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +333,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose bitmaps leave an overlap that is large enough."""
     for batch in batches:
-        bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b")]
-        n, m, s, t = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "slack_a", "slack_b"))
-        most = np.minimum(np.bitwise_count(bits[0] & bits[1]).sum(axis=1, dtype=np.int64) + np.minimum(s, t), np.minimum(n, m))
-        yield batch.select(["a", "b"]).filter(pa.array(linked(most, n, m)))
+        n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        most = np.empty(len(n), np.int64)
+        for k, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
+            width = 8 * min(len(x), len(y))
+            p, q = _folded(x, width), _folded(y, width)
+            most[k] = np.bitwise_count(p & q).sum() + min(n[k] - np.bitwise_count(p).sum(dtype=np.int64), m[k] - np.bitwise_count(q).sum(dtype=np.int64))
+        yield batch.select(["a", "b"]).filter(pa.array(linked(np.minimum(most, np.minimum(n, m)), n, m)))
 
 
 def _pairs_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +359,8 @@ def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT
     2. Prefix tokens are grouped; those of one node only are dropped.
     3. In each bucket, every node is verified against the least node. Groups of near copies
        thereby fall into few classes, with as many comparisons as nodes.
-    4. Buckets that still hold two classes go through their signature tree; of buckets with the
-       same nodes, one does. A bucket over `chunk` nodes is dealt out by pairs of chunks. The
+    4. Buckets that still hold two classes go through their signature tree, nodes without a
+       partner of fitting size left out; of buckets with the same nodes, one does. A bucket over `chunk` nodes is dealt out by pairs of chunks. The
        first traversal needs bitmaps only and returns the nodes with a pair left; for those the
        whole sets are fetched and compared in the second, which gives spanning links.
     5. Links of both steps are united to components.
@@ -353,9 +397,9 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     near = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     near = near.join(sizes("a"), F.col("a") == F.col("a_node")).join(sizes("b"), F.col("b") == F.col("b_node"))
     near = checkpointed(near.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b"))
-    marks = lambda c: nodes.join(_few(near.select(F.col(c).alias("x")).distinct()), F.col("node") == F.col("x"), "left_semi").select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"n_{c}"), F.col("slack").alias(f"slack_{c}"), F.col("bits").alias(f"bits_{c}"))
+    marks = lambda c: nodes.join(_few(near.select(F.col(c).alias("x")).distinct()), F.col("node") == F.col("x"), "left_semi").select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     first = near.join(marks("a"), F.col("a") == F.col("a_node")).join(marks("b"), F.col("b") == F.col("b_node"))
-    first = checkpointed(first.select("a", "b", "n_a", "n_b", "slack_a", "slack_b", "bits_a", "bits_b").mapInArrow(_possible, "a long, b long"))
+    first = checkpointed(first.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible, "a long, b long"))
     ends_of = first.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("e")).select("a", "b", "e.node", "e.side")
     wanted = checkpointed(ends_of.join(names.select(F.col("node").alias("w_node"), "least", "text_key"), F.col("node") == F.col("w_node")).select("a", "b", F.col("node").alias("w_node"), "side", "least", "text_key"))
     sets = sets_of(docs, wanted, size, id_col, text_col)
@@ -368,10 +412,13 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     buckets = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.expr("bit_xor(xxhash64(node))").alias("m0"), F.expr("bit_xor(xxhash64(node, 1))").alias("m1")).where("l0 <> l1")
     picked = checkpointed(buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token")).select("p_token", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
     live = labelled.join(_few(picked), F.col("token") == F.col("p_token")).select("token", "node", "label", "chunks")
-    live = live.join(nodes.select(F.col("node").alias("n_node"), "n", "slack", "bits"), F.col("node") == F.col("n_node"))
+    live = live.join(names.select(F.col("node").alias("s_node"), "n"), F.col("node") == F.col("s_node")).select("token", "node", "label", "n", "chunks")
+    live = live.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_partnered, "token long, node long, label long, n long, chunks int")
+    live = checkpointed(live.withColumn("band", F.explode(_bands(F.col("n")))))
+    live = live.join(nodes.select(F.col("node").alias("n_node"), "bits"), F.col("node") == F.col("n_node"))
     live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    live = live.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "slack", "bits")
-    kind = "token long, lo int, hi int, own int, node long, label long, n long, slack long, bits binary"
+    live = live.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "bits")
+    kind = "token long, band int, lo int, hi int, own int, node long, label long, n long, bits binary"
     left = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_survivors, kind))
     more = checkpointed(names.join(left.select(F.col("node").alias("l_node")).distinct(), F.col("node") == F.col("l_node"), "left_semi"))
     whole = sets_of(docs, more, size, id_col, text_col).select(F.col("node").alias("s_node"), "tokens")

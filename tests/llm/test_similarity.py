@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm._base import components
-from tessella.llm.signature_trees import BITS, SignatureTree, _bitmap, keep_one_of_each, linked, shingles, similar_documents
+from tessella.llm.signature_trees import SignatureTree, _bitmap, _folded, keep_one_of_each, linked, shingles, similar_documents
 from tessella.llm.vector_forest import near_duplicates
 
 DOCS = "doc_id long, text string, node long, n long, component_id string"
@@ -49,6 +49,8 @@ def rows():
     hot = "the very common passage that stands in all of these documents and is fairly long so that it is shared"
     out = [(k, noisy(rng, bases[k % 5], int(rng.integers(0, 4)))) for k in range(60)]
     out += [(100 + k, hot + " " + noisy(rng, bases[0], 30)) for k in range(15)]
+    edge = " ".join(f"e{x}" for x in rng.integers(0, 10**6, 1010))
+    out += [(400, edge), (401, noisy(rng, edge, 5)), (402, edge + " " + " ".join(f"t{x}" for x in range(30))), (403, edge + " " + " ".join(f"t{x}" for x in range(400)))]
     chain = [f"c{k}" for k in range(200)]
     out += [(200 + k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(10)]  # neighbours are alike, ends are not
     out += [(300, None), (301, ""), (302, " \t\n"), (303, "one"), (304, "ONE"), (305, "a b c d"), (306, "a B c d"), (307, bases[3].upper()), (308, "word " * 9000), (309, "word word word word word"), (None, bases[1]), (None, "nobody else says this"), (5, bases[3]), (303, "one")]
@@ -93,7 +95,15 @@ def test_tree_loses_no_link(lists):
         for j in range(i + 1, len(sets)):
             if linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j]):
                 assert (i, j) in found
-    assert bits.shape[1] == BITS // 64
+
+
+def test_folded_bitmaps():
+    rng = np.random.default_rng(2)
+    for n in (1023, 1024, 5000):
+        h = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))[:n]
+        small = np.zeros(2048, np.uint8)
+        small[(h & np.uint64(2047)).astype(int)] = 1
+        assert np.array_equal(_folded(_bitmap(h).tobytes(), 2048), np.packbits(small).view(np.uint64))
 
 
 def test_components_of_chains_and_stars(spark):
