@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
-from tessella.operators import analytics, chunking, drafts, fulltext, fusion, graph, lookups, macro, tasks, vector, wiki
+from tessella.operators import analytics, chunking, details, drafts, fulltext, fusion, graph, lookups, macro, tasks, vector, wiki
 from tessella.plans import fixtures as fx
 from tessella.plans import oracles
 from tessella.sources import files
@@ -535,6 +535,36 @@ def sanitized_markdown(spark, d):
     return chunking.per_document(docs, lambda t: [(len(chunking.sanitize_markdown(t)),)], "n int")
 
 
+@query
+def segment_texts(spark, d):
+    docs = fx.read(spark, d, "documents")
+    return details.segment_texts(chunking.atoms(docs), chunking.segments(docs)).select("doc_id", "segment", F.md5("text").alias("digest"))
+
+
+@query
+def document_detail(spark, d):
+    docs = fx.read(spark, d, "documents")
+    view = docs.select("doc_id", F.col("source").alias("name"), F.when(F.col("doc_id") % 10 > 0, F.col("doc_id") - F.col("doc_id") % 10).alias("parent_id"))
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    tags = docs.select("doc_id", F.explode(F.array("lang", "source")).alias("tag"))
+    return details.document_detail(view, lines, tags).select("doc_id", "parent_name", F.when(F.col("children").isNull(), 0).otherwise(F.size("children")).alias("children"), "chunks", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def page_backfill(spark, d):
+    o = fx.read(spark, d, "orders")
+    atoms = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("idx"), F.when(F.col("o_orderstatus") == "F", "heading").otherwise("paragraph").alias("kind"), F.concat(F.lit(" "), F.col("o_orderpriority")).alias("content"))
+    sections = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.upper("o_orderpriority").alias("text"), (F.col("o_orderkey") % 50).cast("int").alias("page"))
+    return details.backfill_pages(atoms, sections).select("doc_id", "idx", "page")
+
+
+@query
+def cross_references(spark, d):
+    p = fx.read(spark, d, "part")
+    refs = p.where("p_partkey <= 20").select(F.substring_index("p_name", " ", 1).alias("from_title"), F.substring_index("p_name", " ", -1).alias("to_title"), F.lit("relates").alias("relation"))
+    return details.cross_references(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), refs)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

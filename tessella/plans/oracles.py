@@ -205,3 +205,15 @@ SQL |= {
     "segment_metrics": "SELECT doc_id, 1 AS segments, greatest(1, ceil(length(text) / 1.5))::BIGINT AS tokens_avg, greatest(1, ceil(length(text) / 1.5))::BIGINT AS tokens_max, 1.0::DOUBLE AS coverage FROM documents",
     "sanitized_markdown": r"SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '!\[([^\]]*)\]\([^)]+\)', '[Image: \1]', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))::INT AS n FROM documents",
 }
+
+SQL |= {
+    "segment_texts": "SELECT doc_id, 0 AS segment, md5(trim(text)) AS digest FROM documents",
+    "document_detail": """WITH v AS (SELECT doc_id, source AS name, CASE WHEN doc_id % 10 > 0 THEN doc_id - doc_id % 10 END AS parent_id, text, lang, source FROM documents), k AS (SELECT parent_id, count(*) AS n FROM v GROUP BY parent_id)
+      SELECT v.doc_id, p.name AS parent_name, coalesce(k.n, 0)::INT AS children, len(string_split(v.text, chr(10))) AS chunks, array_to_string(list_sort([v.lang, v.source]), ',') AS tags FROM v LEFT JOIN v p ON v.parent_id = p.doc_id LEFT JOIN k ON k.parent_id = v.doc_id""",
+    "page_backfill": """WITH s AS (SELECT o_custkey AS doc_id, lower(o_orderpriority) AS h, arg_max((o_orderkey % 50)::INT, o_orderkey) AS page FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+      a AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority) END AS h FROM orders), j AS (SELECT a.doc_id, idx, page FROM a LEFT JOIN s ON a.doc_id = s.doc_id AND a.h = s.h)
+      SELECT doc_id, idx, last_value(page IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM j""",
+    "cross_references": """WITH r AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS f, string_split(p_name, ' ')[-1] AS t FROM part WHERE p_partkey <= 20), x AS (SELECT f AS q FROM r UNION SELECT t FROM r),
+      m AS (SELECT q, min(p_partkey) AS id FROM x JOIN part ON contains(lower(p_name), lower(q)) GROUP BY q)
+      SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'relates' AS relation FROM r JOIN m a ON r.f = a.q JOIN m b ON r.t = b.q WHERE a.id <> b.id""",
+}

@@ -204,3 +204,20 @@ def test_search_api(spark):
 def test_empty_queries(spark, query):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert fulltext.keyword_search(d, query).count() == 0
+
+
+def test_details(spark):
+    from tessella.functions import text as tx
+    from tessella.operators import details
+
+    t = spark.createDataFrame([("## 1.2 My Title\n\nbody", "My title"), ("## 1.2 My Title\n\nbody", "My Title"), ("My Title:\nbody", "3. **My Title**"), ("", "x")], "c string, t string")
+    assert [r[0] for r in t.select(details.strip_leading_title(F.col("c"), F.col("t"))).collect()] == ["## 1.2 My Title\n\nbody", "body", "body", ""]
+    task = spark.createDataFrame([(1, "failed", 0, "Lock TIMEOUT", 5), (2, "failed", 2, "timeout", 5), (3, "failed", 0, "bad", 5)], "id int, status string, attempt int, error string, at int").withColumn("finished_at", F.timestamp_seconds("at"))
+    assert rows(details.cleanup_retries(task, 2, 60_000), "id", "attempt") == [(1, 1)]
+    h = spark.createDataFrame([(k, "x" * 600) for k in range(1, 8)], "rank int, content string")
+    assert details.domain_context(h).first().context.count("[") == 5
+    q = spark.createDataFrame([("  Hello  WORLD ", "https://h/v1/chat/completions/", "12", "d/c")], "q string, u string, r string, k string")
+    got = q.select(tx.normalise_query(F.col("q")), tx.api_base(F.col("u")), tx.retry_after_seconds(F.col("r")), tx.document_of_chunk(F.col("k")), tx.strip_number(F.lit("1.2 Name")), tx.truncate(F.lit("abcdef"), 3), tx.sanitize_filename(F.lit("a/b")), F.size(tx.triples(F.array(*map(F.lit, "abcd")))), details.document_locale(F.lit("标题"))).first()
+    assert list(got) == ["hello world", "https://h/v1", 12, "d", "Name", "abc…", "a_b", 2, "zh-CN"]
+    terms = q.select(tx.query_terms(F.lit("search 知识图谱检索 x")), tx.search_terms(F.lit("One two, one a")), tx.rewrite_image_urls(F.lit("![a](images/p.png)"), "/api")).first()
+    assert terms[0] == ["search 知识图谱检索 x", "search", "知识", "图谱", "检索"] and terms[1] == ["One", "two"] and terms[2] == "![a](/api/p.png)"
