@@ -78,8 +78,8 @@ def _width(n: int) -> int:
     return next(bits for least, bits in BANDS if n < least)
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    width = _width(len(h))
+def _bitmap(h: np.ndarray, width: int = 0) -> np.ndarray:
+    width = width or _width(len(h))
     bits = np.zeros(width, np.uint8)
     bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
@@ -270,7 +270,10 @@ def _tree(group: pa.Table) -> tuple[np.ndarray, SignatureTree, np.ndarray | None
     n, label = group.column("n").to_numpy(), group.column("label").to_numpy()
     order = np.lexsort((n, label))
     width = BANDS[group.column("band")[0].as_py()][1]
-    bits = np.stack([_folded(b, width) for b in group.column("bits").to_pylist()])
+    if "bits" in group.column_names:
+        bits = np.stack([_folded(b, width) for b in group.column("bits").to_pylist()])
+    else:
+        bits = np.stack([_bitmap(np.frombuffer(t, np.uint64), width).view(np.uint64) for t in group.column("tokens").to_pylist()])
     slack = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     tree = SignatureTree(bits[order], n[order], slack[order], label[order])
     lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -295,14 +298,31 @@ def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEYS = ("token", "band", "lo", "hi")
 
 
+def _spanning(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A forest over the pairs (x, y) that joins what they join."""
+    root: dict[int, int] = {}
+    out = []
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = p, q
+        while root.get(a, a) != a:
+            a = root[a] = root.get(root[a], root[a])
+        while root.get(b, b) != b:
+            b = root[b] = root.get(root[b], root[b])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((p, q))
+    return out
+
+
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, band, lo, hi, own, node, label) of the documents of each bucket that have a pair left."""
+    """For each bucket, a forest (a, b) over the pairs that no bound rules out."""
     for group in _grouped(batches, _KEYS):
         order, tree, side = _tree(group)
         x, y = tree.pairs(side)
         if len(x):
-            rows = np.unique(order[np.concatenate([x, y])])
-            yield from group.select([*_KEYS, "own", "node", "label", "n", "bits"]).take(rows).combine_chunks().to_batches()
+            nodes = group.column("node").to_numpy()[order]
+            forest = _spanning(nodes[x], nodes[y])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in forest], pa.int64()), pa.array([q for _, q in forest], pa.int64())], ["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +381,8 @@ def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT
        thereby fall into few classes, with as many comparisons as nodes.
     4. Buckets that still hold two classes go through their signature tree, nodes without a
        partner of fitting size left out; of buckets with the same nodes, one does. A bucket over `chunk` nodes is dealt out by pairs of chunks. The
-       first traversal needs bitmaps only and returns the nodes with a pair left; for those the
-       whole sets are fetched and compared in the second, which gives spanning links.
+       first traversal needs bitmaps only and returns a forest over the pairs that are left; the
+       second, over each of its components, compares whole sets and gives spanning links.
     5. Links of both steps are united to components.
 
     Null or wordless text has no shingles and links with nothing. A row with a null id takes
@@ -409,21 +429,28 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     # Buckets that still hold two classes, one for each set of nodes.
     classes = checkpointed(components(links))
     labelled = written(shared.select("token", "node").join(classes.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").select("token", "node", F.coalesce("component", "node").alias("label")))
-    buckets = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.expr("bit_xor(xxhash64(node))").alias("m0"), F.expr("bit_xor(xxhash64(node, 1))").alias("m1")).where("l0 <> l1")
-    picked = checkpointed(buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token")).select("p_token", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
-    live = labelled.join(_few(picked), F.col("token") == F.col("p_token")).select("token", "node", "label", "chunks")
+    buckets = labelled.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.expr("bit_xor(xxhash64(node))").alias("m0"), F.expr("bit_xor(xxhash64(node, 1))").alias("m1")).where("l0 <> l1")
+    picked = checkpointed(buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token"), F.min("hub").alias("hub")).select("p_token", "hub", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
+    # The least node of a bucket has been compared with all others there.
+    live = labelled.join(_few(picked), F.col("token") == F.col("p_token")).where("node <> hub").select("token", "node", "label", "chunks")
     live = live.join(names.select(F.col("node").alias("s_node"), "n"), F.col("node") == F.col("s_node")).select("token", "node", "label", "n", "chunks")
     live = live.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_partnered, "token long, node long, label long, n long, chunks int")
     live = checkpointed(live.withColumn("band", F.explode(_bands(F.col("n")))))
     live = live.join(nodes.select(F.col("node").alias("n_node"), "bits"), F.col("node") == F.col("n_node"))
     live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     live = live.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "bits")
-    kind = "token long, band int, lo int, hi int, own int, node long, label long, n long, bits binary"
-    left = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_survivors, kind))
-    more = checkpointed(names.join(left.select(F.col("node").alias("l_node")).distinct(), F.col("node") == F.col("l_node"), "left_semi"))
-    whole = sets_of(docs, more, size, id_col, text_col).select(F.col("node").alias("s_node"), "tokens")
-    again = left.join(whole, F.col("node") == F.col("s_node")).drop("s_node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    found = checkpointed(links.unionByName(again.mapInArrow(_verified, "a long, b long")))
+    forest = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_survivors, "a long, b long"))
+
+    # Whole sets, each once: pairs that are left lie inside the components of what is left.
+    open_ = components(forest).select(F.col("node").alias("o_node"), F.col("component").alias("token"))
+    open_ = names.join(open_, F.col("node") == F.col("o_node")).join(classes.select(F.col("node").alias("c_node"), F.col("component").alias("class")), F.col("node") == F.col("c_node"), "left")
+    open_ = checkpointed(open_.select("token", F.explode(_bands(F.col("n"))).alias("band"), "node", F.coalesce("class", "node").alias("label"), "n", "least", "text_key"))
+    counts = open_.groupBy("token", "band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).select(F.col("token").alias("k_token"), F.col("band").alias("k_band"), "chunks")
+    dealt = open_.join(counts, (F.col("token") == F.col("k_token")) & (F.col("band") == F.col("k_band")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = checkpointed(dealt.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("node").alias("d_node"), "label", "n"))
+    whole = sets_of(docs, open_, size, id_col, text_col).join(_few(dealt), F.col("node") == F.col("d_node")).select(*_KEYS, "own", "node", "label", "n", "tokens")
+    found = checkpointed(links.unionByName(whole.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_verified, "a long, b long")))
 
     ends = checkpointed(components(found))
     named = ends.join(names.select(F.col("node").alias("n_node"), "least"), F.col("node") == F.col("n_node"))
