@@ -62,25 +62,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Each round, every node points at the neighbour (or itself) of least random priority, the
     edges are contracted along those pointers, and the rounds end when no edge is left. The
-    minimum is a partial aggregate, so a hub is summed up before it is shuffled; the priorities
-    are redrawn each round, so that chains shrink by a constant factor whatever their ids.
-    Only row counts reach the driver. Empty edges give an empty result; edges with a null end
-    and self-loops are ignored, except that a self-loop's node is reported.
+    minimum is a partial aggregate, so a hub is summed up before it is shuffled; priorities are
+    hashes, so that chains shrink by a constant factor whatever their ids. Only row counts reach
+    the driver. Empty edges give an empty result; edges with a null end are ignored, and so are
+    self-loops, except that a self-loop's node is reported.
     """
-    links = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     where = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("at", F.col("node"))
-    live = links.where("a <> b")
-    for turn in range(max_rounds):
+    live = checkpointed(links.where("a <> b").distinct())
+    rank = lambda c: F.struct(F.xxhash64(F.col(c)).alias("r"), F.col(c).alias("v"))
+    for _ in range(max_rounds):
         if live.isEmpty():
             break
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("r"), F.col(c).alias("v"))
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("p_from"), F.least(F.col("m"), rank("a"))["v"].alias("p_to"))
         to = checkpointed(to)
-        where = checkpointed(where.join(to, F.col("at") == F.col("p_from"), "left").select("node", F.coalesce("p_to", "at").alias("at")))
+        where = where.join(to, F.col("at") == F.col("p_from"), "left").select("node", F.coalesce("p_to", "at").alias("at"))
         first, second = to.select(F.col("p_from").alias("a"), F.col("p_to").alias("pa")), to.select(F.col("p_from").alias("b"), F.col("p_to").alias("pb"))
         live = checkpointed(live.join(first, "a").join(second, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
     else:
         raise RuntimeError("components did not converge")
+    where = checkpointed(where)
     least = where.groupBy("at").agg(F.min("node").alias("component"))
     return where.join(least, "at").select("node", "component")

@@ -406,9 +406,10 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     if not names.where("clash").isEmpty():
         raise ValueError("two sets have one 64-bit key")
     copies = checkpointed(sound.select("uid", F.col("node").alias("e_node")).join(names, F.col("e_node") == F.col("node")).where("uid <> head").select(F.col("uid").alias("c_uid")))
-    nodes = sound.join(_few(copies), F.col("uid") == F.col("c_uid"), "left_anti")
+    single = sound.join(_few(copies), F.col("uid") == F.col("c_uid"), "left_anti")
+    nodes = written(single.select("node", "n", "bits"))
 
-    rows = nodes.select("node", F.explode("prefix").alias("token")).repartition("token")  # one exchange for the sums and the join
+    rows = single.select("node", F.explode("prefix").alias("token")).repartition("token")  # one exchange for the sums and the join
     hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select(F.col("token").alias("h_token"), "hub")
     shared = written(rows.join(hubs, F.col("token") == F.col("h_token")).select("token", "node", "hub"))
 
