@@ -27,7 +27,7 @@ WORDS, PERCENT = 5, 80
 #: floor has partners in the band below and stands in both, with its bitmap folded.
 BANDS = ((1024, 2048), (4096, 8192), (2**62, 32768))
 #: Counters of the frequency sketch, documents of a bucket compared in one task, children of a node.
-SKETCH_BITS, CHUNK, FAN = 18, 1024, 4
+SKETCH_BITS, CHUNK, FAN = 20, 1024, 4
 #: Rows of a bucket that are looked through at once for partners by size; a larger bucket is passed on as it is.
 LOOK = 200_000
 #: Lists of up to so many ids are broadcast (some 40 MB); longer ones are joined by a shuffle.
@@ -114,9 +114,9 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
     """A class for each slot of hashes: 0 for the usual document frequency, one more for each doubling.
 
     Every document is counted. The counters are summed by task first, then in the cluster; what
-    comes to the driver is one byte for each of the 2^SKETCH_BITS slots, whatever the input.
+    comes to the driver is one counter for each of the 2^SKETCH_BITS slots, whatever the input.
     """
-    block = 4096
+    block = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums, some = _Words(), np.zeros(1 << SKETCH_BITS, np.int64), False
@@ -127,11 +127,11 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
                     np.add.at(sums, _slot(s), 1)
                     some = True
         if some:
-            parts = sums.reshape(-1, block).astype("<i8")
+            parts = sums.reshape(-1, block).astype("<i4")
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<i8") for x in table.column("sums").to_pylist()], axis=0)
+        total = np.sum([np.frombuffer(x, "<i4") for x in table.column("sums").to_pylist()], axis=0, dtype=np.int64)
         return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     schema = "block int, sums binary"
