@@ -11,8 +11,8 @@ Vectors are never gathered. A token's vector is summed up as a 64-bit additive f
 (page, count), together with the pages and the counts themselves; equal sums make a class. A
 host with a third of all pages is therefore pre-aggregated in every task like any other.
 
-A slot is main text unless its element or one around it is boilerplate by its kind or name, it
-is mostly links, or the host's template says that it does not hold content.
+The fixed slots of the host's template are cut out of every page first. Of what is left, the kinds
+and names of elements, article and main, and the share of links are further evidence.
 """
 
 from __future__ import annotations
@@ -222,15 +222,17 @@ def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 def extract_main(source: str, fixed: set[str] | None = None) -> str:
     """The main text of one page; `fixed` are paths whose slot holds one text over the whole host.
 
-    With an article or main element, its slots are the main text; without one, all slots are
-    that are not mostly links and not the same all over the host.
+    Fixed slots are cut out, inside and outside of articles. With an article or main element,
+    what is left in it is the main text; without one, all that is not mostly links. An article
+    with nothing but fixed text stays whole: its page is a copy, and no template.
     """
     _, blocks = read_page(source)
     left = [b for b in blocks if not b[3]]
     inside = [b for b in left if b[4]]
+    open_slots = [b for b in left if not (fixed and b[0] in fixed)]
     if inside:
-        return " ".join(b[1] for b in inside)
-    return " ".join(b[1] for b in left if b[2] < VARIES * len(b[1]) and not (fixed and b[0] in fixed))
+        return " ".join(b[1] for b in [b for b in open_slots if b[4]] or inside)
+    return " ".join(b[1] for b in open_slots if b[2] < VARIES * len(b[1]))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

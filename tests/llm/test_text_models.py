@@ -177,6 +177,18 @@ def test_template_of_a_host(spark):
     assert html_extract.extract_text(frame.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    frame = spark.createDataFrame([(k, f"http://a.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html_extract.extract_text(frame).collect()}
+
+
+def test_template_decides_inside_articles(spark):
+    got = extracted(spark, [f"<html><body><article><h1>Title {k}</h1><div class=q>Read more on our site</div><p>Text {k}</p></article></body></html>" for k in range(6)])
+    assert got == {k: f"Title {k} Text {k}" for k in range(6)}
+    copies = extracted(spark, ["<html><body><article><h1>One</h1><p>Two</p></article></body></html>"] * 4)
+    assert set(copies.values()) == {"One Two"}  # copies of an article are no template
+
+
 def test_extract_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
