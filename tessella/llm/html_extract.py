@@ -1,15 +1,18 @@
 """HTML extraction by equivalence-class template deduction.
 
 The pages of a host are made from templates. A page is read as a sequence of template tokens: an
-element's path of tags (with class and id names), or a text block under such a path. The
-occurrence vector of a token says how often it stands in each page of the host; tokens with one
-vector form an equivalence class. Classes that are large and frequent enough and whose tokens
-keep one order on the page are the template; a class lies in the class whose span encloses its
-own, so that they nest. What the template leaves open are slots: the text below each path.
-
-Vectors are never gathered. A token's vector is summed up as a 64-bit additive fingerprint of
-(page, count), together with the pages and the counts themselves; equal sums make a class. A
-host with a third of all pages is therefore pre-aggregated in every task like any other.
+element's path of tags (with class and id names), or a text block under such a path, each with
+the number of its occurrence on the page. Tokens that stand in the same pages of the host form an
+equivalence class. A class counts if it is large and frequent enough; its tokens must keep their
+place among each other on all its pages, and it must nest: of two classes, one lies in a slot of
+the other or beside it. What the template leaves open are slots: the text below each path. A text
+block that is itself a token of such a class, in at least half of the pages that have its path,
+is a fixed slot.
+
+Page sets are never gathered: a token sums up a 64-bit additive fingerprint of its pages, and
+equal sums make a class. A host with a third of all pages is therefore pre-aggregated in every
+task like any other. Classes without a fixed text have nothing to cut and are not ordered or
+nested.
 
 The fixed slots of the host's template are cut out of every page first. Of what is left, the kinds
 and names of elements, article and main, and the share of links are further evidence.
@@ -19,9 +22,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 import xxhash
@@ -41,7 +46,7 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|na
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: A class counts when it has so many tokens and stands in so many pages.
 MIN_TOKENS, MIN_PAGES = 2, 3
-#: A slot outside article and main is content if its text varies over the host's pages this much.
+#: A text is fixed if it stands in this share of the pages that have its path; a block with this share of links is no content.
 VARIES = 0.5
 
 _TOKEN = re.compile(r"""[^<]+|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<""", re.S)
@@ -68,14 +73,14 @@ def _element(name: str, rest: str, up: str, up_dropped: bool, up_main: bool) ->
 
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "state", "main")
+    __slots__ = ("path", "parts", "linked", "state", "main", "at")
 
-    def __init__(self, path, state, main):
-        self.path, self.parts, self.linked, self.state, self.main = path, [], 0, state, main
+    def __init__(self, path, state, main, at):
+        self.path, self.parts, self.linked, self.state, self.main, self.at = path, [], 0, state, main, at
 
 
-def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool]]]:
-    """(element paths in page order, text blocks in page order); a block is (path, text, linked characters, dropped, main).
+def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool, int]]]:
+    """(element paths in page order, text blocks in page order); a block is (path, text, linked characters, dropped, main, elements before it).
 
     Any input is read: unclosed elements end where HTML says they do or with the page, stray end
     tags are passed over, and what is no tag is text.
@@ -92,10 +97,10 @@ def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, b
         top = stack[-1] if stack else ("", "", False, False)
         if block is None:
             at = top if top[0] not in INLINE else next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False))
-            block = _Block(at[1], top[2], at[3])
+            block = _Block(at[1], top[2], at[3], len(paths))
             blocks.append(block)
         elif block.state != top[2]:
-            block = _Block(block.path, top[2], block.main)
+            block = _Block(block.path, top[2], block.main, len(paths))
             blocks.append(block)
         block.parts.append(value)
         if links:
@@ -161,7 +166,7 @@ def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, b
         paths.append(path)
         stack.append((name, path, dropped, main))
         links += name == "a"
-    return paths, [(b.path, t, min(b.linked, len(t)), b.state, b.main) for b in blocks if (t := " ".join(html.unescape("".join(b.parts)).split()))]
+    return paths, [(b.path, t, min(b.linked, len(t)), b.state, b.main, b.at) for b in blocks if (t := " ".join(html.unescape("".join(b.parts)).split()))]
 
 
 def _h(*parts) -> int:
@@ -174,53 +179,113 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, template, pages, varies): each element path of a host, whether it is of the template, and how its text varies.
+def text_tokens(blocks: list[tuple]) -> list[int]:
+    """The template token of each text block: its path, its text and how often both stood before on the page."""
+    seen: Counter = Counter()
+    out = []
+    for path, text, *_ in blocks:
+        seen[path, text] += 1
+        out.append(_h("t", path, text, seen[path, text]))
+    return out
+
+
+def page_tokens(source: str) -> list[tuple[int, int, bool]]:
+    """The template tokens of a page in page order: (token, first token of its path, whether it is a text)."""
+    paths, blocks = read_page(source)
+    seen: Counter = Counter()
+    out = [(_h("e", "", 1), _h("e", "", 1), False)]
+    texts = list(zip(blocks, text_tokens(blocks), strict=True))[::-1]
+    for at in range(len(paths) + 1):
+        while texts and texts[-1][0][5] <= at:
+            block, token = texts.pop()
+            out.append((token, _h("e", block[0], 1), True))
+        if at < len(paths):
+            path = paths[at]
+            seen[path] += 1
+            out.append((_h("e", path, seen[path]), _h("e", path, 1), False))
+    return out
+
+
+def _host_column(url: str):
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
+
+
+def _crossed(places: dict[int, list[int]], pages: dict[int, int]) -> set[int]:
+    """Of classes with their tokens' places on a page: those that cross a class of more pages."""
+    out = set()
+    inside = lambda a, b: bisect_left(a, b[-1]) > bisect_left(a, b[0])
+    for a, b in combinations(sorted(places, key=lambda c: (-pages[c], c)), 2):
+        if inside(places[a], places[b]) and inside(places[b], places[a]):
+            out.add(b)
+    return out
 
-    The first pass emits, for each batch of pages, a row for each (host, path): the additive
-    fingerprint of its occurrence vector, pages, occurrences, the sum of its places, and for the
-    text below it the number of blocks and a 64-bit sum that tells one repeated text from many.
-    Rows are summed by (host, path), then paths are put in classes by (host, fingerprint).
+
+def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, token, class): the fixed text tokens of each host's template.
+
+    The first pass emits, for each batch of pages, a row for each (host, token): the additive
+    fingerprint of its pages and their number. Rows are summed by (host, token), then tokens are
+    put in classes by (host, fingerprint). The second pass reads the pages of hosts with a fixed
+    text again and takes each token's place within its class, and classes that cross; a token
+    keeps order if its place is the same on all pages. All classes with a fixed text are listed
+    for each host; a fixed text stands in half of its path's pages, so that they stay few.
     """
     small_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict = defaultdict(lambda: [0, 0, 0, 0.0, 0, 0])
-            texts: dict = {}
+            sums: dict = {}
             for page, url, source in zip(batch["id"], batch["url"], batch["html"], strict=True):
-                host = host_of(url)
-                paths, blocks = read_page(source)
-                first: dict[str, int] = {}
-                for at, p in enumerate(paths):
-                    first.setdefault(p, at)
-                for p, n in Counter(paths).items():
-                    s = sums[host, p]
-                    s[0] = (s[0] + _h(page, url, n)) & 0xFFFFFFFFFFFFFFFF
-                    s[1], s[2], s[3] = s[1] + 1, s[2] + n, s[3] + first[p] / max(1, len(paths))
-                for p, text, *_ in blocks:
-                    s, t = sums[host, p], _h(text)
-                    s[4] += 1
-                    low, high = texts.get((host, p), (t, t))
-                    texts[host, p] = min(low, t), max(high, t)
-            yield pd.DataFrame(
-                [(h, p, s[0] - (1 << 64) if s[0] >> 63 else s[0], s[1], s[2], s[3], s[4], *texts.get((h, p), (None, None))) for (h, p), s in sums.items()],
-                columns=["host", "path", "print", "pages", "places", "order", "blocks", "low", "high"],
-            ).astype({"low": "Int64", "high": "Int64"})
-
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
-    parts = rows.mapInPandas(run, "host string, path string, print long, pages long, places long, order double, blocks long, low long, high long")
+                host, mark = host_of(url), _h(page, url)
+                for token, under, text in page_tokens(source):
+                    s = sums.setdefault((host, token), [under, text, 0, 0])
+                    s[2], s[3] = s[2] + mark, s[3] + 1
+            signed = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
+            yield pd.DataFrame([(h, t, s[0], s[1], signed(s[2]), s[3]) for (h, t), s in sums.items()], columns=["host", "token", "under", "text", "print", "pages"])
+
+    parts = rows.mapInPandas(count, "host string, token long, under long, text boolean, print long, pages long")
     # Decimals add without overflow; the fingerprint is their sum modulo 2^64.
-    tokens = parts.groupBy("host", "path").agg(F.expr("pmod(sum(CAST(print AS DECIMAL(38,0))), 18446744073709551616BD)").alias("print"), F.sum("pages").alias("pages"), F.sum("places").alias("places"), (F.sum("order") / F.sum("pages")).alias("order"), F.sum("blocks").alias("blocks"), F.min("low").alias("low"), F.max("high").alias("high"))
-    classes = tokens.groupBy("host", "print", "pages", "places").agg(F.count("*").alias("size"), F.min("order").alias("opens"), F.max("order").alias("closes"))
-    valid = classes.where((F.col("size") >= MIN_TOKENS) & (F.col("pages") >= MIN_PAGES) & (F.col("pages") == F.col("places"))).select("host", "print", F.lit(True).alias("template"), "opens", "closes")
-    marked = tokens.join(valid, ["host", "print"], "left")
-    one_text = (F.col("blocks") >= MIN_PAGES) & (F.col("low") == F.col("high"))
-    return marked.select("host", "path", F.coalesce("template", F.lit(False)).alias("template"), "pages", F.coalesce("opens", F.lit(0.0)).alias("opens"), F.coalesce("closes", F.lit(0.0)).alias("closes"), (~one_text).alias("varies"))
+    tokens = parts.groupBy("host", "token").agg(F.expr("pmod(sum(CAST(print AS DECIMAL(38,0))), 18446744073709551616BD)").alias("print"), F.sum("pages").alias("pages"), F.first("under").alias("under"), F.first("text").alias("text"))
+    tokens = written(tokens.where(F.col("pages") >= MIN_PAGES).withColumn("class", F.xxhash64("print", "pages")).drop("print"))
+    under = tokens.where("NOT text").select("host", F.col("token").alias("under"), F.col("pages").alias("of"))
+    fixed = tokens.where("text").join(under, ["host", "under"]).where(F.col("pages") >= VARIES * F.col("of")).select("host", "token", F.lit(True).alias("fixed"))
+    marked = tokens.join(fixed, ["host", "token"], "left")
+    classes = marked.groupBy("host", "class").agg(F.count("*").alias("size"), F.count("fixed").alias("n_fixed")).where((F.col("size") >= MIN_TOKENS) & (F.col("n_fixed") > 0))
+    members = written(marked.join(classes.select("host", "class"), ["host", "class"]).select("host", "token", "class", "pages", F.col("fixed").isNotNull().alias("fixed")))
+    listed = members.groupBy("host").agg(F.collect_list(F.struct("token", "class", "pages")).alias("m"))
+    listed = written(listed.select(F.col("host").alias("t_host"), "m.token", "m.class", "m.pages"))
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hosts: dict = {}
+            got: dict = {}
+            for host, source, token, cls, n in zip(batch["t_host"], batch["html"], batch["token"], batch["class"], batch["pages"], strict=True):
+                if host not in hosts:
+                    hosts[host] = dict(zip(map(int, token), map(int, cls), strict=True)), dict(zip(map(int, cls), map(int, n), strict=True))
+                of, support = hosts[host]
+                places: dict = defaultdict(list)
+                ranks = []
+                for at, (t, *_) in enumerate(page_tokens(source)):
+                    if t in of:
+                        ranks.append((t, len(places[of[t]])))
+                        places[of[t]].append(at)
+                crossed = _crossed(places, support)
+                for t, rank in ranks:
+                    low, high, bad = got.get((host, t), (rank, rank, False))
+                    got[host, t] = min(low, rank), max(high, rank), bad or of[t] in crossed
+            yield pd.DataFrame([(*k, *v) for k, v in got.items()], columns=["host", "token", "low", "high", "crossed"])
+
+    again = rows.withColumn("t_key", _host_column("url")).join(listed, F.col("t_key") == F.col("t_host")).select("t_host", "html", "token", "class", "pages")
+    seen = again.mapInPandas(order, "host string, token long, low long, high long, crossed boolean")
+    good = seen.groupBy("host", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("crossed").alias("crossed")).where("low = high AND NOT crossed").select("host", "token")
+    kept = written(members.join(good, ["host", "token"]))
+    large = kept.groupBy("host", "class").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_TOKENS).select("host", "class")
+    return kept.where("fixed").join(large, ["host", "class"]).select("host", "token", "class")
 
 
 def extract_main(source: str, fixed: set[str] | None = None) -> str:
-    """The main text of one page; `fixed` are paths whose slot holds one text over the whole host.
+    """The main text of one page; `fixed` are the fixed text tokens of its host's template.
 
     Fixed slots are cut out, inside and outside of articles. With an article or main element,
     what is left in it is the main text; without one, all that is not mostly links. An article
@@ -229,7 +294,8 @@ def extract_main(source: str, fixed: set[str] | None = None) -> str:
     _, blocks = read_page(source)
     left = [b for b in blocks if not b[3]]
     inside = [b for b in left if b[4]]
-    open_slots = [b for b in left if not (fixed and b[0] in fixed)]
+    cut = {b for b, t in enumerate(text_tokens(blocks)) if t in fixed} if fixed else ()
+    open_slots = [b for k, b in enumerate(blocks) if not b[3] and k not in cut]
     if inside:
         return " ".join(b[1] for b in [b for b in open_slots if b[4]] or inside)
     return " ".join(b[1] for b in open_slots if b[2] < VARIES * len(b[1]))
@@ -238,24 +304,24 @@ def extract_main(source: str, fixed: set[str] | None = None) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
-    The template of each host is deduced over all pages first; its slots with one constant text
-    come to the pages by a join on the host. That table holds a list of paths for each host; it
+    The template of each host is deduced over all pages first; its fixed text tokens
+    come to the pages by a join on the host. That table holds a list of tokens for each host; it
     is written in the shared folder so that Spark broadcasts it only if it is small. Null html
     counts as empty and gives an empty text; pages without a host form one host; repeated rows
     are extracted each; other columns are ignored; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
-    constant = deduce_templates(pages, id_col, url_col, html_col).where("template AND NOT varies")
-    fixed = written(constant.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("fixed")).withColumnRenamed("host", "t_host"))
+    constant = deduce_templates(pages, id_col, url_col, html_col)
+    fixed = written(constant.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed")).withColumnRenamed("host", "t_host"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [extract_main(source, set(paths) if paths is not None else None) for source, paths in zip(batch["html"], batch["fixed"], strict=True)]
+            out = [extract_main(source, set(map(int, tokens)) if tokens is not None else None) for source, tokens in zip(batch["html"], batch["fixed"], strict=True)]
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     kind = pages.schema[id_col].dataType
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), url.alias("url"), text_or_empty(html_col).alias("html"))
-    known = rows.withColumn("t_key", F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))).join(fixed, F.col("t_key") == F.col("t_host"), "left").select("id", "url", "html", "fixed")
+    known = rows.withColumn("t_key", _host_column("url")).join(fixed, F.col("t_key") == F.col("t_host"), "left").select("id", "url", "html", "fixed")
     got = known.mapInPandas(run, "id string, url string, text string, n_chars long")
     return got.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -189,6 +189,21 @@ def test_template_decides_inside_articles(spark):
     assert set(copies.values()) == {"One Two"}  # copies of an article are no template
 
 
+def test_template_of_repeated_elements(spark):
+    menu = "<ul><li>Home page of us</li><li>All our news</li><li>All our news</li></ul>"
+    foot = "<div><p>Made by us</p><p>Call or write</p></div>"
+    got = extracted(spark, [f"<html><body>{menu}<section><p>Text {k}</p>{f'<p>More of {k}</p>' * (k % 3)}</section>{foot}</body></html>" for k in range(9)])
+    assert got == {k: " ".join([f"Text {k}", *[f"More of {k}"] * (k % 3)]) for k in range(9)}
+
+
+def test_template_keeps_order_and_nests(spark):
+    pages = [f"<html><body>{('<p>One</p><p>Two</p>', '<p>Two</p><p>One</p>')[k % 2]}<h2>End of it</h2><div><p>Text {k}</p></div></body></html>" for k in range(6)]
+    assert extracted(spark, pages) == {k: f"{('One Two', 'Two One')[k % 2]} Text {k}" for k in range(6)}  # One and Two change places
+    crossed = html_extract._crossed
+    assert crossed({1: [0, 5, 9], 2: [2, 3], 3: [4, 6]}, {1: 9, 2: 5, 3: 5}) == {3}  # 2 lies in a slot of 1, 3 does not
+    assert crossed({1: [0, 1], 2: [2, 3]}, {1: 9, 2: 5}) == set()
+
+
 def test_extract_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
