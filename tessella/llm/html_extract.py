@@ -56,8 +56,8 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 @lru_cache(maxsize=50_000)
-def _element(name: str, rest: str, up: str, up_dropped: bool, up_main: bool) -> tuple[str, bool, bool]:
-    """Of a start tag below an element: its path, whether it is boilerplate, whether it is in the main element."""
+def _element(name: str, rest: str, up: str, up_dropped: bool, up_main: bool) -> tuple[str, bool, bool, bool]:
+    """Of a start tag below an element: its path, whether it is boilerplate by kind, whether it is in the main element, whether its name marks boilerplate."""
     if not rest:
         label, role, hidden = "", "", False
     else:
@@ -65,28 +65,30 @@ def _element(name: str, rest: str, up: str, up_dropped: bool, up_main: bool) ->
         label = re.sub(r"\d+", "0", " ".join(filter(None, (named.get("class"), named.get("id")))))
         role = named.get("role", "").lower()
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-    by_name = bool(label and name not in INLINE | MAIN | {"body", "html"} and NAMES.search(label)) or role in ROLES
+    named_label = re.sub("header", "", label, flags=re.I) if up_main else label
+    by_name = bool(label and name not in INLINE | MAIN | {"body", "html"} and NAMES.search(named_label))
     by_kind = name in DROPPED and not (name == "header" and up_main)
-    dropped = up_dropped or by_kind or by_name or hidden
+    dropped = up_dropped or by_kind or role in ROLES or hidden
     main = up_main or ((name in MAIN or role == "main") and not dropped)
-    return f"{up}/{name}" + (f".{label}" if label else ""), dropped, main
+    return f"{up}/{name}" + (f".{label}" if label else ""), dropped, main, by_name
 
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "state", "main", "at")
+    __slots__ = ("path", "parts", "linked", "state", "main", "at", "marks")
 
-    def __init__(self, path, state, main, at):
-        self.path, self.parts, self.linked, self.state, self.main, self.at = path, [], 0, state, main, at
+    def __init__(self, path, state, main, at, marks):
+        self.path, self.parts, self.linked, self.state, self.main, self.at, self.marks = path, [], 0, state, main, at, marks
 
 
-def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool, int]]]:
-    """(element paths in page order, text blocks in page order); a block is (path, text, linked characters, dropped, main, elements before it).
+def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool, int, tuple[int, ...]]]]:
+    """(element paths in page order, text blocks in page order); a block is (path, text, linked characters, dropped, main, elements before it, marks);
+    marks are the numbers of the elements around it whose names mark boilerplate.
 
     Any input is read: unclosed elements end where HTML says they do or with the page, stray end
     tags are passed over, and what is no tag is text.
     """
     paths: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, dropped, main
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, path, dropped, main, marks
     blocks: list[_Block] = []
     links = 0
     block: _Block | None = None
@@ -94,13 +96,13 @@ def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, b
 
     def text(value: str) -> None:
         nonlocal block
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1] if stack else ("", "", False, False, ())
         if block is None:
-            at = top if top[0] not in INLINE else next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False))
-            block = _Block(at[1], top[2], at[3], len(paths))
+            at = top if top[0] not in INLINE else next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False, ()))
+            block = _Block(at[1], top[2], at[3], len(paths), at[4])
             blocks.append(block)
         elif block.state != top[2]:
-            block = _Block(block.path, top[2], block.main, len(paths))
+            block = _Block(block.path, top[2], block.main, len(paths), block.marks)
             blocks.append(block)
         block.parts.append(value)
         if links:
@@ -157,16 +159,16 @@ def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, b
             if isinstance(at, int) and not any(s[0] in ("table", "ul", "ol", "dl") for s in stack[at + 1 :]):
                 links -= sum(s[0] == "a" for s in stack[at:])
                 del stack[at:]
-        up = stack[-1] if stack else ("", "", False, False)
-        path, dropped, main = _element(name, rest, up[1], up[2], up[3])
+        up = stack[-1] if stack else ("", "", False, False, ())
+        path, dropped, main, marked = _element(name, rest, up[1], up[2], up[3])
         alone = rest.endswith("/")
         if name in RAW and not alone:
             raw = name
             continue
         paths.append(path)
-        stack.append((name, path, dropped, main))
+        stack.append((name, path, dropped, main, (*up[4], len(paths)) if marked else up[4]))
         links += name == "a"
-    return paths, [(b.path, t, min(b.linked, len(t)), b.state, b.main, b.at) for b in blocks if (t := " ".join(html.unescape("".join(b.parts)).split()))]
+    return paths, [(b.path, t, min(b.linked, len(t)), b.state, b.main, b.at, b.marks) for b in blocks if (t := " ".join(html.unescape("".join(b.parts)).split()))]
 
 
 def _h(*parts) -> int:
@@ -290,12 +292,23 @@ def extract_main(source: str, fixed: set[str] | None = None) -> str:
     Fixed slots are cut out, inside and outside of articles. With an article or main element,
     what is left in it is the main text; without one, all that is not mostly links. An article
     with nothing but fixed text stays whole: its page is a copy, and no template.
+
+    An element whose name marks boilerplate is dropped if what is left in it is mostly links, or
+    less than half of what the page has left without links; one that holds more is its content.
     """
     _, blocks = read_page(source)
-    left = [b for b in blocks if not b[3]]
-    inside = [b for b in left if b[4]]
     cut = {b for b, t in enumerate(text_tokens(blocks)) if t in fixed} if fixed else ()
-    open_slots = [b for k, b in enumerate(blocks) if not b[3] and k not in cut]
+    own, size, linked = 0, Counter(), Counter()
+    for k, b in enumerate(blocks):
+        if not b[3] and k not in cut:
+            own += len(b[1]) - b[2]
+            for mark in b[6]:
+                size[mark] += len(b[1])
+                linked[mark] += b[2]
+    content = {m for m, n in size.items() if linked[m] < VARIES * n and n - linked[m] >= VARIES * own}
+    left = [(k, b) for k, b in enumerate(blocks) if not b[3] and content.issuperset(b[6])]
+    inside = [b for _, b in left if b[4]]
+    open_slots = [b for k, b in left if k not in cut]
     if inside:
         return " ".join(b[1] for b in [b for b in open_slots if b[4]] or inside)
     return " ".join(b[1] for b in open_slots if b[2] < VARIES * len(b[1]))

@@ -204,6 +204,15 @@ def test_template_keeps_order_and_nests(spark):
     assert crossed({1: [0, 1], 2: [2, 3]}, {1: 9, 2: 5}) == set()
 
 
+def test_names_need_evidence():
+    main = html_extract.extract_main
+    assert main("<body><div class='post type-post tag-news'><p>A whole article of some length.</p><div class=share><a href=/>Tweet this</a></div></div></body>") == "A whole article of some length."
+    assert main("<article><header class='entry-header'><h1>Title</h1></header><p>Some text of it.</p></article>") == "Title Some text of it."
+    assert main("<article><div class='entry-header'><h1>Title</h1></div><p>Some text of it.</p><div class=comments-header><p>By</p></div></article>") == "Title Some text of it."
+    assert main("<div class=notice>Small print</div><div><p>Text of the page and more of it</p></div>") == "Text of the page and more of it"
+    assert main("<div class=menu><a href=/>a long list</a> <a href=/>of many links</a></div><p>Text</p>") == "Text"
+
+
 def test_extract_the_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_text(pages).collect()}
