@@ -103,6 +103,12 @@ def latency_ewma(spark, d):
     return values.select("user_id", F.round(analytics.ewma(F.col("v")), 6).alias("ewma"))
 
 
+@query
+def latency_ewma_all(spark, d):
+    values = fx.read(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    return values.select("user_id", F.round(analytics.ewma(F.col("v")), 6).alias("ewma"))
+
+
 @query
 def conversation_tail(spark, d):
     return analytics.conversation_tail(fx.read(spark, d, "conversations"), 500)

@@ -27,3 +27,12 @@ def test_query(spark, sf_dir, duck, name, tmp_path):
     assert cols == sorted(got.columns)
     order = lambda d: d[cols].sort_values(cols).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(want), order(got), check_dtype=False, rtol=1e-9)
+
+
+def test_ewma_of_every_user(spark, sf_dir):
+    want = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").collect(), key=lambda r: r.event_id):
+        want[r.user_id] = 0.2 * r.value + 0.8 * want.get(r.user_id, r.value)
+    got = {r.user_id: r.ewma for r in catalog.queries()["latency_ewma_all"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[u] - want[u]) < 1e-5 for u in want)
