@@ -48,14 +48,15 @@ def _need(n: int, threshold: float) -> int:
     return max(k, 1)
 
 
-def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", across_lines: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: every place where a phrase's words stand consecutively. The method's labels come from
     a set-similarity join: a text block is a line, or, of a longer line, each window of `block`
     words at every half window; a template matches a block that holds at least `threshold` of
-    its distinct words. Templates may hold up to block / 2 words, so that any stretch of a text
-    as long as a template lies whole in some block.
+    its distinct words. With across_lines, the windows of the whole text, whose words run on over
+    line ends, are blocks besides the lines. Templates may hold up to block / 2 words, so that any
+    stretch of a line, or with across_lines of the text, as long as a template lies whole in some block.
 
     The join is exact. Template words are ordered by document frequency over all of docs, rarest
     first. A block can only match a template if it holds one of the template's first
@@ -110,7 +111,10 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     ranks = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
     cut = lambda ws: F.when(F.size(ws) <= block, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((F.size(ws) - block) / half).cast("int")), lambda i: F.slice(ws, i * half + 1, F.lit(block))))
     to_set = lambda ws: F.array_sort(F.array_distinct(F.filter(F.transform(ws, lambda w: ranks[w]), lambda r: r.isNotNull())))
-    sets_of = F.array_distinct(F.filter(F.transform(F.flatten(F.transform("words", cut)), to_set), lambda s: F.size(s) >= least))
+    blocks = F.flatten(F.transform("words", cut))
+    if across_lines:
+        blocks = F.when(F.size("lines") > 1, F.concat(blocks, cut(F.col("flat")))).otherwise(blocks)
+    sets_of = F.array_distinct(F.filter(F.transform(blocks, to_set), lambda s: F.size(s) >= least))
     return _joined(lone.withColumn("sets", sets_of), index, order, least, id_col)
 
 

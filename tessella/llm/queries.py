@@ -70,7 +70,7 @@ def op9_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), across_lines=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,3 +74,17 @@ def test_license_scan_against_brute_force(spark, sf_dir):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want[:6], (i, text and text[:80])
         assert abs(r.score - want[6]) < 1e-9
     assert not scan(spark, [])
+
+
+def scan_whole(spark, texts, **kw):
+    rows = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+    return {r.doc_id: r for r in license_scan.scan_licenses(rows, across_lines=True, **kw).collect()}
+
+
+def test_license_scan_across_lines(spark):
+    filler = "filler words\n" * 100
+    wrapped = ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "Licensed under the GNU Lesser General\nPublic License", filler + "all rights\nreserved\n" + filler, "Permission is hereby granted,\nfree of charge, to any\nperson obtaining a copy\nof this software", filler, "all\n\nrights", None]
+    got = scan_whole(spark, wrapped)
+    want = ["bsd", "lgpl", "all-rights-reserved", "mit", "", "", ""]
+    assert [w in got[i].labels.split(",") for i, w in enumerate(want)] == [True] * len(want)
+    assert [scan(spark, wrapped)[i].labels for i in (0, 2, 3)] == ["", "", ""]  # lines alone lose them
