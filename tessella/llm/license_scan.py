@@ -28,6 +28,17 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("all-rights-reserved", "all rights reserved"),
 )
+#: What tells a license from others of nearly the same words: words that stand consecutively, and words that never follow them.
+DISTINCT = {
+    "gpl": ("gnu", ("lesser", "library", "affero", "free")),
+    "lgpl": ("gnu lesser", ()),
+    "apache": ("apache", ()),
+    "cc-by": ("attribution", ("noncommercial", "non", "sharealike", "share", "noderivatives", "noderivs", "no")),
+    "cc-by-nc": ("by nc", ("sa", "nd")),
+    "cc-by-sa": ("by sa", ()),
+    "mit": ("mit", ()),
+    "mpl": ("mozilla", ()),
+}
 THRESHOLD = 0.8
 BLOCK = 64
 
@@ -48,7 +59,7 @@ def _need(n: int, threshold: float) -> int:
     return max(k, 1)
 
 
-def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", across_lines: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", across_lines: bool = False, distinct: dict | None = None) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: every place where a phrase's words stand consecutively. The method's labels come from
@@ -58,6 +69,10 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     line ends, are blocks besides the lines. Templates may hold up to block / 2 words, so that any
     stretch of a line, or with across_lines of the text, as long as a template lies whole in some block.
 
+    With distinct, a template that holds its label's distinguishing words matches only if the
+    block holds them too and they stand consecutively in the text, not followed by a word that
+    makes them another license; so licenses that differ by one word are not taken for each other.
+
     The join is exact. Template words are ordered by document frequency over all of docs, rarest
     first. A block can only match a template if it holds one of the template's first
     n - need + 1 words (prefix filter), `need` words of any template at all (length filter), and
@@ -115,7 +130,10 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     if across_lines:
         blocks = F.when(F.size("lines") > 1, F.concat(blocks, cut(F.col("flat")))).otherwise(blocks)
     sets_of = F.array_distinct(F.filter(F.transform(blocks, to_set), lambda s: F.size(s) >= least))
-    return _joined(lone.withColumn("sets", sets_of), index, order, least, id_col)
+    keys = {label: words for label, (words, _) in (distinct or {}).items()}
+    tells = lambda words, never: lambda s: _all([stands(words.split())(s), F.coalesce(~at(s["i"], len(words.split())).isin(*never), F.lit(True)) if never else F.lit(True)])
+    told = F.filter(F.array(*[F.when(F.exists(starts, tells(*d)), F.lit(label)) for label, d in distinct.items()]), lambda x: x.isNotNull()) if distinct else F.array().cast("array<string>")
+    return _joined(lone.withColumn("sets", sets_of).withColumn("told", F.when(F.size("sets") > 0, told)), index, order, least, id_col, keys)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -125,15 +143,17 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _joined(lone: DataFrame, index: list, order: dict, least: int, id_col: str) -> DataFrame:
+def _joined(lone: DataFrame, index: list, order: dict, least: int, id_col: str, keys: dict[str, str]) -> DataFrame:
     spark = lone.sparkSession
-    schema = "w int, t_at int, t int, label string, t_n int, need int, t_set array<int>"
-    small = spark.createDataFrame([(order[w], at, t, label, n, need, [order[x] for x in ranked]) for w, at, t, label, n, need, ranked in index], schema)
-    kept = checkpointed(lone.select("id", "n_words", "base", "base_set", "sets").withColumn("row", F.monotonically_increasing_id()))
-    blocks = kept.where(F.size("sets") > 0).select("row", F.explode("sets").alias("b_set"))
-    heads = blocks.select("row", "b_set", F.posexplode(F.slice("b_set", 1, F.size("b_set") - least + 1)).alias("b_at", "w"))
+    schema = "w int, t_at int, t int, label string, t_n int, need int, t_set array<int>, key array<int>"
+    key = lambda label, ranked: [order[x] for x in keys[label].split()] if label in keys and set(keys[label].split()) <= set(ranked) else None
+    small = spark.createDataFrame([(order[w], at, t, label, n, need, [order[x] for x in ranked], key(label, ranked)) for w, at, t, label, n, need, ranked in index], schema)
+    kept = checkpointed(lone.select("id", "n_words", "base", "base_set", "sets", "told").withColumn("row", F.monotonically_increasing_id()))
+    blocks = kept.where(F.size("sets") > 0).select("row", "told", F.explode("sets").alias("b_set"))
+    heads = blocks.select("row", "told", "b_set", F.posexplode(F.slice("b_set", 1, F.size("b_set") - least + 1)).alias("b_at", "w"))
     pairs = heads.join(F.broadcast(small), "w")  # one row for each prefix word of the templates
     pairs = pairs.where((F.size("b_set") >= F.col("need")) & (1 + F.least(F.size("b_set") - F.col("b_at") - 1, F.col("t_n") - F.col("t_at") - 1) + F.least("b_at", "t_at") >= F.col("need")))
+    pairs = pairs.where(F.col("key").isNull() | (F.array_contains("told", F.col("label")) & (F.size(F.array_except("key", "b_set")) == 0)))
     share = F.size(F.array_intersect("b_set", "t_set"))
     hits = pairs.withColumn("overlap", share).where("overlap >= need").groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("t_n")).alias("share"))
     out = kept.join(hits, "row", "left")

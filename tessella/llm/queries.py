@@ -11,7 +11,7 @@ from tessella.llm._base import shared_dir, table, written
 from tessella.llm.chat_format import digest_chats, format_chats
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_extract import extract_text
-from tessella.llm.license_scan import scan_licenses
+from tessella.llm.license_scan import DISTINCT, scan_licenses
 from tessella.llm.mixing import mix_sources
 from tessella.llm.piece_lattice import encode_pieces
 from tessella.llm.quality_crf import score_quality, train
@@ -70,7 +70,7 @@ def op9_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"), across_lines=True)
+    return scan_licenses(table(spark, sf_dir, "documents"), across_lines=True, distinct=DISTINCT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -88,3 +88,22 @@ def test_license_scan_across_lines(spark):
     want = ["bsd", "lgpl", "all-rights-reserved", "mit", "", "", ""]
     assert [w in got[i].labels.split(",") for i, w in enumerate(want)] == [True] * len(want)
     assert [scan(spark, wrapped)[i].labels for i in (0, 2, 3)] == ["", "", ""]  # lines alone lose them
+
+
+def test_licenses_of_nearly_the_same_words(spark):
+    want = {
+        "Licensed under the GNU General Public License": "gpl",
+        "This work is licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "Licensed under CC BY 4.0. Il a vu sa maison": "cc-by",
+        "Released under the BSD license": "",
+        "Released under an MIT license": "mit",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "bsd",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    }
+    got = scan_whole(spark, list(want), distinct=license_scan.DISTINCT)
+    assert {t: got[i].labels for i, t in enumerate(want)} == want
+    assert scan(spark, list(want))[0].labels == "gpl,lgpl"  # by shared words alone
