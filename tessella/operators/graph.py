@@ -116,11 +116,15 @@ def evidence(entities: DataFrame, wanted: DataFrame, most: int = 8) -> DataFrame
     Only names of the best tier count; chunks are those of its names in order, each once.
     """
     asked = wanted.select(F.trim("entity").alias("entity")).where("entity <> ''").distinct()
-    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
-        raise ValueError(f"more than {MOST_ASKED} names asked for at once")
     low, name = F.lower("entity"), F.lower("name")
-    tier = F.when(F.col("name") == F.col("entity"), 0).when(name == low, 1).otherwise(2)
-    pairs = entities.join(F.broadcast(asked), F.contains(name, low) | F.contains(low, name)).where(F.size("chunk_ids") > 0).withColumn("tier", tier)
+    held = entities.where(F.size("chunk_ids") > 0)
+    # Names that are equal but for case are joined by equality; only names without one are searched for inside others.
+    same = held.join(asked, name == low).withColumn("tier", F.when(F.col("name") == F.col("entity"), 0).otherwise(1))
+    left = asked.join(held.select(name.alias("n")).distinct(), low == F.col("n"), "left_anti")
+    if left.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} names without an equal one asked for at once")
+    parts = held.join(F.broadcast(left), F.contains(name, low) | F.contains(low, name)).withColumn("tier", F.lit(2))
+    pairs = same.unionByName(parts)
     found = pairs.groupBy("entity").agg(F.min("tier").alias("best"))
     mine = pairs.join(found, "entity").where("tier = best").select("entity", "name", F.posexplode("chunk_ids").alias("at", "chunk_id"))
     once = mine.groupBy("entity", "chunk_id").agg(F.min(F.struct("name", "at")).alias("first"))

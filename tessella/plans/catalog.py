@@ -239,6 +239,11 @@ def postings_index(spark, d):
     return fulltext.postings(fx.read(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("df"), "term").limit(200)
 
 
+@query
+def postings_index_all(spark, d):
+    return fulltext.postings(fx.read(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 def _query_vector(spark, d):
     row = fx.read(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0])
@@ -315,6 +320,16 @@ def graph_overview(spark, d):
     return graph.overview(nodes, e, 80, 2).select("node", "degree", F.array_join("doc_ids", ",").alias("documents"))
 
 
+@query
+def graph_overview_all(spark, d):
+    e = fx.edges(spark, d)
+    li = fx.read(spark, d, "lineitem")
+    source = F.concat((F.col("l_orderkey") % 8).cast("string"), F.lit("/c"))
+    nodes = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), source.alias("s")).union(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), source))
+    nodes = nodes.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("s")), graph.SEPARATOR).alias("source_id"))
+    return graph.overview(nodes, e, 80, 2).select("node", "degree", F.array_join("doc_ids", ",").alias("documents"))
+
+
 @query
 def entity_evidence(spark, d):
     li = fx.read(spark, d, "lineitem").join(fx.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -323,6 +338,13 @@ def entity_evidence(spark, d):
     return graph.evidence(entities, wanted)
 
 
+@query
+def entity_evidence_all(spark, d):
+    li = fx.read(spark, d, "lineitem").join(fx.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    entities = li.groupBy(F.col("p_name").alias("name")).agg(F.transform(F.array_sort(F.collect_set("l_orderkey")), lambda x: x.cast("string")).alias("chunk_ids"))
+    return graph.evidence(entities, fx.read(spark, d, "part").select(F.upper("p_name").alias("entity")))
+
+
 @query
 def graph_purge(spark, d):
     li = fx.read(spark, d, "lineitem")
@@ -571,6 +593,13 @@ def cross_references(spark, d):
     return details.cross_references(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), refs)
 
 
+@query
+def cross_references_all(spark, d):
+    p = fx.read(spark, d, "part")
+    refs = p.select(F.substring_index("p_name", " ", 1).alias("from_title"), F.substring_index("p_name", " ", -1).alias("to_title"), F.lit("relates").alias("relation")).distinct()
+    return details.cross_references(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), refs)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

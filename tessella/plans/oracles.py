@@ -217,3 +217,7 @@ SQL |= {
       m AS (SELECT q, min(p_partkey) AS id FROM x JOIN part ON contains(lower(p_name), lower(q)) GROUP BY q)
       SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'relates' AS relation FROM r JOIN m a ON r.f = a.q JOIN m b ON r.t = b.q WHERE a.id <> b.id""",
 }
+
+# The whole jobs beside those samples.
+for _name, _part in {"postings_index": " ORDER BY df DESC, term LIMIT 200", "graph_overview": " WHERE l_partkey % 50 = 0", "entity_evidence": " WHERE p_partkey <= 5", "cross_references": " WHERE p_partkey <= 20"}.items():
+    SQL[f"{_name}_all"] = SQL[_name].replace(_part, "")
