@@ -91,3 +91,17 @@ def strip_leading_title(content: Column, title: Column) -> Column:
     rest = F.regexp_replace(F.substring(body, F.length(first) + 2, F.length(body)), r"^\s+", "")
     same = (plain(first) == plain(title)) & (plain(title) != "") & (F.trim(content) != "")
     return F.when(F.coalesce(same, F.lit(False)), rest).otherwise(content)
+
+
+def delete_documents(documents: DataFrame, asked: DataFrame, user, children: dict[str, DataFrame], index: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame, DataFrame]:
+    """Documents, child tables and full-text index after a user's documents are deleted, and (doc_id, outcome) of each one asked for.
+
+    documents: doc_id, user_id; asked: doc_id; children: tables with doc_id, "chunks" among them
+    with chunk_id; index: rows with chunk_id. Another user's document is not found. The index
+    keeps only rows of chunks that are left, so orphans of earlier deletes go too.
+    """
+    wanted = asked.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    gone = documents.where(F.col("user_id") == user).join(wanted, "doc_id", "left_semi").select("doc_id").distinct()
+    kept = {name: rows.join(gone, "doc_id", "left_anti") for name, rows in children.items()}
+    outcome = wanted.join(gone.withColumn("outcome", F.lit("deleted")), "doc_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("not found")))
+    return documents.join(gone, "doc_id", "left_anti"), kept, index.join(kept["chunks"].select("chunk_id"), "chunk_id", "left_semi"), outcome

@@ -221,3 +221,19 @@ def test_details(spark):
     assert list(got) == ["hello world", "https://h/v1", 12, "d", "Name", "abc…", "a_b", 2, "zh-CN"]
     terms = q.select(tx.query_terms(F.lit("search 知识图谱检索 x")), tx.search_terms(F.lit("One two, one a")), tx.rewrite_image_urls(F.lit("![a](images/p.png)"), "/api")).first()
     assert terms[0] == ["search 知识图谱检索 x", "search", "知识", "图谱", "检索"] and terms[1] == ["One", "two"] and terms[2] == "![a](/api/p.png)"
+
+
+def test_document_delete(spark):
+    from tessella.operators import details
+
+    docs = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "doc_id int, user_id int")
+    chunks = spark.createDataFrame([(1, "1a"), (1, "1b"), (2, "2a"), (3, "3a")], "doc_id int, chunk_id string")
+    tags = spark.createDataFrame([(1, "x"), (3, "y")], "doc_id int, tag string")
+    index = spark.createDataFrame([("1a", "t"), ("1b", "t"), ("2a", "t"), ("3a", "u"), ("old", "t")], "chunk_id string, term string")
+    asked = spark.createDataFrame([(1,), (1,), (3,), (9,)], "doc_id int")
+    left, kids, found, outcome = details.delete_documents(docs, asked, 1, {"chunks": chunks, "tags": tags}, index)
+    values = lambda df, c: sorted(r[c] for r in df.collect())
+    assert values(left, "doc_id") == [2, 3]
+    assert values(kids["chunks"], "chunk_id") == ["2a", "3a"] and values(kids["tags"], "tag") == ["y"]
+    assert values(found, "chunk_id") == ["2a", "3a"]  # with the orphan of an earlier delete swept
+    assert {r.doc_id: r.outcome for r in outcome.collect()} == {1: "deleted", 3: "not found", 9: "not found"}
