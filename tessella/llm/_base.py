@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 #: White space and words as every operator of this subpackage understands them.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A group of over one in SHARE of all rows is hot; there are at most SHARE of them, so that they can be broadcast.
+SHARE = 1000
+#: log2 of the slots of a sieve: its bits are broadcast in at most 2^(SIEVE_BITS - 6) rows of 16 bytes.
+SIEVE_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (single-machine tests)."""
+    """The cluster's shared folder; a temporary one only where none is named on a single machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it as long as df has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder: rows (and row ids) stay as they are if an executor is lost."""
     shared_dir(df.sparkSession)
@@ -57,7 +75,38 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+def sieve(wanted: DataFrame) -> DataFrame:
+    """A bitmap of the keys in wanted (one long column), of bounded size whatever their number; to be used by `sifted`."""
+    slot = F.pmod(F.col(wanted.columns[0]), F.lit(1 << SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    return written(wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+
+
+def sifted(rows: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column: false where the key is surely not in the sieve. No row is shuffled for that."""
+    word, held = fresh(rows, "sieve_word", "sieve_bits")
+    slot = F.pmod(key, F.lit(1 << SIEVE_BITS))
+    small = F.broadcast(bits.select(F.col("word").alias(word), F.col("bits").alias(held)))  # at most 2^(SIEVE_BITS - 6) rows
+    hit = F.call_function("shiftright", F.col(held), (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(small, F.shiftright(slot, 6) == F.col(word), "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop(word, held)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to their groups (row column -> group column), of which `size` counts the rows.
+
+    Hot groups are at most SHARE and are broadcast, so that none is gathered in one task; the
+    others meet their rows by a shuffle. Both inputs are read more than once: pass written tables.
+    """
+    same = lambda g: [rows[r] == g[k] for r, k in on.items()]
+    hot = groups.where(F.col(size) * SHARE > total)
+    names = F.broadcast(hot.select(*on.values()))
+    cold = groups.where(F.col(size) * SHARE <= total)
+    rest = rows.join(names, same(names), "left_anti").join(cold, same(cold), how)
+    hot = F.broadcast(hot)
+    return rows.join(hot, same(hot)).unionByName(rest)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: one row (node, component) for each node of an edge; component is the smallest node.
 
     Each round, every node points at the neighbour (or itself) of least random priority, the
@@ -71,17 +120,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     where = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("at", F.col("node"))
     live = checkpointed(links.where("a <> b").distinct())
     rank = lambda c: F.struct(F.xxhash64(F.col(c)).alias("r"), F.col(c).alias("v"))
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # the edges at each node of least rank are contracted, so that every round leaves fewer
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("p_from"), F.least(F.col("m"), rank("a"))["v"].alias("p_to"))
         to = checkpointed(to)
         where = where.join(to, F.col("at") == F.col("p_from"), "left").select("node", F.coalesce("p_to", "at").alias("at"))
         first, second = to.select(F.col("p_from").alias("a"), F.col("p_to").alias("pa")), to.select(F.col("p_from").alias("b"), F.col("p_to").alias("pb"))
         live = checkpointed(live.join(first, "a").join(second, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
-    else:
-        raise RuntimeError("components did not converge")
     where = checkpointed(where)
-    least = where.groupBy("at").agg(F.min("node").alias("component"))
-    return where.join(least, "at").select("node", "component")
+    least = checkpointed(where.groupBy("at").agg(F.min("node").alias("component"), F.count("*").alias("size")).withColumnRenamed("at", "root"))
+    return with_groups(where, least, {"at": "root"}, "size", where.count()).select("node", "component")
