@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm._base import WORD, checkpointed, text_or_empty
+from tessella.llm._base import WORD, checkpointed, fresh, text_or_empty, written
 
 
 def word_count(text: Column) -> Column:
@@ -21,9 +21,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
     shared again by weight until none is above. Each turn of that water-filling is one aggregate
     that returns two sums; the driver never holds the sources. A source of size 0 has target 0.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row for each source of the mix
+    dealt = checkpointed(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each partition
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
-    held = checkpointed(sizes.withColumn("weight", w).withColumn("cap", F.col("source_size") * float(max_copies)))
+    held = checkpointed(dealt.join(offsets, "part").withColumn("weight", w).withColumn("cap", F.col("source_size") * float(max_copies)))
     every = held.agg(F.sum("source_size")).first()[0] or 0
     want = float(every) if total is None else float(total)
     level = None
@@ -57,6 +60,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     last. Ties and repeated rows take adjacent ranks. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"))
+    base = written(base)  # texts are read once; range partitioning samples its input first
     dealt = base.repartitionByRange(F.col("source").asc_nulls_last(), "size", "id").withColumn("part", F.spark_partition_id())
     dealt = checkpointed(dealt)  # the bounds are sampled: both uses below must see the same partitions
     counts = dealt.groupBy("part", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -80,13 +84,14 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The mixed corpus: the rows of docs, each as often as mix_sources takes it, with their own columns only."""
     plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     # Rows with one id, source and size are alike to the sampler: their copies are pooled and dealt out evenly.
-    plan = plan.groupBy(F.col(id_col).alias("_t_id"), F.col("source").alias("_t_source"), F.col("size").alias("_t_size")).agg(F.sum("copies").alias("_t_copies"), F.count("*").alias("_t_n"))
-    keyed = docs.withColumn("_t_words", word_count(text_or_empty(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("_t_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_t_source")) & (F.col("_t_words") == F.col("_t_size"))
-    joined = keyed.join(plan.where("_t_copies > 0"), on)
-    single = joined.where("_t_n = 1").withColumn("_t_each", F.col("_t_copies"))
-    nth = F.row_number().over(Window.partitionBy("_t_id", "_t_source", "_t_size").orderBy(F.xxhash64(F.col(text_col)))) - 1
-    pooled = joined.where("_t_n > 1").withColumn("_t_nth", nth)
-    pooled = pooled.withColumn("_t_each", F.floor((F.col("_t_nth") + 1) * F.col("_t_copies") / F.col("_t_n")) - F.floor(F.col("_t_nth") * F.col("_t_copies") / F.col("_t_n"))).drop("_t_nth")
-    out = single.unionByName(pooled).where("_t_each > 0")
-    return out.withColumn("_t_copy", F.explode(F.sequence(F.lit(1), F.col("_t_each").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p_id, p_source, p_size, copies, n, words, each, nth, copy = fresh(docs, "p_id", "p_source", "p_size", "p_copies", "p_n", "p_words", "p_each", "p_nth", "p_copy")
+    plan = plan.groupBy(F.col(id_col).alias(p_id), F.col("source").alias(p_source), F.col("size").alias(p_size)).agg(F.sum("copies").alias(copies), F.count("*").alias(n))
+    keyed = docs.withColumn(words, word_count(text_or_empty(text_col)))
+    on = F.col(id_col).eqNullSafe(F.col(p_id)) & F.col(source_col).cast("string").eqNullSafe(F.col(p_source)) & (F.col(words) == F.col(p_size))
+    joined = keyed.join(plan.where(F.col(copies) > 0), on)
+    single = joined.where(F.col(n) == 1).withColumn(each, F.col(copies))
+    place = F.row_number().over(Window.partitionBy(p_id, p_source, p_size).orderBy(F.xxhash64(F.col(text_col)))) - 1
+    pooled = joined.where(F.col(n) > 1).withColumn(nth, place)
+    pooled = pooled.withColumn(each, F.floor((F.col(nth) + 1) * F.col(copies) / F.col(n)) - F.floor(F.col(nth) * F.col(copies) / F.col(n))).drop(nth)
+    out = single.unionByName(pooled).where(F.col(each) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
