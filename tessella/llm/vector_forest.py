@@ -16,8 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm._base import checkpointed, components, small_batches
+from tessella.llm._base import checkpointed, components, small_batches, with_groups, written
 
 THRESHOLD = 0.95
 TREES = 4
@@ -32,17 +33,25 @@ _LEAST = 16
 
 @dataclass
 class Tree:
-    """Directions by level; the threshold of each inner node by its number (children of k are 2k and 2k + 1)."""
+    """Directions by level; thresholds of inner nodes by number (children of k are 2k and 2k + 1).
+
+    Where the sample is spent, a node has no children of its own but thresholds for the levels
+    below it, which all nodes below it share. The tree is as large as the sample, not as the table.
+    """
 
     directions: np.ndarray
-    cuts: dict[int, float] = field(default_factory=dict)
+    nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    tails: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
-def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, threshold: float = THRESHOLD, spill: float = SPILL, seed: int = 11, max_depth: int = 40) -> list[Tree]:
+def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, threshold: float = THRESHOLD, spill: float = SPILL, seed: int = 11, max_depth: int = 48) -> list[Tree]:
     """Trees over unit vectors, each split until a leaf holds about `leaf` of `rows` rows.
 
-    Below _LEAST sampled vectors, the medians of the nearest node with more of them are used. A
-    node where the spill would take most vectors down both sides stays a leaf.
+    A node splits at the median of its sampled vectors; one with fewer than 2 * _LEAST of them
+    takes the medians along all further directions at once. A direction along which the spill
+    would take most vectors down both sides is passed over: its level splits nothing there.
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
@@ -50,48 +59,91 @@ def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LE
     forest = []
     for _ in range(trees):
         directions = rng.standard_normal((max_depth, dim))
-        tree = Tree(directions / np.linalg.norm(directions, axis=1, keepdims=True))
-        todo = [(1, 0, np.arange(len(sample)), float(rows))]
-        while todo and len(sample):
+        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        inner: dict[int, float] = {}
+        tails: dict[int, list[float]] = {}
+        todo = [(1, 0, np.arange(len(sample)), float(rows))] if len(sample) else []
+        while todo:
             node, depth, pool, size = todo.pop()
-            if size <= leaf or depth >= max_depth:
-                continue
-            at = sample[pool] @ tree.directions[depth]
-            cut = float(np.median(at))
-            both = np.abs(at - cut) <= margin
-            if both.mean() > 0.5:
-                continue
-            tree.cuts[node] = cut
-            for child, inside in ((2 * node, at <= cut + margin), (2 * node + 1, at > cut - margin)):
-                enough = inside.sum() >= _LEAST
-                todo.append((child, depth + 1, pool[inside] if enough else pool, size * inside.mean()))
-        forest.append(tree)
+            if len(pool) >= 2 * _LEAST and size > leaf and depth < max_depth:
+                at = sample[pool] @ directions[depth]
+                cut = float(np.median(at))
+                if (np.abs(at - cut) <= margin).mean() <= 0.5:
+                    inner[node] = cut
+                    for child, inside in ((2 * node, at <= cut + margin), (2 * node + 1, at > cut - margin)):
+                        todo.append((child, depth + 1, pool[inside], size * inside.mean()))
+                    continue
+            tails[node] = _tail(sample[pool] @ directions.T, depth, size, leaf, margin)
+        nodes, ends = np.array(sorted(inner), np.int64), np.array(sorted(tails), np.int64)
+        width = max((len(t) for t in tails.values()), default=0)
+        table = np.full((len(ends), width), np.nan)
+        for k, node in enumerate(ends.tolist()):
+            table[k, : len(tails[node])] = tails[node]
+        forest.append(Tree(directions, nodes, np.array([inner[n] for n in nodes.tolist()]), ends, table))
     return forest
 
 
+def _tail(at: np.ndarray, depth: int, size: float, leaf: int, margin: float) -> list[float]:
+    """Thresholds of the levels below a node, until about `leaf` rows are left; infinity where a level splits nothing."""
+    out = []
+    for level in range(depth, at.shape[1]):
+        if size <= leaf:
+            break
+        cut = float(np.median(at[:, level]))
+        both = float((np.abs(at[:, level] - cut) <= margin).mean())
+        out.append(cut if both <= 0.5 else np.inf)
+        size *= (1 + both) / 2 if both <= 0.5 else 1
+    while out and out[-1] == np.inf:
+        out.pop()
+    return out
+
+
 def _margin(dim: int, threshold: float, spill: float) -> float:
     return spill * float(np.sqrt(max(0.0, 2 - 2 * threshold) / dim))
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted stands in sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def leaves_of(vectors: np.ndarray, forest: list[Tree], threshold: float = THRESHOLD, spill: float = SPILL) -> list[np.ndarray]:
     """Sorted leaf numbers of each vector over all trees."""
     margin = _margin(vectors.shape[1], threshold, spill)
     found_v, found_l = [], []
+
+    def leave(who: np.ndarray, node: np.ndarray) -> None:
+        found_v.append(who)
+        found_l.append(node * len(forest) + t)
+
     for t, tree in enumerate(forest):
+        along = vectors @ tree.directions.T
         who, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
-        depth = 0
+        row, depth = np.full(len(vectors), -1), 0  # row of the tails, once below a node where the sample was spent
+        start = np.zeros(len(vectors), np.int64)
         while len(who):
-            cut = np.array([tree.cuts.get(n, np.nan) for n in node.tolist()])
+            at, inner = _find(tree.nodes, node)
+            cut = np.where(inner & (row < 0), tree.cuts[at] if len(tree.cuts) else 0.0, np.nan)
+            new = (row < 0) & ~inner
+            spent, known = _find(tree.ends, node)
+            row, start = np.where(new & known, spent, row), np.where(new & known, depth, start)
+            below = row >= 0
+            if tree.tails.shape[1]:
+                level = np.minimum(depth - start, tree.tails.shape[1] - 1)
+                cut = np.where(below & (depth - start < tree.tails.shape[1]), tree.tails[np.maximum(row, 0), level], cut)
             done = np.isnan(cut)
-            found_v.append(who[done])
-            found_l.append(node[done] * len(forest) + t)
-            who, node, cut = who[~done], node[~done], cut[~done]
+            leave(who[done], node[done])
+            who, node, row, start, cut = who[~done], node[~done], row[~done], start[~done], cut[~done]
             if not len(who):
                 break
-            at = vectors @ tree.directions[depth]
-            left, right = at[who] <= cut + margin, at[who] > cut - margin
-            who, node = np.concatenate([who[left], who[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-            depth += 1
+            a = along[who, depth]
+            left, right = a <= cut + margin, a > cut - margin  # an infinite cut sends all to the left
+            pick = np.concatenate([np.flatnonzero(left), np.flatnonzero(right)])
+            node = np.concatenate([2 * node[left], 2 * node[right] + 1])
+            who, row, start, depth = who[pick], row[pick], start[pick], depth + 1
     v, leaf = np.concatenate(found_v), np.concatenate(found_l)
     order = np.lexsort((leaf, v))
     return np.split(leaf[order], np.cumsum(np.bincount(v, minlength=len(vectors)))[:-1])
@@ -147,9 +199,11 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     """One row per input row: id, n_links, component_id, kept.
 
     1. Equal vectors are grouped first (a partial aggregate): one representative is indexed, its
-       copies count as links of each other and of whatever it links.
+       copies count as links of each other and of whatever it links. Rows and representatives
+       meet again by two 64-bit hashes of the vector, so that no vector is shuffled for that.
     2. The trees are fitted on at most sample_rows representatives, those of least hash, and
-       every representative is sent to its leaves with its vector.
+       every representative is sent to its leaves with its vector (in single precision if it
+       came so) and the list of its leaves.
     3. A leaf of over `chunk` vectors is dealt out to tasks by pairs of chunks, so that neither a
        hot leaf nor its pairs are gathered in one task, and nothing is left out.
     4. Tasks give links counted by vector and spanning links only, never all pairs of a group.
@@ -161,17 +215,22 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     """
     spark = rows.sparkSession
     small_batches(spark)
-    base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sound = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = base.where(F.coalesce(sound, F.lit(False)))
-    reps = checkpointed(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
+    v = F.col("v")
+    single = isinstance(rows.schema[vector_col].dataType, T.ArrayType) and isinstance(rows.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
+    base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    sound = F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    marks = lambda n: F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(n), v))  # noqa: E731  # null keys join with nothing
+    keyed = base.withColumns({"h1": marks(1), "h2": marks(2)})
+    grouped = keyed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    reps = written(grouped.withColumn("rep", F.monotonically_increasing_id()))
     sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(16).collect()}
-    sampled = reps.orderBy(F.xxhash64("least"), "rep").limit(sample_rows).select("v").collect()
+    sampled = reps.orderBy("h1", "h2").limit(sample_rows).select("v").collect()
     forests = {}
     for dim, n in sizes.items():
         mine = np.array([r["v"] for r in sampled if len(r["v"]) == dim], dtype=float).reshape(-1, dim)
         forests[dim] = fit_forest(_units(mine), n, trees, leaf, threshold, spill)
-    sent = spark.sparkContext.broadcast(forests)  # bounded by sample_rows: directions by level, medians by sampled node
+    sent = spark.sparkContext.broadcast(forests)  # directions by level; nodes and tails over at least _LEAST sampled vectors each
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,7 +242,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
                 n = [len(x) for x in found]
                 yield pd.DataFrame({
                     "rep": np.repeat(part["rep"].to_numpy(), n), "copies": np.repeat(part["copies"].to_numpy(), n), "dim": dim, "leaf": np.concatenate(found),
-                    "leaves": np.repeat(np.array([x.astype("<i8").tobytes() for x in found], dtype=object), n), "v": np.repeat(np.array([np.asarray(x, "<f8").tobytes() for x in part["v"]], dtype=object), n),
+                    "leaves": np.repeat(np.array([x.astype("<i8").tobytes() for x in found], dtype=object), n), "v": np.repeat(np.array([np.asarray(x, kind).tobytes() for x in part["v"]], dtype=object), n),
                 })
 
     placed = reps.select("rep", "copies", "v").mapInPandas(index, "rep long, copies long, dim int, leaf long, leaves binary, v binary")
@@ -193,7 +252,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
 
     def link(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, at, lo, hi = key
-        vectors = np.vstack([_units(np.frombuffer(x, "<f8")[None]) for x in part["v"]])
+        vectors = np.vstack([_units(np.frombuffer(x, kind)[None].astype(float)) for x in part["v"]])
         side = (part["own"].to_numpy() != lo).astype(int)
         if lo != hi and not (side.any() and (side == 0).any()):
             return pd.DataFrame({"a": [], "b": [], "n": []})
@@ -204,12 +263,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     found = checkpointed(dealt.groupBy("dim", "leaf", "lo", "hi").applyInPandas(link, "a long, b long, n long"))
     links = found.where("b < 0").groupBy(F.col("a").alias("l_rep")).agg(F.sum("n").alias("links"))
     classes = components(found.where("b >= 0")).select(F.col("node").alias("c_rep"), F.col("component").alias("class"))
-    known = reps.join(links, F.col("rep") == F.col("l_rep"), "left").join(classes, F.col("rep") == F.col("c_rep"), "left").withColumn("class", F.coalesce("class", "rep"))
-    known = checkpointed(known.select("v", "least", "copies", "class", F.coalesce("links", F.lit(0)).alias("links")))
-    names = known.groupBy("class").agg(F.min("least").alias("component"))
-    final = known.join(names, "class").select(F.col("v").alias("k_v"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
-    usable = F.when(F.coalesce(sound, F.lit(False)), F.col("v"))  # null keys join with nothing
-    out = base.withColumn("k", usable).join(final, F.col("k") == F.col("k_v"), "left")
+    known = reps.select("rep", "h1", "h2", "least", "copies").join(links, F.col("rep") == F.col("l_rep"), "left").join(classes, F.col("rep") == F.col("c_rep"), "left")
+    known = written(known.select("h1", "h2", "least", "copies", F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
+    names = written(known.groupBy(F.col("class").alias("name")).agg(F.min("least").alias("component"), F.count("*").alias("size")))
+    final = with_groups(known, names, {"class": "name"}, "size", known.count())
+    final = written(final.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component"))
+    # Of hot groups of equal vectors, the one row with its result is broadcast.
+    ids = keyed.select("id", "h1", "h2")
+    out = with_groups(ids, final, {"h1": "k1", "h2": "k2"}, "copies", known.agg(F.sum("copies")).first()[0] or 0, "left")
     own = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
 
