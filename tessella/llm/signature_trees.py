@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._base import checkpointed, components, small_batches, written
+from tessella.llm._base import SHARE, checkpointed, components, fresh, sieve, sifted, small_batches, with_groups, written
 
 WORDS, PERCENT = 5, 80
 #: Bits of a document's bitmap by size band: (largest size but one, bits). A document up to a quarter over a band's
@@ -28,10 +28,10 @@ WORDS, PERCENT = 5, 80
 BANDS = ((1024, 2048), (4096, 8192), (2**62, 32768))
 #: Counters of the frequency sketch, documents of a bucket compared in one task, children of a node.
 SKETCH_BITS, CHUNK, FAN = 20, 1024, 4
-#: Rows of a bucket that are looked through at once for partners by size; a larger bucket is passed on as it is.
-LOOK = 200_000
-#: Lists of up to so many ids are broadcast (some 40 MB); longer ones are joined by a shuffle.
-FEW_IDS = 500_000
+#: Tasks whose sketches are summed in one group of the first round, and documents that are verified against one other in a group.
+TASKS, HUB_CHUNK = 256, 256
+#: Lists of up to so many ids are broadcast (some 10 MB); longer ones are joined by a shuffle.
+FEW_IDS = 100_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -110,11 +110,12 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """A class for each slot of hashes: 0 for the usual document frequency, one more for each doubling.
+def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+    """A class for each slot of hashes: 0 for the usual document frequency, one more for each doubling; and the usual frequency.
 
-    Every document is counted. The counters are summed by task first, then in the cluster; what
-    comes to the driver is one counter for each of the 2^SKETCH_BITS slots, whatever the input.
+    Every document is counted. The counters are summed by task first, then block by block over
+    groups of TASKS tasks, then over those groups; what comes to the driver is one counter for
+    each of the 2^SKETCH_BITS slots, whatever the input.
     """
     block = 1 << 14
 
@@ -128,27 +129,31 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
                     some = True
         if some:
             parts = sums.reshape(-1, block).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "sums"])
+            group = pa.array([TaskContext.get().partitionId() // TASKS] * len(parts), pa.int32())
+            yield pa.RecordBatch.from_arrays([group, pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["tasks", "block", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<i4") for x in table.column("sums").to_pylist()], axis=0, dtype=np.int64)
-        return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = np.zeros(block, np.int64)
+        for x in table.column("sums"):
+            total += np.frombuffer(x.as_buffer(), "<i4" if len(x.as_buffer()) == 4 * block else "<i8")
+        return table.slice(0, 1).set_column(2, "sums", pa.array([total.tobytes()], pa.binary()))
 
-    schema = "block int, sums binary"
+    schema = "tasks int, block int, sums binary"
     parts = _texts(docs, id_col, text_col).select("text").mapInArrow(count, schema)
-    got = {r["block"]: np.frombuffer(r["sums"], "<i8") for r in parts.groupBy("block").applyInArrow(add, schema).collect()}
+    some = parts.groupBy("tasks", "block").applyInArrow(add, schema)
+    got = {r["block"]: np.frombuffer(r["sums"], "<i8") for r in some.groupBy("block").applyInArrow(add, schema).collect()}
     if not got:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
+        return np.zeros(1 << SKETCH_BITS, np.uint8), 1.0
     sums = np.concatenate([got[b] for b in sorted(got)])
     usual = max(1.0, float(np.median(sums)) * 1.25)
-    return np.clip(np.ceil(np.log2(np.maximum(sums, 1) / usual)), 0, 31).astype(np.uint8)
+    return np.clip(np.ceil(np.log2(np.maximum(sums, 1) / usual)), 0, 31).astype(np.uint8), usual
 
 
 def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, uid, n, node, check, prefix, bits) of each row.
+    """(id, key, uid, n, h1, h2, prefix, bits) of each row.
 
-    key is a hash of the text, uid a number of the row that holds once the rows are written; node
-    and check are hashes of the whole set, null without words.
+    key is a hash of the text, uid a number of the row that holds once the rows are written; h1
+    and h2 are a 128-bit hash of the whole set, null without words.
 
     The order of tokens is (frequency class, hash): common passages come last, so that they
     are no bucket unless a document has little else.
@@ -175,11 +180,11 @@ def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
                 cols[3].append(key[: n - int(need(n, percent)) + 1].astype(np.int64))
                 cols[4].append(_bitmap(s).tobytes())
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(range(at, at + batch.num_rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "uid", "n", "node", "check", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(range(at, at + batch.num_rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "uid", "n", "h1", "h2", "prefix", "bits"])
             at += batch.num_rows
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, uid long, n long, node long, check long, prefix array<long>, bits binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, uid long, n long, h1 long, h2 long, prefix array<long>, bits binary")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -188,25 +193,29 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, tokens) of one document of each wanted node (least, text_key): whole sets, made again from those texts only.
+    """(h1, h2, tokens) of one document of each wanted node (least, text_key): whole sets, made again from those texts only.
 
     Rows repeated with one id and text give their set as often.
     """
-    ids = _few(wanted.select(F.col("least").alias("w_id"), F.col("text_key").alias("w_key")).distinct())
-    chosen = _texts(docs, id_col, text_col).join(ids, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi")
+    ids = wanted.select(F.col("least").alias("w_id"), F.col("text_key").alias("w_key")).distinct()
+    chosen, few = _texts(docs, id_col, text_col), _few(ids)
+    if few is ids:  # only texts that pass the sieve are shuffled
+        chosen = sifted(chosen, F.xxhash64("id", "key"), sieve(ids.select(F.xxhash64("w_id", "w_key").alias("at"))), "maybe").where("maybe")
+    chosen = chosen.join(few, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             made = [shingles(t, words, size).tobytes() for t in _bytes(batch.column("text"))]
-            nodes = [int.from_bytes(xxhash.xxh3_128_digest(m)[:8], "big", signed=True) for m in made]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "tokens"])
+            whole = [xxhash.xxh3_128_digest(m) for m in made]
+            halves = [pa.array([int.from_bytes(w[k : k + 8], "big", signed=True) for w in whole], pa.int64()) for k in (0, 8)]
+            yield pa.RecordBatch.from_arrays([*halves, pa.array(made, pa.binary())], ["h1", "h2", "tokens"])
 
-    return chosen.select("text").mapInArrow(run, "node long, tokens binary")
+    return chosen.select("text").mapInArrow(run, "h1 long, h2 long, tokens binary")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 2**62) -> Iterator[pa.Table]:
-    """The groups of batches that are sorted by keys; a group is held until its last row, or `most` rows, are seen."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The groups of batches that are sorted by keys; a group is held until its last row is seen."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -216,7 +225,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int
         cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             at = tuple(k[lo].tolist())
-            if held and (at != last or sum(b.num_rows for b in held) > most):
+            if held and at != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
@@ -280,21 +289,6 @@ def _tree(group: pa.Table) -> tuple[np.ndarray, SignatureTree, np.ndarray | None
     return order, tree, None if lo == hi else group.column("own").to_numpy()[order]
 
 
-def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, label, n), sorted by token and size, with a document of another class and a fitting size in their bucket."""
-    last = None
-    for group in _grouped(batches, ("token",), LOOK):
-        token, n, label = group.column("token")[0].as_py(), group.column("n").to_numpy(), group.column("label").to_numpy()
-        if len(n) <= LOOK and token != last:
-            runs = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
-            of = np.searchsorted(runs, np.arange(len(n)), side="right") - 1
-            before, after = runs[of] - 1, np.append(runs[1:], len(n))[of]
-            low, high = np.searchsorted(n, need(n)), np.searchsorted(n, 100 * n // PERCENT, side="right")
-            group = group.filter(pa.array(((before >= 0) & (before >= low)) | (after < high)))
-        last = token
-        yield from group.combine_chunks().to_batches()
-
-
 _KEYS = ("token", "band", "lo", "hi")
 
 
@@ -363,32 +357,44 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs_verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are alike; a pair comes as two or more rows, one set each."""
-    for group in _grouped(batches, ("a", "b")):
-        sets = dict(zip(group.column("side").to_pylist(), group.column("tokens").to_pylist(), strict=True))
-        x, y = (np.frombuffer(sets[k], np.uint64) for k in (0, 1))
-        if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-            yield group.select(["a", "b"]).slice(0, 1).combine_chunks().to_batches()[0]
+    """The pairs (a, b) whose sets are alike; a group has the set of b (side 1) and sets of its partners."""
+    for group in _grouped(batches, ("b", "part")):
+        side, nodes, tokens = group.column("side").to_numpy(), group.column("node").to_pylist(), group.column("tokens")
+        y = np.frombuffer(tokens[int(np.argmax(side))].as_buffer(), np.uint64)
+        found = []
+        for k in np.flatnonzero(side == 0).tolist():
+            x = np.frombuffer(tokens[k].as_buffer(), np.uint64)
+            if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                found.append(nodes[k])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([group.column("b")[0].as_py()] * len(found), pa.int64())], ["a", "b"])
+
+
+def _size_step(n):
+    """Two steps for a factor of 1.25: sizes that can be linked are at most two steps apart."""
+    return F.floor(2 * F.log(n) / F.lit(float(np.log(1.2501))))
 
 
 def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
-    1. Features of all documents (two scans: frequencies, then sets) are written; equal sets are
-       one node from here on, summed up before the shuffle.
-    2. Prefix tokens are grouped; those of one node only are dropped.
+    1. Features of all documents (two scans: frequencies, then sets) are written. Equal sets, by
+       128 bits, are one node from here on, summed up before the shuffle; the number of the row
+       that names it tells a node from all others.
+    2. Prefix tokens are grouped; those of one node only are dropped. Tokens that the sketch
+       takes for common are summed up before they meet their rows again.
     3. In each bucket, every node is verified against the least node. Groups of near copies
        thereby fall into few classes, with as many comparisons as nodes.
     4. Buckets that still hold two classes go through their signature tree, nodes without a
-       partner of fitting size left out; of buckets with the same nodes, one does. A bucket over `chunk` nodes is dealt out by pairs of chunks. The
-       first traversal needs bitmaps only and returns a forest over the pairs that are left; the
-       second, over each of its components, compares whole sets and gives spanning links.
+       partner of fitting size left out; of buckets with the same nodes, one does. A bucket over
+       `chunk` nodes is dealt out by pairs of chunks. The first traversal needs bitmaps only and
+       returns a forest over the pairs that are left; the second, over each of its components,
+       compares whole sets and gives spanning links.
     5. Links of both steps are united to components.
 
     Null or wordless text has no shingles and links with nothing. A row with a null id takes
     part, but a component of such rows only has a null id. Repeated rows are equal sets. An
-    empty table gives no rows; other columns are ignored. Sets are told apart by 64 bits of a
-    128-bit hash, and the other half is compared: a clash raises an error.
+    empty table gives no rows; other columns are ignored.
     """
     return _marked(docs, size, percent, chunk, id_col, text_col).drop("_t_key")
 
@@ -398,46 +404,60 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     if percent != PERCENT:
         raise ValueError("the traversals are compiled for PERCENT")
     small_batches(docs.sparkSession)
-    every = written(features(docs, frequency_classes(docs, size, id_col, text_col), size, percent, id_col, text_col))
-    sound = every.where("node IS NOT NULL")
+    ranks, usual = frequency_classes(docs, size, id_col, text_col)
+    every = written(features(docs, ranks, size, percent, id_col, text_col))
+    sound = every.where("h1 IS NOT NULL")
     one = F.struct(F.col("id").isNull().alias("none"), "id", "uid", F.col("key"), "n")
-    heads = sound.groupBy("node").agg(F.min(one).alias("m"), (F.min("check") != F.max("check")).alias("clash"))
-    names = checkpointed(heads.select("node", F.col("m.id").alias("least"), F.col("m.uid").alias("head"), F.col("m.key").alias("text_key"), F.col("m.n").alias("n"), "clash"))
-    if not names.where("clash").isEmpty():
-        raise ValueError("two sets have one 64-bit key")
-    copies = checkpointed(sound.select("uid", F.col("node").alias("e_node")).join(names, F.col("e_node") == F.col("node")).where("uid <> head").select(F.col("uid").alias("c_uid")))
-    single = sound.join(_few(copies), F.col("uid") == F.col("c_uid"), "left_anti")
+    heads = sound.groupBy("h1", "h2").agg(F.min(one).alias("m"), F.count("*").alias("copies"))
+    names = written(heads.select("h1", "h2", F.col("m.uid").alias("node"), F.col("m.id").alias("least"), F.col("m.key").alias("text_key"), F.col("m.n").alias("n"), "copies"))
+    total = names.agg(F.sum("copies")).first()[0] or 0
+    copies = written(sound.select("uid").join(names.select("node"), F.col("uid") == F.col("node"), "left_anti").select(F.col("uid").alias("c_uid")))
+    rows = sifted(sound.select("uid", "n", "prefix", "bits"), F.xxhash64("uid"), sieve(copies.select(F.xxhash64("c_uid").alias("at"))), "maybe")
+    told = rows.where("maybe").join(copies, F.col("uid") == F.col("c_uid"), "left_anti")
+    single = rows.where("NOT maybe").unionByName(told).drop("maybe").withColumnRenamed("uid", "node")
     nodes = written(single.select("node", "n", "bits"))
 
-    rows = single.select("node", F.explode("prefix").alias("token")).repartition("token")  # one exchange for the sums and the join
-    hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select(F.col("token").alias("h_token"), "hub")
-    shared = written(rows.join(hubs, F.col("token") == F.col("h_token")).select("token", "node", "hub"))
+    # A token of class c stands in at most usual * 2^c documents; the class is its first bits.
+    common = next((c for c in range(32) if usual * 2.0**c * SHARE > total), 32)
+    cut = F.lit(common << 58) if common < 32 else F.lit(None).cast("long")
+    rows = single.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    hub = lambda r: r.groupBy("token").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select(F.col("token").alias("h_token"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    meet = lambda r, h: r.join(h, F.col("token") == F.col("h_token")).select("token", "node", "n", "hub", "hub_n")
+    usual_rows = rows.where(F.coalesce(F.col("token") < cut, F.lit(True))).repartition("token")  # one exchange for the sums and the join
+    common_rows = rows.where(F.col("token") >= cut)
+    shared = written(meet(usual_rows, hub(usual_rows)).unionByName(meet(common_rows, written(hub(common_rows)))))
 
     # Every node against the least one of its buckets: bitmaps first, then whole sets.
-    sizes = lambda c: names.select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"size_{c}"))
-    near = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    near = near.join(sizes("a"), F.col("a") == F.col("a_node")).join(sizes("b"), F.col("b") == F.col("b_node"))
-    near = checkpointed(near.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b"))
-    marks = lambda c: nodes.join(_few(near.select(F.col(c).alias("x")).distinct()), F.col("node") == F.col("x"), "left_semi").select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    first = near.join(marks("a"), F.col("a") == F.col("a_node")).join(marks("b"), F.col("b") == F.col("b_node"))
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    near = written(shared.where(F.col("node") != F.col("hub")).where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    among = lambda ids: nodes.join(_few(ids.distinct()), F.col("node") == F.col(ids.columns[0]), "left_semi")
+    marks = lambda c: among(near.select(F.col(c).alias("x"))).select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    hubs = written(near.groupBy("b").agg(F.count("*").alias("size")).join(marks("b"), F.col("b") == F.col("b_node")).drop("b"))
+    first = with_groups(near, hubs, {"b": "b_node"}, "size", near.count()).join(marks("a"), F.col("a") == F.col("a_node"))
     first = checkpointed(first.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible, "a long, b long"))
-    ends_of = first.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("e")).select("a", "b", "e.node", "e.side")
-    wanted = checkpointed(ends_of.join(names.select(F.col("node").alias("w_node"), "least", "text_key"), F.col("node") == F.col("w_node")).select("a", "b", F.col("node").alias("w_node"), "side", "least", "text_key"))
-    sets = sets_of(docs, wanted, size, id_col, text_col)
-    paired = sets.join(_few(wanted.select("a", "b", "w_node", "side")), F.col("node") == F.col("w_node")).select("a", "b", "side", "tokens")
-    links = checkpointed(paired.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_pairs_verified, "a long, b long"))
+    parts = first.groupBy("b").agg(F.ceil(F.count("*") / HUB_CHUNK).cast("int").alias("parts")).withColumnRenamed("b", "p_b")
+    left = first.join(parts, F.col("b") == F.col("p_b")).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    ends_of = left.select("b", "part", F.col("a").alias("node"), F.lit(0).alias("side")).unionByName(parts.select(F.col("p_b").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("p_b").alias("node"), F.lit(1).alias("side")))
+    known = names.select(F.col("node").alias("w_node"), "h1", "h2", "least", "text_key")
+    wanted = checkpointed(ends_of.join(known, F.col("node") == F.col("w_node")).select("b", "part", "node", "side", F.col("h1").alias("w1"), F.col("h2").alias("w2"), "least", "text_key"))
+    same = (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
+    paired = sets_of(docs, wanted, size, id_col, text_col).join(_few(wanted.drop("least", "text_key")), same).select("b", "part", "node", "side", "tokens")
+    links = checkpointed(paired.repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_pairs_verified, "a long, b long"))
 
     # Buckets that still hold two classes, one for each set of nodes.
-    classes = checkpointed(components(links))
-    labelled = written(shared.select("token", "node").join(classes.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").select("token", "node", F.coalesce("component", "node").alias("label")))
+    classes = written(components(links))
+    labelled = written(shared.select("token", "node", "n").join(classes.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("label")))
     buckets = labelled.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.expr("bit_xor(xxhash64(node))").alias("m0"), F.expr("bit_xor(xxhash64(node, 1))").alias("m1")).where("l0 <> l1")
-    picked = checkpointed(buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token"), F.min("hub").alias("hub")).select("p_token", "hub", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
+    picked = written(buckets.groupBy("size", "m0", "m1").agg(F.min("token").alias("p_token"), F.min("hub").alias("hub")).select("p_token", "hub", "size", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")))
+    few = _few(picked)
+    live = labelled.join(few, F.col("token") == F.col("p_token")) if few is not picked else with_groups(labelled, picked, {"token": "p_token"}, "size", labelled.count())
     # The least node of a bucket has been compared with all others there.
-    live = labelled.join(_few(picked), F.col("token") == F.col("p_token")).where("node <> hub").select("token", "node", "label", "chunks")
-    live = live.join(names.select(F.col("node").alias("s_node"), "n"), F.col("node") == F.col("s_node")).select("token", "node", "label", "n", "chunks")
-    live = live.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_partnered, "token long, node long, label long, n long, chunks int")
+    live = written(live.where("node <> hub").select("token", "node", "label", "n", "chunks", _size_step(F.col("n")).alias("step")))
+    around = live.select(F.col("token").alias("a_token"), F.explode(F.sequence(F.col("step") - 2, F.col("step") + 2)).alias("a_step"), "label")
+    around = around.groupBy("a_token", "a_step").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    live = live.join(around, (F.col("token") == F.col("a_token")) & (F.col("step") == F.col("a_step")), "left_semi")
     live = checkpointed(live.withColumn("band", F.explode(_bands(F.col("n")))))
-    live = live.join(nodes.select(F.col("node").alias("n_node"), "bits"), F.col("node") == F.col("n_node"))
+    live = live.join(among(live.select(F.col("node").alias("x"))).select(F.col("node").alias("n_node"), "bits"), F.col("node") == F.col("n_node"))
     live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     live = live.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "bits")
     forest = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_survivors, "a long, b long"))
@@ -445,32 +465,36 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     # Whole sets, each once: pairs that are left lie inside the components of what is left.
     open_ = components(forest).select(F.col("node").alias("o_node"), F.col("component").alias("token"))
     open_ = names.join(open_, F.col("node") == F.col("o_node")).join(classes.select(F.col("node").alias("c_node"), F.col("component").alias("class")), F.col("node") == F.col("c_node"), "left")
-    open_ = checkpointed(open_.select("token", F.explode(_bands(F.col("n"))).alias("band"), "node", F.coalesce("class", "node").alias("label"), "n", "least", "text_key"))
+    open_ = checkpointed(open_.select("token", F.explode(_bands(F.col("n"))).alias("band"), "node", F.coalesce("class", "node").alias("label"), "n", "least", "text_key", F.col("h1").alias("w1"), F.col("h2").alias("w2")))
     counts = open_.groupBy("token", "band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).select(F.col("token").alias("k_token"), F.col("band").alias("k_band"), "chunks")
     dealt = open_.join(counts, (F.col("token") == F.col("k_token")) & (F.col("band") == F.col("k_band")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = checkpointed(dealt.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("node").alias("d_node"), "label", "n"))
-    whole = sets_of(docs, open_, size, id_col, text_col).join(_few(dealt), F.col("node") == F.col("d_node")).select(*_KEYS, "own", "node", "label", "n", "tokens")
+    dealt = checkpointed(dealt.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "w1", "w2", "label", "n"))
+    whole = sets_of(docs, open_, size, id_col, text_col).join(_few(dealt), same).select(*_KEYS, "own", "node", "label", "n", "tokens")
     found = checkpointed(links.unionByName(whole.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_verified, "a long, b long")))
 
-    ends = checkpointed(components(found))
-    named = ends.join(names.select(F.col("node").alias("n_node"), "least"), F.col("node") == F.col("n_node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "component").select(F.col("node").alias("f_node"), "component_id")
-    lone = names.select(F.col("node").alias("o_node"), "least").join(final, F.col("o_node") == F.col("f_node"), "left").select("o_node", F.coalesce("component_id", "least").alias("component_id"))
-    out = every.select("id", "key", "n", "node").join(lone, F.col("node") == F.col("o_node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("_t_key"))
+    ends = components(found).select(F.col("node").alias("e_node"), "component")
+    named = written(ends.join(names, F.col("e_node") == F.col("node")).select("node", "component", "least"))
+    least = written(named.groupBy(F.col("component").alias("name")).agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
+    final = with_groups(named.select("node", "component"), least, {"component": "name"}, "size", named.count()).select(F.col("node").alias("f_node"), "component_id")
+    lone = names.join(final, F.col("node") == F.col("f_node"), "left").select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "copies", F.coalesce("component_id", "least").alias("component_id"))
+    out = with_groups(every.select("id", "key", "n", "h1", "h2"), written(lone), {"h1": "o1", "h2": "o2"}, "copies", total, "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("key").alias("_t_key"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the least of their component, with all their columns.
 
     Of rows repeated with one id and text, one stays. Rows without an id are dropped if their
-    component has a row with one; else those of different text all stay.
+    component has a row with one; else those of different text all stay. Only rows that are
+    dropped or repeated (a sieve tells) are shuffled; all others stay where they are.
     """
-    marks = _marked(docs, id_col=id_col, text_col=text_col)
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    gone = marks.where(~stays).select(F.col(id_col).alias("_t_id"), "_t_key").distinct()
-    keyed = docs.withColumn("_t_own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_t_id")) & (F.col("_t_own") == F.col("_t_key")), "left_anti")
-    return left.dropDuplicates([id_col, "_t_own"]).drop("_t_own")
+    marks = written(_marked(docs, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("g_id"), F.col("_t_key").alias("g_key"), (~F.col(id_col).eqNullSafe(F.col("component_id"))).alias("drop")))
+    marks = written(marks.groupBy("g_id", "g_key").agg(F.max("drop").alias("drop"), F.count("*").alias("n")).where("drop OR n > 1"))
+    g_id, g_key, own, maybe = fresh(docs, "g_id", "g_key", "own_key", "maybe")
+    gone = marks.where("drop").select(F.col("g_id").alias(g_id), F.col("g_key").alias(g_key))
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = sifted(docs, F.xxhash64(F.col(id_col), key), sieve(marks.select(F.xxhash64("g_id", "g_key").alias("at"))), maybe)
+    told = rows.where(F.col(maybe)).drop(maybe).withColumn(own, key)
+    told = told.join(gone, F.col(id_col).eqNullSafe(F.col(g_id)) & (F.col(own) == F.col(g_key)), "left_anti")
+    return rows.where(~F.col(maybe)).drop(maybe).unionByName(told.dropDuplicates([id_col, own]).drop(own))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._base import components
 from tessella.llm.signature_trees import SignatureTree, _bitmap, _folded, keep_one_of_each, linked, shingles, similar_documents
-from tessella.llm.vector_forest import near_duplicates
+from tessella.llm.vector_forest import LEAF, fit_forest, leaves_of, near_duplicates
 
 DOCS = "doc_id long, text string, node long, n long, component_id string"
 
@@ -156,3 +156,28 @@ def test_recall_on_the_table(spark, sf_dir):
     want = (x @ x.T >= 0.95).sum(1) - 1
     assert want.sum() > 500
     assert sum(got[r.vec_id] for r in rows) >= 0.9 * want.sum()
+
+
+def test_forest_is_bounded_by_its_sample():
+    rng = np.random.default_rng(4)
+    units = rng.standard_normal((2000, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    small, large = fit_forest(units, 10**6), fit_forest(units, 10**12)
+    for a, b in zip(small, large, strict=True):
+        assert len(a.nodes) <= len(b.nodes) == len(b.ends) - 1 < 2000 and b.tails.size < 2000 * 48
+    # Below the sampled nodes, the shared thresholds go on splitting.
+    sizes = lambda f: np.unique(np.concatenate(leaves_of(units, f)), return_counts=True)[1]
+    assert sizes(large).max() < sizes(small).max() < 2000 and np.median(sizes(large)) <= 4
+
+
+def test_recall_with_shipped_parameters(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((3000, 32))
+    x = (base[rng.integers(0, 3000, 9000)] + 0.12 * rng.standard_normal((9000, 32))).astype("f4")
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in near_duplicates(frame).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert len(x) > 4 * LEAF and want.sum() > 5000
+    assert all(got[k] <= n for k, n in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum()
