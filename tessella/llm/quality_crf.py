@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tessella.llm._base import small_batches, text_or_empty
+from tessella.llm._base import checkpointed, small_batches, text_or_empty
 
 #: Bounds of the labelled sample that the model is fitted on. Everything else covers all rows.
 MAX_TRAIN_DOCS = 4000
 MAX_TRAIN_CHARS = 60_000
+MAX_TRAIN_LINES = 200_000
 THRESHOLD = 0.3
 _MARKS = "!?|#$%&*<>{}[]=+_~^@\\/"
 
@@ -165,12 +167,14 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS, max_lines: int = MAX_TRAIN_LINES) -> dict:
     """Fit on labelled rows whose crc32(id) mod 5 is not 0; of more than max_docs, the ones of least hash.
 
-    Texts of over max_chars are left out of the fit, so that the sample is bounded in bytes too;
-    they are scored like all others. Rows without an id, a text or a label teach nothing. Without
-    any row to learn from, every score is 0.5.
+    Texts of over max_chars are left out of the fit, and in the order of their hash so are those
+    from where max_lines lines are reached, so that what the driver holds is bounded (172 bytes a
+    line, 34 MB); they are scored like all others. Of rows repeated with one id, one teaches; rows
+    without an id, a text or a label teach nothing. Without any row to learn from, every score is
+    0.5.
     """
     small_batches(docs.sparkSession)
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
@@ -178,6 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = y.orderBy(F.xxhash64("id"), "id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= max_chars)
     rows = texts.join(F.broadcast(chosen), "id")  # max_docs rows of an id and a label
+    rows = checkpointed(rows.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")))
+    lines = F.size(F.split("text", "\n", -1))
+    before = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id"))  # max_docs rows of an id and a number
+    kept = rows.select("id", lines.alias("lines")).withColumn("lines", before).where(F.col("lines") <= max_lines).select("id")
+    rows = rows.join(F.broadcast(kept), "id")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType()), T.StructField("n", T.BinaryType())])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made = [document_features(t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [x.astype("f4").tobytes() for x, _ in made], "n": [n.astype("f4").tobytes() for _, n in made]})
 
-    got = sorted(rows.mapInPandas(features, schema).collect(), key=lambda r: (r["id"], bytes(r["x"])))[: 2 * max_docs]
+    got = sorted(rows.select("id", "y", "text").mapInPandas(features, schema).collect(), key=lambda r: r["id"])
     read = [(np.frombuffer(r["x"], "f4").reshape(-1, 3 * N_OWN - 2).astype(float), np.frombuffer(r["n"], "f4").astype(float), r["y"]) for r in got]
     return fit(read)
 
