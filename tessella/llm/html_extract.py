@@ -39,11 +39,11 @@ from tessella.llm._base import small_batches, text_or_empty, written
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside form button select option input menu dialog head script style noscript template textarea title iframe svg math object canvas audio video".split())
+DROPPED = frozenset("nav header footer aside button select option input menu dialog head script style noscript template textarea title iframe svg math object canvas audio video".split())
 MAIN = frozenset(["article", "main"])
 #: Inside an article, a header is the article's own heading and is kept.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent|notice\w*|alert|gdpr|newsletter\w*|subscrib\w*|signup|login|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|popular|trending|widget\w*|comments?|commentlist|disqus|replies|reply|respond|reader-?\w*|popup|modal|overlay|paywall|toolbar|pagination|pager|tags?|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent|notice\w*|alert|gdpr|newsletter\w*|subscrib\w*|signup|login|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|popular|trending|widget\w*|comments?|commentlist|disqus|replies|reply|respond|reader-?\w*|popup|modal|overlay|paywall|toolbar|pagination|pager|tags?|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: A class counts when it has so many tokens and stands in so many pages.
 MIN_TOKENS, MIN_PAGES = 2, 3
 #: A text is fixed if it stands in this share of the pages that have its path; a block with this share of links is no content.
@@ -56,56 +56,104 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 @lru_cache(maxsize=50_000)
-def _element(name: str, rest: str, up: str, up_dropped: bool, up_main: bool) -> tuple[str, bool, bool, bool]:
-    """Of a start tag below an element: its path, whether it is boilerplate by kind, whether it is in the main element, whether its name marks boilerplate."""
-    if not rest:
-        label, role, hidden = "", "", False
-    else:
-        named = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(rest)}
-        label = re.sub(r"\d+", "0", " ".join(filter(None, (named.get("class"), named.get("id")))))
-        role = named.get("role", "").lower()
-        hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-    named_label = re.sub("header", "", label, flags=re.I) if up_main else label
-    by_name = bool(label and name not in INLINE | MAIN | {"body", "html"} and NAMES.search(named_label))
-    by_kind = name in DROPPED and not (name == "header" and up_main)
-    dropped = up_dropped or by_kind or role in ROLES or hidden
-    main = up_main or ((name in MAIN or role == "main") and not dropped)
-    return f"{up}/{name}" + (f".{label}" if label else ""), dropped, main, by_name
+def _attributes(name: str, rest: str) -> tuple[str, str, bool, bool, bool]:
+    """Of a start tag: its label, its role, whether it is hidden, whether its name marks boilerplate, and whether it does inside an article."""
+    named = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(rest)} if rest else {}
+    label = re.sub(r"\d+", "0", " ".join(filter(None, (named.get("class"), named.get("id")))))
+    role = named.get("role", "").lower()
+    hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
+    # A form is dropped like what a name marks: some hosts put the whole page in one.
+    form = name == "form" or role == "form"
+    told = name not in INLINE | MAIN | {"body", "html"}
+    marks = [form or (told and bool(x and NAMES.search(x))) for x in (label, re.sub("header", "", label, flags=re.I))]
+    return label, role, hidden, *marks
+
+
+@lru_cache(maxsize=50_000)
+def _path(up: int, name: str, label: str) -> int:
+    return _h("p", up, name, label)
+
+
+class _Open:
+    """An open element: boilerplate by kind (dropped), inside the main element, the marked element around it, the block element around it."""
+
+    __slots__ = ("name", "path", "dropped", "main", "mark", "block", "blocks", "closed")
+
+    def __init__(self, name, path, dropped, main, mark, block, blocks):
+        self.name, self.path, self.dropped, self.main, self.mark, self.blocks, self.closed = name, path, dropped, main, mark, blocks, False
+        self.block = block or self
 
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "state", "main", "at", "marks")
+    __slots__ = ("path", "parts", "linked", "state", "main", "at", "mark")
+
+    def __init__(self, path, state, main, at, mark):
+        self.path, self.parts, self.linked, self.state, self.main, self.at, self.mark = path, [], 0, state, main, at, mark
+
+
+class _Stack:
+    """The open elements; every step takes constant time on average, however deep the page is."""
+
+    def __init__(self):
+        self.items = [_Open("", 0, False, False, -1, None, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.links = 0
 
-    def __init__(self, path, state, main, at, marks):
-        self.path, self.parts, self.linked, self.state, self.main, self.at, self.marks = path, [], 0, state, main, at, marks
+    def push(self, item: _Open) -> None:
+        self.places[item.name].append(len(self.items))
+        self.items.append(item)
+        self.links += item.name == "a"
 
+    def last(self, names) -> int:
+        """Where the innermost open element of these names stands; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
-def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, bool, int, tuple[int, ...]]]]:
-    """(element paths in page order, text blocks in page order); a block is (path, text, linked characters, dropped, main, elements before it, marks);
-    marks are the numbers of the elements around it whose names mark boilerplate.
+    def cut(self, at: int) -> None:
+        """Close all from there on."""
+        while len(self.items) > at or (len(self.items) > 1 and self.items[-1].closed):
+            item = self.items.pop()
+            if not item.closed:
+                self.places[item.name].pop()
+                self.links -= item.name == "a"
+
+    def close(self, at: int) -> None:
+        """Close one element only; the ones inside stay open."""
+        item = self.items[at]
+        item.closed = True
+        self.places[item.name].pop()
+        self.links -= item.name == "a"
+        self.cut(len(self.items))
+
+
+def read_page(source: str) -> tuple[list[int], list[tuple[int, str, int, bool, bool, int, int]], list[int]]:
+    """(element paths in page order, text blocks in page order, marks).
+
+    A block is (path, text, linked characters, dropped, main, elements before it, mark); mark is
+    the number of the innermost element around it whose name marks boilerplate, or -1, and marks
+    has the number of the next one around each. Paths are hashes.
 
     Any input is read: unclosed elements end where HTML says they do or with the page, stray end
     tags are passed over, and what is no tag is text.
     """
-    paths: list[str] = []
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, path, dropped, main, marks
+    paths: list[int] = []
     blocks: list[_Block] = []
-    links = 0
+    marks: list[int] = []
+    stack = _Stack()
     block: _Block | None = None
     raw = ""
 
     def text(value: str) -> None:
         nonlocal block
-        top = stack[-1] if stack else ("", "", False, False, ())
+        top = stack.items[-1]
         if block is None:
-            at = top if top[0] not in INLINE else next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False, ()))
-            block = _Block(at[1], top[2], at[3], len(paths), at[4])
+            at = top.block
+            block = _Block(at.path, top.dropped, at.main, len(paths), at.mark)
             blocks.append(block)
-        elif block.state != top[2]:
-            block = _Block(block.path, top[2], block.main, len(paths), block.marks)
+        elif block.state != top.dropped:
+            block = _Block(block.path, top.dropped, block.main, len(paths), block.mark)
             blocks.append(block)
         block.parts.append(value)
-        if links:
+        if stack.links:
             block.linked += len(value)
 
     for match in _TOKEN.finditer(source):
@@ -125,24 +173,18 @@ def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, b
                 raw = ""
             continue
         if closing:
-            if stack and stack[-1][0] == name:
-                stack.pop()
-                links -= name == "a"
-                if name not in INLINE:
+            at = stack.last((name,))
+            if at and (name not in INLINE or at == len(stack.items) - 1):
+                # A block element ends what is open in it; an inline one only itself.
+                if stack.items[-1].blocks > stack.items[at].blocks or name not in INLINE:
                     block = None
-                continue
-            if name in ("p", "br") and not any(s[0] == name for s in stack):
-                block = None
-                continue
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None:
-                if any(s[0] not in INLINE for s in stack[at:]):
+                stack.cut(at)
+            elif at:
+                if stack.items[-1].blocks > stack.items[at].blocks:
                     block = None
-                links -= sum(s[0] == "a" for s in stack[at:])
-                # A block element ends what is open in it; an inline one only itself.
-                stack[at:] = stack[at + 1 :] if name in INLINE else []
-                if name in INLINE and at < len(stack):
-                    links += sum(s[0] == "a" for s in stack[at:])
+                stack.close(at)
+            elif name in ("p", "br"):
+                block = None
             continue
         if name == "br" or name == "hr":
             if block is not None and name == "br":
@@ -154,21 +196,24 @@ def read_page(source: str) -> tuple[list[str], list[tuple[str, str, int, bool, b
             continue
         if name not in INLINE:
             block = None
-            ends = _ENDS.get(name)
-            at = ends and stack and next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ends), None)
-            if isinstance(at, int) and not any(s[0] in ("table", "ul", "ol", "dl") for s in stack[at + 1 :]):
-                links -= sum(s[0] == "a" for s in stack[at:])
-                del stack[at:]
-        up = stack[-1] if stack else ("", "", False, False, ())
-        path, dropped, main, marked = _element(name, rest, up[1], up[2], up[3])
-        alone = rest.endswith("/")
-        if name in RAW and not alone:
+            at = stack.last(_ENDS.get(name, ()))
+            if at and stack.last(("table", "ul", "ol", "dl")) <= at:
+                stack.cut(at)
+        if name in RAW and not rest.endswith("/"):
             raw = name
             continue
-        paths.append(path)
-        stack.append((name, path, dropped, main, (*up[4], len(paths)) if marked else up[4]))
-        links += name == "a"
-    return paths, [(b.path, t, min(b.linked, len(t)), b.state, b.main, b.at, b.marks) for b in blocks if (t := " ".join(html.unescape("".join(b.parts)).split()))]
+        up = stack.items[-1]
+        label, role, hidden, marked, marked_inside = _attributes(name, rest)
+        dropped = up.dropped or hidden or role in ROLES or (name in DROPPED and not (name == "header" and up.main))
+        main = up.main or ((name in MAIN or role == "main") and not dropped)
+        mark = up.mark
+        paths.append(_path(up.path, name, label))
+        if marked_inside if up.main else marked:
+            mark = len(marks)
+            marks.append(up.mark)
+        inline = name in INLINE
+        stack.push(_Open(name, paths[-1], dropped, main, mark, up.block if inline else None, up.blocks + (not inline)))
+    return paths, [(b.path, t, min(b.linked, len(t)), b.state, b.main, b.at, b.mark) for b in blocks if (t := " ".join(html.unescape("".join(b.parts)).split()))], marks
 
 
 def _h(*parts) -> int:
@@ -193,7 +238,7 @@ def text_tokens(blocks: list[tuple]) -> list[int]:
 
 def page_tokens(source: str) -> list[tuple[int, int, bool]]:
     """The template tokens of a page in page order: (token, first token of its path, whether it is a text)."""
-    paths, blocks = read_page(source)
+    paths, blocks, _ = read_page(source)
     seen: Counter = Counter()
     out = [(_h("e", "", 1), _h("e", "", 1), False)]
     texts = list(zip(blocks, text_tokens(blocks), strict=True))[::-1]
@@ -225,30 +270,26 @@ def _crossed(places: dict[int, list[int]], pages: dict[int, int]) -> set[int]:
 def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, token, class): the fixed text tokens of each host's template.
 
-    The first pass emits, for each batch of pages, a row for each (host, token): the additive
-    fingerprint of its pages and their number. Rows are summed by (host, token), then tokens are
-    put in classes by (host, fingerprint). The second pass reads the pages of hosts with a fixed
-    text again and takes each token's place within its class, and classes that cross; a token
-    keeps order if its place is the same on all pages. All classes with a fixed text are listed
-    for each host; a fixed text stands in half of its path's pages, so that they stay few.
+    Pages are read once, to a written table of their tokens. Tokens are summed by (host, token):
+    the additive fingerprint of their pages, in two halves of 32 bits, and their number; then they
+    are put in classes by (host, fingerprint). Of hosts with a fixed text, each token's place
+    within its class is taken on each page, and classes that cross; a token keeps order if its
+    place is the same on all pages. All classes with a fixed text are listed for each host: a
+    fixed text stands in half of its path's pages, so there are at most two for each numbered path
+    of the host, whatever the number of its pages.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict = {}
-            for page, url, source in zip(batch["id"], batch["url"], batch["html"], strict=True):
-                host, mark = host_of(url), _h(page, url)
-                for token, under, text in page_tokens(source):
-                    s = sums.setdefault((host, token), [under, text, 0, 0])
-                    s[2], s[3] = s[2] + mark, s[3] + 1
-            signed = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
-            yield pd.DataFrame([(h, t, s[0], s[1], signed(s[2]), s[3]) for (h, t), s in sums.items()], columns=["host", "token", "under", "text", "print", "pages"])
-
-    parts = rows.mapInPandas(count, "host string, token long, under long, text boolean, print long, pages long")
-    # Decimals add without overflow; the fingerprint is their sum modulo 2^64.
-    tokens = parts.groupBy("host", "token").agg(F.expr("pmod(sum(CAST(print AS DECIMAL(38,0))), 18446744073709551616BD)").alias("print"), F.sum("pages").alias("pages"), F.first("under").alias("under"), F.first("text").alias("text"))
+            found = [page_tokens(source) for source in batch["html"]]
+            yield pd.DataFrame({"host": [host_of(u) for u in batch["url"]], "mark": [_h(i, u) for i, u in zip(batch["id"], batch["url"], strict=True)], **{c: [[t[k] for t in f] for f in found] for k, c in enumerate(("token", "under", "text"))}})
+
+    known = written(rows.mapInPandas(read, "host string, mark long, token array<long>, under array<long>, text array<boolean>"))
+    each = known.select("host", "mark", F.explode(F.arrays_zip("token", "under", "text")).alias("t")).select("host", "mark", "t.*")
+    low, high = F.sum(F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned("mark", 32))
+    tokens = each.groupBy("host", "token").agg(F.xxhash64(low, high).alias("print"), F.count("*").alias("pages"), F.first("under").alias("under"), F.first("text").alias("text"))
     tokens = written(tokens.where(F.col("pages") >= MIN_PAGES).withColumn("class", F.xxhash64("print", "pages")).drop("print"))
     under = tokens.where("NOT text").select("host", F.col("token").alias("under"), F.col("pages").alias("of"))
     fixed = tokens.where("text").join(under, ["host", "under"]).where(F.col("pages") >= VARIES * F.col("of")).select("host", "token", F.lit(True).alias("fixed"))
@@ -262,23 +303,23 @@ def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             hosts: dict = {}
             got: dict = {}
-            for host, source, token, cls, n in zip(batch["t_host"], batch["html"], batch["token"], batch["class"], batch["pages"], strict=True):
+            for host, tokens, of_token, cls, n in zip(batch["t_host"], batch["tokens"], batch["token"], batch["class"], batch["pages"], strict=True):
                 if host not in hosts:
-                    hosts[host] = dict(zip(map(int, token), map(int, cls), strict=True)), dict(zip(map(int, cls), map(int, n), strict=True))
+                    hosts[host] = dict(zip(map(int, of_token), map(int, cls), strict=True)), dict(zip(map(int, cls), map(int, n), strict=True))
                 of, support = hosts[host]
                 places: dict = defaultdict(list)
                 ranks = []
-                for at, (t, *_) in enumerate(page_tokens(source)):
+                for at, t in enumerate(map(int, tokens)):
                     if t in of:
                         ranks.append((t, len(places[of[t]])))
                         places[of[t]].append(at)
                 crossed = _crossed(places, support)
                 for t, rank in ranks:
-                    low, high, bad = got.get((host, t), (rank, rank, False))
-                    got[host, t] = min(low, rank), max(high, rank), bad or of[t] in crossed
+                    first, last, bad = got.get((host, t), (rank, rank, False))
+                    got[host, t] = min(first, rank), max(last, rank), bad or of[t] in crossed
             yield pd.DataFrame([(*k, *v) for k, v in got.items()], columns=["host", "token", "low", "high", "crossed"])
 
-    again = rows.withColumn("t_key", _host_column("url")).join(listed, F.col("t_key") == F.col("t_host")).select("t_host", "html", "token", "class", "pages")
+    again = known.select("host", F.col("token").alias("tokens")).join(listed, F.col("host") == F.col("t_host")).select("t_host", "tokens", "token", "class", "pages")
     seen = again.mapInPandas(order, "host string, token long, low long, high long, crossed boolean")
     good = seen.groupBy("host", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("crossed").alias("crossed")).where("low = high AND NOT crossed").select("host", "token")
     kept = written(members.join(good, ["host", "token"]))
@@ -293,20 +334,26 @@ def extract_main(source: str, fixed: set[str] | None = None) -> str:
     what is left in it is the main text; without one, all that is not mostly links. An article
     with nothing but fixed text stays whole: its page is a copy, and no template.
 
-    An element whose name marks boilerplate is dropped if what is left in it is mostly links, or
+    An element whose name marks boilerplate, or a form, is dropped if what is left in it is mostly links, or
     less than half of what the page has left without links; one that holds more is its content.
     """
-    _, blocks = read_page(source)
+    _, blocks, marks = read_page(source)
     cut = {b for b, t in enumerate(text_tokens(blocks)) if t in fixed} if fixed else ()
-    own, size, linked = 0, Counter(), Counter()
+    own, size, linked = 0, [0] * len(marks), [0] * len(marks)
     for k, b in enumerate(blocks):
         if not b[3] and k not in cut:
             own += len(b[1]) - b[2]
-            for mark in b[6]:
-                size[mark] += len(b[1])
-                linked[mark] += b[2]
-    content = {m for m, n in size.items() if linked[m] < VARIES * n and n - linked[m] >= VARIES * own}
-    left = [(k, b) for k, b in enumerate(blocks) if not b[3] and content.issuperset(b[6])]
+            if b[6] >= 0:
+                size[b[6]] += len(b[1])
+                linked[b[6]] += b[2]
+    for m in range(len(marks) - 1, -1, -1):  # an element has a higher number than the one around it
+        if marks[m] >= 0:
+            size[marks[m]] += size[m]
+            linked[marks[m]] += linked[m]
+    kept: list[bool] = []
+    for m, up in enumerate(marks):
+        kept.append(linked[m] < VARIES * size[m] and size[m] - linked[m] >= VARIES * own and (up < 0 or kept[up]))
+    left = [(k, b) for k, b in enumerate(blocks) if not b[3] and (b[6] < 0 or kept[b[6]])]
     inside = [b for _, b in left if b[4]]
     open_slots = [b for k, b in left if k not in cut]
     if inside:
