@@ -66,8 +66,10 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     a set-similarity join: a text block is a line, or, of a longer line, each window of `block`
     words at every half window; a template matches a block that holds at least `threshold` of
     its distinct words. With across_lines, the windows of the whole text, whose words run on over
-    line ends, are blocks besides the lines. Templates may hold up to block / 2 words, so that any
-    stretch of a line, or with across_lines of the text, as long as a template lies whole in some block.
+    line ends, are blocks besides the lines. Templates of over block / 2 words, of any length, meet
+    windows of a size of their own, the least doubling of block that is twice as long, so that any
+    stretch of a line, or with across_lines of the text, as long as a template lies whole in some
+    block.
 
     With distinct, a template that holds its label's distinguishing words matches only if the
     block holds them too and they stand consecutively in the text, not followed by a word that
@@ -85,8 +87,7 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     they are, an empty table gives no rows, other columns are ignored.
     """
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    if any(len(text.split()) > block // 2 for _, text in templates):
-        raise ValueError("a template is longer than half a block")
+    window = [next(block << k for k in range(32) if len(text.split()) <= (block << k) // 2) for _, text in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
@@ -94,11 +95,12 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     seen = base.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("(" + _alternation(vocabulary) + ")"), F.lit(1)), ascii_lower))).alias("w"))
     frequency = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # one row for each template word at most
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    index, prefix_words, least = [], set(), min(_need(len(words), threshold) for _, words in sets)
+    index, prefix_words, least = [], set(), {}
     for t, (label, words) in enumerate(sets):
         ranked, need = sorted(words, key=order.get), _need(len(words), threshold)
+        least[window[t]] = min(need, least.get(window[t], need))
         for at, w in enumerate(ranked[: len(words) - need + 1]):
-            index.append((w, at, t, label, len(words), need, ranked))
+            index.append((w, at, t, label, len(words), need, ranked, window[t]))
             prefix_words.add(w)
 
     gate = _alternation(sorted(prefix_words | {p.split()[0] for p, _ in phrases}))
@@ -122,18 +124,25 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple
     lone = scanned.withColumns(columns).withColumn("base", F.when(F.col("flat").isNotNull(), places)).withColumn("base_set", F.when(F.col("flat").isNotNull(), named))
 
     # Blocks: lines, and half-overlapping windows of longer ones, as sets of template words in global order.
-    half = block // 2
     ranks = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
-    cut = lambda ws: F.when(F.size(ws) <= block, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((F.size(ws) - block) / half).cast("int")), lambda i: F.slice(ws, i * half + 1, F.lit(block))))
     to_set = lambda ws: F.array_sort(F.array_distinct(F.filter(F.transform(ws, lambda w: ranks[w]), lambda r: r.isNotNull())))
-    blocks = F.flatten(F.transform("words", cut))
-    if across_lines:
-        blocks = F.when(F.size("lines") > 1, F.concat(blocks, cut(F.col("flat")))).otherwise(blocks)
-    sets_of = F.array_distinct(F.filter(F.transform(blocks, to_set), lambda s: F.size(s) >= least))
+
+    def cut(size: int):
+        half = size // 2
+        return lambda ws: F.when(F.size(ws) <= size, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((F.size(ws) - size) / half).cast("int")), lambda i: F.slice(ws, i * half + 1, F.lit(size))))
+
+    def block_sets(size: int, fewest: int) -> Column:
+        """Sets of one size of block, with that size and the fewest words that any of its templates needs."""
+        lines, whole = F.flatten(F.transform("words", cut(size))), cut(size)(F.col("flat"))
+        blocks = lines if not across_lines else whole if size > block else F.when(F.size("lines") > 1, F.concat(lines, whole)).otherwise(lines)
+        found = F.array_distinct(F.filter(F.transform(blocks, to_set), lambda s: F.size(s) >= fewest))
+        return F.transform(found, lambda s: F.struct(F.lit(size).alias("block"), F.lit(fewest).alias("least"), s.alias("words")))
+
+    sets_of = F.concat(*[block_sets(size, fewest) for size, fewest in sorted(least.items())])
     keys = {label: words for label, (words, _) in (distinct or {}).items()}
     tells = lambda words, never: lambda s: _all([stands(words.split())(s), F.coalesce(~at(s["i"], len(words.split())).isin(*never), F.lit(True)) if never else F.lit(True)])
     told = F.filter(F.array(*[F.when(F.exists(starts, tells(*d)), F.lit(label)) for label, d in distinct.items()]), lambda x: x.isNotNull()) if distinct else F.array().cast("array<string>")
-    return _joined(lone.withColumn("sets", sets_of).withColumn("told", F.when(F.size("sets") > 0, told)), index, order, least, id_col, keys)
+    return _joined(lone.withColumn("sets", sets_of).withColumn("told", F.when(F.size("sets") > 0, told)), index, order, id_col, keys)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -143,15 +152,15 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _joined(lone: DataFrame, index: list, order: dict, least: int, id_col: str, keys: dict[str, str]) -> DataFrame:
+def _joined(lone: DataFrame, index: list, order: dict, id_col: str, keys: dict[str, str]) -> DataFrame:
     spark = lone.sparkSession
-    schema = "w int, t_at int, t int, label string, t_n int, need int, t_set array<int>, key array<int>"
+    schema = "w int, t_at int, t int, label string, t_n int, need int, t_set array<int>, key array<int>, block int"
     key = lambda label, ranked: [order[x] for x in keys[label].split()] if label in keys and set(keys[label].split()) <= set(ranked) else None
-    small = spark.createDataFrame([(order[w], at, t, label, n, need, [order[x] for x in ranked], key(label, ranked)) for w, at, t, label, n, need, ranked in index], schema)
+    small = spark.createDataFrame([(order[w], at, t, label, n, need, [order[x] for x in ranked], key(label, ranked), size) for w, at, t, label, n, need, ranked, size in index], schema)
     kept = checkpointed(lone.select("id", "n_words", "base", "base_set", "sets", "told").withColumn("row", F.monotonically_increasing_id()))
-    blocks = kept.where(F.size("sets") > 0).select("row", "told", F.explode("sets").alias("b_set"))
-    heads = blocks.select("row", "told", "b_set", F.posexplode(F.slice("b_set", 1, F.size("b_set") - least + 1)).alias("b_at", "w"))
-    pairs = heads.join(F.broadcast(small), "w")  # one row for each prefix word of the templates
+    blocks = kept.where(F.size("sets") > 0).select("row", "told", F.explode("sets").alias("s")).select("row", "told", "s.block", "s.least", F.col("s.words").alias("b_set"))
+    heads = blocks.select("row", "told", "block", "b_set", F.posexplode(F.slice("b_set", F.lit(1), F.size("b_set") - F.col("least") + 1)).alias("b_at", "w"))
+    pairs = heads.join(F.broadcast(small), ["w", "block"])  # one row for each prefix word of the templates
     pairs = pairs.where((F.size("b_set") >= F.col("need")) & (1 + F.least(F.size("b_set") - F.col("b_at") - 1, F.col("t_n") - F.col("t_at") - 1) + F.least("b_at", "t_at") >= F.col("need")))
     pairs = pairs.where(F.col("key").isNull() | (F.array_contains("told", F.col("label")) & (F.size(F.array_except("key", "b_set")) == 0)))
     share = F.size(F.array_intersect("b_set", "t_set"))

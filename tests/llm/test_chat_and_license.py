@@ -44,21 +44,27 @@ def scan(spark, texts):
     return {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)).collect()}
 
 
-def brute(text):
+def brute(text, across=False, templates=license_scan.TEMPLATES, size=64):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     hits = [(i, label) for p, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     more, share = set(), 0.0
+    cut = lambda w, n: [w] if len(w) <= n else [w[k : k + n] for k in range(0, len(w) - n // 2, n // 2)]
+    blocks = []
     for line in (text or "").split("\n"):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-        blocks = [w] if len(w) <= 64 else [w[k : k + 64] for k in range(0, len(w) - 32, 32)]
-        for block in blocks:
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split())
-                if len(t & set(block)) >= 0.8 * len(t) - 1e-9:
-                    more.add(label)
-                    share = max(share, len(t & set(block)) / len(t))
+        blocks += cut(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low), size)
+    if across and "\n" in (text or ""):
+        blocks += cut(words, size)
+    for label, template in templates:
+        t = set(template.split())
+        fits = size
+        while len(template.split()) > fits // 2:
+            fits *= 2
+        for block in blocks if fits == size else cut(words, fits):
+            if len(t & set(block)) >= 0.8 * len(t) - 1e-9:
+                more.add(label)
+                share = max(share, len(t & set(block)) / len(t))
     base = sorted({label for _, label in hits})
     at = [i for i, _ in hits]
     return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted(more | set(base))), 1.0 if base else share
@@ -107,3 +113,37 @@ def test_licenses_of_nearly_the_same_words(spark):
     got = scan_whole(spark, list(want), distinct=license_scan.DISTINCT)
     assert {t: got[i].labels for i, t in enumerate(want)} == want
     assert scan(spark, list(want))[0].labels == "gpl,lgpl"  # by shared words alone
+
+
+def test_windows_against_brute_force(spark, sf_dir):
+    rows = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [t.replace(" ", "\n") for t in rows[:60]] + [f"{'a b c ' * 40}\n{t}" for _, t in license_scan.TEMPLATES]
+    got = scan_whole(spark, rows)
+    for i, text in enumerate(rows):
+        want = brute(text, across=True)
+        assert (got[i].n_words, got[i].n_base, got[i].labels) == (want[0], want[1], want[5]) and abs(got[i].score - want[6]) < 1e-9
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+
+
+def test_templates_of_any_length(spark):
+    whole = " ".join(re.findall("[a-z]+", MIT.lower()))
+    templates = (*license_scan.TEMPLATES, ("mit-text", whole), ("far", " ".join(f"w{k}" for k in range(700))))
+    texts = [MIT, "x y z " * 300 + MIT + " tail" * 500, MIT[:300], "x y z " * 300 + " ".join(f"w{k}" for k in range(100, 700)), "\n".join(f"w{k}" for k in range(200, 700))]
+    got = scan_whole(spark, texts, templates=templates)
+    assert ["mit-text" in got[i].labels.split(",") for i in range(5)] == [True, True, False, False, False]
+    assert ["far" in got[i].labels.split(",") for i in range(5)] == [False, False, False, True, False]
+    for i, text in enumerate(texts):
+        want = brute(text, True, templates)
+        assert (got[i].labels, round(got[i].score, 9)) == (want[5], round(want[6], 9))
+
+
+def test_long_conversation(spark):
+    rows = [(1, k, ("user", "assistant")[k // 3 % 2], f"turn {k} </s>") for k in range(1500)]
+    got = parse_chats(format_chats(frame(spark, rows))).first()
+    assert [(t.role, t.text) for t in got.turns] == [r[2:] for r in rows] and got.loss_texts == [r[3] for r in rows if r[2] == "assistant"]
