@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm._base import shared_dir, table, written
 from tessella.llm.chat_format import digest_chats, format_chats
@@ -42,15 +43,25 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are loaded under two tokenizer versions, those labelled toxic are withdrawn, and both batches are committed twice."""
-    docs = table(spark, sf_dir, "documents")
-    counts = written(count_tokens(docs).unionByName(count_words(docs)))
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    changes = {"load": signed(inserted=counts), "withdraw": signed(deleted=counts.join(toxic, "doc_id", "left_semi"))}
+    """All documents are loaded under two tokenizer versions, those of quality 0 have their digits
+    redacted and are counted again, and those labelled toxic are withdrawn. Each batch is committed
+    twice, and the deltas are folded before the totals are read."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    both = lambda d: count_tokens(d).unionByName(count_words(d))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    counts = written(both(docs))
+    redacted = both(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", "")))
+    changes = {
+        "load": signed(inserted=counts),
+        "redact": signed(revised=(counts.join(poor, "doc_id", "left_semi"), redacted)),
+        "withdraw": signed(deleted=counts.join(toxic, "doc_id", "left_semi")),
+    }
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup/{uuid.uuid4().hex}")
     for _ in range(2):
         for batch, rows in changes.items():
             rollup.commit(batch, rows)
+    rollup.fold()
     return rollup.totals()
 
 

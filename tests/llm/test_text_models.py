@@ -56,6 +56,20 @@ def test_quality_edges(spark, model):
     assert all(r.score == 0.5 for r in quality_crf.score_quality(docs, none).collect())
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_crf, "fit", lambda read: seen.append([(len(n), y) for _, n, y in read]))
+    ids = [i for i in range(400) if not quality_crf.held_out(i)][:100]
+    docs = spark.createDataFrame([(i, "line\n" * 9, "s", "l", 0.0, 1) for i in ids] + [(ids[0], "again", "s", "l", 0.0, 1)] * 50 + [(None, "x", "s", "l", 0.0, 1)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(None, 1)], "doc_id long, quality int")
+    quality_crf.train(docs, labels)
+    quality_crf.train(docs, labels, max_docs=7)
+    quality_crf.train(docs, labels, max_lines=205)
+    quality_crf.train(docs, labels, max_chars=10)
+    assert [len(s) for s in seen[:2]] == [100, 7] and 190 <= sum(n for n, _ in seen[2]) <= 205
+    assert seen[3] == [(1, ids[0] % 2)]
+
+
 # -- pieces
 
 
@@ -134,10 +148,73 @@ def test_rollup_batches(spark, tmp_path):
     old = words.where("doc_id = 1")
     rollup.commit("fix", token_rollup.signed(deleted=gone, revised=(old, old.withColumn("tokens", F.lit(10).cast("long")))))
     assert state() == {("a", "en", "words"): (1, 10), (None, "en", "words"): (2, 4)}
-    (tmp_path / "r" / "batch=broken").mkdir()
-    assert state() == {("a", "en", "words"): (1, 10), (None, "en", "words"): (2, 4)}
+    (tmp_path / "r" / "_staged" / "broken").mkdir()
+    want = {("a", "en", "words"): (1, 10), (None, "en", "words"): (2, 4)}
+    assert state() == want
     with pytest.raises(ValueError):
         rollup.commit("../x", words)
+    rollup.fold()
+    assert state() == want and not rollup.commit("load", token_rollup.signed(inserted=words)) and state() == want
+    assert rollup.commit("more", token_rollup.signed(inserted=gone)) and state() == want | {("a", None, "words"): (1, 0)}
+    rollup.fold()
+    assert rollup._folders("batch") == ["more"] and not rollup.commit("fix", token_rollup.signed(deleted=gone))
+    assert state() == want | {("a", None, "words"): (1, 0)}
+    # A second writer that has looked before the first one was done.
+    assert rollup._put(*staged(tmp_path, "late")) and not rollup._put(*staged(tmp_path, "late"))
+
+
+def staged(tmp_path, batch):
+    folder = f"_staged/{batch}-{len(list((tmp_path / 'r' / '_staged').iterdir()))}"
+    (tmp_path / "r" / folder).mkdir()
+    return folder, f"batch={batch}"
+
+
+def test_rollup_folds_by_itself(spark, tmp_path):
+    words = token_rollup.count_words(spark.createDataFrame([(1, "one two", "a", "en", 0.0, 1)], DOCS))
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"), pending=2)
+    for k in range(7):
+        assert rollup.commit(f"b{k}", token_rollup.signed(inserted=words))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "words", 7, 14)] and len(rollup._folders("batch")) <= 4
+    assert not any(rollup.commit(f"b{k}", token_rollup.signed(inserted=words)) for k in range(7))
+
+
+def test_counting_edges(spark):
+    frame = spark.createDataFrame([(1, None, None, None, 0.0, 1), (2, "", "a", "en", 0.0, 1), (2, "", "a", "en", 0.0, 1), (None, " " * 1_200_000 + "x", "a", "en", 0.0, 1)], DOCS).withColumn("tokens", F.lit("x")).withColumn("version", F.lit(1))
+    got = [(r.doc_id, r.version, r.tokens) for r in token_rollup.count_tokens(frame).collect()]
+    assert sorted(got[:3]) == [(1, "byte_bpe_50k", 0), (2, "byte_bpe_50k", 0), (2, "byte_bpe_50k", 0)] and got[3][2] > 1000
+    assert token_rollup.count_tokens(frame.limit(0)).count() == 0 and token_rollup.count_words(frame).count() == 4
+
+
+def reference_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", [" " * 20_000 + "x", "a" + " " * 20_000, "a\n" + "\t " * 9000 + "\n1", "\u3000" * 12_000 + "b" + " " * 10_001 + "!" + "\n" * 10_000, "ab" * 50_000, " " * 10_000])
+def test_long_runs_are_counted_whole(text):
+    with open(token_rollup.BPE_RANKS, "rb") as f:
+        encoding = token_rollup._encoding(f.read())
+    assert token_rollup.tokens_of(text, encoding) == reference_tokenizer()(text)
+
+
+def test_rollup_query_by_brute_force(spark, sf_dir):
+    from tessella.llm.queries import op6_token_rollup
+
+    count, words = reference_tokenizer(), lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    toxic, poor = {r.doc_id for r in labels if r.toxic == 1}, {r.doc_id for r in labels if r.quality == 0}
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = re.sub("[0-9]+", "", r.text) if r.doc_id in poor else r.text
+        for version, n in (("byte_bpe_50k", count(text)), ("words", words(text))):
+            if r.doc_id not in toxic:
+                at = (r.source, r.lang, version)
+                d, t = want.get(at, (0, 0))
+                want[at] = d + 1, t + n
+    assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in op6_token_rollup(spark, sf_dir).collect()} == want and toxic and poor - toxic
 
 
 def test_token_counts_against_the_tokenizer(spark, sf_dir):
@@ -204,6 +281,24 @@ def test_template_keeps_order_and_nests(spark):
     assert crossed({1: [0, 1], 2: [2, 3]}, {1: 9, 2: 5}) == set()
 
 
+def test_no_form_or_name_drops_an_article():
+    main = html_extract.extract_main
+    assert main("<body><form action=/><article><h1>Title</h1><p>All of the page is in a form.</p><form><label>Your name</label></form></article></form>") == "Title All of the page is in a form."
+    assert main("<div class='layout has-sidebar'><article><p>Text of the article</p></article><div class=sidebar>Links</div></div>") == "Text of the article"
+    assert main("<article><p>Some text of it</p><div class=adsbygoogle>Buy now</div></article>") == "Some text of it"
+
+
+@pytest.mark.parametrize("deep", ["<div>{}" * 60_000, "<div class=notice>{}" * 60_000, "<b>{}<i>" * 30_000, "<li>{}" * 30_000 + "</x></b>" * 30_000, "<b>" * 30_000 + "<div>{}" * 30_000 + "</b>" * 30_000, "<p>{}<table>" * 20_000])
+def test_deep_pages_take_linear_time(deep):
+    import time
+
+    t = time.perf_counter()
+    text = html_extract.extract_main(deep.replace("{}", "x").replace("{}", ""))
+    assert time.perf_counter() - t < 8 and set(text) <= {"x", " "}
+    paths, blocks, marks = html_extract.read_page(deep.replace("{}", "word "))
+    assert len(blocks) and len(html_extract.page_tokens(deep.replace("{}", "word "))) == len(paths) + len(blocks) + 1
+
+
 def test_names_need_evidence():
     main = html_extract.extract_main
     assert main("<body><div class='post type-post tag-news'><p>A whole article of some length.</p><div class=share><a href=/>Tweet this</a></div></div></body>") == "A whole article of some length."
