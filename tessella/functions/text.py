@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # Character ranges and patterns.
 CJK = r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}"
-TOKEN = rf"[{CJK}]|[\p{{IsLatin}}\p{{IsGreek}}\p{{IsCyrillic}}\p{{N}}_]+"
+WORD_CHAR = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{N}_]"
+TOKEN = rf"[{CJK}]|{WORD_CHAR}+"
 TITLE_TOKEN = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]|[a-z0-9]{2,}"
 
 

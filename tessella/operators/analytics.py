@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
+from tessella.storage import written
 
 DONE = ("confirmed", "locked", "completed")
 
@@ -118,10 +119,22 @@ def segmentation_metrics(segments: DataFrame, atom_counts: DataFrame) -> DataFra
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: int = 95) -> DataFrame:
-    """The exact nearest-rank percentile of each group, by rank in a window (no list of the group is built)."""
-    w = W.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value), F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))).select(*keys, F.col(value).alias(f"p{percent}"))
+    """The exact nearest-rank percentile of each group.
+
+    Ranks are found in two levels, so that no group is sorted in one task: rows are range
+    partitioned by group and value, the counts of each part tell which part holds the wanted
+    rank, and only that one is ranked.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value))
+    dealt = written(written(held).repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    order = W.partitionBy(*keys).orderBy("_part")
+    parts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_upto", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("_all") * percent / 100))
+    here = parts.where((wanted <= F.col("_upto")) & (wanted > F.col("_upto") - F.col("_n"))).withColumn("_at", wanted - F.col("_upto") + F.col("_n"))
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in [*keys, "_part"]]
+    mine = dealt.join(here, same(dealt, here)).select(*[dealt[k] for k in keys], dealt[value], "_at", F.row_number().over(W.partitionBy(*[dealt[k] for k in [*keys, "_part"]]).orderBy(dealt[value])).alias("_k"))
+    return mine.where(F.col("_k") == F.col("_at")).select(*keys, F.col(value).alias(f"p{percent}"))
 
 
 def ewma(values: Column, alpha: float = 0.2) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators.matching import holding
+from tessella.storage import written
+
 
 def segment_texts(atoms: DataFrame, segments: DataFrame) -> DataFrame:
     """(doc_id, segment, text): the atoms of each segment in order. An interval join within the document.
@@ -43,15 +46,11 @@ def document_detail(documents: DataFrame, chunks: DataFrame, tags: DataFrame) ->
 def cross_references(entries: DataFrame, references: DataFrame) -> DataFrame:
     """Typed links (from_id, to_id, relation) of references (from_title, to_title, relation) to entries whose titles hold them.
 
-    Of several entries the one of least id; a reference to itself or to nothing is dropped. The
-    references of one extraction are few and are broadcast after a count.
+    Of several entries the one of least id; a reference to itself or to nothing is dropped.
     """
-    from tessella.operators.graph import MOST_ASKED
-
-    if references.limit(MOST_ASKED + 1).count() > MOST_ASKED:
-        raise ValueError(f"more than {MOST_ASKED} references at once")
-    asked = F.broadcast(references.select(F.explode(F.array("from_title", "to_title")).alias("asked")).distinct())
-    found = entries.join(asked, F.contains(F.lower("title"), F.lower("asked"))).groupBy("asked").agg(F.min("id").alias("id"))
+    asked = references.select(F.explode(F.array("from_title", "to_title")).alias("asked")).distinct().withColumn("low", F.lower("asked"))
+    named = entries.select("id", F.lower("title").alias("title"))
+    found = written(holding(named, asked, "title", "low").groupBy("asked").agg(F.min("id").alias("id")))
     a, b = found.select(F.col("asked").alias("from_title"), F.col("id").alias("from_id")), found.select(F.col("asked").alias("to_title"), F.col("id").alias("to_id"))
     return references.join(a, "from_title").join(b, "to_title").where("from_id <> to_id").select("from_id", "to_id", "relation").distinct()
 

@@ -11,11 +11,13 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
 
 K1, B = 1.2, 0.75
-_PY_TOKEN = re.compile(r"[぀-ヿ一-鿿]|(?:(?![぀-ヿ一-鿿])\w)+")
+_CJK = "぀-ヿ一-鿿"
+_PY_TOKEN = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])\w)+")
 
 
 def query_groups(query: str) -> list[list[str]]:
@@ -47,9 +49,14 @@ def bm25_rank(docs: DataFrame, query: str, id_col: str, columns: list[str]) -> D
     terms = list(dict.fromkeys(t for g in groups for t in g))
     if not terms:
         return docs.select(F.col(id_col), F.lit(0).alias("length"), F.lit(0.0).alias("rank")).limit(0)
-    words = tx.tokens(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    counted = docs.select(F.col(id_col), words.alias("w")).select(id_col, F.size("w").alias("length"), *[F.size(F.filter("w", _equals(t))).alias(f"f{k}") for k, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("corpus_n"), F.avg("length").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    low = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    seen = docs.select(F.col(id_col), low.alias("t"))
+    # Totals are one pass that counts tokens; the second one counts in texts that hold a term at all.
+    stats = seen.agg(F.count("*").alias("corpus_n"), F.avg(F.regexp_count("t", F.lit(tx.TOKEN))).alias("avgdl"), *[F.count_if(_stands("t", t)).alias(f"df{k}") for k, t in enumerate(terms)])
+    some = F.lit(False)
+    for t in terms:
+        some = some | F.contains("t", F.lit(t))
+    counted = seen.where(some).select(id_col, F.regexp_count("t", F.lit(tx.TOKEN)).alias("length"), *[F.when(F.contains("t", F.lit(t)), F.regexp_count("t", F.lit(_whole(t)))).otherwise(0).alias(f"f{k}") for k, t in enumerate(terms)])
     joined = counted.crossJoin(F.broadcast(stats))  # one row of totals
     ranked = joined.select(id_col, "length", _scored(counted, groups, terms, stats).alias("rank"), *[F.col(f"f{k}") for k in range(len(terms))])
     any_group = F.lit(False)
@@ -61,16 +68,24 @@ def bm25_rank(docs: DataFrame, query: str, id_col: str, columns: list[str]) -> D
     return ranked.where(any_group).select(id_col, "length", "rank")
 
 
-def _equals(value: str):
-    return lambda x: x == F.lit(value)
+def _whole(term: str) -> str:
+    """A pattern for the term as a whole token; one that is no token stands nowhere."""
+    if re.fullmatch(f"[{_CJK}]", term):
+        return term
+    return rf"(?<!{tx.WORD_CHAR})(?=(?:{tx.TOKEN})){term}(?!{tx.WORD_CHAR})"
+
+
+def _stands(text: str, term: str) -> Column:
+    return F.contains(text, F.lit(term)) & F.rlike(F.col(text), F.lit(_whole(term)))
 
 
 def keyword_search(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """A page of hits (id, rank, score): score is 1 for the best hit of the page, falling to 0 for its last, in two places."""
     page = bm25_rank(docs, query, id_col, columns or ["text"]).orderBy("rank", id_col).offset(offset).limit(limit)
-    span = page.agg(F.min("rank").alias("low"), (F.max("rank") - F.min("rank")).alias("span"))
-    score = 1 - (F.col("rank") - F.col("low")) / F.when(F.col("span") == 0, 1.0).otherwise(F.col("span"))
-    return page.crossJoin(F.broadcast(span)).select(id_col, "rank", tx.round_half_up(tx.clamp(score), 2).alias("score"))  # one row of bounds
+    every = W.partitionBy(F.lit(0))  # the rows of one page
+    low, high = F.min("rank").over(every), F.max("rank").over(every)
+    score = 1 - (F.col("rank") - low) / F.when(high == low, 1.0).otherwise(high - low)
+    return page.select(id_col, "rank", tx.round_half_up(tx.clamp(score), 2).alias("score"))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators.matching import holding
+from tessella.storage import written
+
 SEPARATOR = "<SEP>"
-#: Names of one evidence request; they are broadcast.
-MOST_ASKED = 10_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -41,16 +42,16 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 100) -> DataFrame:
     """(node, hops) within `depth` edges of the seeds (node), nearest first, then by degree; at most `most`.
 
-    One join for each hop; the frontier holds new nodes only, so no edge is followed twice.
+    One join for each hop; the frontier holds new nodes only, so no edge is followed twice. Each
+    frontier is written, so that its lineage does not grow with the hops.
     """
     ways = both_ways(edges)
-    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    frontier = seen.select("node")
+    seen = written(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    frontier = seen
     for hop in range(1, depth + 1):
-        near = ways.join(frontier.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select(F.col("other").alias("node")).distinct()
-        new = near.join(seen, "node", "left_anti")
-        seen = seen.union(new.withColumn("hops", F.lit(hop)))
-        frontier = new
+        near = ways.join(frontier.select(F.col("node").alias("at")), F.col("node") == F.col("at")).select(F.col("other").alias("node")).distinct()
+        frontier = written(near.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.union(frontier)
     ranked = seen.join(degrees(edges), "node", "left")
     return ranked.orderBy("hops", F.desc_nulls_last("degree"), "node").limit(most).select("node", "hops")
 
@@ -67,8 +68,9 @@ def core(edges: DataFrame, most: int = 50, least_degree: int = 2) -> DataFrame:
 
     If fewer than eight nodes (or all, of a smaller neighbourhood) are left, all of the neighbourhood stay.
     """
-    centre = popular(edges, 1).select("node")
-    near = neighbourhood(edges, centre, 2, most)
+    edges = written(edges.select("source", "target"))
+    centre = written(popular(edges, 1).select("node"))
+    near = written(neighbourhood(edges, centre, 2, most))
     inner = degrees(induced(edges, near))
     known = near.join(inner, "node", "left").join(centre.withColumn("centre", F.lit(True)), "node", "left").select("node", "hops", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("centre", F.lit(False)).alias("centre"))
     kept = (F.col("degree") >= least_degree) | F.col("centre")
@@ -120,10 +122,10 @@ def evidence(entities: DataFrame, wanted: DataFrame, most: int = 8) -> DataFrame
     held = entities.where(F.size("chunk_ids") > 0)
     # Names that are equal but for case are joined by equality; only names without one are searched for inside others.
     same = held.join(asked, name == low).withColumn("tier", F.when(F.col("name") == F.col("entity"), 0).otherwise(1))
-    left = asked.join(held.select(name.alias("n")).distinct(), low == F.col("n"), "left_anti")
-    if left.limit(MOST_ASKED + 1).count() > MOST_ASKED:
-        raise ValueError(f"more than {MOST_ASKED} names without an equal one asked for at once")
-    parts = held.join(F.broadcast(left), F.contains(name, low) | F.contains(low, name)).withColumn("tier", F.lit(2))
+    left = written(asked.join(held.select(name.alias("n")).distinct(), low == F.col("n"), "left_anti").select("entity", low.alias("low")))
+    names = held.select("name", "chunk_ids", name.alias("n"))
+    inside = holding(names, left, "n", "low").unionByName(holding(left, names, "low", "n"))
+    parts = inside.select("name", "chunk_ids", "entity").dropDuplicates(["entity", "name"]).withColumn("tier", F.lit(2))
     pairs = same.unionByName(parts)
     found = pairs.groupBy("entity").agg(F.min("tier").alias("best"))
     mine = pairs.join(found, "entity").where("tier = best").select("entity", "name", F.posexplode("chunk_ids").alias("at", "chunk_id"))
@@ -166,13 +168,20 @@ def health(folders: DataFrame, documents: DataFrame) -> DataFrame:
     return stale.union(missing)
 
 
-def depths(tree: DataFrame, most: int = 64) -> DataFrame:
-    """(id, depth) of a forest (id, parent_id); roots, and nodes whose parent is missing, have depth 0. Cycles stop at `most`."""
-    spark = tree.sparkSession
-    tree.select("id", "parent_id").createOrReplaceTempView("_tessella_tree")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, depth) AS (
-          SELECT id, 0 FROM _tessella_tree t WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM _tessella_tree p WHERE p.id = t.parent_id)
-          UNION ALL
-          SELECT t.id, w.depth + 1 FROM _tessella_tree t JOIN walk w ON t.parent_id = w.id WHERE w.depth < {most}
-        ) SELECT id, depth FROM walk""")
+def depths(tree: DataFrame) -> DataFrame:
+    """(id, depth) of a forest (id, parent_id) of any depth: 0 for roots, 1 below a parent that is missing; null on and below a cycle.
+
+    Pointer jumping: each round, every node points twice as far up, so that the rounds are the
+    logarithm of the depth.
+    """
+    nodes = tree.groupBy("id").agg(F.max("parent_id").alias("up"))
+    known = nodes.select(F.col("id").alias("k"))
+    # Nodes that point to nothing are done; a missing parent is a root of its own.
+    found = nodes.join(known, F.col("up") == F.col("k"), "left")
+    here = written(found.select("id", F.when(F.col("k").isNotNull(), F.col("up")).alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    last = -1
+    while (left := here.where("up IS NOT NULL").count()) and left != last:
+        last = left
+        above = here.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"))
+        here = written(here.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("a_up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
+    return here.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))

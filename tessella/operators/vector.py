@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
+from tessella.storage import written
 
 LEAST_SCORE = 0.25
 GRAPH_DIMENSIONS = 1536
@@ -35,10 +37,17 @@ def with_content(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def adjacent_similarity(rows: DataFrame, group: str, order: str, vector_col: str = "embedding") -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    nxt = F.lead(vector_col).over(W.partitionBy(group).orderBy(order))
-    return rows.withColumn("next", nxt).where("next IS NOT NULL").select(group, order, dot(F.col(vector_col), F.col("next")).alias("similarity"))
+    """(group, order, similarity) of each row with the next one of its group.
+
+    Rows are range partitioned by group and order, so that a hot group is not one task; the last
+    row of a part meets the first one of the group's next part.
+    """
+    dealt = written(written(rows.select(group, order, F.col(vector_col).alias("v"))).repartitionByRange(group, order).withColumn("part", F.spark_partition_id()))
+    inner = dealt.withColumn("next", F.lead("v").over(W.partitionBy(group, "part").orderBy(order)))
+    firsts = dealt.groupBy(group, "part").agg(F.min_by("v", order).alias("first"))
+    follows = firsts.select(F.col(group).alias("f_group"), F.col("part").alias("f_part"), F.lead("first").over(W.partitionBy(group).orderBy("part")).alias("after"))
+    met = inner.join(follows, F.col(group).eqNullSafe(F.col("f_group")) & (F.col("part") == F.col("f_part")))
+    return met.withColumn("next", F.coalesce("next", "after")).where("next IS NOT NULL").select(group, order, dot(F.col("v"), F.col("next")).alias("similarity"))
 
 
 def graph_allowed(dimensions: Column) -> Column:

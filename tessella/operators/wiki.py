@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
+from tessella.storage import written
 
 DUPLICATE = 0.45
 CONTENT_LIMIT = 3000
@@ -37,17 +38,26 @@ def dedupe_refs(refs: Column) -> Column:
 def best_titles(candidates: DataFrame, existing: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """(id, action, slug, score): each candidate (id, title) with the most similar existing title (slug, title).
 
-    Titles meet on shared tokens, so no pair without a common token is looked at. Ties go to the
-    smaller slug.
+    Titles meet on the first tokens of both in the order of their frequency (prefix filter): a
+    pair of a similarity of at least `threshold` shares one of them, and hot tokens come last.
+    The score is 0 where no title reaches the threshold. Ties go to the smaller slug.
     """
-    c = candidates.select("id", tx.title_tokens(F.col("title")).alias("t")).select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    e = existing.select("slug", tx.title_tokens(F.col("title")).alias("t")).select("slug", F.size("t").alias("m"), F.explode("t").alias("token"))
-    shared = c.join(e, "token").groupBy("id", "slug", "n", "m").agg(F.count("*").alias("k"))
-    scored = shared.select("id", "slug", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score"))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "slug")).alias("b"))
+    e = existing.select("slug", tx.title_tokens(F.col("title")).alias("t"))
+    c = candidates.select("id", tx.title_tokens(F.col("title")).alias("t"))
+    often = written(e.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+
+    def heads(rows: DataFrame, key: str, name: str) -> DataFrame:
+        ranked = rows.select(key, F.explode("t").alias("token")).join(often, "token", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+        tokens = ranked.select(key, F.transform("r", lambda x: x["token"]).alias(name))
+        n = F.size(name)
+        return tokens.withColumn("token", F.explode(F.slice(name, F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)))
+
+    k = F.size(F.array_intersect("x", "y"))
+    score = k / (F.size("x") + F.size("y") - k)
+    pairs = heads(c, "id", "x").join(heads(e, "slug", "y"), "token").select("id", "slug", score.alias("score")).where(F.col("score") >= threshold)
+    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "slug")).alias("b"))
     out = candidates.select("id").join(best, "id", "left").select("id", F.col("b.slug").alias("slug"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
-    hit = F.col("score") >= threshold
-    return out.select("id", F.when(hit, "update").otherwise("create").alias("action"), F.when(hit, F.col("slug")).alias("slug"), "score")
+    return out.select("id", F.when(F.col("slug").isNotNull(), "update").otherwise("create").alias("action"), "slug", "score")
 
 
 def unique_slugs(entries: DataFrame, user: str = "user_id") -> DataFrame:

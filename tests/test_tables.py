@@ -73,7 +73,10 @@ def test_graph_mutations(spark):
     n, e = graph.delete_entities(nodes, edges, spark.createDataFrame([("a",)], "id string"))
     assert rows(n, "id") == ["b", "c"] and e.count() == 1
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99)], "id long, parent_id long")
-    assert rows(graph.depths(tree), "id", "depth") == [(1, 0), (2, 1), (3, 2), (4, 0)]
+    assert rows(graph.depths(tree), "id", "depth") == [(1, 0), (2, 1), (3, 2), (4, 1)]
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000)], "id long, parent_id long")
+    got = {r.id: r.depth for r in graph.depths(chain).collect()}
+    assert got == {**{k: k for k in range(300)}, **dict.fromkeys(range(1000, 1004))} and graph.depths(chain.limit(0)).count() == 0
 
 
 def test_wiki_merge(spark):
