@@ -38,25 +38,26 @@ def dedupe_refs(refs: Column) -> Column:
 def best_titles(candidates: DataFrame, existing: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """(id, action, slug, score): each candidate (id, title) with the most similar existing title (slug, title).
 
-    Titles meet on the first tokens of both in the order of their frequency (prefix filter): a
-    pair of a similarity of at least `threshold` shares one of them, and hot tokens come last.
-    The score is 0 where no title reaches the threshold. Ties go to the smaller slug.
+    Titles of equal tokens are one on either side. They meet on the first tokens of both in the
+    order of their frequency (prefix filter): a pair of a similarity of at least `threshold`
+    shares one of them, and hot tokens come last. The score is 0 where no title reaches the
+    threshold. Ties go to the smaller slug.
     """
-    e = existing.select("slug", tx.title_tokens(F.col("title")).alias("t"))
-    c = candidates.select("id", tx.title_tokens(F.col("title")).alias("t"))
-    often = written(e.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    tokens = F.array_sort(tx.title_tokens(F.col("title")))
+    c = written(candidates.select("id", tokens.alias("x")))
+    e = written(existing.select("slug", tokens.alias("y")).groupBy("y").agg(F.min("slug").alias("slug")))
+    often = written(e.select(F.explode("y").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
 
-    def heads(rows: DataFrame, key: str, name: str) -> DataFrame:
-        ranked = rows.select(key, F.explode("t").alias("token")).join(often, "token", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
-        tokens = ranked.select(key, F.transform("r", lambda x: x["token"]).alias(name))
-        n = F.size(name)
-        return tokens.withColumn("token", F.explode(F.slice(name, F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)))
+    def heads(rows: DataFrame, name: str) -> DataFrame:
+        ranked = rows.withColumn("token", F.explode(name)).join(often, "token", "left").groupBy(*rows.columns).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+        n = F.size("r")
+        return ranked.select(*rows.columns, F.explode(F.slice("r", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("head")).select(*rows.columns, F.col("head.token").alias("token"))
 
     k = F.size(F.array_intersect("x", "y"))
     score = k / (F.size("x") + F.size("y") - k)
-    pairs = heads(c, "id", "x").join(heads(e, "slug", "y"), "token").select("id", "slug", score.alias("score")).where(F.col("score") >= threshold)
-    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "slug")).alias("b"))
-    out = candidates.select("id").join(best, "id", "left").select("id", F.col("b.slug").alias("slug"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
+    pairs = heads(c.select("x").distinct(), "x").join(heads(e, "y"), "token").select("x", "slug", score.alias("score")).where(F.col("score") >= threshold)
+    best = pairs.groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), "slug")).alias("b"))
+    out = c.join(best, "x", "left").select("id", F.col("b.slug").alias("slug"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
     return out.select("id", F.when(F.col("slug").isNotNull(), "update").otherwise("create").alias("action"), "slug", "score")
 
 

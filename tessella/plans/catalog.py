@@ -601,8 +601,13 @@ def cross_references_all(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from tessella.plans import catalog_tables, catalog_text  # noqa: F401  # they register their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.SQL.items() if k in QUERIES}
+    from tessella.plans import oracles_tables, oracles_text
+
+    every = oracles.SQL | oracles_text.SQL | oracles_tables.SQL
+    return {k: v for k, v in every.items() if k in queries()}
