@@ -61,7 +61,7 @@ def fuse(branches: dict[str, DataFrame], query: str, limit: int = 20, keys: tupl
 def graph_branch_score(vector_score: Column, place: Column, total: Column) -> Column:
     """The clamped vector score, else one by rank from 0.75 down to 0.25; never over 0.75."""
     by_rank = F.greatest(F.lit(0.25), 0.75 - 0.35 * (place - 1) / F.greatest(total - 1, F.lit(1)))
-    return F.least(F.lit(0.75), F.coalesce(tx.clamp(vector_score), by_rank))
+    return F.least(F.lit(0.75), F.when(vector_score.isNotNull(), tx.clamp(vector_score)).otherwise(by_rank))
 
 
 def attach_images(hits: DataFrame, images: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -158,7 +158,7 @@ def retries(tasks: DataFrame, most: int = 2, backoff_minutes: tuple[int, ...] =
     """Failed tasks that may run again, with not_before."""
     again = tasks.where("status = 'failed'").where((F.col("attempt") < most) & tx.graph_error(F.col("error"))["retryable"])
     wait = F.element_at(F.array(*[F.lit(m) for m in backoff_minutes]), F.least(F.col("attempt") + 1, F.lit(len(backoff_minutes))).cast("int"))
-    return again.withColumn("attempt", F.col("attempt") + 1).withColumn("not_before", F.col("finished_at") + F.make_interval(mins=wait))
+    return again.withColumns({"not_before": F.col("finished_at") + F.make_interval(mins=wait), "attempt": F.col("attempt") + 1})  # both of the attempt that failed
 
 
 def completed_prefix(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,6 +46,17 @@ def test_fusion_order(spark):
     assert [r.chunk_id for r in boosted] == ["1", "2"] and boosted[0].score == 0.34
 
 
+def test_graph_scores(spark):
+    r = spark.createDataFrame([(None, 1), (None, 3), (0.9, 1), (0.1, 1)], "v double, nth int")
+    assert [round(x[0], 3) for x in r.select(fusion.graph_branch_score(F.col("v"), F.col("nth"), F.lit(3.0))).collect()] == [0.75, 0.4, 0.75, 0.1]
+
+
+def test_retries_wait_by_the_attempt_that_failed(spark):
+    t = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id int, attempt int").withColumns({"status": F.lit("failed"), "error": F.lit("timeout"), "finished_at": F.timestamp_seconds(F.lit(0))})
+    got = tasks.retries(t).select("id", "attempt", F.unix_seconds("not_before").alias("s"))
+    assert rows(got, "id", "attempt", "s") == [(1, 1, 120), (2, 2, 600)]
+
+
 def test_vector_edges(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert rows(vector.search(e, [1.0, 0.0]), "vec_id", "score") == [(1, 1.0), (4, 0.707)]
