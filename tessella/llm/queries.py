@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._base import shared_dir, table, written
+from tessella.llm._base import shared_dir, sieve, sifted, table, written
 from tessella.llm.chat_format import digest_chats, format_chats
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_extract import extract_text
@@ -51,7 +51,9 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
     counts = written(both(docs))
-    redacted = both(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", "")))
+    # Texts are counted where they lie; only counts meet the labels by a shuffle.
+    likely = sifted(docs, F.col("doc_id"), sieve(poor), "likely").where("likely")
+    redacted = both(likely.withColumn("text", F.regexp_replace("text", "[0-9]+", ""))).join(poor, "doc_id", "left_semi")
     changes = {
         "load": signed(inserted=counts),
         "redact": signed(revised=(counts.join(poor, "doc_id", "left_semi"), redacted)),
