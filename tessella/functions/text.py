@@ -101,6 +101,17 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def badge(score: Column, vector_score: Column, keyword: Column) -> Column:
+    """(percent, level) shown beside a hit: a keyword hit by its score, any other by its vector score where it has one.
+
+    Percents are whole and from 0 to 100; no score and NaN show 0. From 80 on a match is high, from 60 on medium.
+    """
+    shown = F.nanvl(F.coalesce(F.when(keyword, score).otherwise(F.coalesce(vector_score, score)).cast("double"), F.lit(0.0)), F.lit(0.0))
+    percent = F.floor(clamp(shown) * 100 + 0.5).cast("int")
+    level = F.when(keyword, "hit").when(percent >= 80, "high").when(percent >= 60, "medium").otherwise("low")
+    return F.struct(percent.alias("percent"), level.alias("level"))
+
+
 def truncate(text: Column, most: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 

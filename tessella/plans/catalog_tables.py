@@ -425,6 +425,15 @@ def document_deletion(spark, d):
 # -- scalar rules
 
 
+@query
+def result_badges(spark, d):
+    """Parts as hits: some without a score, some without a vector score, every fourth one of the keyword mode."""
+    k = F.col("p_partkey")
+    score = F.when(k % 10 > 0, (k % 131 - 15) / F.lit(100.0))
+    shown = tx.badge(score, F.when(k % 3 > 0, (k % 113) / F.lit(107.0)), k % 4 == 0)
+    return fx.read(spark, d, "part").select(k.alias("id"), shown.alias("b")).select("id", "b.percent", "b.level")
+
+
 @query
 def text_rules(spark, d):
     p = fx.read(spark, d, "part")

@@ -19,6 +19,9 @@ SQL = {
     "image_manifest": "SELECT DISTINCT doc_id % 50 AS doc_id, 'img_' || substr(md5(text), 1, 8) || '.png' AS filename FROM documents WHERE strlen(text) >= 100",
     "conversion_cache": "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0)",
     "event_stream_text": "SELECT event_type AS event, count(*) AS events, count(*) FILTER (WHERE event_id % 7 > 0) AS whole, sum(CASE WHEN event_id % 7 > 0 THEN floor(value)::BIGINT END)::BIGINT AS total FROM events GROUP BY event_type",
+    "result_badges": """WITH h AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 > 0 THEN (p_partkey % 131 - 15) / 100.0::DOUBLE END AS score, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 113) / 107.0::DOUBLE END AS vector FROM part),
+      p AS (SELECT id, floor(greatest(0, least(100, coalesce(CASE WHEN id % 4 = 0 THEN score ELSE coalesce(vector, score) END, 0) * 100)) + 0.5)::INT AS percent FROM h)
+      SELECT id, percent, CASE WHEN id % 4 = 0 THEN 'hit' WHEN percent >= 80 THEN 'high' WHEN percent >= 60 THEN 'medium' ELSE 'low' END AS level FROM p""",
     "model_catalog": "SELECT DISTINCT p_brand AS model, (length(p_brand) * 100 - 700)::BIGINT AS context FROM part WHERE length(p_brand) > 7",
     "usage_sink": "WITH u AS (SELECT event_id AS id, CASE WHEN floor(value)::BIGINT % 3 > 0 THEN floor(value)::BIGINT % 3 END AS tokens_in, (event_id % 50) % 2 AS tokens_out FROM events) SELECT * FROM u WHERE coalesce(tokens_in, 0) + tokens_out > 0",
     "orphan_folders": "SELECT DISTINCT o_orderkey % 3000 AS doc_id FROM orders WHERE o_orderkey % 3000 NOT IN (SELECT c_custkey FROM customer)",
