@@ -252,7 +252,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
 
     def link(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, at, lo, hi = key
-        vectors = np.vstack([_units(np.frombuffer(x, kind)[None].astype(float)) for x in part["v"]])
+        vectors = _units(np.frombuffer(b"".join(part["v"]), kind).reshape(len(part), -1).astype(float))
         side = (part["own"].to_numpy() != lo).astype(int)
         if lo != hi and not (side.any() and (side == 0).any()):
             return pd.DataFrame({"a": [], "b": [], "n": []})
