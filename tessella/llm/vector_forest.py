@@ -170,7 +170,15 @@ def compare(ids: np.ndarray, side: np.ndarray, vectors: np.ndarray, copies: np.n
             k = root[k]
         return k
 
-    spans, counts = [], {}
+    spans = []
+
+    def unite(left: np.ndarray, right: np.ndarray) -> None:
+        for p, q in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = top(p), top(q)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                spans.append((int(ids[p]), int(ids[q])))
+
     total = np.zeros(len(ids), np.int64)
     for lo in range(0, len(a), 512):
         part = a[lo : lo + 512]
@@ -186,11 +194,12 @@ def compare(ids: np.ndarray, side: np.ndarray, vectors: np.ndarray, copies: np.n
         i, j = i[first], j[first]
         np.add.at(total, i, copies[j])
         np.add.at(total, j, copies[i])
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = top(p), top(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                spans.append((int(ids[p]), int(ids[q])))
+        # First one link of each vector, then those that are left between different classes: in a group of copies, hardly any.
+        some = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+        unite(i[some], j[some])
+        at = np.array([top(k) for k in range(len(ids))])
+        apart = at[i] != at[j]
+        unite(i[apart], j[apart])
     counts = {int(ids[k]): int(total[k]) for k in np.flatnonzero(total)}
     return spans, counts
 
