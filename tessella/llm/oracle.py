@@ -55,6 +55,22 @@ d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM
 SELECT page_id, url, text, length(text) AS n_chars FROM d
 """
 
+# crc32 by its table, which is worked out by rule; near words by strings with one code point taken out.
+OP13 = r"""
+WITH RECURSIVE tb AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i))),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT run, count(*) AS n, encode(doc || ':' || run) AS s FROM r GROUP BY doc, run),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(1, octet_length(s) + 1), lambda i: ('0x' || hex(array_slice(s, i, i)))::INT::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM d, tb),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS w, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING sum(n) >= 2 AND length(w) >= 7),
+x AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS rest FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM w)),
+p AS (SELECT a.w AS a, b.w AS b, b.n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.w <> b.w
+      UNION SELECT w.w, x.w, x.n FROM w JOIN x ON w.w = x.rest UNION SELECT x.w, w.w, w.n FROM w JOIN x ON w.w = x.rest),
+m AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS best, max(n) AS best_n FROM p GROUP BY a),
+f AS (SELECT w.w AS word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM w LEFT JOIN m ON w.w = m.a),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.at AND e.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_html_extract": OP8}
+    return {"op2_exact_dedup": OP2, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_html_extract": OP8, "op13_anagram_variants": OP13}

@@ -17,6 +17,7 @@ from tessella.llm.mixing import mix_sources
 from tessella.llm.piece_lattice import encode_pieces
 from tessella.llm.quality_crf import score_quality, train
 from tessella.llm.signature_trees import similar_documents
+from tessella.llm.spelling import spelling_variants
 from tessella.llm.vector_forest import near_duplicates
 from tessella.llm.token_rollup import TokenRollup, count_tokens, count_words, signed
 
@@ -86,5 +87,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), across_lines=True, distinct=DISTINCT)
 
 
+def op13_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan, op13_anagram_variants)}
