@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessella.llm._base import shared_dir, sieve, sifted, table, written
 from tessella.llm.chat_format import digest_chats, format_chats
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.hard_negatives import mine_negatives
 from tessella.llm.html_extract import extract_text
 from tessella.llm.license_scan import DISTINCT, scan_licenses
 from tessella.llm.mixing import mix_sources
@@ -87,9 +88,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), across_lines=True, distinct=DISTINCT)
 
 
+def op11_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op13_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan, op13_anagram_variants)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan, op11_vantage_negatives, op13_anagram_variants)}
