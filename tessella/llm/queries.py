@@ -14,6 +14,7 @@ from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.hard_negatives import mine_negatives
 from tessella.llm.html_extract import extract_text
 from tessella.llm.license_scan import DISTINCT, scan_licenses
+from tessella.llm.lm_scoring import score_texts
 from tessella.llm.mixing import mix_sources
 from tessella.llm.piece_lattice import encode_pieces
 from tessella.llm.quality_crf import score_quality, train
@@ -93,9 +94,14 @@ def op11_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
 
 
+def op12_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return score_texts(table(spark, sf_dir, "documents"), F.crc32(id_text) % 7 == 2)
+
+
 def op13_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan, op11_vantage_negatives, op13_anagram_variants)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_exact_dedup, op3_signature_trees, op4_piece_lattice, op5_mix_sources, op6_token_rollup, op7_chat_format, op8_html_extract, op9_vector_forest, op10_license_scan, op11_vantage_negatives, op12_elias_fano_trie, op13_anagram_variants)}
