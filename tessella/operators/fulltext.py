@@ -81,7 +81,11 @@ def _stands(text: str, term: str) -> Column:
 
 def keyword_search(docs: DataFrame, query: str, limit: int = 20, offset: int = 0, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """A page of hits (id, rank, score): score is 1 for the best hit of the page, falling to 0 for its last, in two places."""
-    page = bm25_rank(docs, query, id_col, columns or ["text"]).orderBy("rank", id_col).offset(offset).limit(limit)
+    return page(bm25_rank(docs, query, id_col, columns or ["text"]), limit, offset, id_col)
+
+
+def page(ranked: DataFrame, limit: int, offset: int, id_col: str) -> DataFrame:
+    page = ranked.orderBy("rank", id_col).offset(offset).limit(limit)
     every = W.partitionBy(F.lit(0))  # the rows of one page
     low, high = F.min("rank").over(every), F.max("rank").over(every)
     score = 1 - (F.col("rank") - low) / F.when(high == low, 1.0).otherwise(high - low)

@@ -224,16 +224,37 @@ PHRASE = "licensed under"
 
 @query
 def bm25_keyword_search(spark, d):
-    hits = fulltext.keyword_search(fx.read(spark, d, "documents"), PHRASE, 20)
+    hits = fx.search_index(spark, d).search(PHRASE, 20)
     return hits.select("doc_id", F.round("rank", 6).alias("rank"), "score")
 
 
 @query
 def bm25_match_groups(spark, d):
+    return fx.search_index(spark, d).rank(SEARCH).select("doc_id", "length", F.round("rank", 6).alias("rank"))
+
+
+@query
+def bm25_scan_groups(spark, d):
+    """The same ranks by a scan of all texts, without an index."""
     ranked = fulltext.bm25_rank(fx.read(spark, d, "documents"), SEARCH, "doc_id", ["text"])
     return ranked.select("doc_id", "length", F.round("rank", 6).alias("rank"))
 
 
+@query
+def keyword_snippets(spark, d):
+    """A page of hits with the best window of each text, hits marked."""
+    index = fx.search_index(spark, d)
+    return index.snippets(index.search(PHRASE, 20), fx.read(spark, d, "documents"), PHRASE).select("doc_id", "score", "snippet")
+
+
+@query
+def index_statistics(spark, d):
+    """Documents, tokens and terms of the stored index by document group; a group without documents has no row."""
+    index = fx.search_index(spark, d)
+    terms = index.postings().groupBy("part").agg(F.sum("tf").alias("places"))
+    return index.statistics().join(terms, "part").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("places").alias("places"))
+
+
 @query
 def postings_index(spark, d):
     return fulltext.postings(fx.read(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -267,13 +288,17 @@ def adjacent_similarity(spark, d):
 
 @query
 def rrf_fusion(spark, d):
-    docs = fx.read(spark, d, "documents").select("doc_id", F.lit(0).alias("chunk_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"), "n_chars")
-    direct = docs.withColumn("score", F.floor((F.col("doc_id") * 37 % 1000) + 0.5) / 1000).orderBy(F.desc("score"), "doc_id").limit(40)
-    hits = fulltext.keyword_search(fx.read(spark, d, "documents"), PHRASE, 40).select("doc_id", "score")
-    keyword = fulltext_content(docs, hits)
+    docs = fx.read(spark, d, "documents").select("doc_id", F.lit(0).alias("chunk_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"))
+    direct = vector.with_content(_nearest(spark, d, 40), docs, "doc_id")
+    keyword = fulltext_content(docs, fx.search_index(spark, d).search(PHRASE, 40).select("doc_id", "score"))
     return fusion.fuse({"direct": direct, "keyword": keyword}, "Licensed under", 20).select("doc_id", "source", "score", "fusion", "label", "rank")
 
 
+def _nearest(spark, d, limit):
+    """Documents by the cosine of their vectors (the vector with a document's number) to that of document 0."""
+    return vector.search(fx.read(spark, d, "embeddings"), _query_vector(spark, d), limit, 0.0).select(F.col("vec_id").alias("doc_id"), "score")
+
+
 def fulltext_content(docs, hits):
     return vector.with_content(hits, docs, "doc_id")
 

@@ -9,7 +9,7 @@ from tessella.functions import text as tx
 from tessella.operators import analytics, details, drafts, fulltext, fusion, graph, lookups, tasks, vector, wiki
 from tessella.plans import fixtures as fx
 from tessella.plans import search
-from tessella.plans.catalog import PHRASE, SEARCH, query
+from tessella.plans.catalog import PHRASE, SEARCH, _nearest, query
 from tessella.sources import files
 
 # -- sources
@@ -112,11 +112,9 @@ def draft_markdown(spark, d):
 
 @query
 def indexed_keyword_search(spark, d):
-    """Postings with chunks with documents: the postings of the query's terms, then the chunks that were found, then their documents."""
+    """Postings with chunks with documents: the stored postings of the query's terms, then the chunks that were found, then their documents."""
     docs = fx.read(spark, d, "documents")
-    index = fulltext.postings(docs)
-    totals = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit(tx.TOKEN))).alias("a")).first()
-    hits = fulltext.search_postings(index, totals["n"], totals["a"], SEARCH).orderBy("rank", "doc_id").limit(30)
+    hits = fx.search_index(spark, d).rank(SEARCH).select("doc_id", "rank").orderBy("rank", "doc_id").limit(30)
     chunks = docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("chunk_id"))
     names = docs.groupBy("source").agg(F.count("*").alias("documents"))
     found = vector.with_content(hits, chunks, "doc_id")
@@ -132,10 +130,10 @@ def refreshed_postings(spark, d):
 
 @query
 def hybrid_search(spark, d):
-    """Three branches: vectors (a made score), keywords, and chunks of entities, fused."""
+    """Three branches: vectors, keywords, and chunks of entities, fused."""
     docs = fx.read(spark, d, "documents").select("doc_id", F.lit(0).alias("chunk_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"))
-    direct = docs.withColumn("score", F.floor((F.col("doc_id") * 37 % 1000) + 0.5) / 1000).orderBy(F.desc("score"), "doc_id").limit(40)
-    keyword = vector.with_content(fulltext.keyword_search(fx.read(spark, d, "documents"), PHRASE, 40).select("doc_id", "score"), docs, "doc_id")
+    direct = vector.with_content(_nearest(spark, d, 40), docs, "doc_id")
+    keyword = vector.with_content(fx.search_index(spark, d).search(PHRASE, 40).select("doc_id", "score"), docs, "doc_id")
     hits = fx.read(spark, d, "documents").select("doc_id", F.row_number().over(W.orderBy((F.col("doc_id") * 53 % 997), "doc_id")).alias("nth")).where("nth <= 40")  # a top-k
     entity = vector.with_content(hits.select("doc_id", fusion.graph_branch_score(F.lit(None).cast("double"), F.col("nth"), F.lit(40.0)).alias("score")), docs, "doc_id")
     return fusion.fuse({"direct": direct, "keyword": keyword, "graph": entity}, "Licensed under", 30).select("doc_id", "source", "score", "fusion", "rank")

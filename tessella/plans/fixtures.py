@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.index import StoredIndex
+from tessella.storage import shared_dir
+
 AS_OF = "2024-01-30 12:00:00"
 
 
@@ -12,6 +16,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index of documents, built where there is none for the files as they are.
+
+    Its name is a digest of the files' paths, sizes and times; a group of documents is some 32 MB of
+    files. It counts as built once its statistics are there, which are written last.
+    """
+    meta = read(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    got = meta.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("name"), F.sum("file_size").alias("bytes")).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-(got["bytes"] or 0) >> 25))
+    index = StoredIndex(spark, f"{shared_dir(spark)}/index/{got['name'] or 0}-{parts}", parts)
+    try:
+        index.statistics()
+    except AnalysisException:
+        index.build(read(spark, sf_dir, "documents"))
+    return index
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as token usage: the type is the module; one user in seven has no model."""
     e = read(spark, sf_dir, "events")

@@ -14,6 +14,7 @@ _DEG = "deg AS (SELECT node, count(*) AS degree FROM ways GROUP BY node)"
 _SECTIONS = """secs AS (SELECT o_custkey AS draft_id, o_orderkey AS section_id, CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'P' THEN 'revising' ELSE 'pending' END AS status,
   floor(o_totalprice / 100)::BIGINT AS words FROM orders)"""
 _WORDS = r"regexp_extract_all(lower({}), '[\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}]|[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{N}}_]+')"
+_TOKEN = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]|[\p{Latin}\p{Greek}\p{Cyrillic}\p{N}_]+"
 _TITLE = r"list_distinct(regexp_extract_all(lower(trim({})), '[a-z0-9]{{2,}}'))"
 _QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)::FLOAT[]::DOUBLE[]"
 _COSINE = f"list_dot_product(embedding::DOUBLE[], {_QUERY_VECTOR}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_QUERY_VECTOR}, {_QUERY_VECTOR})))"
@@ -94,14 +95,31 @@ SQL = {
       r AS (SELECT *, greatest(1, floor(lo + 0.5))::BIGINT AS a FROM e) SELECT source, ['fast', 'medium', 'slow', 'heavy'][k + 1] AS level, a AS min_minutes, greatest(a, floor(hi + 0.5)::BIGINT) AS max_minutes FROM r""",
     "bm25_keyword_search": f"WITH {_bm25([['licensed'], ['under']])}, {_PAGE.format(n=20)} SELECT doc_id, round(rank, 6) AS rank, score FROM scored",
     "bm25_match_groups": f"WITH {_bm25([['and', 'the', 'license'], ['the', 'license', 'version']])} SELECT doc_id, length, round(rank, 6) AS rank FROM ranked",
+    "bm25_scan_groups": f"WITH {_bm25([['and', 'the', 'license'], ['the', 'license', 'version']])} SELECT doc_id, length, round(rank, 6) AS rank FROM ranked",
+    # Windows start at each hit (centred) and at its sentence; texts are cut into words and what stands between them.
+    "keyword_snippets": rf"""WITH {_bm25([['licensed'], ['under']])}, {_PAGE.format(n=20)},
+      t AS (SELECT doc_id, score, regexp_extract_all(text, '{_TOKEN}') AS w, regexp_split_to_array(text, '{_TOKEN}') AS g FROM scored JOIN documents USING (doc_id)),
+      p AS (SELECT doc_id, i - 1 AS pos, lower(w[i]) AS term, len(w) AS size, CASE WHEN i = 1 OR regexp_matches(g[i], '[.:][ 	
+]+$') THEN i - 1 END AS head FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+      h AS (SELECT *, max(head) OVER (PARTITION BY doc_id ORDER BY pos) AS from_head FROM p),
+      hit AS (SELECT doc_id, pos, term, size, from_head FROM h WHERE term IN ('licensed', 'under')),
+      cand AS (SELECT doc_id, size, pos AS place, pos AS start, 0 AS kind FROM hit UNION ALL SELECT doc_id, size, pos, from_head, 1 FROM hit WHERE from_head < pos AND size > 40),
+      s AS (SELECT c.doc_id, c.size, c.place, c.start, c.kind, 999 * count(DISTINCT term) + count(*) + CASE WHEN kind = 0 THEN 0 WHEN start = 0 THEN 120 ELSE 100 END AS points, min(pos) AS a, max(pos) + 1 AS b
+            FROM cand c JOIN hit ON hit.doc_id = c.doc_id AND pos >= c.start AND pos < c.start + 40 GROUP BY c.doc_id, c.size, c.place, c.start, c.kind),
+      best AS (SELECT doc_id, size, CASE WHEN kind = 1 THEN start ELSE greatest(0, least(a - (40 - (b - a)) // 2, size - 40)) END AS start FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, place, kind) = 1),
+      cut AS (SELECT doc_id, score, w, g, start, size, least(start + 39, size - 1) AS stop FROM t JOIN best USING (doc_id))
+      SELECT doc_id, score, CASE WHEN start > 0 THEN '...' ELSE g[1] END || list_reduce(list_transform(range(start, stop + 1), lambda i: CASE WHEN lower(w[i + 1]) IN ('licensed', 'under') THEN '<mark>' || w[i + 1] || '</mark>' ELSE w[i + 1] END || CASE WHEN i < stop THEN g[i + 2] ELSE '' END), lambda x, y: x || y)
+        || CASE WHEN start + 39 >= size - 1 THEN g[size + 1] ELSE '...' END AS snippet FROM cut""",
+    "index_statistics": f"SELECT count(*) AS documents, sum(len({_WORDS.format('coalesce(text, chr(0))')}))::BIGINT AS tokens, sum(len({_WORDS.format('coalesce(text, chr(0))')}))::BIGINT AS places FROM documents",
     "postings_index": f"WITH w AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term",
     "cosine_topk": f"SELECT vec_id, round({_COSINE}, 6) AS cosine FROM embeddings ORDER BY cosine DESC, vec_id LIMIT 20",
     "cosine_threshold": f"""WITH c AS (SELECT vec_id, {_COSINE} AS s FROM embeddings), t AS (SELECT * FROM c WHERE s >= 0.1::DOUBLE ORDER BY s DESC, vec_id LIMIT 50)
       SELECT vec_id, floor(s * 1000 + 0.5) / 1000 AS score, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' ELSE 'low' END AS label FROM t""",
     "adjacent_similarity": "WITH n AS (SELECT label, vec_id, embedding::DOUBLE[] AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[] AS b FROM embeddings) SELECT label, vec_id, round(list_dot_product(a, b), 6) AS similarity FROM n WHERE b IS NOT NULL",
     "rrf_fusion": f"""WITH {_bm25([["licensed"], ["under"]])}, {_PAGE.format(n=40)},
-      docs AS (SELECT doc_id, text AS content, substr(text, 1, 80) AS title, floor((doc_id * 37 % 1000) + 0.5) / 1000 AS score FROM documents),
-      direct AS (SELECT doc_id, title, content, score, 0 AS nth FROM docs ORDER BY score DESC, doc_id LIMIT 40),
+      docs AS (SELECT doc_id, text AS content, substr(text, 1, 80) AS title FROM documents),
+      near AS (SELECT vec_id AS doc_id, {_COSINE} AS s FROM embeddings QUALIFY s >= 0 AND row_number() OVER (ORDER BY s DESC, vec_id) <= 40),
+      direct AS (SELECT doc_id, title, content, floor(s * 1000 + 0.5) / 1000 AS score, 0 AS nth FROM near JOIN docs USING (doc_id)),
       keyword AS (SELECT doc_id, title, content, scored.score, 1 AS nth FROM scored JOIN docs USING (doc_id)),
       every AS (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, doc_id) AS place, title || chr(10) || content AS t FROM (SELECT * FROM direct UNION ALL SELECT * FROM keyword)),
       boosted AS (SELECT *, CASE WHEN contains(title, 'Licensed under') THEN 0.14 WHEN instr(t, 'Licensed under') BETWEEN 1 AND 121 THEN 0.12 WHEN instr(t, 'Licensed under') BETWEEN 1 AND 301 THEN 0.08 WHEN instr(t, 'Licensed under') > 0 OR (contains(t, 'Licensed') AND contains(t, 'under')) THEN 0.03 ELSE 0 END::DOUBLE AS boost FROM every),
