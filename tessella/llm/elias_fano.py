@@ -88,11 +88,14 @@ class EliasFano:
         at, end = self._before(top), self._before(top + 1)
         want = x & np.uint64((1 << self.width) - 1)
         live = np.flatnonzero(at < end)
-        while len(live):
-            below = self._lows(at[live]) < want[live]
-            live = live[below]
-            at[live] += 1
-            live = live[at[live] < end[live]]
+        lo, hi, want = at[live], end[live], want[live]
+        while len(live):  # halving among the values of one high part
+            mid = (lo + hi) >> 1
+            below = self._lows(mid) < want
+            lo, hi = np.where(below, mid + 1, lo), np.where(below, hi, mid)
+            at[live] = lo
+            more = lo < hi
+            live, lo, hi, want = live[more], lo[more], hi[more], want[more]
         return at
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -141,9 +144,10 @@ class Trie:
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Code of each pair; 0 where the trie doesn't hold it."""
         out = np.zeros(len(context), np.uint8)
-        if not self.levels["contexts"].n:
+        if not self.levels["contexts"].n or not len(context):
             return out
-        some, back = np.unique(context, return_inverse=True)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))  # pairs stand in runs by context
+        some, back = context[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
         at = self.levels["contexts"].find(some)
         known = np.maximum(at, 0)
         begin, end = (self.levels["pointers"].access(known + k).astype(np.int64) for k in (0, 1))

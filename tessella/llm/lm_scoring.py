@@ -30,7 +30,7 @@ CHUNK = 12 << 20
 #: Bytes that are hashed at once.
 SLICE = 1 << 20
 #: Training tokens for each shard of the trie, on average.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Occurrences beyond which a context is dealt out over shards by its successors; contexts beyond N / HOT at most.
 PART = 1 << 20
 HOT = 100_000
@@ -168,34 +168,40 @@ def _requests(chunk: Chunk, hot: dict[int, int], shards: int, part: int):
     """(shard, contexts, pairs of each, pairs by number) of each shard, hot contexts without a pair there included."""
     context, word, train, of = chunk.pairs()
     shard, extra_c, extra_s = chunk.shards(context, word, hot, shards, part)
-    order = np.lexsort((word, context, shard))
-    s_all, c_all = np.concatenate([shard, extra_s]), np.concatenate([context, extra_c])
-    heads, many = np.unique(np.stack([s_all, c_all], axis=1), axis=0, return_counts=True)
-    if len(extra_c):  # parts of hot contexts were counted once without a pair
-        at = np.searchsorted(heads[:, 0] * (len(chunk.words) + 1) + heads[:, 1], extra_s * (len(chunk.words) + 1) + extra_c)
-        many[at] -= 1
-    bounds = np.append(np.flatnonzero(np.diff(heads[:, 0], prepend=-1)), len(heads))
+    order = np.argsort(shard, kind="stable")  # pairs stand by context and word
+    wide = len(chunk.words) + 1
+    key = shard[order] * wide + context[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    heads, many = key[first], np.diff(np.append(first, len(key)))
+    if len(extra_c):
+        bare = np.setdiff1d(extra_s * wide + extra_c, heads)
+        heads, many = np.concatenate([heads, bare]), np.concatenate([many, np.zeros(len(bare), np.int64)])
+        by = np.argsort(heads, kind="stable")
+        heads, many = heads[by], many[by]
+    bounds = np.append(np.flatnonzero(np.diff(heads // wide, prepend=-1)), len(heads))
     begin = np.concatenate([[0], np.cumsum(many)])
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield int(heads[a, 0]), heads[a:b, 1], many[a:b], order[begin[a] : begin[b]], word, train, of
-
-
-def train_shard(context: np.ndarray, word: np.ndarray, train: np.ndarray, hot: dict[int, int], discount: float = DISCOUNT) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray]:
-    """(trie, contexts, count of each, successors of each) from pairs with training counts, repeats summed up."""
-    order = np.lexsort((word, context))
-    context, word, train = context[order], word[order], train[order]
-    new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    train = np.add.reduceat(train, first) if len(first) else train
-    seen = train > 0
-    context, word, train = context[first][seen], word[first][seen], train[seen]
-    names, begin = np.unique(context, return_index=True)
-    total = np.add.reduceat(train, begin) if len(begin) else train
-    if hot and len(names):
-        total = np.array([hot.get(n, t) for n, t in zip(names.tolist(), total.tolist(), strict=True)], np.int64)
-    successors = np.diff(np.append(begin, len(context)))
-    log_p = np.log10((train - discount) / np.repeat(total, successors)) if len(train) else np.zeros(0)
-    return Trie.build(context, word, log_p), names, total, successors
+        yield int(heads[a] // wide), heads[a:b] % wide, many[a:b], order[begin[a] : begin[b]], word, train, of
+
+
+def train_shard(heads: np.ndarray, many: np.ndarray, word: np.ndarray, train: np.ndarray, hot: dict[int, int], discount: float = DISCOUNT) -> tuple[Trie, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trie, code of each pair, contexts, count of each, successors of each) from runs of pairs by context.
+
+    heads and many: the context of each run and its number of pairs; word, train: the pairs, of which
+    the repeated ones are summed up.
+    """
+    contexts, at = np.unique(heads, return_inverse=True)
+    words, rank = np.unique(word, return_inverse=True)
+    key, back = np.unique(np.repeat(at, many) * len(words) + rank, return_inverse=True)
+    total = np.bincount(back, train, len(key)).astype(np.int64)
+    c, w = key // max(len(words), 1), key % max(len(words), 1)
+    seen = total > 0
+    count, successors = (np.bincount(c[seen], x, len(contexts)).astype(np.int64) for x in (total[seen], None))
+    for k in np.flatnonzero(np.isin(contexts, np.array(list(hot), np.uint64))) if hot else ():
+        count[k] = hot[int(contexts[k])]
+    log_p = np.log10((total[seen] - discount) / count[c[seen]]) if seen.any() else np.zeros(0)
+    trie = Trie.build(contexts[c[seen]], words[w[seen]], log_p)
+    return trie, trie.lookup(contexts[c], words[w])[back], contexts, count, successors
 
 
 def score_texts(docs: DataFrame, held_out: Column, discount: float = DISCOUNT, chunk: int = CHUNK, shard: int = SHARD, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,15 +306,12 @@ def score_texts(docs: DataFrame, held_out: Column, discount: float = DISCOUNT, c
         w = np.zeros((int(ends[-1]), 8), np.uint8)
         w[:, :6] = np.frombuffer(b"".join(part_rows["next"]), np.uint8).reshape(-1, 6)
         word = w.view("<u8")[:, 0]
-        context = np.repeat(np.concatenate(heads), np.concatenate(many))
         train = np.concatenate([np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for x in part_rows["train"]]).astype(np.int64)
-        trie, names, total, successors = train_shard(context, word, train, sent.value, discount)
-        codes = trie.lookup(context, word)
-        head_ends = np.cumsum([len(h) for h in heads])
         asked = np.concatenate(heads)
-        at = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
-        known = names[at] == asked if len(names) else np.zeros(len(asked), bool)
-        c, s = (np.where(known, x[at], 0) if len(names) else np.zeros(len(asked), np.int64) for x in (total, successors))
+        trie, codes, contexts, count, successors = train_shard(asked, np.concatenate(many), word, train, sent.value, discount)
+        head_ends = np.cumsum([len(h) for h in heads])
+        at = np.searchsorted(contexts, asked)
+        c, s = count[at], successors[at]
         cut = lambda x, e: [p.tobytes() for p in np.split(x, e[:-1])]
         return pd.DataFrame({"chunk": part_rows["chunk"], "shard": part_rows["shard"], "codes": cut(codes, ends), "counts": cut(c.astype("<i8"), head_ends), "successors": cut(s.astype("<i4"), head_ends), "book": trie.book.astype("<f8").tobytes()})
 
