@@ -26,7 +26,7 @@ from tessella.llm.elias_fano import Trie
 
 DISCOUNT = 0.75
 #: Bytes of text that are tokenised and counted together.
-CHUNK = 12 << 20
+CHUNK = 5 << 20
 #: Bytes that are hashed at once.
 SLICE = 1 << 20
 #: Training tokens for each shard of the trie, on average.
