@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
+from tessella.storage import written
 
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -40,17 +45,26 @@ def identity(column: str, raw: str, field: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.get_json_object(raw, f"$.{field}"))
 
 
-def descendants(tasks: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
-    """(root, id) of tasks below each root (root), found by joins of new rows only; cycles end."""
-    edges = tasks.where("parent_id IS NOT NULL").select("id", "parent_id")
-    seen = roots.select("root", F.col("root").alias("id"))
-    front = seen
-    for _ in range(most):
-        new = edges.join(front.select("root", F.col("id").alias("p")), F.col("parent_id") == F.col("p")).select("root", "id").distinct().join(seen, ["root", "id"], "left_anti")
-        if new.isEmpty():
-            break
-        seen, front = seen.union(new), new
-    return seen.where("root <> id")
+def descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id) of the tasks below each root (root), at any depth; a cycle ends where it began.
+
+    Pointer jumping: a round doubles how far each task points up and adds the roots that the task
+    there has found, so that the rounds are the logarithm of the depth. A round that finds no new pair
+    is the last one: a pair farther away would have given its nearer half in that round.
+    """
+    up = tasks.where("parent_id IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max("parent_id").alias("up"))
+    jump = written(up)
+    wanted = roots.select(F.col("root")).where("root IS NOT NULL").distinct()
+    found = written(jump.join(wanted, F.col("up") == F.col("root"), "left_semi").select(F.col("up").alias("root"), "id"))
+    many, before = found.count(), -1
+    while many != before:
+        before = many
+        far = found.select(F.col("id").alias("at"), "root")
+        found = written(found.union(jump.join(far, F.col("up") == F.col("at")).select("root", "id")).distinct())
+        above = jump.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"))
+        jump = written(jump.join(above, F.col("up") == F.col("a_id")).select("id", F.col("a_up").alias("up")))
+        many = found.count()
+    return found.where("root <> id")
 
 
 def latest_round(tasks: DataFrame) -> DataFrame:
@@ -170,10 +184,55 @@ def resume(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done, key, "left_anti")
 
 
-def lockouts(failures: DataFrame, most: int = 5, minutes: int = 15) -> DataFrame:
-    """(key, window start, failures) of fixed windows with too many failures."""
-    w = F.window("ts", f"{minutes} minutes")
-    return failures.groupBy("key", w.alias("w")).agg(F.count("*").alias("failures")).where(F.col("failures") >= most).select("key", F.col("w.start").alias("window_start"), "failures")
+@dataclass
+class FailureWindow:
+    """The failures of one key since a first one, and until when they lock; times in microseconds."""
+
+    started: int
+    failures: int = 0
+    locked_until: int = 0
+
+    def over(self, now: int, window: int) -> bool:
+        return now >= self.locked_until and now - self.started >= window
+
+    def fail(self, now: int, most: int, lock: int) -> None:
+        self.failures += 1
+        if self.failures >= most:
+            self.locked_until = now + lock
+
+
+LOCKED = "window_start timestamp, failures long, locked_until timestamp"
+
+
+def lockouts(failures: DataFrame, most: int = 5, minutes: int = 15, lock_minutes: int | None = None) -> DataFrame:
+    """(key, window_start, failures, locked_until) of the windows that locked a key, from failures (key, ts).
+
+    A window opens with a key's first failure. From the most-th failure on, each one locks the key for
+    lock_minutes (the window's length, if not given). The window ends with the first failure that comes
+    neither within `minutes` of its start nor under a lock; that one opens the next window. Failures
+    stream past by key and time, so that a key with very many of them is never held in memory. Rows
+    with a null key or time are left out.
+    """
+    window, lock = minutes * 60_000_000, (minutes if lock_minutes is None else lock_minutes) * 60_000_000
+    kind = failures.schema["key"].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, at = None, None
+        for batch in batches:
+            done = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                if at is None or k != key or at.over(t, window):
+                    if at is not None and at.locked_until:
+                        done.append((key, at.started, at.failures, at.locked_until))
+                    key, at = k, FailureWindow(t)
+                at.fail(t, most, lock)
+            yield pd.DataFrame(done, columns=["key", "started", "failures", "until"])
+        if at is not None and at.locked_until:
+            yield pd.DataFrame([(key, at.started, at.failures, at.locked_until)], columns=["key", "started", "failures", "until"])
+
+    timed = failures.where("key IS NOT NULL AND ts IS NOT NULL").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = timed.repartition("key").sortWithinPartitions("key", "t").mapInPandas(fold, f"key {kind}, started long, failures long, until long")
+    return rows.select("key", F.timestamp_micros("started").alias("window_start"), "failures", F.timestamp_micros("until").alias("locked_until"))
 
 
 # Patterns of length requirements and markers of brainstorming replies.

@@ -170,7 +170,8 @@ def pipeline_progress(spark, d):
 @query
 def lockouts(spark, d):
     e = fx.read(spark, d, "events").where("event_type = 'error'")
-    return tasks.lockouts(e.select(F.col("user_id").alias("key"), "ts"), 2, 24 * 60)
+    out = tasks.lockouts(e.select(F.col("user_id").alias("key"), "ts"), 2, 24 * 60, 6 * 60)
+    return out.select("key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "failures", F.col("locked_until").cast("timestamp_ntz").alias("locked_until"))
 
 
 @query

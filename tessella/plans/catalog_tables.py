@@ -10,7 +10,8 @@ from tessella.operators import analytics, details, drafts, fulltext, fusion, gra
 from tessella.plans import fixtures as fx
 from tessella.plans import search
 from tessella.plans.catalog import PHRASE, SEARCH, _nearest, query
-from tessella.sources import files
+from tessella.sources import files, stores
+from tessella.storage import scratch
 
 # -- sources
 
@@ -76,6 +77,46 @@ def usage_sink(spark, d):
     return analytics.record_usage(u.withColumns({"tokens_in": F.when(F.col("tokens_in") % 3 > 0, F.col("tokens_in") % 3), "tokens_out": F.col("tokens_out") % 2})).select("id", "tokens_in", "tokens_out")
 
 
+@query
+def packed_vector_scan(spark, d):
+    """The embeddings as packed files, and read back in byte ranges."""
+    stores.register(spark)
+    at = scratch(spark)
+    fx.read(spark, d, "embeddings").select("embedding").write.format("packed_vectors").option("rowsPerFile", 10_000).mode("append").save(at)
+    got = spark.read.format("packed_vectors").option("spanBytes", 1 << 16).load(at)
+    return got.select(F.size("embedding").alias("dimensions"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.get("embedding", F.lit(63)).cast("double"), 6).alias("last"))
+
+
+@query
+def event_text_scan(spark, d):
+    """The events as event-stream text, and read back through the source."""
+    stores.register(spark)
+    at = scratch(spark)
+    e = fx.read(spark, d, "events")
+    e.select(F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), F.to_json(F.struct("event_id", "user_id")), F.lit("\n"))).write.text(at)
+    got = spark.read.format("event_text").option("spanBytes", 1 << 16).load(at).withColumn("d", F.from_json("data", "event_id long, user_id long"))
+    return got.groupBy("event").agg(F.count("*").alias("events"), F.sum("d.event_id").alias("ids"), F.countDistinct("d.user_id").alias("users"))
+
+
+@query
+def key_value_scan(spark, d):
+    """Part names by brand with their suppliers as JSON files, read back as the store that the setting names."""
+    at = scratch(spark)
+    li = fx.read(spark, d, "lineitem").join(fx.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    ids = li.groupBy("p_brand", F.concat_ws(" ", "p_name", "p_partkey").alias("name")).agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("chunk_ids"))
+    text = ids.groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", F.struct("chunk_ids"))))).alias("value"))
+    text.write.partitionBy("p_brand").text(at)
+    settings = {"tessella.store.kv": "kv_store", "tessella.store.kv.path": at, "tessella.store.kv.ending": ".txt"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = stores.open_store(spark, "kv")
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    return got.select("name", F.size("chunk_ids").alias("sources"), F.concat_ws(",", "chunk_ids").alias("chunk_ids"))
+
+
 @query
 def orphan_folders(spark, d):
     folders = fx.read(spark, d, "orders").select((F.col("o_orderkey") % 3000).alias("doc_id")).distinct()
@@ -266,6 +307,15 @@ def task_descendants(spark, d):
     return tasks.descendants(t, t.where("type = 'document_convert'").select(F.col("id").alias("root")))
 
 
+@query
+def deep_descendants(spark, d):
+    """Orders as tasks, each below the customer's order before; all tasks below every seventh order, at any depth."""
+    o = fx.read(spark, d, "orders")
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    t = o.select(F.col("o_orderkey").alias("id"), before.alias("parent_id"))
+    return tasks.descendants(t, t.where("id % 7 = 0").select(F.col("id").alias("root")))
+
+
 @query
 def latest_attempts(spark, d):
     return tasks.latest(lineage(spark, d), ["document_id", "type"]).select("document_id", "type", "id", "attempt")

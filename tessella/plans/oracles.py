@@ -76,7 +76,12 @@ SQL = {
     "document_durations": f"""WITH {_TASKS}, l AS (SELECT *, CASE WHEN status = 'completed' THEN created_at + INTERVAL 1 HOUR END AS finished FROM tasks WHERE type IN ('1-URGENT', '2-HIGH') QUALIFY row_number() OVER (PARTITION BY document_id, type ORDER BY created_at DESC, id DESC) = 1),
       g AS (SELECT document_id, max(created_at) FILTER (WHERE type = '1-URGENT') AS s, count(finished) AS done, max(finished) AS e FROM l GROUP BY document_id)
       SELECT document_id, CASE WHEN done = 2 AND e >= s THEN epoch_ms(e) - epoch_ms(s) END AS duration_ms FROM g""",
-    "lockouts": "SELECT user_id AS key, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2",
+    # One failure after the other, with the state that a limiter holds for the key.
+    "lockouts": """WITH RECURSIVE e AS (SELECT user_id AS k, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE event_type = 'error'),
+      f AS (SELECT k, i, ts AS started, 1 AS n, NULL::TIMESTAMP AS until FROM e WHERE i = 1
+            UNION ALL SELECT k, i, CASE WHEN fresh THEN ts ELSE started END, CASE WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN fresh THEN NULL WHEN n + 1 >= 2 THEN ts + INTERVAL 6 HOUR ELSE until END
+            FROM (SELECT e.k, e.i, e.ts, f.started, f.n, f.until, (f.until IS NULL OR e.ts >= f.until) AND e.ts - f.started >= INTERVAL 1 DAY AS fresh FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1))
+      SELECT k AS key, started AS window_start, max(n)::BIGINT AS failures, max(until) AS locked_until FROM f GROUP BY k, started HAVING max(n) >= 2""",
     "generation_fence": """WITH u AS (SELECT user_id AS task_id, ts::DATE AS generation, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, ts AS t FROM events),
       n AS (SELECT * FROM u QUALIFY generation = max(generation) OVER (PARTITION BY task_id))
       SELECT task_id, generation::VARCHAR AS generation, status FROM n QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY status <> 'running' DESC, CASE WHEN status <> 'running' THEN t END ASC NULLS LAST, t DESC) = 1""",
@@ -100,7 +105,8 @@ SQL = {
     "keyword_snippets": rf"""WITH {_bm25([['licensed'], ['under']])}, {_PAGE.format(n=20)},
       t AS (SELECT doc_id, score, regexp_extract_all(text, '{_TOKEN}') AS w, regexp_split_to_array(text, '{_TOKEN}') AS g FROM scored JOIN documents USING (doc_id)),
       p AS (SELECT doc_id, i - 1 AS pos, lower(w[i]) AS term, len(w) AS size, CASE WHEN i = 1 OR regexp_matches(g[i], '[.:][ 	
-]+$') THEN i - 1 END AS head FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+
+]+$') THEN i - 1 END AS head FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
       h AS (SELECT *, max(head) OVER (PARTITION BY doc_id ORDER BY pos) AS from_head FROM p),
       hit AS (SELECT doc_id, pos, term, size, from_head FROM h WHERE term IN ('licensed', 'under')),
       cand AS (SELECT doc_id, size, pos AS place, pos AS start, 0 AS kind FROM hit UNION ALL SELECT doc_id, size, pos, from_head, 1 FROM hit WHERE from_head < pos AND size > 40),

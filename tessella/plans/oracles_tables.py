@@ -50,6 +50,12 @@ SQL = {
       SELECT p_partkey AS id, coalesce(o.n, 0)::INT AS outgoing, coalesce(b.n, 0)::INT AS backlinks FROM part LEFT JOIN (SELECT f, count(*) AS n FROM l GROUP BY f) o ON o.f = p_partkey LEFT JOIN (SELECT t, count(*) AS n FROM l GROUP BY t) b ON b.t = p_partkey""",
     "wiki_tags": "SELECT doc_id, lang AS tag FROM documents UNION SELECT doc_id, lang || 'x' FROM documents WHERE doc_id % 2 = 1",
     "wiki_hits_page": f"""WITH {_HITS}, p AS (SELECT doc_id, row_number() OVER (ORDER BY rank, doc_id) AS pos FROM page) SELECT doc_id AS id, pos, 'hit ' || lang AS preview, 1 AS ref_count FROM p JOIN documents USING (doc_id) WHERE source IN ('src1', 'src2', 'src3') ORDER BY pos LIMIT 3 OFFSET 3""",
+    "packed_vector_scan": "SELECT len(embedding)::INT AS dimensions, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings",
+    "event_text_scan": "SELECT event_type AS event, count(*) AS events, sum(event_id)::BIGINT AS ids, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
+    "key_value_scan": "SELECT p_name || ' ' || p_partkey AS name, count(DISTINCT l_suppkey)::INT AS sources, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS chunk_ids FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name, p_partkey",
+    "deep_descendants": """WITH RECURSIVE t AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up FROM orders),
+      w AS (SELECT up AS above, id FROM t WHERE up IS NOT NULL UNION ALL SELECT t.up, w.id FROM w JOIN t ON t.id = w.above WHERE t.up IS NOT NULL)
+      SELECT above AS root, id FROM w WHERE above % 7 = 0""",
     "task_descendants": f"WITH {_LINEAGE} SELECT r.id AS root, t.id FROM t JOIN t r ON t.up = r.id",
     "latest_attempts": f"WITH {_LINEAGE} SELECT doc AS document_id, type, id, attempt FROM t QUALIFY row_number() OVER (PARTITION BY doc, type ORDER BY CASE WHEN type = 'rag_index' THEN attempt ELSE 0 END DESC, made DESC, id DESC) = 1",
     "processing_round": f"""WITH {_LINEAGE}, c AS (SELECT doc, id, op, made FROM t WHERE type = 'document_convert' QUALIFY row_number() OVER (PARTITION BY doc ORDER BY made DESC, id DESC) = 1)

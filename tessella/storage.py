@@ -22,8 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """A narrow intermediate as a Parquet table; its lineage is cut, and its size lets Spark choose the join."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

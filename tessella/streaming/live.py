@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tessella.operators.tasks import LOCKED, FailureWindow
 
 
 def usage_trend(usage: DataFrame, late: str = "1 day") -> DataFrame:
@@ -44,11 +47,65 @@ def stalls(beats: DataFrame, minutes: int = 5) -> DataFrame:
     return timed.groupBy("task_id").applyInPandasWithState(watch, "task_id long, last_beat timestamp", "last long", "append", "EventTimeTimeout")
 
 
-def lockouts(failures: DataFrame, most: int = 5, minutes: int = 15, late: str = "10 minutes") -> DataFrame:
-    """(key, window_start, failures) of fixed windows with too many failures (key, ts)."""
-    w = F.window("ts", f"{minutes} minutes")
-    got = failures.withWatermark("ts", late).groupBy(w.alias("w"), "key").agg(F.count("*").alias("failures"))
-    return got.where(F.col("failures") >= most).select("key", F.col("w.start").alias("window_start"), "failures")
+class _Lockouts(StatefulProcessor):
+    """Failures wait until the watermark has passed them and are then taken in order of time; a timer closes the window.
+
+    State of a key: its waiting failures, and its window (started, failures, locked until).
+    """
+
+    def __init__(self, most: int, window: int, lock: int):
+        self.most, self.window, self.lock = most, window, lock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long")
+        self.held = handle.getValueState("held", "started long, failures long, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = [int(t) for part in rows for t in part["t"]]
+        self.waiting.appendList([(t,) for t in times])
+        for t in sorted({-(-t // 1000) for t in times}):
+            self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
+        ripe, later = [t for t in waiting if t <= now], [t for t in waiting if t > now]
+        if ripe:
+            self.waiting.put([(t,) for t in later]) if later else self.waiting.clear()
+        at = FailureWindow(*self.held.get()) if self.held.exists() else None
+        done = []
+        for t in [*ripe, None]:  # and what the watermark itself has ended
+            if at is not None and at.over(now if t is None else t, self.window):
+                if at.locked_until:
+                    done.append((key[0], pd.Timestamp(at.started, unit="us"), at.failures, pd.Timestamp(at.locked_until, unit="us")))
+                at = None
+            if t is not None:
+                at = at or FailureWindow(t)
+                at.fail(t, self.most, self.lock)
+        if at is None:
+            self.held.clear()
+        else:
+            self.held.update((at.started, at.failures, at.locked_until))
+            self.handle.registerTimer(-(-max(at.locked_until, at.started + self.window) // 1000))
+        if done:
+            yield pd.DataFrame(done, columns=["key", "window_start", "failures", "locked_until"])
+
+    def close(self) -> None:
+        pass
+
+
+def lockouts(failures: DataFrame, most: int = 5, minutes: int = 15, lock_minutes: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """(key, window_start, failures, locked_until) of a stream of failures (key, ts): the rows of `tasks.lockouts`, each once its window is over.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Failures later than
+    the watermark are dropped.
+    """
+    window, lock = minutes * 60_000_000, (minutes if lock_minutes is None else lock_minutes) * 60_000_000
+    timed = failures.where("key IS NOT NULL").withWatermark("ts", late).withColumn("t", F.unix_micros("ts"))
+    kind = failures.schema["key"].dataType.simpleString()
+    return timed.groupBy("key").transformWithStateInPandas(_Lockouts(most, window, lock), f"key {kind}, {LOCKED}", "Append", "EventTime")
 
 
 def incremental(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> DataStreamWriter:
