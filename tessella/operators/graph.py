@@ -185,3 +185,32 @@ def depths(tree: DataFrame) -> DataFrame:
         above = here.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"))
         here = written(here.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("a_up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
     return here.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
+def connected(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
+    """(node, component) for each node of an edge; a component is named by its smallest node.
+
+    Alternating stars: each node's larger neighbours are hung onto the smallest node around it, then
+    its smaller ones, until nothing changes. Minima are partial aggregates, so that a hub is summed
+    up before it is shuffled; each round is written.
+    """
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    nodes = written(links.select(F.col("u").alias("node")).union(links.select("v")).distinct())
+
+    def star(rows: DataFrame, large: bool) -> DataFrame:
+        both = rows.union(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        seen = both if large else both.where("v < u")
+        least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("m_u"), F.least("u", "m").alias("m"))
+        met = seen.join(least, F.col("u") == F.col("m_u"))
+        if large:
+            return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("m_u", "m")).where("u <> v").distinct()
+
+    live, before = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    while True:
+        mark = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+        live = written(star(written(star(live, True)), False))
+    return nodes.join(live, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))

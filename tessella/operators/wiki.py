@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
+from tessella.functions.titles import title_tokens
+from tessella.operators.graph import connected
 from tessella.storage import written
 
 DUPLICATE = 0.45
@@ -106,6 +109,126 @@ def merge_batch(existing: DataFrame, candidates: DataFrame, as_of: str, user: st
     return both.groupBy(user).applyInPandas(run, schema)
 
 
+def title_pairs(left: DataFrame, right: DataFrame, user: str = "user_id", threshold: float = DUPLICATE) -> DataFrame:
+    """Pairs (x, y) of nodes of one user whose token sets are alike: both sides are (user, node, tokens), distinct.
+
+    They meet on the first tokens of both in the order of their frequency: a pair of a similarity of
+    at least `threshold` shares one of them, and hot tokens come last.
+    """
+    often = written(right.select(user, F.explode("tokens").alias("token")).groupBy(user, "token").agg(F.count("*").alias("df")))
+
+    def heads(rows: DataFrame, name: str) -> DataFrame:
+        ranked = rows.withColumn("token", F.explode("tokens")).join(often, [user, "token"], "left").groupBy(user, "node", "tokens").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+        n = F.size("r")
+        return ranked.select(user, F.col("node").alias(name), F.col("tokens").alias(f"{name}_t"), F.explode(F.slice("r", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("h")).select(user, name, f"{name}_t", F.col("h.token").alias("token"))
+
+    k = F.size(F.array_intersect("x_t", "y_t"))
+    alike = k / (F.size("x_t") + F.size("y_t") - k) >= threshold
+    return heads(left, "x").join(heads(right, "y"), [user, "token"]).where((F.col("x") != F.col("y")) & alike).select("x", "y").distinct()
+
+
+def merge_entries(existing: DataFrame, candidates: DataFrame, as_of: str, user: str = "user_id", fuse: Callable[[str, str], str] | None = None) -> DataFrame:
+    """The entries of `merge_batch`, with `merges` (candidates that were merged into an entry), folded by components.
+
+    A candidate can only meet titles that reach the threshold, its own ones among them, so candidates
+    and the titles alike form the components of a graph of token sets, and what one component decides
+    no other one sees. Each component is folded in order on its own; entries and candidates that meet
+    nothing need no fold. Slugs are numbered afterwards, in the order of creation, among those of one
+    stem only. So a user's wiki is as many tasks as it has components.
+    """
+    cols = [user, "type", "title", "slug", "content", "refs", "confidence"]
+    both = existing.select(*cols, "seq", F.lit(0).alias("new")).unionByName(candidates.select(*cols, "seq", F.lit(1).alias("new")))
+    tokens = F.array_sort(tx.title_tokens(F.coalesce("title", F.lit(""))))
+    node = F.concat_ws("\x00", F.col(user).cast("string"), F.array_join("tokens", " "))
+    rows = written(both.withColumn("tokens", tokens).withColumn("node", node))
+    sets = lambda d: d.where(F.size("tokens") > 0).select(user, "node", "tokens").distinct()
+    links = written(title_pairs(sets(rows.where("new = 1")), sets(rows), user))
+    named = connected(links, "x", "y").select(F.col("node").alias("c_node"), "component")
+    # Without tokens, a title is like no other one, not even its equal.
+    alone = F.when(F.size("tokens") == 0, F.concat_ws("\x00", "node", F.col("new").cast("string"), F.col("seq").cast("string")))
+    placed = written(rows.join(named, F.col("node") == F.col("c_node"), "left").withColumn("component", F.coalesce(alone, "component", "node")).drop("c_node", "node", "tokens"))
+    size = placed.groupBy(F.col("component").alias("s_component")).agg(((F.count("*") > 1) & (F.max("new") == 1)).alias("folds"))
+    marked = placed.join(size, F.col("component") == F.col("s_component"))
+    rank = _kind_rank(F.col("type"))
+    single = marked.where("NOT folds").select(user, "type", "title", "slug", F.when(F.col("new") == 1, F.substring("content", 1, CONTENT_LIMIT)).otherwise(F.col("content")).alias("content"), "refs", "confidence", F.when(F.col("new") == 1, "create").otherwise("keep").alias("action"), F.lit(0).cast("long").alias("merges"), "new", rank.alias("rank"), "seq")
+    schema = f"{user} {existing.schema[user].dataType.simpleString()}, type string, title string, slug string, content string, refs array<string>, confidence double, action string, merges long, new int, rank int, seq long"
+    fold = lambda part: pd.DataFrame(_fold(part, cols, as_of, fuse), columns=[*cols, "action", "merges", "new", "rank", "seq"])
+    folded = marked.where("folds").drop("folds", "s_component").groupBy("component").applyInPandas(fold, schema)
+    merged = written(single.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")]).unionByName(folded))
+    return _numbered(merged, user).select(*cols, "action", "merges")
+
+
+_KINDS = ("doc_summary", "topic", "concept", "claim")
+
+
+def _kind_rank(kind: Column) -> Column:
+    out = F.lit(9)
+    for k, name in enumerate(_KINDS):
+        out = F.when(kind == name, k).otherwise(out)
+    return out
+
+
+def _fold(part: pd.DataFrame, cols: list[str], as_of: str, fuse: Callable[[str, str], str] | None) -> list[dict]:
+    """One component in order; a candidate is compared with the titles that share a token with it."""
+    ranks = {name: k for k, name in enumerate(_KINDS)}
+    rows, holders = [], {}
+
+    def add(row: dict, tokens: list[str]) -> None:
+        for t in tokens:
+            holders.setdefault(t, []).append(len(rows))
+        rows.append(row | {"size": len(tokens)})
+
+    part = part.assign(rank=part["type"].map(ranks).fillna(9).astype(int))
+    for r in part[part["new"] == 0].sort_values("seq").to_dict("records"):
+        add({c: r[c] for c in cols} | {"refs": list(r["refs"]), "action": "keep", "merges": 0, "new": 0, "rank": r["rank"], "seq": r["seq"]}, sorted(title_tokens(r["title"] or "")))
+    for c in part[part["new"] == 1].sort_values(["rank", "seq"]).to_dict("records"):
+        mine = sorted(title_tokens(c["title"] or ""))
+        shared = Counter(k for t in mine for k in holders.get(t, ()))
+        top = max(shared, key=lambda k: (shared[k] / (len(mine) + rows[k]["size"] - shared[k]), -k), default=None)
+        text = c["content"][:CONTENT_LIMIT]
+        if top is not None and shared[top] / (len(mine) + rows[top]["size"] - shared[top]) >= DUPLICATE:
+            r = rows[top]
+            joined = fuse(r["content"], text) if fuse else f"{r['content']}\n\n--- Update {as_of} ---\n{text}"
+            r |= {"content": joined[: 2 * CONTENT_LIMIT], "confidence": min(1.0, r["confidence"] + 0.05), "refs": list(dict.fromkeys([*r["refs"], *c["refs"]])), "action": "update" if r["action"] == "keep" else r["action"], "merges": r["merges"] + 1}
+        else:
+            add({k: c[k] for k in cols} | {"content": text, "refs": list(c["refs"]), "action": "create", "merges": 0, "new": 1, "rank": c["rank"], "seq": c["seq"]}, mine)
+    return rows
+
+
+def _numbered(merged: DataFrame, user: str) -> DataFrame:
+    """Created entries get the first free one of slug, slug-2, slug-3 and so on; only stems with a collision are gone through."""
+    stem = F.regexp_replace("slug", r"(-\d+)+$", "")
+    marked = merged.withColumn("stem", stem)
+    hit = marked.groupBy(user, "stem", "slug").agg(F.count("*").alias("n")).where("n > 1").select(F.col(user).alias("h_user"), F.col("stem").alias("h_stem")).distinct()
+    on = F.col(user).eqNullSafe(F.col("h_user")) & (F.col("stem") == F.col("h_stem"))
+    calm = marked.join(hit, on, "left_anti").drop("stem")
+    clash = marked.join(hit, on, "left_semi")
+    narrow = clash.select(user, "stem", "slug", "new", "rank", "seq")
+
+    def assign(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["new", "rank", "seq"], kind="stable").reset_index(drop=True)
+        taken, out, following = set(part.loc[part["new"] == 0, "slug"]), [], {}
+        for slug, new in zip(part["slug"], part["new"], strict=True):
+            own, k = slug, following.get(slug, 2)
+            while new and own in taken:
+                own, k = f"{slug}-{k}", k + 1
+            following[slug] = k
+            taken.add(own)
+            out.append(own)
+        return part.assign(named=out)
+
+    named = narrow.groupBy(user, "stem").applyInPandas(assign, narrow.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", named string").select(F.col(user).alias("n_user"), F.col("new").alias("n_new"), F.col("rank").alias("n_rank"), F.col("seq").alias("n_seq"), "named", F.col("slug").alias("n_slug"))
+    same = F.col(user).eqNullSafe(F.col("n_user")) & (F.col("new") == F.col("n_new")) & (F.col("rank") == F.col("n_rank")) & (F.col("seq") == F.col("n_seq")) & (F.col("slug") == F.col("n_slug"))
+    renamed = clash.join(named, same).withColumn("slug", F.col("named")).select(*calm.columns)
+    return calm.unionByName(renamed)
+
+
+def merge_statistics(merged: DataFrame, user: str = "user_id", fused: bool = False) -> DataFrame:
+    """(user, created, updated, skipped, fusion_calls) of `merge_entries`."""
+    updated = F.sum("merges")
+    return merged.groupBy(user).agg(F.count_if(F.col("action") == "create").alias("created"), updated.alias("updated"), F.lit(0).cast("long").alias("skipped"), (updated if fused else F.lit(0).cast("long")).alias("fusion_calls"))
+
+
 def sweep_documents(entries: DataFrame, documents: DataFrame, gone: DataFrame) -> DataFrame:
     """(id, action, refs): entries after documents (doc_id) are deleted; action is keep, update, delete or purge.
 

@@ -389,6 +389,26 @@ def title_jaccard_merge(spark, d):
     return wiki.best_titles(candidates, existing).withColumn("score", F.round("score", 6))
 
 
+def _merged_wiki(spark, d):
+    """Parts of small sizes as entries of three users, the others as candidates."""
+    p = fx.read(spark, d, "part")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("doc_summary", "topic", "concept", "claim")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    title = F.concat_ws(" ", "p_name", F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    rows = p.select((F.col("p_partkey") % 3).alias("user_id"), kind.alias("type"), title.alias("title"), tx.slugify(F.col("p_name")).alias("slug"), F.col("p_type").alias("content"), F.array("p_brand", F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("refs"), (F.col("p_size") / 100).alias("confidence"), F.col("p_partkey").alias("seq"), "p_size")
+    return wiki.merge_entries(rows.where("p_size <= 5").drop("p_size"), rows.where("p_size > 5").drop("p_size"), "2024-01-01")
+
+
+@query
+def wiki_merge(spark, d):
+    """A batch merged into the entries of three users, every decision seeing the ones before, fold by fold of components."""
+    return _merged_wiki(spark, d).select("user_id", "type", "title", "action", "merges", F.md5("content").alias("content"), F.concat_ws(",", "refs").alias("refs"), F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def wiki_merge_statistics(spark, d):
+    return wiki.merge_statistics(_merged_wiki(spark, d))
+
+
 def _wiki_entries(spark, d):
     li = fx.read(spark, d, "lineitem")
     ref = F.struct(F.col("l_suppkey").cast("string").alias("documentId"), F.concat("l_suppkey", F.lit("-"), "l_linenumber").alias("chunkId"), F.col("l_linenumber").alias("chunkIndex"), F.lit(None).cast("string").alias("entityId"))

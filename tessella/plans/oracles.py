@@ -40,7 +40,23 @@ _PAGE = """page AS (SELECT doc_id, rank FROM ranked ORDER BY rank, doc_id LIMIT
   scored AS (SELECT doc_id, rank, floor(least(greatest(1 - (rank - (SELECT min(rank) FROM page)) / (SELECT CASE WHEN max(rank) = min(rank) THEN 1 ELSE max(rank) - min(rank) END FROM page), 0), 1) * 100 + 0.5) / 100 AS score FROM page)"""
 _ZH = r"篇幅|字数|页数|文档长度|报告长度|格式要求|简版|标准版|完整版|[0-9０-９一二三四五六七八九十百千万]+\s*(字|页)"
 
+# One candidate after the other: titles so far (token lists) and the entry that each candidate went to.
+_MERGED = f"""p AS (SELECT p_partkey AS k, p_partkey % 3 AS u, p_partkey % 4 AS kind, ['doc_summary', 'topic', 'concept', 'claim'][p_partkey % 4 + 1] AS type, p_name || ' ' || p_brand || ' size ' || p_size AS title, p_type AS content, [p_brand, 'p' || p_partkey] AS refs, p_size / 100::DOUBLE AS confidence, p_size <= 5 AS old FROM part),
+      t AS (SELECT *, {_TITLE.format("title")} AS tok, CASE WHEN old THEN row_number() OVER (PARTITION BY u, old ORDER BY k) ELSE row_number() OVER (PARTITION BY u, old ORDER BY kind, k) END AS i FROM p),
+      walk AS (SELECT u, 0::BIGINT AS i, list(tok ORDER BY i) AS titles, []::BIGINT[] AS goes FROM t WHERE old GROUP BY u
+               UNION ALL SELECT u, i, CASE WHEN best >= 0.45::DOUBLE THEN titles ELSE list_append(titles, tok) END, list_append(goes, CASE WHEN best >= 0.45::DOUBLE THEN list_position(scores, best)::BIGINT ELSE len(titles) + 1 END)
+               FROM (SELECT *, list_max(scores) AS best FROM (SELECT w.u, c.i, w.titles, w.goes, c.tok, list_transform(w.titles, lambda x: len(list_intersect(x, c.tok)) / (len(x) + len(c.tok) - len(list_intersect(x, c.tok)))::DOUBLE) AS scores FROM walk w JOIN t c ON c.u = w.u AND NOT c.old AND c.i = w.i + 1))),
+      ends AS (SELECT u, goes FROM walk QUALIFY row_number() OVER (PARTITION BY u ORDER BY i DESC) = 1),
+      moves AS (SELECT u, unnest(range(1, len(goes) + 1)) AS i, unnest(goes) AS at FROM ends),
+      olds AS (SELECT u, count(*) AS n FROM t WHERE old GROUP BY u),
+      parts AS (SELECT u, i AS place, 0 AS i, 'keep' AS how, type, title, content, refs, confidence FROM t WHERE old
+                UNION ALL SELECT t.u, m.at, t.i, CASE WHEN m.at > n AND row_number() OVER (PARTITION BY t.u, m.at ORDER BY t.i) = 1 THEN 'create' ELSE 'merge' END, type, title, content, refs, confidence FROM t JOIN moves m ON m.u = t.u AND m.i = t.i JOIN olds ON olds.u = t.u WHERE NOT old),
+      merged AS (SELECT u AS user_id, place, first(type ORDER BY i) AS type, first(title ORDER BY i) AS title, CASE WHEN bool_or(how = 'create') THEN 'create' WHEN count(*) > 1 THEN 'update' ELSE 'keep' END AS action, count(*) - 1 AS merges,
+                 md5(string_agg(CASE WHEN how = 'merge' THEN chr(10) || chr(10) || '--- Update 2024-01-01 ---' || chr(10) ELSE '' END || content, '' ORDER BY i)[1:6000]) AS content, flatten(list(refs ORDER BY i)) AS refs, round(least(1, first(confidence ORDER BY i) + 0.05::DOUBLE * (count(*) - 1)), 6) AS confidence FROM parts GROUP BY u, place)"""
+
 SQL = {
+    "wiki_merge": f"WITH RECURSIVE {_MERGED} SELECT user_id, type, title, action, merges, content, list_reduce(list_transform(list_filter(list_zip(refs, range(1, len(refs) + 1)), lambda z: list_position(refs, z[1]) = z[2]), lambda z: z[1]), lambda a, b: a || ',' || b) AS refs, confidence FROM merged",
+    "wiki_merge_statistics": f"WITH RECURSIVE {_MERGED} SELECT user_id, count(*) FILTER (WHERE action = 'create') AS created, sum(merges)::BIGINT AS updated, 0::BIGINT AS skipped, 0::BIGINT AS fusion_calls FROM merged GROUP BY user_id",
     "usage_by_dimension": f"""WITH {_USAGE}, models AS (SELECT n_nationkey::BIGINT AS model_id, n_name AS model, r_name AS provider FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey BETWEEN 1 AND 5)
       SELECT 'model' AS kind, CASE WHEN u.model_id IS NULL THEN 'Unattributed' ELSE coalesce(model, 'Unknown') END AS label, provider, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, count(*) AS calls FROM usage u LEFT JOIN models m ON u.model_id = m.model_id GROUP BY u.model_id, model, provider
       UNION ALL SELECT 'module', module, NULL, sum(tokens_in)::BIGINT, sum(tokens_out)::BIGINT, count(*) FROM usage GROUP BY module
