@@ -19,6 +19,9 @@ BEGIN, END, OPEN, CLOSE, NEXT = "<s>", "</s>", "[INST]", "[/INST]", "[SEP]"
 _PLAIN = r"(<)(\\*)(/?s>)|(\[)(\\*)(/?INST\]|SEP\])"
 _ESCAPED = r"(<)\\(\\*)(/?s>)|(\[)\\(\\*)(/?INST\]|SEP\])"
 
+#: Turns that are summed up together for the places of the texts.
+_STEP = 128
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(_PLAIN), F.lit(r"$1$4\\$2$5$3$6"))
@@ -31,8 +34,9 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans array<struct<block, start, length>>.
 
-    Turns are collected per conversation as structs and sorted by (turn, role, text); adjacent
-    turns of one role are merged with an array aggregate. A loss span names a stretch of code
+    Turns are collected per conversation as structs and sorted by (turn, role, text). Where a run of
+    one role begins is marked by the neighbour's role, and each run is a slice of the array that is
+    joined, so that no array is copied turn by turn. A loss span names a stretch of code
     points of block number `block` (blocks are what lies between the END marks), counted from 0.
 
     Null role or text counts as empty; null turns come first; rows with a null conversation id
@@ -42,23 +46,24 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     packed = turns.groupBy(F.col(conv_col).alias("_conv")).agg(F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")))).alias("turns"))
-    kind = "array<struct<role:string,texts:array<string>>>"
-
-    def merge(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        text = escape(turn["text"])
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"])
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(text)).alias("texts"))))
-        return F.when(same, grown).otherwise(F.concat(done, F.array(F.struct(turn["role"].alias("role"), F.array(text).alias("texts")))))
-
-    blocks = packed.withColumn("blocks", F.aggregate("turns", F.array().cast(kind), merge))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    at = packed.withColumns({"n": F.size("turns"), "roles": F.transform("turns", lambda t: t["role"]), "texts": F.transform("turns", lambda t: escape(t["text"]))})
+    at = at.withColumns({"wide": F.transform("texts", lambda t: F.length(t) + len(NEXT)), "starts": F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.get("roles", i - 1) != F.get("roles", i - 2)))})
+    # What stands before each text, summed up in two levels: whole steps, then within the step.
+    at = at.withColumn("steps", F.transform(F.sequence(F.lit(0), ((F.col("n") - 1) / _STEP).cast("int")), lambda j: total(F.slice("wide", j * _STEP + 1, _STEP))))
+    at = at.withColumn("past", F.transform("steps", lambda x, j: total(F.slice("steps", F.lit(1), j))))
+    # Named twice, so that the optimizer doesn't move the array's making into the lambda.
+    whole = lambda i: F.when(F.get("past", (i / _STEP).cast("int")) > 0, F.get("past", (i / _STEP).cast("int"))).otherwise(0)
+    at = at.withColumn("before", F.transform("wide", lambda x, i: whole(i) + total(F.slice("wide", i - i % _STEP + 1, i % _STEP))))
+    run = lambda s, k: F.struct(F.get("roles", s - 1).alias("role"), s.alias("first"), (F.coalesce(F.get("starts", k + 1), F.col("n") + 1) - s).alias("many"))
+    blocks = at.withColumn("blocks", F.transform("starts", run))
     head = lambda b: F.concat(F.lit(BEGIN + OPEN), escape(b["role"]), F.lit(CLOSE))
-    body = F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END)))
+    body = F.transform("blocks", lambda b: F.concat(head(b), F.array_join(F.slice("texts", b["first"], b["many"]), NEXT), F.lit(END)))
 
     def spans(block: Column, number: Column) -> Column:
-        start = F.struct(F.length(head(block)).alias("at"), F.array().cast("array<struct<block:int,start:int,length:int>>").alias("spans"))
-        step = lambda acc, text: F.struct((acc["at"] + F.length(text) + len(NEXT)).alias("at"), F.concat(acc["spans"], F.array(F.struct(number.alias("block"), acc["at"].alias("start"), F.length(text).alias("length")))).alias("spans"))
-        return F.when(block["role"].isin(*loss_roles), F.aggregate(block["texts"], start, step)["spans"]).otherwise(start["spans"])
+        turn = lambda i: F.struct(number.alias("block"), (F.length(head(block)) + F.get("before", i - 1) - F.get("before", block["first"] - 1)).alias("start"), F.length(F.get("texts", i - 1)).alias("length"))
+        every = F.transform(F.sequence(block["first"], block["first"] + block["many"] - 1), turn)
+        return F.when(block["role"].isin(*loss_roles), every).otherwise(F.array().cast("array<struct<block:int,start:int,length:int>>"))
 
     return blocks.select(F.col("_conv").alias(conv_col), F.concat_ws("", body).alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("loss_spans"))
 
