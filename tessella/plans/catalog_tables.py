@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
-from tessella.operators import analytics, details, drafts, fulltext, fusion, graph, lookups, tasks, vector, wiki
+from tessella.operators import analytics, details, drafts, fulltext, fusion, graph, lookups, retrieval, tasks, vector, wiki
 from tessella.plans import fixtures as fx
 from tessella.plans import search
 from tessella.plans.catalog import PHRASE, SEARCH, _nearest, query
@@ -180,6 +180,32 @@ def hybrid_search(spark, d):
     return fusion.fuse({"direct": direct, "keyword": keyword, "graph": entity}, "Licensed under", 30).select("doc_id", "source", "score", "fusion", "rank")
 
 
+def _graph(spark, d):
+    """Documents as chunks, parts as entities, parts that follow each other in an order as relations; vectors by number."""
+    e = fx.read(spark, d, "embeddings").select("vec_id", "embedding")
+    vectors = e.count()  # one number
+    chunk = F.concat(F.lit("d"), (F.col("l_orderkey") % vectors).cast("string"))
+    li = fx.read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", chunk.alias("chunk"))
+    lists = lambda *keys: F.array_sort(F.collect_set("chunk")).alias("chunk_ids")
+    entities = li.groupBy("l_partkey").agg(lists()).join(e, F.col("l_partkey") % vectors == F.col("vec_id")).select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), "embedding", "chunk_ids")
+    before = F.lag("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = li.withColumn("before", before).where("before IS NOT NULL AND before <> l_partkey").select(F.least("before", "l_partkey").alias("a"), F.greatest("before", "l_partkey").alias("b"), "chunk")
+    relations = pairs.groupBy("a", "b").agg(lists()).join(e, (F.col("a") * 7 + F.col("b")) % vectors == F.col("vec_id")).select(F.concat(F.lit("p"), F.col("a").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("b").cast("string")).alias("target"), "embedding", "chunk_ids")
+    chunks = e.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk"), "embedding", (F.col("vec_id") % 90 + 10).alias("tokens"))
+    low, high = (list(e.where(F.col("vec_id") == k).first()["embedding"]) for k in (0, 1))
+    return chunks, entities, relations, low, high
+
+
+@query
+def graph_retrieval(spark, d):
+    """The chunks of each mode over one graph, within a budget of tokens."""
+    parts = [retrieval.graph_retrieve(m, *_graph(spark, d), 10, 2000).withColumn("mode", F.lit(m)) for m in ("local", "global", "hybrid", "mix", "naive")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("mode", "nth", "chunk", "origin", F.round("score", 6).alias("score"))
+
+
 @query
 def entity_lookup(spark, d):
     """The chunks of an entity with their documents' names."""

@@ -10,7 +10,31 @@ _RF = "r AS (SELECT l_orderkey AS section_id, l_orderkey || '-' || l_linenumber
 _SEC = "s AS (SELECT o_orderkey AS section_id, ['pending', 'generating', 'reviewing', 'failed', 'locked'][o_orderkey % 5 + 1] AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS content, CASE WHEN o_orderkey % 2 = 0 THEN 'one' END AS a, CASE WHEN o_orderkey % 7 > 0 THEN 'two' END AS b, o_orderkey % 100 AS words FROM orders)"
 _HITS = f"{_bm25([['licensed'], ['under']])}, {_PAGE.format(n=40)}"
 
+_GRAPH = """v AS (SELECT count(*) AS n FROM embeddings), q AS (SELECT max(embedding) FILTER (WHERE vec_id = 0)::DOUBLE[] AS low, max(embedding) FILTER (WHERE vec_id = 1)::DOUBLE[] AS high FROM embeddings),
+      c AS (SELECT vec_id, list_dot_product(e, low) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(low, low))) AS low, list_dot_product(e, high) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(high, high))) AS high FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q),
+      li AS (SELECT l_partkey AS p, l_orderkey AS o, 'd' || (l_orderkey % n) AS chunk, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem, v),
+      en AS (SELECT 'p' || p AS name, list(DISTINCT chunk ORDER BY chunk) AS ids, p % any_value(n) AS vec FROM li, v GROUP BY p),
+      re AS (SELECT 'p' || least(p, b) AS s, 'p' || greatest(p, b) AS t, list(DISTINCT chunk ORDER BY chunk) AS ids, (least(p, b) * 7 + greatest(p, b)) % any_value(n) AS vec FROM li, v WHERE b IS NOT NULL AND b <> p GROUP BY least(p, b), greatest(p, b)),
+      be AS (SELECT name, ids, row_number() OVER (ORDER BY low DESC, name) AS k FROM en JOIN c ON vec = vec_id WHERE low >= 0.2::DOUBLE QUALIFY k <= 60),
+      br AS (SELECT s, t, ids, row_number() OVER (ORDER BY high DESC, s, t) AS k FROM re JOIN c ON vec = vec_id WHERE high >= 0.2::DOUBLE QUALIFY k <= 60),
+      own AS (SELECT name, k, unnest(ids) AS chunk, unnest(range(len(ids))) AS pos FROM be),
+      near AS (SELECT DISTINCT name, other FROM (SELECT s AS name, t AS other FROM re UNION ALL SELECT t, s FROM re) w WHERE name IN (SELECT name FROM be)),
+      held AS (SELECT near.name, unnest(ids) AS chunk FROM near JOIN en ON en.name = other),
+      sh AS (SELECT own.name, own.chunk, count(*) AS n FROM own JOIN held ON held.name = own.name AND held.chunk = own.chunk GROUP BY ALL),
+      l AS (SELECT chunk, k, -coalesce(n, 0) AS n, pos FROM own LEFT JOIN sh USING (name, chunk)),
+      l1 AS (SELECT chunk, k, n, pos FROM l QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY k, n, pos) = 1),
+      g1 AS (SELECT chunk, k, pos FROM (SELECT k, unnest(ids) AS chunk, unnest(range(len(ids))) AS pos FROM br) QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY k, pos) = 1),
+      lists AS (SELECT 'local' AS origin, chunk, row_number() OVER (ORDER BY k, n, pos, chunk) AS nth, NULL::DOUBLE AS cosine FROM l1 QUALIFY nth <= 80
+        UNION ALL SELECT 'global', chunk, row_number() OVER (ORDER BY k, pos, chunk) AS nth, NULL FROM g1 QUALIFY nth <= 80
+        UNION ALL SELECT 'vector', 'd' || vec_id, row_number() OVER (ORDER BY low DESC, 'd' || vec_id) AS nth, low FROM c WHERE low >= 0.2::DOUBLE QUALIFY nth <= 80),
+      modes AS (SELECT * FROM (VALUES ('local', 'local', 0), ('global', 'global', 0), ('hybrid', 'local', 0), ('hybrid', 'global', 1), ('mix', 'vector', 0), ('mix', 'local', 1), ('mix', 'global', 2), ('naive', 'vector', 0)) m(mode, origin, turn)),
+      firsts AS (SELECT mode, chunk, origin, nth, turn, max(cosine) OVER (PARTITION BY mode, chunk) AS cosine FROM lists JOIN modes USING (origin) QUALIFY row_number() OVER (PARTITION BY mode, chunk ORDER BY nth, turn) = 1),
+      kept AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY mode ORDER BY nth, turn) <= 80),
+      fits AS (SELECT *, sum(substr(chunk, 2)::BIGINT % 90 + 10) OVER (PARTITION BY mode ORDER BY nth, turn) AS used FROM kept),
+      placed AS (SELECT mode, chunk, origin, cosine, row_number() OVER (PARTITION BY mode ORDER BY nth, turn) AS nth, count(*) OVER (PARTITION BY mode) AS total FROM fits WHERE used <= 2000)"""
+
 SQL = {
+    "graph_retrieval": f"WITH {_GRAPH} SELECT mode, nth, chunk, origin, round(least(0.75::DOUBLE, CASE WHEN cosine IS NOT NULL THEN least(1, greatest(0, cosine)) ELSE greatest(0.25::DOUBLE, 0.75::DOUBLE - 0.35::DOUBLE * (nth - 1) / greatest(total - 1, 1)) END), 6) AS score FROM placed",
     "upload_layers": """WITH p AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS page, (l_quantity * 2)::INT AS len, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
       s AS (SELECT *, greatest(1.0::DOUBLE, n / 200.0::DOUBLE) AS step FROM p), g AS (SELECT doc_id, max(n) AS pages, avg((len > 50)::INT) AS ratio FROM s WHERE n <= 200 OR floor(page / step) <> floor((page - 1) / step) GROUP BY doc_id)
       SELECT doc_id, pages, round(ratio, 6) AS ratio, pages >= 80 AND ratio >= 0.5 AS bypass, (doc_id % 10) / 10.0::DOUBLE < 0.6 OR (pages + 400 > 500 AND pages / (pages + 400) < 0.4::DOUBLE) AS poor FROM g""",

@@ -6,26 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tessella.operators import fulltext, fusion, graph, vector
+from tessella.operators import fulltext, fusion, graph, retrieval, vector
 
-MODES = ("local", "global", "hybrid", "mix", "naive", "bypass")
-_EMBEDDERS: dict[str, Callable[[str], list[float]]] = {}
-_EXTRACTORS: dict[str, Callable] = {}
-
-
-def register_embedder(name: str, f: Callable[[str], list[float]]) -> None:
-    """A function from a query to its vector, in place of a remote model."""
-    _EMBEDDERS[name] = f
-
-
-def register_extractor(name: str, f: Callable) -> None:
-    """A function from a text to rows, in place of a language model."""
-    _EXTRACTORS[name] = f
-
-
-def embedder(name: str) -> Callable[[str], list[float]]:
-    return _EMBEDDERS[name]
+MODES = retrieval.MODES
 
 
 def keyword(chunks: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -35,14 +20,18 @@ def keyword(chunks: DataFrame, query: str, limit: int = 20, offset: int = 0) ->
     return hits.select("_k.doc_id", "_k.chunk_id", "score").join(chunks, ["doc_id", "chunk_id"])
 
 
-def semantic(chunks: DataFrame, query: str, query_vector: list[float] | None, limit: int = 20, mode: str = "mix", nodes: DataFrame | None = None, rerank: Callable[[DataFrame, str], DataFrame] | None = None, images: DataFrame | None = None) -> DataFrame:
+def semantic(chunks: DataFrame, query: str, query_vector: list[float] | None, limit: int = 20, mode: str = "mix", nodes: DataFrame | None = None, relations: DataFrame | None = None, theme_vector: list[float] | None = None, rerank: Callable[[DataFrame, str], DataFrame] | None = None, images: DataFrame | None = None) -> DataFrame:
     """Fused hits of the vector, keyword and graph branches, each asked for twice the limit; unknown modes are hybrid.
 
-    chunks: doc_id, chunk_id, title, content, embedding. nodes (name, chunk_ids) feed the graph
-    branch: chunks of entities that the query names. Without a vector the branch is left out.
+    chunks: doc_id, chunk_id, title, content, embedding. With nodes (name, embedding, chunk_ids) and
+    relations (source, target, embedding, chunk_ids), the graph branch retrieves by mode
+    (`retrieval.graph_retrieve`; theme_vector is that of the relations' level); chunk ids there are
+    "<doc_id>/<chunk_id>". With nodes (name, chunk_ids) alone it takes the chunks of entities that the
+    query names. Without a vector, the vector branch is left out and the graph goes by names.
     """
     mode = mode if mode in MODES else "hybrid"
     cols = ["doc_id", "chunk_id", "title", "content"]
+    full = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("chunk_id").cast("string"))
     branches: dict[str, DataFrame] = {}
     if query_vector:
         keyed = chunks.withColumn("_k", F.struct("doc_id", "chunk_id"))
@@ -50,14 +39,17 @@ def semantic(chunks: DataFrame, query: str, query_vector: list[float] | None, li
         branches["direct"] = best.join(chunks.select(*cols), ["doc_id", "chunk_id"])
     if mode != "bypass":
         branches["keyword"] = keyword(chunks.select(*cols), query, 2 * limit)
-    if nodes is not None and mode not in ("naive", "bypass"):
+    hit = None
+    if nodes is not None and relations is not None and query_vector and mode != "bypass":
+        sized = chunks.select(full.alias("chunk"), "embedding", F.lit(0).alias("tokens"))
+        hit = retrieval.graph_retrieve(mode, sized, nodes, relations, query_vector, theme_vector, limit).where(F.col("nth") <= 2 * limit)
+    elif nodes is not None and mode not in ("naive", "bypass"):
         wanted = nodes.sparkSession.createDataFrame([(t,) for t in dict.fromkeys([query, *query.split()])], "entity string")
-        found = graph.evidence(nodes, wanted, max(5 * limit, 80)).groupBy("chunk_id").agg(F.min("nth").alias("nth"))
-        split = found.select(F.substring_index("chunk_id", "/", 1).alias("g_doc"), F.substring_index("chunk_id", "/", -1).alias("g_chunk"), "nth").orderBy("nth", "chunk_id").limit(2 * limit)
-        total = F.lit(float(2 * limit))
-        hit = split.select("g_doc", "g_chunk", fusion.graph_branch_score(F.lit(None).cast("double"), F.col("nth"), total).alias("score"))
-        joined = hit.join(chunks.select(*cols), (F.col("g_doc") == F.col("doc_id").cast("string")) & (F.col("g_chunk") == F.col("chunk_id").cast("string")))
-        branches["graph"] = joined.select(*cols, "score")
+        found = graph.evidence(nodes, wanted, retrieval.chunk_top_k(limit)).groupBy(F.col("chunk_id").alias("chunk")).agg(F.min("nth").alias("n")).orderBy("n", "chunk").limit(2 * limit)
+        placed = found.withColumns({"nth": F.row_number().over(W.orderBy("n", "chunk")), "total": F.count("*").over(W.partitionBy(F.lit(0)))})  # a top-k
+        hit = placed.select("chunk", fusion.graph_branch_score(F.lit(None).cast("double"), F.col("nth"), F.col("total")).alias("score"))
+    if hit is not None:
+        branches["graph"] = hit.join(chunks.select(*cols, full.alias("chunk")), "chunk").select(*cols, "score")
     branches = {k: v.select(*cols, "score") for k, v in branches.items()}
     if rerank:
         branches = {k: rerank(v, query) for k, v in branches.items()}
