@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
-from tessella.operators import analytics, details, drafts, fulltext, fusion, graph, lookups, retrieval, tasks, vector, wiki
+from tessella.operators import analytics, details, drafts, extraction, fulltext, fusion, graph, lookups, retrieval, tasks, vector, wiki
 from tessella.plans import fixtures as fx
 from tessella.plans import search
 from tessella.plans.catalog import PHRASE, SEARCH, _nearest, query
@@ -206,6 +208,41 @@ def graph_retrieval(spark, d):
     return out.select("mode", "nth", "chunk", "origin", F.round("score", 6).alias("score"))
 
 
+def capitalised(texts: list[str]) -> list[dict]:
+    """An extractor by rule, in place of a language model: long capitalised words, and those that follow each other."""
+    out = []
+    for t in texts:
+        found = re.findall("[A-Z][a-z]{6,}", t)
+        kinds = [{"name": w, "type": "concept" if len(w) > 9 else "component", "description": w[:3]} for w in dict.fromkeys(found)]
+        out.append({"entities": kinds, "relations": [{"source": a, "target": b} for a, b in zip(found, found[1:], strict=False)]})
+    return out
+
+
+def _extracted(spark, d):
+    chunks = fx.read(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("content"))
+    said = extraction.mentions(chunks, extraction.extract(chunks, capitalised, scratch(spark)))
+    return said, extraction.merge_mentions(*said)
+
+
+@query
+def extracted_graph(spark, d):
+    """Nodes and edges that an extractor finds in all documents, with their sources."""
+    _, (nodes, edges) = _extracted(spark, d)
+    n = nodes.select(F.col("id").alias("a"), F.lit("").alias("b"), F.col("entity_type").alias("kind"), F.lit(0.0).alias("weight"), "source_id")
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("edge").alias("kind"), "weight", "source_id")
+    return n.unionByName(e).withColumn("source_id", F.md5("source_id"))
+
+
+@query
+def extracted_graph_purged(spark, d):
+    """The same after the documents of one source are deleted."""
+    said, graph_tables = _extracted(spark, d)
+    nodes, edges = extraction.purge(*graph_tables, *said, spark.createDataFrame([("src1",)], "doc_id string"))
+    n = nodes.select(F.col("id").alias("a"), F.lit("").alias("b"), F.col("entity_type").alias("kind"), F.lit(0.0).alias("weight"), "source_id")
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("edge").alias("kind"), "weight", "source_id")
+    return n.unionByName(e).withColumn("source_id", F.md5("source_id"))
+
+
 @query
 def entity_lookup(spark, d):
     """The chunks of an entity with their documents' names."""

@@ -33,7 +33,17 @@ _GRAPH = """v AS (SELECT count(*) AS n FROM embeddings), q AS (SELECT max(embedd
       fits AS (SELECT *, sum(substr(chunk, 2)::BIGINT % 90 + 10) OVER (PARTITION BY mode ORDER BY nth, turn) AS used FROM kept),
       placed AS (SELECT mode, chunk, origin, cosine, row_number() OVER (PARTITION BY mode ORDER BY nth, turn) AS nth, count(*) OVER (PARTITION BY mode) AS total FROM fits WHERE used <= 2000)"""
 
+def _extracted(where: str) -> str:
+    return f"""WITH d AS (SELECT source || '/' || doc_id AS chunk, regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{6,}}') AS w FROM documents WHERE {where}),
+      e AS (SELECT DISTINCT chunk, unnest(w) AS name FROM d),
+      r AS (SELECT chunk, least(w[i], w[i + 1]) AS a, greatest(w[i], w[i + 1]) AS b FROM (SELECT chunk, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] <> w[i + 1])
+      SELECT name AS a, '' AS b, CASE WHEN length(name) > 9 THEN 'concept' ELSE 'component' END AS kind, 0.0::DOUBLE AS weight, md5(string_agg(chunk, '<SEP>' ORDER BY chunk)) AS source_id FROM e GROUP BY name
+      UNION ALL SELECT a, b, 'edge', count(*)::DOUBLE, md5(string_agg(DISTINCT chunk, '<SEP>' ORDER BY chunk)) FROM r GROUP BY a, b"""
+
+
 SQL = {
+    "extracted_graph": _extracted("true"),
+    "extracted_graph_purged": _extracted("source <> 'src1'"),
     "graph_retrieval": f"WITH {_GRAPH} SELECT mode, nth, chunk, origin, round(least(0.75::DOUBLE, CASE WHEN cosine IS NOT NULL THEN least(1, greatest(0, cosine)) ELSE greatest(0.25::DOUBLE, 0.75::DOUBLE - 0.35::DOUBLE * (nth - 1) / greatest(total - 1, 1)) END), 6) AS score FROM placed",
     "upload_layers": """WITH p AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS page, (l_quantity * 2)::INT AS len, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
       s AS (SELECT *, greatest(1.0::DOUBLE, n / 200.0::DOUBLE) AS step FROM p), g AS (SELECT doc_id, max(n) AS pages, avg((len > 50)::INT) AS ratio FROM s WHERE n <= 200 OR floor(page / step) <> floor((page - 1) / step) GROUP BY doc_id)
