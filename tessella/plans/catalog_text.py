@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import loose_json
-from tessella.operators import analytics, chunking, details, outline
+from tessella.operators import analytics, chunking, details, outline, semantic
 from tessella.plans import fixtures as fx
 from tessella.plans.catalog import query
 
@@ -55,6 +55,23 @@ def book_segment_metrics(spark, d):
     return analytics.segmentation_metrics(chunking.segments(b), n)
 
 
+@query
+def structure_chunks(spark, d):
+    """Books cut along a structure table: the title, every third order a chapter, the others its subsections."""
+    o = fx.read(spark, d, "orders")
+    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = o.select(F.col("o_custkey").alias("doc_id"), n.alias("idx"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("text"), F.when(n % 3 == 1, 2).otherwise(3).alias("level"))
+    titles = o.select(F.col("o_custkey").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("idx"), F.concat(F.lit("Customer "), F.col("doc_id").cast("string")).alias("text"), F.lit(1).alias("level"))
+    return semantic.structure_chunks(books(spark, d), rows.unionByName(titles), 1500).select("doc_id", "idx", "path", "tokens", F.md5("content").alias("digest"))
+
+
+@query
+def semantic_numbers(spark, d):
+    """Vectors as sentences, their labels as documents: where neighbours differ, and where a chunk is full."""
+    e = fx.read(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("idx"), (F.col("vec_id") * 7 % 50 + 10).alias("tokens"), "embedding")
+    return semantic.semantic_numbers(e, 100, 0.0, 2)
+
+
 @query
 def book_chunks(spark, d):
     return chunking.chunks(books(spark, d), 2500, 500).select("doc_id", "idx", "title", "path", "tokens", F.md5("content").alias("digest"))

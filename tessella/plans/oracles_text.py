@@ -35,6 +35,19 @@ _WINDOWS = f"""RECURSIVE {_BOOK},
 _PARTS = "p AS (SELECT p_partkey AS k, 'About ' || p_name || chr(10) AS a, '[IMAGE_REQUEST:' || chr(10) || 'id=i' || p_partkey || chr(10) || 'title=' || p_name || chr(10) || 'prompt=draw ' || p_name || ']' AS b, chr(10) || 'middle of ' || p_partkey || ' ' AS c, '[DIAGRAM: ' || p_partkey || '|id=d' || p_partkey || '|title=' || p_type || ']' AS d, p_name, p_type FROM part)"
 
 SQL = {
+    "structure_chunks": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n,
+        '## Order ' || o_orderkey || chr(10) || chr(10) || repeat('The order ' || o_orderkey || ' is in state ' || o_orderstatus || ' now. ', 40) || chr(10) || chr(10) || '| key | state |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' |' || chr(10) || chr(10) || '```' || chr(10) || 'code of ' || o_orderkey || chr(10) || '```' AS t FROM orders),
+      h AS (SELECT *, (n - 1) // 3 AS chapter FROM o),
+      g AS (SELECT c, chapter, min(n) AS n, 'Order ' || min(k) AS name, string_agg(t, chr(10) || chr(10) ORDER BY n) AS body FROM h GROUP BY c, chapter),
+      r AS (SELECT c, 0 AS n, 'Customer ' || c AS path, '# Customer ' || c AS body FROM o GROUP BY c UNION ALL SELECT c, n, name, body FROM g WHERE ceil(length(body) / 1.5) <= 1500
+        UNION ALL SELECT h.c, h.n, CASE WHEN h.n = g.n THEN name ELSE name || ' > Order ' || k END, t FROM h JOIN g ON g.c = h.c AND g.chapter = h.chapter WHERE ceil(length(body) / 1.5) > 1500)
+      SELECT c AS doc_id, (row_number() OVER (PARTITION BY c ORDER BY n) - 1)::INT AS idx, path, greatest(1, ceil(length(body) / 1.5))::BIGINT AS tokens, md5(body) AS digest FROM r""",
+    # One vector after the other, with what a cut depends on.
+    "semantic_numbers": """WITH RECURSIVE e AS (SELECT label AS d, vec_id AS idx, vec_id * 7 % 50 + 10 AS size, row_number() OVER w - 1 AS i, list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER w) < 0 AS valley FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+      f AS (SELECT d, idx, i, 0::BIGINT AS chunk, NULL::BIGINT AS last, size AS since, size AS total FROM e WHERE i = 0
+        UNION ALL SELECT d, idx, i, CASE WHEN cut OR full_ THEN chunk + 1 ELSE chunk END, CASE WHEN cut THEN i ELSE last END, CASE WHEN cut THEN size ELSE since + size END, CASE WHEN cut OR full_ THEN size ELSE total + size END
+        FROM (SELECT e.d, e.idx, e.i, e.size, f.chunk, f.last, f.since, f.total, e.valley AND NOT coalesce(e.i - f.last <= 2 AND f.since < 120, false) AS cut, f.total + e.size > 100 AS full_ FROM f JOIN e ON e.d = f.d AND e.i = f.i + 1))
+      SELECT d AS doc_id, idx, chunk FROM f""",
     "book_atoms": f"WITH {_BOOK} SELECT doc_id, idx, kind, tokens, path, level, char_start, char_end, md5(body) AS digest FROM atoms",
     "book_windows": f"""WITH {_WINDOWS} SELECT w.doc_id, win::INT AS idx, min(w.idx)::INT AS start_atom, max(w.idx)::INT AS end_atom, sum(w.tokens)::BIGINT AS tokens, arg_min(path, w.idx) AS path,
       count(*) FILTER (WHERE kind = 'heading') AS heading, count(*) FILTER (WHERE kind = 'paragraph') AS paragraph, count(*) FILTER (WHERE kind = 'table') AS table, count(*) FILTER (WHERE kind = 'code') AS code,
