@@ -14,8 +14,12 @@ equal sums make a class. A host with a third of all pages is therefore pre-aggre
 task like any other. Classes without a fixed text have nothing to cut and are not ordered or
 nested.
 
-The fixed slots of the host's template are cut out of every page first. Of what is left, the kinds
-and names of elements, article and main, and the share of links are further evidence.
+The fixed slots of the host's template are cut out of every page first. What is left is the
+page's own text, and the slot that holds it is the main slot: the innermost container with
+four fifths of a page's own text, if at least MIN_PAGES of the host's pages, and a quarter of all, agree
+on it. Everything outside of the main slot is cut. An article or main element, which HTML defines,
+is the main slot of its page; without either and without a main slot (a host with few pages),
+names of elements and the share of links are what is left as evidence.
 """
 
 from __future__ import annotations
@@ -39,34 +43,38 @@ from tessella.llm._base import small_batches, text_or_empty, written
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside button select option input menu dialog head script style noscript template textarea title iframe svg math object canvas audio video".split())
+DROPPED = frozenset("nav header footer aside select option input menu dialog head script style noscript template textarea title iframe svg math object".split())
 MAIN = frozenset(["article", "main"])
-#: Inside an article, a header is the article's own heading and is kept.
+#: Elements of text, which are no container of a page's content.
+TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary address hgroup".split())
+#: Names that count inside an article or a main slot: adverts, reader comments, sidebars, notices.
+INSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|sponsor\w*|comments?|commentlist|sidebar\w*)(?:$|[\s_-])|(?:^|[\s_-])notices?(?:$|\s)", re.I)
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent|notice\w*|alert|gdpr|newsletter\w*|subscrib\w*|signup|login|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|popular|trending|widget\w*|comments?|commentlist|disqus|replies|reply|respond|reader-?\w*|popup|modal|overlay|paywall|toolbar|pagination|pager|tags?|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: A class counts when it has so many tokens and stands in so many pages.
 MIN_TOKENS, MIN_PAGES = 2, 3
 #: A text is fixed if it stands in this share of the pages that have its path; a block with this share of links is no content.
 VARIES = 0.5
+#: Share of a page's own text that its main slot holds; share of links from which a block without any other evidence is a menu.
+HOLDS, LINKED = 0.8, 0.8
 
 _TOKEN = re.compile(r"""[^<]+|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAMED = re.compile(r"""\b(class|id|role)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: A start tag on the left ends open elements on the right.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), {"p"})
 
 
 @lru_cache(maxsize=50_000)
-def _attributes(name: str, rest: str) -> tuple[str, str, bool, bool, bool]:
-    """Of a start tag: its label, its role, whether it is hidden, whether its name marks boilerplate, and whether it does inside an article."""
+def _attributes(name: str, rest: str) -> tuple[str, str, bool, bool]:
+    """Of a start tag: its label, its role, whether its name marks boilerplate, and whether it does inside an article."""
     named = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(rest)} if rest else {}
     label = re.sub(r"\d+", "0", " ".join(filter(None, (named.get("class"), named.get("id")))))
     role = named.get("role", "").lower()
-    hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
     # A form is dropped like what a name marks: some hosts put the whole page in one.
     form = name == "form" or role == "form"
     told = name not in INLINE | MAIN | {"body", "html"}
-    marks = [form or (told and bool(x and NAMES.search(x))) for x in (label, re.sub("header", "", label, flags=re.I))]
-    return label, role, hidden, *marks
+    marks = [form or (told and bool(label and names.search(label))) for names in (NAMES, INSIDE)]
+    return label, role, *marks
 
 
 @lru_cache(maxsize=50_000)
@@ -125,12 +133,13 @@ class _Stack:
         self.cut(len(self.items))
 
 
-def read_page(source: str) -> tuple[list[int], list[tuple[int, str, int, bool, bool, int, int]], list[int]]:
+def read_page(source: str, around: dict[int, tuple[int, bool]] | None = None) -> tuple[list[int], list[tuple[int, str, int, bool, bool, int, int]], list[int]]:
     """(element paths in page order, text blocks in page order, marks).
 
     A block is (path, text, linked characters, dropped, main, elements before it, mark); mark is
     the number of the innermost element around it whose name marks boilerplate, or -1, and marks
-    has the number of the next one around each. Paths are hashes.
+    has the number of the next one around each. Paths are hashes; `around` is filled with the path
+    around each and whether it is a container.
 
     Any input is read: unclosed elements end where HTML says they do or with the page, stray end
     tags are passed over, and what is no tag is text.
@@ -203,11 +212,13 @@ def read_page(source: str) -> tuple[list[int], list[tuple[int, str, int, bool, b
             raw = name
             continue
         up = stack.items[-1]
-        label, role, hidden, marked, marked_inside = _attributes(name, rest)
-        dropped = up.dropped or hidden or role in ROLES or (name in DROPPED and not (name == "header" and up.main))
+        label, role, marked, marked_inside = _attributes(name, rest)
+        dropped = up.dropped or role in ROLES or (name in DROPPED and not (name == "header" and up.main))
         main = up.main or ((name in MAIN or role == "main") and not dropped)
         mark = up.mark
         paths.append(_path(up.path, name, label))
+        if around is not None:
+            around[paths[-1]] = up.path, name not in TEXTUAL
         if marked_inside if up.main else marked:
             mark = len(marks)
             marks.append(up.mark)
@@ -327,17 +338,39 @@ def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     return kept.where("fixed").join(large, ["host", "class"]).select("host", "token", "class")
 
 
-def extract_main(source: str, fixed: set[str] | None = None) -> str:
-    """The main text of one page; `fixed` are the fixed text tokens of its host's template.
+def main_slot(source: str, fixed: set[int] | None = None) -> int | None:
+    """The innermost container that holds most of the page's own text, as a path; None if it has none."""
+    around: dict[int, tuple[int, bool]] = {}
+    _, blocks, _ = read_page(source, around)
+    tokens = text_tokens(blocks) if fixed else ()
+    held: Counter = Counter()
+    for k, b in enumerate(blocks):
+        if not b[3] and not (fixed and tokens[k] in fixed):
+            held[b[0]] += len(b[1]) - b[2]
+    total = sum(held.values())
+    depth: dict[int, int] = {}
+    for path, (up, _) in around.items():  # an element stands before those in it
+        depth[path] = depth.get(up, 0) + 1
+    for path, (up, _) in reversed(around.items()):
+        held[up] += held[path]
+    enough = [p for p, (_, container) in around.items() if container and total and held[p] >= HOLDS * total]
+    return max(enough, key=depth.__getitem__, default=None)
+
+
+def extract_main(source: str, fixed: set[int] | None = None, slots: list[int] | None = None) -> str:
+    """The main text of one page; `fixed` are the fixed text tokens of its host's template, `slots` its main slots.
 
     Fixed slots are cut out, inside and outside of articles. With an article or main element,
-    what is left in it is the main text; without one, all that is not mostly links. An article
-    with nothing but fixed text stays whole: its page is a copy, and no template.
+    what is left in it is the main text; else what is left in the first of the main slots that the page
+    has; else all that is not mostly links. An article with nothing but fixed text stays whole: its
+    page is a copy, and no template.
 
     An element whose name marks boilerplate, or a form, is dropped if what is left in it is mostly links, or
-    less than half of what the page has left without links; one that holds more is its content.
+    less than half of what the page has left without links; one that holds more is its content. Inside
+    an article only names of adverts, comments, sidebars and notices count.
     """
-    _, blocks, marks = read_page(source)
+    around: dict[int, tuple[int, bool]] = {}
+    _, blocks, marks = read_page(source, around)
     cut = {b for b, t in enumerate(text_tokens(blocks)) if t in fixed} if fixed else ()
     own, size, linked = 0, [0] * len(marks), [0] * len(marks)
     for k, b in enumerate(blocks):
@@ -358,14 +391,22 @@ def extract_main(source: str, fixed: set[str] | None = None) -> str:
     open_slots = [b for k, b in left if k not in cut]
     if inside:
         return " ".join(b[1] for b in [b for b in open_slots if b[4]] or inside)
-    return " ".join(b[1] for b in open_slots if b[2] < VARIES * len(b[1]))
+    slot = next((s for s in slots or () if s in around), None)
+    if slot is not None:
+        under: dict[int, bool] = {}
+        for path, (up, _) in around.items():  # an element stands before those in it
+            under[path] = path == slot or under.get(up, False)
+        if within := [b[1] for b in open_slots if under.get(b[0])]:
+            return " ".join(within)
+    return " ".join(b[1] for b in open_slots if b[2] < LINKED * len(b[1]))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text, n_chars.
 
     The template of each host is deduced over all pages first; its fixed text tokens
-    come to the pages by a join on the host. That table holds a list of tokens for each host; it
+    come to the pages by a join on the host, the pages vote for main slots, and those that a host's pages
+    agree on come to them likewise. The first table holds a list of tokens for each host; it
     is written in the shared folder so that Spark broadcasts it only if it is small. Null html
     counts as empty and gives an empty text; pages without a host form one host; repeated rows
     are extracted each; other columns are ignored; an empty table gives no rows.
@@ -373,15 +414,26 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     small_batches(pages.sparkSession)
     constant = deduce_templates(pages, id_col, url_col, html_col)
     fixed = written(constant.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed")).withColumnRenamed("host", "t_host"))
+    as_set = lambda x: set(map(int, x)) if x is not None else None
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = Counter((h, s) for h, source, tokens in zip(batch["t_key"], batch["html"], batch["fixed"], strict=True) if (s := main_slot(source, as_set(tokens))) is not None)
+            yield pd.DataFrame([(h, s, n) for (h, s), n in found.items()], columns=["host", "slot", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [extract_main(source, set(map(int, tokens)) if tokens is not None else None) for source, tokens in zip(batch["html"], batch["fixed"], strict=True)]
+            out = [extract_main(source, as_set(tokens), [int(s) for s in slots] if slots is not None else None) for source, tokens, slots in zip(batch["html"], batch["fixed"], batch["slots"], strict=True)]
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     kind = pages.schema[id_col].dataType
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), url.alias("url"), text_or_empty(html_col).alias("html"))
-    known = rows.withColumn("t_key", _host_column("url")).join(fixed, F.col("t_key") == F.col("t_host"), "left").select("id", "url", "html", "fixed")
+    known = rows.withColumn("t_key", _host_column("url")).join(fixed, F.col("t_key") == F.col("t_host"), "left")
+    votes = written(known.select("t_key", "html", "fixed").mapInPandas(vote, "host string, slot long, n long").groupBy("host", "slot").agg(F.sum("n").alias("n")))
+    every = votes.groupBy(F.col("host").alias("v_host")).agg(F.sum("n").alias("total"))
+    good = votes.join(every, F.col("host") == F.col("v_host")).where((F.col("n") >= MIN_PAGES) & (4 * F.col("n") >= F.col("total")))  # at most four for each host
+    slots = written(good.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "slot"))), lambda x: x["slot"]).alias("slots")).withColumnRenamed("host", "s_host"))
+    known = known.join(slots, F.col("t_key") == F.col("s_host"), "left").select("id", "url", "html", "fixed", "slots")
     got = known.mapInPandas(run, "id string, url string, text string, n_chars long")
     return got.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

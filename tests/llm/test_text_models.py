@@ -1,3 +1,4 @@
+from collections import Counter
 import re
 import zlib
 
@@ -231,7 +232,7 @@ def test_token_counts_against_the_tokenizer(spark, sf_dir):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><article><header><h1>Head &amp; line</h1></header><p>One <b>bold</b>er<br>line &eacute;&#33;
-<p>Two<ul><li>a<li>b</ul><script>var x = "</p><p>no";</script><!-- hidden --><form><input><button>Go</button></form>
+<p>Two<ul><li>a<li>b</ul><script>var x = "</p><p>no";</script><!-- hidden --><form><input><label>Go</label></form>
 <div id="comments"><p>First!</p></div><aside>Side</aside></article><footer>&copy; x</footer></body></html>"""
 
 
@@ -288,6 +289,50 @@ def test_no_form_or_name_drops_an_article():
     assert main("<article><p>Some text of it</p><div class=adsbygoogle>Buy now</div></article>") == "Some text of it"
 
 
+def test_article_text_is_not_dropped_by_name():
+    main = html_extract.extract_main
+    for odd in ("<div class='notice-board'><p>Of the board.</p></div>", "<div class=reply><p>A reply it was.</p></div>", "<p hidden>Not shown.</p>", "<p>Press <button>Go</button> now.</p>", "<p style='display:none'>Kept.</p>"):
+        text = " ".join(re.sub("<[^>]*>", "", odd).split())
+        assert main(f"<article><p>Much more text than that stands in this article, to be sure.</p>{odd}</article>") == f"Much more text than that stands in this article, to be sure. {text}"
+    assert main("<p>Half of this text is <a href=/>a link to a page</a></p>") == "Half of this text is a link to a page"
+    assert main("<article><p>Text</p><div class='cookie-notice'>No</div></article>") == "Text"
+
+
+def test_main_slot_without_any_article(spark):
+    words = lambda k, n: " ".join(f"w{(k * 31 + j * 7) % 97}" for j in range(n))
+    page = lambda k: f"<html><body><div class=top><p>Buy {words(k, 4)}</p></div><div class=wrap><div class=content><h1>{words(k, 5)}</h1><p>{words(k + 3, 40)}</p><p>{words(k + 5, 30)} <a href=/>x</a></p></div><div class=more><p>{words(k + 9, 3)}</p></div></div><div class=end>{words(k + 2, 3)}</div></body></html>"
+    got = extracted(spark, [page(k) for k in range(12)])
+    assert got == {k: f"{words(k, 5)} {words(k + 3, 40)} {words(k + 5, 30)} x" for k in range(12)}
+    lone = extracted(spark, [page(k) for k in range(2)])  # two pages agree on nothing
+    assert lone[0].startswith("Buy ")
+
+
+def test_the_template_alone_finds_the_articles_of_the_table(spark, monkeypatch):
+    """Without article and main as evidence and without names, on hosts with enough pages."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    monkeypatch.setattr(html_extract, "MAIN", frozenset())
+    monkeypatch.setattr(html_extract, "NAMES", re.compile("(?!)"))
+    monkeypatch.setattr(html_extract, "INSIDE", re.compile("(?!)"))
+    html_extract._attributes.cache_clear()
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(html_extract.host_of(r.url), []).append(r)
+    right = total = 0
+    for rows in (v for v in hosts.values() if len(v) >= 5):
+        votes = Counter(html_extract.main_slot(r.html) for r in rows)
+        slots = [s for s, n in votes.most_common() if s is not None and n >= 3 and 4 * n >= len(rows)]
+        for r in rows:
+            body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+            text = " ".join(html.unescape(re.sub("<[^>]*>", "", re.sub(r"</?(?:h1|p|br)\b[^>]*>", " ", body))).split())
+            right += html_extract.extract_main(r.html, None, slots) == text
+            total += 1
+    html_extract._attributes.cache_clear()
+    print("template alone:", right, "of", total)
+    assert total > 80 and right >= 0.9 * total, (right, total)
+
+
 @pytest.mark.parametrize("deep", ["<div>{}" * 60_000, "<div class=notice>{}" * 60_000, "<b>{}<i>" * 30_000, "<li>{}" * 30_000 + "</x></b>" * 30_000, "<b>" * 30_000 + "<div>{}" * 30_000 + "</b>" * 30_000, "<p>{}<table>" * 20_000])
 def test_deep_pages_take_linear_time(deep):
     import time
@@ -295,6 +340,10 @@ def test_deep_pages_take_linear_time(deep):
     t = time.perf_counter()
     text = html_extract.extract_main(deep.replace("{}", "x").replace("{}", ""))
     assert time.perf_counter() - t < 8 and set(text) <= {"x", " "}
+    t = time.perf_counter()
+    slot = html_extract.main_slot(deep.replace("{}", "x").replace("{}", ""))
+    html_extract.extract_main(deep.replace("{}", "x").replace("{}", ""), None, [slot])
+    assert time.perf_counter() - t < 16
     paths, blocks, marks = html_extract.read_page(deep.replace("{}", "word "))
     assert len(blocks) and len(html_extract.page_tokens(deep.replace("{}", "word "))) == len(paths) + len(blocks) + 1
 
