@@ -83,3 +83,34 @@ def string_batches(items: list[str], most: int) -> list[list[str]]:
         out[-1].append(x)
         size += len(x)
     return out
+
+
+# How many of each kind count, and the least length of a content.
+MOST = {"topics": 3, "concepts": 4, "claims": 3}
+LEAST_CONTENT = 80
+
+
+def knowledge(raw: str, least: int = LEAST_CONTENT, most: dict[str, int] | None = None) -> dict | None:
+    """{micro_summary, topics, concepts, claims} of a reply, each kind up to its cap; null if it is no JSON object.
+
+    Entries need a title of two characters and a content that says something; a claim without a
+    confidence has 0.7, others are brought between 0 and 1.
+    """
+    got = first_object(raw)
+    if not isinstance(got, dict):
+        return None
+    said = got.get("microSummary")
+    out: dict = {"micro_summary": said[:120] if isinstance(said, str) else ""}
+    for kind, cap in (most or MOST).items():
+        found = []
+        for e in got.get(kind) if isinstance(got.get(kind), list) else ():
+            title, content = (e.get("title"), e.get("content")) if isinstance(e, dict) else (None, None)
+            if not (isinstance(title, str) and isinstance(content, str)) or len(title.strip()) < 2 or len(content.strip()) < least:
+                continue
+            entry = {"title": title.strip(), "content": content.strip()}
+            if kind == "claims":
+                c = e.get("confidence")
+                entry["confidence"] = max(0.0, min(1.0, float(c))) if isinstance(c, (int, float)) and not isinstance(c, bool) else 0.7
+            found.append(entry)
+        out[kind] = found[:cap]
+    return out

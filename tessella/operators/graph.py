@@ -144,6 +144,32 @@ def merge_entities(nodes: DataFrame, edges: DataFrame, renames: DataFrame) -> tu
     return merged, e.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
+EDITABLE = ("entity_type", "description", "source_id")
+
+
+def create_entities(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with the new ones (id, entity_type, description), (id, error)): a name that is taken, empty or asked for twice is refused."""
+    asked = new.withColumn("id", F.trim("id")).withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("entity_type", "description")))
+    known = nodes.select(F.col("id").alias("k")).distinct()
+    marked = asked.join(known, F.col("id") == F.col("k"), "left")
+    error = F.when(F.coalesce("id", F.lit("")) == "", "empty").when(F.col("k").isNotNull() | (F.col("nth") > 1), "exists")
+    judged = written(marked.withColumn("error", error))
+    made = judged.where("error IS NULL").select("id", "entity_type", "description", F.lit("").alias("source_id"))
+    return nodes.unionByName(made), judged.where("error IS NOT NULL").select("id", "error")
+
+
+def edit_entities(nodes: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes after edits (id, field, value, seq), (id, field, error)): the last edit of a field counts; an unknown node or field is refused."""
+    known = nodes.select(F.col("id").alias("k")).distinct()
+    error = F.when(~F.col("field").isin(*EDITABLE), "field").when(F.col("k").isNull(), "missing")
+    judged = written(edits.join(known, F.col("id") == F.col("k"), "left").withColumn("error", error))
+    last = judged.where("error IS NULL").groupBy("id").pivot("field", list(EDITABLE)).agg(F.max_by(F.struct("value"), "seq"))
+    last = last.select(F.col("id").alias("e_id"), *[F.col(f).alias(f"e_{f}") for f in EDITABLE])
+    met = nodes.join(last, F.col("id") == F.col("e_id"), "left")
+    out = met.select(*[F.when(F.col(f"e_{c}").isNotNull(), F.col(f"e_{c}.value")).otherwise(F.col(c)).alias(c) if c in EDITABLE else F.col(c) for c in nodes.columns])
+    return out, judged.where("error IS NOT NULL").select("id", "field", "error")
+
+
 def delete_entities(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     g = gone.select("id").distinct()
     left = edges.join(g, edges["source"] == g["id"], "left_anti")

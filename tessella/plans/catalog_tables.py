@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.functions import backoff, diagrams
 from tessella.functions import text as tx
 from tessella.operators import analytics, details, drafts, extraction, fulltext, fusion, graph, lookups, retrieval, tasks, vector, wiki
 from tessella.plans import fixtures as fx
@@ -545,6 +546,42 @@ def result_badges(spark, d):
     return fx.read(spark, d, "part").select(k.alias("id"), shown.alias("b")).select("id", "b.percent", "b.level")
 
 
+@query
+def retry_delays(spark, d):
+    """Hints in seconds, as dates before and after the call, broken or missing; what the call waits, and whether waiting helps at all."""
+    e = fx.read(spark, d, "events")
+    k, now = F.col("event_id"), F.col("ts").cast("timestamp")
+    date = F.date_format(now + F.make_interval(secs=(k % 900 - 100).cast("decimal(18,6)")), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(k % 5 == 0, (k % 1000).cast("string")).when(k % 5 == 1, date).when(k % 5 == 2, "soon").when(k % 5 == 3, "-10")
+    whole = F.date_trunc("second", now)
+    wait = F.when(k % 5 == 1, backoff.retry_after_ms(header, whole)).otherwise(backoff.retry_after_ms(header, now))
+    body = F.when(k % 3 == 0, "Error: Insufficient_Quota").otherwise("slow down")
+    reset = backoff.duration_ms(F.when(k % 4 == 0, F.concat((k % 3).cast("string"), F.lit("m"), (k % 60).cast("string"), F.lit("s"))).when(k % 4 == 1, F.concat((k % 900).cast("string"), F.lit("ms"))).when(k % 4 == 2, F.concat((k % 90).cast("string"), F.lit(".5"))).otherwise("never"))
+    return e.select("event_id", wait.alias("hint_ms"), backoff.backoff_ms(F.when(k % 5 != 1, header), k % 5, now, (k % 21 - 10) / 10).alias("wait_ms"), backoff.account_spent((F.lit(400) + k % 30).cast("int"), body).alias("spent"), reset.alias("reset_ms"))
+
+
+@query
+def diagram_needs(spark, d):
+    """Sections (parts) that ask for a diagram, and of which type."""
+    p = fx.read(spark, d, "part")
+    k = F.col("p_partkey")
+    words = F.element_at(F.array(*[F.lit(x) for x in ("the Data Flow", "a pipeline", "nothing", "Include a Flowchart", "部署拓扑", "a roadmap, phased", "sequence of calls", "需要一张图", "HIGH availability", "plain")]), (k % 10 + 1).cast("int"))
+    text = diagrams.section_text(F.col("p_name"), words, F.when(k % 2 == 0, F.col("p_type")))
+    return p.select("p_partkey", diagrams.needs_diagram(text).alias("needs"), diagrams.diagram_type(text).alias("type"))
+
+
+@query
+def edited_entities(spark, d):
+    """Parts as entities: some created, of which a few are refused, and some edited."""
+    p = fx.read(spark, d, "part")
+    nodes = p.where("p_partkey % 3 > 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("entity_type"), F.col("p_name").alias("description"), F.col("p_brand").alias("source_id"))
+    new = p.where("p_partkey % 4 = 0").select(F.concat(F.lit(" p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("new").alias("entity_type"), F.col("p_name").alias("description"))
+    more, _ = graph.create_entities(nodes, new)
+    edits = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_partkey") % 5 == 0, "name").when(F.col("p_partkey") % 5 == 1, "entity_type").otherwise("description").alias("field"), F.col("p_brand").alias("value"), F.col("p_partkey").alias("seq"))
+    out, refused = graph.edit_entities(more, edits)
+    return out.unionByName(refused.select("id", F.lit("refused").alias("entity_type"), F.col("field").alias("description"), F.col("error").alias("source_id")))
+
+
 @query
 def text_rules(spark, d):
     p = fx.read(spark, d, "part")

@@ -42,6 +42,15 @@ def _extracted(where: str) -> str:
 
 
 SQL = {
+    "retry_delays": """WITH e AS (SELECT event_id, event_id AS k FROM events), h AS (SELECT *, CASE k % 5 WHEN 0 THEN least((k % 1000) * 1000, 300000) WHEN 1 THEN greatest(0, least((k % 900 - 100) * 1000, 300000)) END AS hint FROM e)
+      SELECT event_id, hint::BIGINT AS hint_ms, floor(b + b * 0.25::DOUBLE * ((k % 21 - 10) / 10::DOUBLE) + 0.5::DOUBLE)::BIGINT AS wait_ms, (400 + k % 30) IN (402, 403, 429) AND k % 3 = 0 AS spent,
+        CASE k % 4 WHEN 0 THEN (k % 3) * 60000 + (k % 60) * 1000 WHEN 1 THEN k % 900 WHEN 2 THEN (k % 90) * 1000 + 500 END::BIGINT AS reset_ms
+      FROM (SELECT *, CASE WHEN k % 5 = 0 THEN hint ELSE power(2, 4 - greatest(1, least(k % 5, 3))) * 1000 END::DOUBLE AS b FROM h)""",
+    "diagram_needs": """WITH t AS (SELECT p_partkey, lower(concat_ws(' ', p_name, ['the Data Flow', 'a pipeline', 'nothing', 'Include a Flowchart', '部署拓扑', 'a roadmap, phased', 'sequence of calls', '需要一张图', 'HIGH availability', 'plain'][p_partkey % 10 + 1], CASE WHEN p_partkey % 2 = 0 THEN p_type END)) AS t FROM part)
+      SELECT p_partkey, p_partkey % 10 NOT IN (2, 9) AS needs, CASE p_partkey % 10 WHEN 0 THEN 'data-flow' WHEN 3 THEN 'flowchart' WHEN 4 THEN 'deployment' WHEN 5 THEN 'timeline' WHEN 6 THEN 'sequence' ELSE 'architecture' END AS type FROM t""",
+    "edited_entities": """WITH n AS (SELECT 'p' || p_partkey AS id, p_type AS t, p_name AS x, p_brand AS s, p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT 'p' || p_partkey, 'new', p_name, '', p_partkey, p_brand FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 = 0)
+      SELECT id, CASE WHEN k % 5 = 1 THEN v ELSE t END AS entity_type, CASE WHEN k % 5 > 1 THEN v ELSE x END AS description, s AS source_id FROM n
+      UNION ALL SELECT 'p' || p_partkey, 'refused', CASE p_partkey % 5 WHEN 0 THEN 'name' WHEN 1 THEN 'entity_type' ELSE 'description' END, CASE WHEN p_partkey % 5 = 0 THEN 'field' ELSE 'missing' END FROM part WHERE p_partkey % 5 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 4 > 0)""",
     "extracted_graph": _extracted("true"),
     "extracted_graph_purged": _extracted("source <> 'src1'"),
     "graph_retrieval": f"WITH {_GRAPH} SELECT mode, nth, chunk, origin, round(least(0.75::DOUBLE, CASE WHEN cosine IS NOT NULL THEN least(1, greatest(0, cosine)) ELSE greatest(0.25::DOUBLE, 0.75::DOUBLE - 0.35::DOUBLE * (nth - 1) / greatest(total - 1, 1)) END), 6) AS score FROM placed",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.operators import fulltext, fusion, graph, retrieval, vector
+from tessella.storage import written
 
 MODES = retrieval.MODES
 
@@ -66,3 +67,15 @@ def entity_evidence(nodes: DataFrame, chunks: DataFrame, documents: DataFrame, e
     doc = F.when(F.instr("chunk_id", "/") > 1, F.substring_index("chunk_id", "/", 1)).otherwise("")
     out = found.withColumn("document_id", doc).join(texts, F.col("chunk_id") == F.col("full_id"), "left").join(named, F.col("document_id") == F.col("d_id"), "left")
     return out.select("nth", "chunk_id", "document_id", F.coalesce("name", F.lit("")).alias("document_name"), F.coalesce("content", F.lit("")).alias("content"), F.lit(1.0).alias("score"), F.lit("entity_lookup").alias("source"))
+
+
+def entity_or_semantic(nodes: DataFrame, chunks: DataFrame, documents: DataFrame, entity: str, query_vector: list[float] | None = None, limit: int = 8, relations: DataFrame | None = None) -> DataFrame:
+    """The evidence of an entity; if the graph doesn't know it, what a semantic search for its name finds (source "semantic")."""
+    known = written(entity_evidence(nodes, chunks, documents, entity, limit))
+    if not known.isEmpty():
+        return known
+    full = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("chunk_id").cast("string"))
+    found = semantic(chunks, entity, query_vector, limit, "mix", nodes, relations)
+    named = documents.select(F.col("doc_id").cast("string").alias("d_id"), "name")
+    out = found.withColumn("document_id", F.col("doc_id").cast("string")).join(named, F.col("document_id") == F.col("d_id"), "left")
+    return out.select(F.col("rank").alias("nth"), full.alias("chunk_id"), "document_id", F.coalesce("name", F.lit("")).alias("document_name"), F.coalesce("content", F.lit("")).alias("content"), "score", F.lit("semantic").alias("source"))
