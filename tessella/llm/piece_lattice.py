@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._base import small_batches, text_or_empty
+from tessella.llm._base import small_batches, text_or_empty, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, MARK, NEWLINE, LITERAL, PAD = 0x20, 0x2581, 0x0A, 0x110000, 0x110001
@@ -311,7 +311,7 @@ def encode_pieces(docs: DataFrame, model_path: str = MODEL, alpha: float = 1.0,
             yield pd.DataFrame({"id": batch["id"], "n_chars": [len(t) for t in texts], "n_pieces": [len(g) for g in got], "ids": got, "lossless": [decode(g.tolist(), v) == t for g, t in zip(got, texts, strict=True)]})
 
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(trimmed(run), schema)
     return rows.select(F.col("id").cast(kind).alias(id_col), "n_chars", "n_pieces", "ids", "lossless")
 
 

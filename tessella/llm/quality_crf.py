@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessella.llm._base import checkpointed, small_batches, text_or_empty
+from tessella.llm._base import checkpointed, small_batches, text_or_empty, trimmed
 
 #: Bounds of the labelled sample that the model is fitted on. Everything else covers all rows.
 MAX_TRAIN_DOCS = 4000
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made = [document_features(t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [x.astype("f4").tobytes() for x, _ in made], "n": [n.astype("f4").tobytes() for _, n in made]})
 
-    got = sorted(rows.select("id", "y", "text").mapInPandas(features, schema).collect(), key=lambda r: r["id"])
+    got = sorted(rows.select("id", "y", "text").mapInPandas(trimmed(features), schema).collect(), key=lambda r: r["id"])
     read = [(np.frombuffer(r["x"], "f4").reshape(-1, 3 * N_OWN - 2).astype(float), np.frombuffer(r["n"], "f4").astype(float), r["y"]) for r in got]
     return fit(read)
 
@@ -221,7 +221,7 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"id": batch["id"], "score": [r[0] for r in out], "lines": [r[1] for r in out], "good_lines": [r[2] for r in out]})
 
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(trimmed(run), schema)
     fold = F.crc32(F.col("id").cast("binary")) % 5
     return rows.select(F.col("id").cast(kind).alias(id_col), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "lines", "good_lines")
 

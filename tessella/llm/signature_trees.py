@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._base import SHARE, checkpointed, components, fresh, sieve, sifted, small_batches, with_groups, written
+from tessella.llm._base import SHARE, checkpointed, components, fresh, sieve, sifted, small_batches, trimmed, with_groups, written
 
 WORDS, PERCENT = 5, 80
 #: Bits of a document's bitmap by size band: (largest size but one, bits). A document up to a quarter over a band's
@@ -139,7 +139,7 @@ def frequency_classes(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
         return table.slice(0, 1).set_column(2, "sums", pa.array([total.tobytes()], pa.binary()))
 
     schema = "tasks int, block int, sums binary"
-    parts = _texts(docs, id_col, text_col).select("text").mapInArrow(count, schema)
+    parts = _texts(docs, id_col, text_col).select("text").mapInArrow(trimmed(count), schema)
     some = parts.groupBy("tasks", "block").applyInArrow(add, schema)
     got = {r["block"]: np.frombuffer(r["sums"], "<i8") for r in some.groupBy("block").applyInArrow(add, schema).collect()}
     if not got:
@@ -184,7 +184,7 @@ def features(docs: DataFrame, classes: np.ndarray, size: int = WORDS, percent: i
             at += batch.num_rows
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, key long, uid long, n long, h1 long, h2 long, prefix array<long>, bits binary")
+    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, key long, uid long, n long, h1 long, h2 long, prefix array<long>, bits binary")
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = WORDS, id_col: str =
             halves = [pa.array([int.from_bytes(w[k : k + 8], "big", signed=True) for w in whole], pa.int64()) for k in (0, 8)]
             yield pa.RecordBatch.from_arrays([*halves, pa.array(made, pa.binary())], ["h1", "h2", "tokens"])
 
-    return chosen.select("text").mapInArrow(run, "h1 long, h2 long, tokens binary")
+    return chosen.select("text").mapInArrow(trimmed(run), "h1 long, h2 long, tokens binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -434,7 +434,7 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     marks = lambda c: among(near.select(F.col(c).alias("x"))).select(F.col("node").alias(f"{c}_node"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     hubs = written(near.groupBy("b").agg(F.count("*").alias("size")).join(marks("b"), F.col("b") == F.col("b_node")).drop("b"))
     first = with_groups(near, hubs, {"b": "b_node"}, "size", near.count()).join(marks("a"), F.col("a") == F.col("a_node"))
-    first = checkpointed(first.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible, "a long, b long"))
+    first = checkpointed(first.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(trimmed(_possible), "a long, b long"))
     parts = first.groupBy("b").agg(F.ceil(F.count("*") / HUB_CHUNK).cast("int").alias("parts")).withColumnRenamed("b", "p_b")
     left = first.join(parts, F.col("b") == F.col("p_b")).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
     ends_of = left.select("b", "part", F.col("a").alias("node"), F.lit(0).alias("side")).unionByName(parts.select(F.col("p_b").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("p_b").alias("node"), F.lit(1).alias("side")))
@@ -442,7 +442,7 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     wanted = checkpointed(ends_of.join(known, F.col("node") == F.col("w_node")).select("b", "part", "node", "side", F.col("h1").alias("w1"), F.col("h2").alias("w2"), "least", "text_key"))
     same = (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
     paired = sets_of(docs, wanted, size, id_col, text_col).join(_few(wanted.drop("least", "text_key")), same).select("b", "part", "node", "side", "tokens")
-    links = checkpointed(paired.repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(_pairs_verified, "a long, b long"))
+    links = checkpointed(paired.repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(trimmed(_pairs_verified), "a long, b long"))
 
     # Buckets that still hold two classes, one for each set of nodes.
     classes = written(components(links))
@@ -460,7 +460,7 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     live = live.join(among(live.select(F.col("node").alias("x"))).select(F.col("node").alias("n_node"), "bits"), F.col("node") == F.col("n_node"))
     live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     live = live.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "bits")
-    forest = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_survivors, "a long, b long"))
+    forest = checkpointed(live.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(trimmed(_survivors), "a long, b long"))
 
     # Whole sets, each once: pairs that are left lie inside the components of what is left.
     open_ = components(forest).select(F.col("node").alias("o_node"), F.col("component").alias("token"))
@@ -471,7 +471,7 @@ def _marked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, chunk: i
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = checkpointed(dealt.select("token", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "w1", "w2", "label", "n"))
     whole = sets_of(docs, open_, size, id_col, text_col).join(_few(dealt), same).select(*_KEYS, "own", "node", "label", "n", "tokens")
-    found = checkpointed(links.unionByName(whole.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_verified, "a long, b long")))
+    found = checkpointed(links.unionByName(whole.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(trimmed(_verified), "a long, b long")))
 
     ends = components(found).select(F.col("node").alias("e_node"), "component")
     named = written(ends.join(names, F.col("e_node") == F.col("node")).select("node", "component", "least"))
