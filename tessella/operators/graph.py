@@ -39,20 +39,22 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.countDistinct("id").alias("entities")).crossJoin(edges.agg(F.count("*").alias("relations")))  # one row each
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 100) -> DataFrame:
+def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 100, degree: DataFrame | None = None) -> DataFrame:
     """(node, hops) within `depth` edges of the seeds (node), nearest first, then by degree; at most `most`.
 
     One join for each hop; the frontier holds new nodes only, so no edge is followed twice. Each
-    frontier is written, so that its lineage does not grow with the hops.
+    frontier that is followed further is written, so that its lineage does not grow with the hops.
+    degree (node, degree) are those of all nodes, counted here if they aren't given.
     """
     ways = both_ways(edges)
-    seen = written(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
+    seen = frontier = seeds.select("node").distinct().withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
-        near = ways.join(frontier.select(F.col("node").alias("at")), F.col("node") == F.col("at")).select(F.col("other").alias("node")).distinct()
-        frontier = written(near.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        near = ways.join(frontier.select(F.col("node").alias("at")), F.col("node") == F.col("at"), "left_semi").select(F.col("other").alias("node")).distinct()
+        frontier = near.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        if hop < depth:
+            frontier = written(frontier)
         seen = seen.union(frontier)
-    ranked = seen.join(degrees(edges), "node", "left")
+    ranked = seen.join(degrees(edges) if degree is None else degree, "node", "left")
     return ranked.orderBy("hops", F.desc_nulls_last("degree"), "node").limit(most).select("node", "hops")
 
 
@@ -69,8 +71,9 @@ def core(edges: DataFrame, most: int = 50, least_degree: int = 2) -> DataFrame:
     If fewer than eight nodes (or all, of a smaller neighbourhood) are left, all of the neighbourhood stay.
     """
     edges = written(edges.select("source", "target"))
-    centre = written(popular(edges, 1).select("node"))
-    near = written(neighbourhood(edges, centre, 2, most))
+    degree = written(degrees(edges))
+    centre = degree.orderBy(F.desc("degree"), "node").limit(1).select("node")
+    near = written(neighbourhood(edges, centre, 2, most, degree))
     inner = degrees(induced(edges, near))
     known = near.join(inner, "node", "left").join(centre.withColumn("centre", F.lit(True)), "node", "left").select("node", "hops", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("centre", F.lit(False)).alias("centre"))
     kept = (F.col("degree") >= least_degree) | F.col("centre")

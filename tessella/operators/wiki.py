@@ -236,12 +236,13 @@ def sweep_documents(entries: DataFrame, documents: DataFrame, gone: DataFrame) -
     goes too, as a purge if none of its documents is deleted now. refs is array of struct.
     """
     each = entries.where("status = 'active'").select("id", F.posexplode_outer("refs").alias("at", "r"))
-    docs = documents.select(F.col("doc_id").cast("string").alias("d_id")).distinct()
-    now = gone.select(F.col("doc_id").cast("string").alias("g_id")).distinct()
-    marked = each.withColumn("doc", F.coalesce("r.documentId", F.lit(""))).join(docs, F.col("doc") == F.col("d_id"), "left").join(now, F.col("doc") == F.col("g_id"), "left")
-    dead = F.col("g_id").isNotNull() | ((F.col("doc") != "") & F.col("d_id").isNull())
+    id_of = lambda df, here: df.select(F.col("doc_id").cast("string").alias("d_id"), F.lit(here).alias("here"))
+    state = id_of(documents, True).union(id_of(gone, False)).groupBy("d_id").agg(F.max("here").alias("here"), (~F.min("here")).alias("now"))  # one table of documents, one join
+    marked = each.withColumn("doc", F.coalesce("r.documentId", F.lit(""))).join(state, F.col("doc") == F.col("d_id"), "left")
+    now = F.coalesce("now", F.lit(False))
+    dead = now | ((F.col("doc") != "") & ~F.coalesce("here", F.lit(False)))
     has = F.col("at").isNotNull()
-    out = marked.groupBy("id").agg(F.count_if(has).alias("n"), F.count_if(has & ~dead).alias("left"), F.count_if(F.col("g_id").isNotNull()).alias("now"), F.sort_array(F.collect_list(F.when(has & ~dead, F.struct("at", "r")))).alias("kept"))
+    out = marked.groupBy("id").agg(F.count_if(has).alias("n"), F.count_if(has & ~dead).alias("left"), F.count_if(now).alias("now"), F.sort_array(F.collect_list(F.when(has & ~dead, F.struct("at", "r")))).alias("kept"))
     action = F.when((F.col("n") > 0) & (F.col("left") == 0), F.when(F.col("now") == 0, "purge").otherwise("delete")).when(F.col("left") < F.col("n"), "update").otherwise("keep")
     return out.select("id", action.alias("action"), F.transform("kept", lambda x: x["r"]).alias("refs"))
 
