@@ -49,7 +49,8 @@ def test_ranks_and_snippets_agree_with_sqlite(spark, index, query):
 def test_a_window_with_more_terms_wins_over_one_with_more_places():
     assert best_start([[100, 101, 102], [500], []], [0], 600, 40) == 82  # three places of one term: 1002, centred
     assert best_start([[100, 480], [500]], [0], 600, 40) == 471
-    assert best_start([[5]], [0, 3], 100, 40) == 0  # the sentence at the very start
+    assert best_start([[5]], [0, 3], 100, 40) == 3  # the sentence that holds it
+    assert best_start([[5]], [0], 100, 40) == 0  # the sentence at the very start
     assert best_start([[], []], [0], 100, 40) == 0
     assert best_start([[7]], [0], 10, 40) == 0
 
