@@ -7,7 +7,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ("usage_by_dimension", "usage_daily_trend", "topology", "queue_position", "latest_task", "bm25_keyword_search", "bm25_match_groups", "cosine_topk", "rrf_fusion", "search_excerpt", "title_jaccard_merge", "source_ref_sweep", "graph_degree", "graph_core", "split_chunks", "atoms_windows_segments", "html_to_markdown")
+# index_statistics comes first of the searches: it builds the stored index.
+HEADLINE = ("usage_by_dimension", "usage_daily_trend", "topology", "queue_position", "latest_task", "index_statistics", "bm25_keyword_search", "bm25_match_groups", "cosine_topk", "rrf_fusion", "search_excerpt", "title_jaccard_merge", "source_ref_sweep", "graph_degree", "graph_core", "split_chunks", "atoms_windows_segments", "html_to_markdown")
 
 
 def main() -> None:

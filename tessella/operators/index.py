@@ -63,10 +63,13 @@ class StoredIndex:
         return documents.groupBy("part").agg(F.count("*").alias("documents"), F.sum("length").alias("tokens"))
 
     def build(self, docs: DataFrame) -> StoredIndex:
-        postings, documents = self._tables(docs)
+        postings, _ = self._tables(docs)
         every = self.spark.range(self.parts).select(F.col("id").cast("int").alias("part"))
-        self._write("documents", documents, every)
         self._write("postings", postings, every)
+        # Lengths come from the written postings, so that texts are tokenised once; a document without tokens has none there.
+        lengths = self.postings().groupBy("part", "id").agg(F.max("length").alias("length"))
+        ids = docs.select(F.col(self.id_col).alias("id")).withColumn("part", self.part_of(F.col("id")))
+        self._write("documents", ids.join(lengths, ["part", "id"], "left").select("part", "id", F.coalesce("length", F.lit(0)).alias("length")), every)
         self._write("statistics", self._summed(self.documents()), every)
         return self
 
