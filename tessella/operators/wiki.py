@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as tx
-from tessella.functions.titles import title_tokens
-from tessella.operators.graph import connected
 from tessella.storage import written
 
 DUPLICATE = 0.45
 CONTENT_LIMIT = 3000
+FEW = 100_000  # tokens of titles that are broadcast
 REF = "struct<documentId:string,chunkId:string,chunkIndex:int,entityId:string>"
 
 
@@ -110,52 +108,128 @@ def merge_batch(existing: DataFrame, candidates: DataFrame, as_of: str, user: st
 
 
 def title_pairs(left: DataFrame, right: DataFrame, user: str = "user_id", threshold: float = DUPLICATE) -> DataFrame:
-    """Pairs (x, y) of nodes of one user whose token sets are alike: both sides are (user, node, tokens), distinct.
+    """(x, y, alike) of nodes of one user whose token sets are alike: both sides are (user, node, tokens), distinct.
 
     They meet on the first tokens of both in the order of their frequency: a pair of a similarity of
-    at least `threshold` shares one of them, and hot tokens come last.
+    at least `threshold` shares one of them, and hot tokens come last. A pair is given at the first
+    token on which it meets only. The right side is broadcast after it was counted, if it is small.
     """
     often = written(right.select(user, F.explode("tokens").alias("token")).groupBy(user, "token").agg(F.count("*").alias("df")))
 
     def heads(rows: DataFrame, name: str) -> DataFrame:
         ranked = rows.withColumn("token", F.explode("tokens")).join(often, [user, "token"], "left").groupBy(user, "node", "tokens").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
         n = F.size("r")
-        return ranked.select(user, F.col("node").alias(name), F.col("tokens").alias(f"{name}_t"), F.explode(F.slice("r", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("h")).select(user, name, f"{name}_t", F.col("h.token").alias("token"))
+        head = F.transform(F.slice("r", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1), lambda h: h["token"])
+        return ranked.select(user, F.col("node").alias(name), F.col("tokens").alias(f"{name}_t"), head.alias(f"{name}_h")).select("*", F.explode(f"{name}_h").alias("token"))
 
     k = F.size(F.array_intersect("x_t", "y_t"))
-    alike = k / (F.size("x_t") + F.size("y_t") - k) >= threshold
-    return heads(left, "x").join(heads(right, "y"), [user, "token"]).where((F.col("x") != F.col("y")) & alike).select("x", "y").distinct()
+    few = (often.agg(F.sum("df")).first()[0] or 0) <= FEW
+    met = heads(left, "x").join(F.broadcast(heads(right, "y")) if few else heads(right, "y").hint("merge"), [user, "token"]).where((F.col("x") != F.col("y")) & (F.col("token") == F.element_at(F.array_intersect("x_h", "y_h"), 1)))
+    return met.select("x", "y", (k / (F.size("x_t") + F.size("y_t") - k)).alias("alike")).where(F.col("alike") >= threshold)
 
 
-def merge_entries(existing: DataFrame, candidates: DataFrame, as_of: str, user: str = "user_id", fuse: Callable[[str, str], str] | None = None) -> DataFrame:
-    """The entries of `merge_batch`, with `merges` (candidates that were merged into an entry), folded by components.
+def first_alone(links: DataFrame) -> DataFrame:
+    """(node) of those nodes of links (a, b), a before b, that no earlier node that stays is linked with, among nodes with a link.
+
+    In rounds: a node without an earlier undecided one stays, and what follows it by a link goes. Each
+    round writes the links between undecided nodes only, so that they shrink.
+    """
+    spark = links.sparkSession
+    left = written(links.select("a", "b"))
+    kept = []
+    while not left.isEmpty():
+        stays = written(left.select(F.col("a").alias("node")).distinct().join(left.select(F.col("b").alias("node")), "node", "left_anti"))
+        goes = written(left.join(stays, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct())
+        # A node all of whose earlier ones went has no link left as the later end; without any link left it stays.
+        some = left.join(goes, F.col("a") == F.col("node"), "left_anti").join(goes, F.col("b") == F.col("node"), "left_anti").join(stays, F.col("a") == F.col("node"), "left_anti")
+        ends = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(stays.union(goes), "node", "left_anti")
+        left = written(some)
+        lone = ends.join(left.select(F.col("a").alias("node")).union(left.select("b")), "node", "left_anti")
+        kept += [stays, written(lone)]
+    out = spark.createDataFrame([], links.select(F.col("a").alias("node")).schema)
+    for part in kept:
+        out = out.union(part)
+    return out
 
-    A candidate can only meet titles that reach the threshold, its own ones among them, so candidates
-    and the titles alike form the components of a graph of token sets, and what one component decides
-    no other one sees. Each component is folded in order on its own; entries and candidates that meet
-    nothing need no fold. Slugs are numbered afterwards, in the order of creation, among those of one
-    stem only. So a user's wiki is as many tasks as it has components.
+
+def merge_entries(existing: DataFrame, candidates: DataFrame, as_of: str, user: str = "user_id", fuse: Callable[[str, str], str] | None = None) -> DataFrame:
+    """The entries of `merge_batch`, with `merges` (candidates that were merged into an entry), decided by distinct token sets.
+
+    Where a candidate goes depends on its tokens and on which entries were there before it. Of equal
+    sets only the first entry can win, and a set creates an entry only when it comes first and nothing
+    before it is alike; then all later ones of it go there. So sets that are like no existing one are
+    decided among themselves by `first_alone`, each set then has the few steps at which a created entry
+    becomes its best one, and each candidate takes the step of its place. Titles without tokens are like
+    nothing, not even their equals. Entries then gather their candidates in order; texts stream past
+    by entry and order, so that neither a user's wiki nor an entry's candidates are one task's memory.
+    Slugs are numbered afterwards, in the order of creation, among those of one stem only.
     """
     cols = [user, "type", "title", "slug", "content", "refs", "confidence"]
     both = existing.select(*cols, "seq", F.lit(0).alias("new")).unionByName(candidates.select(*cols, "seq", F.lit(1).alias("new")))
     tokens = F.array_sort(tx.title_tokens(F.coalesce("title", F.lit(""))))
-    node = F.concat_ws("\x00", F.col(user).cast("string"), F.array_join("tokens", " "))
-    rows = written(both.withColumn("tokens", tokens).withColumn("node", node))
-    sets = lambda d: d.where(F.size("tokens") > 0).select(user, "node", "tokens").distinct()
-    links = written(title_pairs(sets(rows.where("new = 1")), sets(rows), user))
-    named = connected(links, "x", "y").select(F.col("node").alias("c_node"), "component")
-    # Without tokens, a title is like no other one, not even its equal.
-    alone = F.when(F.size("tokens") == 0, F.concat_ws("\x00", "node", F.col("new").cast("string"), F.col("seq").cast("string")))
-    placed = written(rows.join(named, F.col("node") == F.col("c_node"), "left").withColumn("component", F.coalesce(alone, "component", "node")).drop("c_node", "node", "tokens"))
-    size = placed.groupBy(F.col("component").alias("s_component")).agg(((F.count("*") > 1) & (F.max("new") == 1)).alias("folds"))
-    marked = placed.join(size, F.col("component") == F.col("s_component"))
-    rank = _kind_rank(F.col("type"))
-    single = marked.where("NOT folds").select(user, "type", "title", "slug", F.when(F.col("new") == 1, F.substring("content", 1, CONTENT_LIMIT)).otherwise(F.col("content")).alias("content"), "refs", "confidence", F.when(F.col("new") == 1, "create").otherwise("keep").alias("action"), F.lit(0).cast("long").alias("merges"), "new", rank.alias("rank"), "seq")
-    schema = f"{user} {existing.schema[user].dataType.simpleString()}, type string, title string, slug string, content string, refs array<string>, confidence double, action string, merges long, new int, rank int, seq long"
-    fold = lambda part: pd.DataFrame(_fold(part, cols, as_of, fuse), columns=[*cols, "action", "merges", "new", "rank", "seq"])
-    folded = marked.where("folds").drop("folds", "s_component").groupBy("component").applyInPandas(fold, schema)
-    merged = written(single.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")]).unionByName(folded))
-    return _numbered(merged, user).select(*cols, "action", "merges")
+    owner = F.coalesce(F.concat(F.lit("="), F.col(user).cast("string")), F.lit(""))
+    named = both.withColumns({"tokens": tokens, "owner": owner, "rank": _kind_rank(F.col("type"))})
+    node = F.when(F.size("tokens") > 0, F.concat_ws("\x00", "owner", F.array_join("tokens", " ")))
+    rows = written(named.withColumns({"node": node, "id": F.monotonically_increasing_id()}))
+    # Existing entries come before all others, by seq; candidates by the rank of their type, then by seq.
+    place = F.struct(F.col("new"), F.when(F.col("new") == 1, F.col("rank")).otherwise(0).alias("rank"), "seq", "id")
+    sets = written(rows.where("node IS NOT NULL").groupBy("owner", "node", "new").agg(F.first("tokens").alias("tokens"), F.min(place).alias("place")))
+    old, new = sets.where("new = 0"), sets.where("new = 1")
+    side = lambda d: d.select("owner", "node", "tokens")
+    first_old = old.select(F.col("node").alias("y"), F.col("place").alias("y_place"))
+    equal = new.select(F.col("node").alias("x")).join(first_old, F.col("x") == F.col("y")).select("x", F.lit(1.0).alias("alike"), "y_place")
+    others = new.join(old.select("node"), "node", "left_anti")
+    near = title_pairs(side(others), side(old), "owner").join(first_old, "y").select("x", "alike", "y_place")
+    best = written(equal.unionByName(near).groupBy("x").agg(F.min(F.struct((-F.col("alike")).alias("away"), F.col("y_place").alias("place"))).alias("best")))
+    free = written(new.join(best, F.col("node") == F.col("x"), "left_anti"))
+    at = free.select("node", "place")
+    links = title_pairs(side(free), side(free), "owner").join(at.select(F.col("node").alias("x"), F.col("place").alias("x_place")), "x").join(at.select(F.col("node").alias("y"), F.col("place").alias("y_place")), "y")
+    links = written(links.where("x_place < y_place").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    made = written(free.join(first_alone(links).union(at.select("node").join(ends, "node", "left_anti")), "node", "left_semi"))
+    came = made.select(F.col("node").alias("y"), F.col("place").alias("y_place"))
+    own = came.select(F.col("y").alias("x"), F.lit(1.0).alias("alike"), "y_place")
+    later = title_pairs(side(new), side(made), "owner").join(came, "y").select("x", "alike", "y_place").unionByName(own)
+    every = later.join(best, "x", "left").where(F.col("best").isNull() | (-F.col("alike") < F.col("best.away")))
+    steps = every.select("x", F.struct(F.col("y_place").alias("place"), F.col("alike")).alias("s")).unionByName(best.select("x", F.struct(F.col("best.place").alias("place"), (-F.col("best.away")).alias("alike")).alias("s")))
+    steps = steps.groupBy("x").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    # Of entries that are alike to one degree the first one stays the best, so only steps up count.
+    up = F.aggregate("s", F.slice("s", 1, 0), lambda acc, v: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["alike"] < v["alike"]), F.concat(acc, F.array(v))).otherwise(acc))
+    steps = written(steps.select("x", up.alias("s")))
+    mine = rows.select("id", "node", "new", place.alias("place"))
+    met = mine.where("new = 1").join(steps, F.col("node") == F.col("x"), "left")
+    last = F.element_at(F.filter("s", lambda v: v["place"] <= F.col("place")), -1)
+    goes = written(met.select("id", "place", F.coalesce(last["place"]["id"], F.col("id")).alias("entry")))
+    heads = rows.join(goes.where("id <> entry").select("id"), "id", "left_anti").drop("tokens", "owner", "node")
+    cut = F.substring("content", 1, CONTENT_LIMIT)
+    joined = rows.join(goes.where("id <> entry").select("id", "entry", "place"), "id")
+    gathered = joined.groupBy("entry").agg(F.count("*").alias("merges"), F.sort_array(F.collect_list(F.struct("place", "refs"))).alias("more")).withColumnRenamed("entry", "g_entry")
+    texts = joined.select("entry", "place", F.lit(1).alias("more"), cut.alias("text")).unionByName(heads.join(gathered.select("g_entry"), F.col("id") == F.col("g_entry"), "left_semi").select(F.col("id").alias("entry"), place.alias("place"), F.lit(0).alias("more"), F.when(F.col("new") == 1, cut).otherwise(F.col("content")).alias("text")))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entry, text = None, ""
+        for b in batches:
+            out = []
+            for e, more, t in zip(b["entry"], b["more"], b["text"], strict=True):
+                if not more:
+                    if entry is not None:
+                        out.append((entry, text))
+                    entry, text = e, t
+                elif fuse:
+                    text = fuse(text, t)[: 2 * CONTENT_LIMIT]
+                elif len(text) != 2 * CONTENT_LIMIT:
+                    text = f"{text}\n\n--- Update {as_of} ---\n{t}"[: 2 * CONTENT_LIMIT]
+            yield pd.DataFrame(out, columns=["t_entry", "t"])
+        if entry is not None:
+            yield pd.DataFrame([(entry, text)], columns=["t_entry", "t"])
+
+    told = texts.repartition("entry").sortWithinPartitions("entry", "more", "place").select("entry", "more", "text").mapInPandas(fold, "t_entry long, t string")
+    merged = heads.join(gathered, F.col("id") == F.col("g_entry"), "left").join(told, F.col("id") == F.col("t_entry"), "left")
+    n = F.coalesce("merges", F.lit(0)).cast("long")
+    sure = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.col("confidence").cast("double"), lambda acc, _: F.least(F.lit(1.0), acc + 0.05))
+    has = F.col("g_entry").isNotNull()
+    merged = merged.select(user, "type", "title", "slug", F.when(has, F.col("t")).when(F.col("new") == 1, cut).otherwise(F.col("content")).alias("content"), F.when(has, F.array_distinct(F.concat("refs", F.flatten(F.transform("more", lambda m: m["refs"]))))).otherwise(F.col("refs")).alias("refs"), F.when(has, sure).otherwise(F.col("confidence").cast("double")).alias("confidence"), F.when(F.col("new") == 1, "create").when(has, "update").otherwise("keep").alias("action"), n.alias("merges"), "new", "rank", F.col("seq").cast("long").alias("seq"))
+    return _numbered(written(merged), user).select(*cols, "action", "merges")
 
 
 _KINDS = ("doc_summary", "topic", "concept", "claim")
@@ -168,38 +242,11 @@ def _kind_rank(kind: Column) -> Column:
     return out
 
 
-def _fold(part: pd.DataFrame, cols: list[str], as_of: str, fuse: Callable[[str, str], str] | None) -> list[dict]:
-    """One component in order; a candidate is compared with the titles that share a token with it."""
-    ranks = {name: k for k, name in enumerate(_KINDS)}
-    rows, holders = [], {}
-
-    def add(row: dict, tokens: list[str]) -> None:
-        for t in tokens:
-            holders.setdefault(t, []).append(len(rows))
-        rows.append(row | {"size": len(tokens)})
-
-    part = part.assign(rank=part["type"].map(ranks).fillna(9).astype(int))
-    for r in part[part["new"] == 0].sort_values("seq").to_dict("records"):
-        add({c: r[c] for c in cols} | {"refs": list(r["refs"]), "action": "keep", "merges": 0, "new": 0, "rank": r["rank"], "seq": r["seq"]}, sorted(title_tokens(r["title"] or "")))
-    for c in part[part["new"] == 1].sort_values(["rank", "seq"]).to_dict("records"):
-        mine = sorted(title_tokens(c["title"] or ""))
-        shared = Counter(k for t in mine for k in holders.get(t, ()))
-        top = max(shared, key=lambda k: (shared[k] / (len(mine) + rows[k]["size"] - shared[k]), -k), default=None)
-        text = c["content"][:CONTENT_LIMIT]
-        if top is not None and shared[top] / (len(mine) + rows[top]["size"] - shared[top]) >= DUPLICATE:
-            r = rows[top]
-            joined = fuse(r["content"], text) if fuse else f"{r['content']}\n\n--- Update {as_of} ---\n{text}"
-            r |= {"content": joined[: 2 * CONTENT_LIMIT], "confidence": min(1.0, r["confidence"] + 0.05), "refs": list(dict.fromkeys([*r["refs"], *c["refs"]])), "action": "update" if r["action"] == "keep" else r["action"], "merges": r["merges"] + 1}
-        else:
-            add({k: c[k] for k in cols} | {"content": text, "refs": list(c["refs"]), "action": "create", "merges": 0, "new": 1, "rank": c["rank"], "seq": c["seq"]}, mine)
-    return rows
-
-
 def _numbered(merged: DataFrame, user: str) -> DataFrame:
     """Created entries get the first free one of slug, slug-2, slug-3 and so on; only stems with a collision are gone through."""
     stem = F.regexp_replace("slug", r"(-\d+)+$", "")
     marked = merged.withColumn("stem", stem)
-    hit = marked.groupBy(user, "stem", "slug").agg(F.count("*").alias("n")).where("n > 1").select(F.col(user).alias("h_user"), F.col("stem").alias("h_stem")).distinct()
+    hit = marked.groupBy(user, "stem", "slug").agg(F.count("*").alias("n"), F.max("new").alias("made")).where("n > 1 AND made = 1").select(F.col(user).alias("h_user"), F.col("stem").alias("h_stem")).distinct()
     on = F.col(user).eqNullSafe(F.col("h_user")) & (F.col("stem") == F.col("h_stem"))
     calm = marked.join(hit, on, "left_anti").drop("stem")
     clash = marked.join(hit, on, "left_semi")

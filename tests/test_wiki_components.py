@@ -95,3 +95,27 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in graph.connected(spark.createDataFrame(edges, "source long, target long")).collect()}
     assert got == group
     assert graph.connected(spark.createDataFrame([], "source long, target long")).count() == 0
+
+
+def test_first_alone_is_the_greedy_choice(spark):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(120), 2))) for _ in range(200)} | {(k, k + 1) for k in range(200, 215)}
+    linked = {a: {x for p in pairs if a in p for x in p} - {a} for p in pairs for a in p}
+    stay = set()
+    for a in sorted(linked):
+        if not linked[a] & stay:
+            stay.add(a)
+    got = [r.node for r in wiki.first_alone(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()]
+    assert sorted(got) == sorted(stay)
+
+
+def test_a_user_of_one_component_is_no_single_group(spark):
+    """All titles share tokens: the old fold put them into one pandas group, and compared each with every one before."""
+    old = [("u", "topic", f"brand size x{k % 3}y", f"s{k}", f"c{k}", [f"r{k}"], 0.5, k) for k in range(60)]
+    new = [("u", "claim", f"brand size x{k % 3}y", "s", f"n{k}", [f"r{k}"], 0.5, k) for k in range(600)]
+    merged = wiki.merge_entries(*[spark.createDataFrame(r, SCHEMA) for r in (old, new)], "2024-01-01")
+    want, _ = sequential(old, new, "2024-01-01")
+    assert key([[r[f] for f in FIELDS] for r in merged.collect()]) == key(want)
+    assert max(r.merges for r in merged.collect()) == 200
+    texts = merged._jdf.queryExecution().toString()
+    assert "component" not in texts and not hasattr(wiki, "_fold")
