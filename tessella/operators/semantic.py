@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessella.operators import chunking, macro, vector
 from tessella.storage import written
@@ -77,20 +80,21 @@ def semantic_chunks(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], m
 def structure_chunks(texts: DataFrame, sections: DataFrame, most: int) -> DataFrame:
     """(doc_id, idx, path, content, tokens): texts (doc_id, text) cut along their sections (doc_id, idx, text, level) in order.
 
-    Text and sections of a document meet in one task; headings are looked for from where the last one
+    Text and sections of a document meet in one row; headings are looked for from where the last one
     was found on. A document without sections, or none of whose sections is found, gives no rows.
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def cut(text: pd.DataFrame, section: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for doc, body in zip(text["doc_id"], text["text"], strict=True):
-            named = [{"text": t, "level": None if pd.isna(v) else int(v)} for t, v in zip(section["text"], section["level"], strict=True)]
-            out += [(doc, k, m.path, m.content, m.tokens) for k, m in enumerate(macro.structure_split(body or "", named, most))]
-        return pd.DataFrame(out, columns=["doc_id", "idx", "path", "content", "tokens"])
-
-    def ordered(text: pd.DataFrame, section: pd.DataFrame) -> pd.DataFrame:
-        return cut(text, section.sort_values("idx", kind="stable"))
-
-    left, right = texts.select("doc_id", "text"), sections.select("doc_id", "idx", "text", "level")
-    return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(ordered, f"doc_id {kind}, idx int, path string, content string, tokens long")
+    lists = sections.groupBy(F.col("doc_id").alias("s_doc")).agg(F.sort_array(F.collect_list(F.struct("idx", "text", "level"))).alias("s"))
+    met = texts.select("doc_id", "text").join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_doc")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for row in batch.slice(at, 64).to_pylist():
+                    named = [{"text": s["text"], "level": s["level"]} for s in row["s"]]
+                    out += [(row["doc_id"], k, m.path, m.content, m.tokens) for k, m in enumerate(macro.structure_split(row["text"] or "", named, most))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, shape, strict=True)], schema=shape)
+
+    shape = to_arrow_schema(_parse_datatype_string(f"doc_id {kind}, idx int, path string, content string, tokens long"))
+    return met.select("doc_id", "text", "s").mapInArrow(cut, f"doc_id {kind}, idx int, path string, content string, tokens long")

@@ -173,3 +173,19 @@ def test_titles_cut_a_text_that_joins_again():
         got = ch.split_markdown(text, most, 100)
         assert bare("".join(c.content for c in got)) == bare(text)
     assert any(c.path == "Preface" for c in got)
+
+
+def test_structure_is_found_without_going_through_the_text_again():
+    class Text(str):
+        looked = 0
+
+        def find(self, *a):
+            Text.looked += 1
+            return str.find(self, *a)
+
+    n = 60
+    text = Text("# Book\n" + "".join(f"## Part {k}\n\nwords of {k}\n" for k in range(n)))
+    sections = [{"text": "Book", "level": 1}] + [{"text": f"Part {k}", "level": 2 if k % 3 == 0 else 3} for k in range(n)]
+    got = mc.structure_split(text, sections, 8)
+    assert "".join("".join(m.content for m in got).split()) == "".join(text.split())
+    assert Text.looked == 0
