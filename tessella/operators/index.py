@@ -42,14 +42,19 @@ class StoredIndex:
         return rows.withColumn("part", self.part_of(F.col("id")))
 
     def _tables(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Postings and documents. Texts are dealt by group once; what follows needs no further shuffle."""
-        dealt = self._tokens(docs.repartition(self.parts, self.part_of(F.col(self.id_col))))
+        """Postings and documents. A document's postings are made within its row: its tokens are sorted, each run is a term."""
+        dealt = self._tokens(docs)
         size = F.size("w").alias("length")
         documents = dealt.select("part", "id", size)
-        one = dealt.select("part", "id", size, "at", F.posexplode("w").alias("pos", "term"))
-        place = F.col("pos") - F.col("at")
-        postings = one.groupBy("part", "id", "length", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.when(place >= 0, place))).alias("positions"))
-        return postings.select("part", "term", "id", "tf", "length", "positions"), documents
+        places = F.array_sort(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+        one = dealt.select("part", "id", size, "at", places.alias("p"))
+        starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda k: (k == 0) | (F.get("p", k)["t"] != F.get("p", k - 1)["t"]))
+        one = one.where("length > 0").select("*", starts.alias("s"))
+        ends = lambda k: F.coalesce(F.get("s", k + 1), F.col("length"))
+        own = F.transform("s", lambda a, k: F.struct(F.get("p", a)["t"].alias("term"), F.slice("p", a + 1, ends(k) - a).alias("own")))
+        each = one.select("part", "id", "length", "at", F.explode(own).alias("o"))
+        place = F.filter(F.transform("o.own", lambda x: x["i"] - F.col("at")), lambda x: x >= 0)
+        return each.select("part", F.col("o.term").alias("term"), "id", F.size("o.own").cast("long").alias("tf"), "length", place.alias("positions")), documents
 
     def _write(self, name: str, rows: DataFrame, touched: DataFrame) -> None:
         """Overwrite the touched groups (part); one without rows is left with a row of nulls, which readers pass over."""
