@@ -92,3 +92,13 @@ def test_groups_may_run_empty(spark, tmp_path):
 def test_a_search_reads_terms_and_no_text(index):
     plan = index[0].rank("licensed under")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term" in plan.replace("IsNotNull(term), ", "") and "positions" not in plan
+
+
+def test_postings_are_made_within_a_row(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "b a B", "x A a, a b"), (2, None, None), (3, "", "c")], SCHEMA)
+    stored = StoredIndex(spark, str(tmp_path), 3, columns=("title", "text"))._tables(docs)[0]
+    assert sorted((r.id, r.term, r.tf, r.length, r.positions) for r in stored.collect()) == [(1, "a", 4, 8, [1, 2, 3]), (1, "b", 3, 8, [4]), (1, "x", 1, 8, [0]), (3, "c", 1, 1, [0])]
+    plain = fulltext.postings(docs, columns=["title", "text"])
+    assert sorted((r.doc_id, r.term, r.tf, r.length) for r in plain.collect()) == [(1, "a", 4, 8), (1, "b", 3, 8), (1, "x", 1, 8), (3, "c", 1, 1)]
+    for made_here in (stored, plain):
+        assert "Exchange" not in made_here._jdf.queryExecution().executedPlan().toString()
