@@ -98,9 +98,9 @@ def postings(docs: DataFrame, id_col: str = "doc_id", columns: list[str] | None
     A document is one row; its sorted tokens have a run for each term, so that nothing is shuffled.
     """
     words = tx.tokens(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns or ["text"]]))
-    rows = docs.select(id_col, F.array_sort(words).alias("w")).select(id_col, "w", F.size("w").alias("length")).where("length > 0")
+    rows = docs.select(id_col, F.array_sort(words).alias("w")).select(id_col, "w", F.size("w").alias("length"))
     starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda k: (k == 0) | (F.get("w", k) != F.get("w", k - 1)))
-    rows = rows.select("*", starts.alias("s"))
+    rows = rows.select("*", F.when(F.col("length") > 0, starts).alias("s"))  # no filter: it would tokenise again
     runs = F.transform("s", lambda a, k: F.struct(F.get("w", a).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("length")) - a).cast("long").alias("tf")))
     return rows.select(id_col, "length", F.explode(runs).alias("r")).select("r.term", id_col, "length", "r.tf")
 

@@ -49,7 +49,7 @@ class StoredIndex:
         places = F.array_sort(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
         one = dealt.select("part", "id", size, "at", places.alias("p"))
         starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda k: (k == 0) | (F.get("p", k)["t"] != F.get("p", k - 1)["t"]))
-        one = one.where("length > 0").select("*", starts.alias("s"))
+        one = one.select("*", F.when(F.col("length") > 0, starts).alias("s"))  # no filter: it would tokenise again
         ends = lambda k: F.coalesce(F.get("s", k + 1), F.col("length"))
         own = F.transform("s", lambda a, k: F.struct(F.get("p", a)["t"].alias("term"), F.slice("p", a + 1, ends(k) - a).alias("own")))
         each = one.select("part", "id", "length", "at", F.explode(own).alias("o"))
