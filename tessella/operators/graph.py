@@ -200,20 +200,23 @@ def health(folders: DataFrame, documents: DataFrame) -> DataFrame:
 def depths(tree: DataFrame) -> DataFrame:
     """(id, depth) of a forest (id, parent_id) of any depth: 0 for roots, 1 below a parent that is missing; null on and below a cycle.
 
-    Pointer jumping: each round, every node points twice as far up, so that the rounds are the
-    logarithm of the depth.
+    Pointer jumping: each round, every node that isn't done points twice as far up, so that the rounds are the
+    logarithm of the depth. Nodes that are done share a null, which would be one key of the join.
     """
-    nodes = tree.groupBy("id").agg(F.max("parent_id").alias("up"))
+    nodes = written(tree.groupBy("id").agg(F.max("parent_id").alias("up")))
     known = nodes.select(F.col("id").alias("k"))
-    # Nodes that point to nothing are done; a missing parent is a root of its own.
-    found = nodes.join(known, F.col("up") == F.col("k"), "left")
-    here = written(found.select("id", F.when(F.col("k").isNotNull(), F.col("up")).alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    # Nodes that point to nothing are done and only looked up; a missing parent is a root of its own.
+    found = nodes.where("up IS NOT NULL").join(known, F.col("up") == F.col("k"), "left")
+    here = written(found.select("id", F.when(F.col("k").isNotNull(), F.col("up")).alias("up"), F.lit(1).cast("long").alias("depth")))
+    roots = nodes.where("up IS NULL").select("id", "up", F.lit(0).cast("long").alias("depth"))
+    live, done = here.where("up IS NOT NULL"), roots.union(here.where("up IS NULL"))
     last = -1
-    while (left := here.where("up IS NOT NULL").count()) and left != last:
+    while (left := live.count()) and left != last:
         last = left
-        above = here.select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"))
-        here = written(here.join(above, F.col("up") == F.col("a"), "left").select("id", F.col("a_up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
-    return here.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        above = done.union(live).select(F.col("id").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"))
+        here = written(live.join(above, F.col("up") == F.col("a")).select("id", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth")))
+        live, done = here.where("up IS NOT NULL"), done.union(here.where("up IS NULL"))
+    return done.select("id", "depth").union(live.select("id", F.lit(None).cast("long")))
 
 
 def connected(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:

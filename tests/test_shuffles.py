@@ -2,7 +2,7 @@
 
 import re
 
-from tessella.operators import chunking
+from tessella.operators import chunking, graph
 from tessella.plans import catalog
 
 
@@ -40,3 +40,13 @@ def test_chunks_meet_their_segment_within_the_row(spark, sf_dir):
         seg = segments[1, r.segment]
         assert seg.start_atom <= int(r.idx / n * atoms) <= seg.end_atom
         assert r.content.startswith(f'[Context: Segment "{seg.title}"]\n{seg.summary[:600].strip(" ")}\n[Section: ')
+
+
+def test_depths_join_only_what_is_not_done(spark, monkeypatch):
+    sizes, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: (sizes.append(df.count()), write(df))[1])
+    tree = spark.range(1000).selectExpr("id", "CAST(CASE WHEN id BETWEEN 1 AND 8 THEN id - 1 WHEN id > 990 THEN id + 9 END AS bigint) AS parent_id")
+    tree = tree.union(spark.createDataFrame([(5000, 5001), (5001, 5000), (5002, 5001)], "id long, parent_id long"))
+    got = {r.id: r.depth for r in graph.depths(tree).collect()}
+    assert got == {k: k if k <= 8 else 1 if k > 990 else 0 for k in range(1000)} | dict.fromkeys((5000, 5001, 5002))
+    assert sizes[0] == 1003 and sizes[1] == 20 and all(n <= 20 for n in sizes[1:])  # roots, that all share a null, are in no join
