@@ -330,8 +330,15 @@ def with_links(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(out, "id", "left").join(back, "id", "left")
 
 
+#: Rows that a task holds at once to tell which are equal.
+ROWS = 1 << 20
+
+
 def upsert_links(links: DataFrame, new: DataFrame) -> DataFrame:
-    return links.unionByName(new).dropDuplicates(["from_id", "to_id", "relation"])
+    """Links with the new ones, each once, dealt by from_id into parts of some `ROWS`, however many there are."""
+    every = written(links.unionByName(new))
+    parts = max(links.sparkSession.sparkContext.defaultParallelism, -(-every.count() // ROWS))
+    return every.repartition(parts, "from_id").dropDuplicates(["from_id", "to_id", "relation"])
 
 
 def upsert_tags(tags: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import re
 
-from tessella.operators import chunking, graph
+from tessella.operators import chunking, graph, wiki
 from tessella.plans import catalog
 
 
@@ -56,3 +56,12 @@ def test_parts_in_one_split_are_dealt_before_python(spark, sf_dir):
     for name in ("content_markers", "content_segments", "content_replaced", "extracted_tags"):
         steps = plan(catalog.queries()[name](spark, sf_dir))
         assert re.search(r"(?s)MapInArrow.*Exchange hashpartitioning\(p_partkey.*REPARTITION_BY_COL.*Scan parquet", steps), name
+
+
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(wiki, "ROWS", 100)
+    new = spark.range(2000).selectExpr("id % 50 AS from_id", "id % 37 AS to_id", "'with' AS relation")
+    got = wiki.upsert_links(new.where("from_id < 9"), new)
+    assert sorted(map(tuple, got.collect())) == sorted({(k % 50, k % 37, "with") for k in range(2000)})
+    assert got.rdd.getNumPartitions() == 24  # 2,000 and 360 rows, 100 a part
+    assert exchanges(got) == 1
