@@ -91,13 +91,16 @@ def overview(nodes: DataFrame, edges: DataFrame, most: int = 80, least_degree: i
     parts = F.transform(F.split(F.coalesce("source_id", F.lit("")), SEPARATOR), lambda c: F.trim(c))
     docs = F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda c: F.contains(c, F.lit("/"))), lambda c: F.substring_index(c, "/", 1))))
     known = nodes.select(F.col("id").alias("node"), docs.alias("doc_ids")).join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    known = written(known)  # read six times below
     shared = known.where(F.size("doc_ids") > 1)
     by_doc = known.select("node", "degree", F.explode("doc_ids").alias("doc"))
     budget = shared.agg(F.least(F.count("*"), F.lit(most // 3)).alias("cross")).crossJoin(by_doc.agg(F.greatest(F.countDistinct("doc"), F.lit(1)).alias("docs")))
     budget = F.broadcast(budget.select("cross", F.greatest(F.floor((most - F.col("cross")) / F.col("docs")), F.lit(5)).alias("per_doc")))  # one row
     best = [F.desc("degree"), "node"]
     top_shared = shared.orderBy(*best).limit(most // 3).select("node")
-    top_doc = by_doc.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy(*best))).crossJoin(budget).where("k <= per_doc").select("node")
+    # No document has more than the bound, which is known before the budget: each task passes on so many of it only.
+    ranked = by_doc.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy(*best))).where(F.col("k") <= max(most, 5))
+    top_doc = ranked.crossJoin(budget).where("k <= per_doc").select("node")
     chosen = top_shared.union(top_doc).distinct()
     spare = F.broadcast(chosen.agg(F.greatest(F.lit(most) - F.count("*"), F.lit(0)).alias("spare")))
     rest = known.join(chosen, "node", "left_anti").orderBy(*best).limit(most)

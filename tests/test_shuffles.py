@@ -63,5 +63,15 @@ def test_links_are_dealt_by_their_number(spark, monkeypatch):
     new = spark.range(2000).selectExpr("id % 50 AS from_id", "id % 37 AS to_id", "'with' AS relation")
     got = wiki.upsert_links(new.where("from_id < 9"), new)
     assert sorted(map(tuple, got.collect())) == sorted({(k % 50, k % 37, "with") for k in range(2000)})
-    assert got.rdd.getNumPartitions() == 24  # 2,000 and 360 rows, 100 a part
-    assert exchanges(got) == 1
+    assert re.search(r"hashpartitioning\(from_id#\d+L?, 24\), REPARTITION_BY_NUM", plan(got))  # 2,000 and 360 rows, 100 a part
+
+
+def test_overview_counts_its_nodes_once(spark):
+    edges = spark.range(4000).selectExpr("concat('p', id) AS source", "concat('s', id % 90) AS target")
+    nodes = edges.selectExpr("source AS id", "concat(substr(source, 2) % 3, '/c') AS source_id").union(edges.selectExpr("target", "'0/c<SEP>1/c'").distinct())
+    got = graph.overview(nodes, edges, 40, 1)
+    assert "Aggregate" in plan(got) and "concat(p" not in plan(got)  # degrees are read from what was written
+    assert "WindowGroupLimit" in plan(got)  # a document's best are told before its nodes meet in one task
+    rows = {r.node: r for r in got.collect()}
+    assert len(rows) == 40 and all(r.degree >= 44 for n, r in rows.items() if n[0] == "s")
+    assert sum(n[0] == "s" for n in rows) == 31 and sum(n[0] == "p" for n in rows) == 9  # 13 shared, 9 of the third document, 18 of the rest
