@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessella.operators.graph import SEPARATOR
 
@@ -73,17 +75,19 @@ def extract(chunks: DataFrame, extractor: Extractor, store: str, types: tuple[st
         except Exception as e:  # whatever an extractor raises is kept beside its text
             return [(None, f"{type(e).__name__}: {e}")] if len(some) == 1 else [r for t in some for r in ask([t])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = to_arrow_schema(_parse_datatype_string(_STORED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, len(b), batch):
-                part = b.iloc[lo : lo + batch]
+            for at in range(0, b.num_rows, batch):  # only so many texts are Python's at once
+                hashes, texts = (c.to_pylist() for c in b.slice(at, batch).columns)
                 out = []
-                for h, (found, error) in zip(part["hash"], ask(list(part["content"])), strict=True):
+                for h, (found, error) in zip(hashes, ask(texts), strict=True):
                     entities, relations = clean(found) if found is not None else ([], [])
                     out.append({"hash": h, "entities": entities, "relations": relations, "error": error})
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    texts.mapInPandas(run, _STORED).write.mode("append").parquet(store)
+    texts.mapInArrow(run, _STORED).write.mode("append").parquet(store)
     return stored(chunks, store)
 
 

@@ -2,7 +2,7 @@
 
 import re
 
-from tessella.operators import analytics, chunking, graph, wiki
+from tessella.operators import analytics, chunking, extraction, graph, wiki
 from tessella.plans import catalog
 
 
@@ -83,3 +83,22 @@ def test_segments_bring_the_atoms_of_their_document(spark, sf_dir):
         assert plan(got).count("MapInArrow") == 1 and "Join" not in plan(got)  # texts are read once
     cut = spark.createDataFrame([(1, 10, 0, 1, 8), (1, 13, 2, 3, 8), (2, 5, 0, 2, 3)], "doc_id int, tokens long, start_atom int, end_atom int, doc_atoms int")
     assert sorted(map(tuple, analytics.segmentation_metrics(cut).collect())) == [(1, 2, 12, 13, 0.5), (2, 1, 5, 5, 1.0)]
+
+
+def test_extractor_sees_lists_of_a_batch_from_arrow(spark, tmp_path):
+    def lengths(texts):
+        return [{"entities": [{"name": f"n{len(texts)}"}], "relations": [{"source": t, "target": "x"}]} for t in texts]
+
+    chunks = spark.range(0, 70, 1, 1).selectExpr("concat('d/', id) AS chunk_id", "concat('text ', id) AS content")
+    texts = chunks.coalesce(1)
+    got = extraction.extract(texts, lengths, str(tmp_path / "store"), batch=8).collect()
+    assert len(got) == 70 and {e.name for r in got for e in r.entities} <= {f"n{k}" for k in range(1, 9)}
+    assert sorted(r.relations[0].source for r in got) == sorted(f"text {k}" for k in range(70))
+    assert all(r.error is None and r.relations[0].weight == 1.0 and r.entities[0].type == "other" for r in got)
+
+
+def test_extraction_holds_no_frames_of_whole_batches(spark, tmp_path, monkeypatch):
+    seen, made = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *a, **k: (seen.append(1), made(df, *a, **k))[1])
+    extraction.extract(spark.createDataFrame([("d/1", "One"), ("d/2", None)], "chunk_id string, content string"), lambda t: [{} for _ in t], str(tmp_path / "s"))
+    assert seen
