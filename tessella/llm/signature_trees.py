@@ -30,6 +30,8 @@ BANDS = ((1024, 2048), (4096, 8192), (2**62, 32768))
 SKETCH_BITS, CHUNK, FAN = 20, 1024, 4
 #: Tasks whose sketches are summed in one group of the first round, and documents that are verified against one other in a group.
 TASKS, HUB_CHUNK = 256, 256
+#: A task's forest of nodes to be compared is started anew beyond so many nodes; that only repeats pairs.
+FOREST = 1_000_000
 #: Lists of up to so many ids are broadcast (some 10 MB); longer ones are joined by a shuffle.
 FEW_IDS = 100_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -235,28 +237,35 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
 
 
 class SignatureTree:
-    """A tree over documents in a given order; level 0 holds the documents, each level above FAN nodes in one."""
+    """A tree over documents in a given order; level 0 holds the documents, each level above FAN nodes in one.
+
+    Documents have one label or several (columns); those that agree in any are not compared.
+    """
 
     def __init__(self, bits: np.ndarray, n: np.ndarray, slack: np.ndarray, label: np.ndarray):
-        self.levels = [(bits, n, n, slack, label, np.ones(len(n), bool))]
+        label = label.reshape(len(n), -1)
+        self.levels = [(bits, n, n, slack, label, np.ones(label.shape, bool))]
         while len(self.levels[-1][1]) > 1:
             b, lo, hi, s, c, one = self.levels[-1]
             at = np.arange(0, len(lo), FAN)
-            least, most = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
-            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), least, np.logical_and.reduceat(one, at) & (least == most)))
+            least, most = np.minimum.reduceat(c, at, axis=0), np.maximum.reduceat(c, at, axis=0)
+            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), least, np.logical_and.reduceat(one, at, axis=0) & (least == most)))
 
     def pairs(self, side: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of documents i < j that no bound rules out; with sides, only pairs of both sides."""
         x = y = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             bits, lo, hi, slack, label, one = self.levels[depth]
+            # Labels and sizes first: bitmaps cost more.
+            fits = ~(one[x] & one[y] & (label[x] == label[y])).any(axis=1) & (np.minimum(hi[x], hi[y]) >= need(np.maximum(lo[x], lo[y]), percent))
+            x, y = x[fits], y[fits]
             most = np.empty(len(x), np.int64)
             for s in range(0, len(x), 65536):
                 most[s : s + 65536] = np.bitwise_count(bits[x[s : s + 65536]] & bits[y[s : s + 65536]]).sum(axis=1, dtype=np.int64)
             # An overlap has a bit in both nodes for each token, but for tokens of one document that share a bit.
             most = np.minimum(most + np.minimum(slack[x], slack[y]), np.minimum(hi[x], hi[y]))
             least = np.maximum(lo[x], lo[y])
-            keep = (most >= need(least, percent)) & ~(one[x] & one[y] & (label[x] == label[y]))
+            keep = most >= need(least, percent)
             if depth == 0:
                 keep &= linked(most, lo[x], lo[y], percent) & (x != y)
             x, y = x[keep], y[keep]
@@ -274,10 +283,10 @@ class SignatureTree:
         return x, y
 
 
-def _tree(group: pa.Table) -> tuple[np.ndarray, SignatureTree, np.ndarray | None]:
-    """The group's rows in tree order (label, size), their tree, and their chunk sides if it is a pair of chunks."""
-    n, label = group.column("n").to_numpy(), group.column("label").to_numpy()
-    order = np.lexsort((n, label))
+def _tree(group: pa.Table, label: np.ndarray) -> tuple[np.ndarray, SignatureTree, np.ndarray | None]:
+    """The group's rows in tree order (labels from the last column on, size), their tree, and their chunk sides if it is a pair of chunks."""
+    n = group.column("n").to_numpy()
+    order = np.lexsort((n, *label.reshape(len(n), -1).T))
     width = BANDS[group.column("band")[0].as_py()][1]
     if "bits" in group.column_names:
         bits = np.stack([_folded(b, width) for b in group.column("bits").to_pylist()])
@@ -292,51 +301,55 @@ def _tree(group: pa.Table) -> tuple[np.ndarray, SignatureTree, np.ndarray | None
 _KEYS = ("token", "band", "lo", "hi")
 
 
-def _spanning(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """A forest over the pairs (x, y) that joins what they join."""
-    root: dict[int, int] = {}
+def _top(root: dict[int, int], k: int) -> int:
+    """The node that stands for all that k is joined to; the way there is halved."""
+    while (up := root.get(k, k)) != k:
+        root[k] = root.get(up, up)
+        k = root[k]
+    return k
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, root: dict[int, int]) -> list[tuple[int, int]]:
+    """The pairs (x, y) that the forest in root lacks to join what they join; they are added to it."""
     out = []
     for p, q in zip(x.tolist(), y.tolist(), strict=True):
-        a, b = p, q
-        while root.get(a, a) != a:
-            a = root[a] = root.get(root[a], root[a])
-        while root.get(b, b) != b:
-            b = root[b] = root.get(root[b], root[b])
+        a, b = _top(root, p), _top(root, q)
         if a != b:
-            root[max(a, b)] = min(a, b)
+            root[max(a, b)] = root[min(a, b)] = min(a, b)
             out.append((p, q))
     return out
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket, a forest (a, b) over the pairs that no bound rules out."""
+    """A forest (a, b) over the pairs that no bound rules out, one for all buckets of the task.
+
+    Nodes that it joins are compared with each other in any case, so that buckets of much the
+    same nodes are not traversed again. It is started anew before it fills the memory.
+    """
+    root: dict[int, int] = {}
     for group in _grouped(batches, _KEYS):
-        order, tree, side = _tree(group)
+        if len(root) > FOREST:
+            root.clear()
+        node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+        joined = np.array([_top(root, k) if k in root else -1 - c for k, c in zip(node.tolist(), label.tolist(), strict=True)], np.int64)
+        order, tree, side = _tree(group, np.column_stack([label, joined]))
         x, y = tree.pairs(side)
-        if len(x):
-            nodes = group.column("node").to_numpy()[order]
-            forest = _spanning(nodes[x], nodes[y])
+        forest = _spanning(node[order[x]], node[order[y]], root)
+        if forest:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in forest], pa.int64()), pa.array([q for _, q in forest], pa.int64())], ["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links (a, b) of each bucket; pairs of documents that are linked by then are not compared."""
     for group in _grouped(batches, _KEYS):
-        order, tree, side = _tree(group)
-        nodes, labels = group.column("node").to_numpy()[order], group.column("label").to_numpy()[order]
+        order, tree, side = _tree(group, group.column("label").to_numpy())
+        nodes, labels = group.column("node").to_numpy()[order], group.column("label").to_numpy()[order].tolist()
         sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").take(order).to_pylist()]
-        root: dict = {}
-
-        def top(k, root=root):
-            while root.get(k, k) != k:
-                root[k] = root.get(root[k], root[k])
-                k = root[k]
-            return k
-
+        root: dict[int, int] = {}
         out = []
         x, y = tree.pairs(side)
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            p, q = top(labels[i]), top(labels[j])
+            p, q = _top(root, labels[i]), _top(root, labels[j])
             if p != q and linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
                 root[max(p, q)] = min(p, q)
                 out.append((int(nodes[i]), int(nodes[j])))
@@ -388,8 +401,9 @@ def similar_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT
     4. Buckets that still hold two classes go through their signature tree, nodes without a
        partner of fitting size left out; of buckets with the same nodes, one does. A bucket over
        `chunk` nodes is dealt out by pairs of chunks. The first traversal needs bitmaps only and
-       returns a forest over the pairs that are left; the second, over each of its components,
-       compares whole sets and gives spanning links.
+       returns a forest for each task over the pairs that are left, with fewer edges than it has
+       nodes; the second, over each component of the forests, compares whole sets and gives
+       spanning links.
     5. Links of both steps are united to components.
 
     Null or wordless text has no shingles and links with nothing. A row with a null id takes

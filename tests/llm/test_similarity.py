@@ -1,13 +1,14 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm._base import components
-from tessella.llm.signature_trees import SignatureTree, _bitmap, _folded, keep_one_of_each, linked, shingles, similar_documents
+from tessella.llm.signature_trees import SignatureTree, _bitmap, _folded, _survivors, keep_one_of_each, linked, shingles, similar_documents
 from tessella.llm.vector_forest import LEAF, fit_forest, leaves_of, near_duplicates
 
 DOCS = "doc_id long, text string, node long, n long, component_id string"
@@ -97,6 +98,34 @@ def test_tree_loses_no_link(lists):
                 assert (i, j) in found
 
 
+def bucket_rows(sets, buckets, labels):
+    """Rows of the traversal, sorted by bucket; each bucket has its documents in another order."""
+    rng, out = np.random.default_rng(9), []
+    for token in range(buckets):
+        out += [(token, 0, 0, 0, 0, int(k), labels[k], len(sets[k]), _bitmap(sets[k]).tobytes()) for k in rng.permutation(len(sets))]
+    kinds = (pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3, pa.binary())
+    names = ["token", "band", "lo", "hi", "own", "node", "label", "n", "bits"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+@pytest.mark.parametrize("buckets", [1, 30])
+@pytest.mark.parametrize("grouped", [False, True])
+def test_traversal_makes_a_forest(buckets, grouped):
+    rng = np.random.default_rng(8)
+    bases = [np.unique(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([bases[k % 3][rng.permutation(400)[:385]], rng.integers(0, 2**63, 15).astype(np.uint64)])) for k in range(240)]
+    labels = [k % 12 if grouped else k for k in range(240)]  # 3 groups of alike sets
+    made = [(a, b) for batch in _survivors(iter([bucket_rows(sets, buckets, labels)])) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    # As few edges as join the 240 nodes to 3 trees, however many buckets they share and pairs they are.
+    assert len(made) == 237
+    assert all(a % 3 == b % 3 for a, b in made)
+    group = list(range(240))
+    for a, b in made:
+        old, new = group[a], group[b]
+        group = [new if g == old else g for g in group]
+    assert len(set(group)) == 3
+
+
 def test_folded_bitmaps():
     rng = np.random.default_rng(2)
     for n in (1023, 1024, 5000):
