@@ -1,10 +1,12 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Each tree splits the unit vectors at the median along one random direction for each level; a
+Each tree splits the unit vectors near the median along one random direction for each level; a
 vector close to a split goes down both sides (spill). Vectors that share a leaf of any tree are
 compared in double precision, and pairs at or above the threshold are linked and united. With a
 spill of half the standard deviation of a borderline pair's projections, one tree of depth d
 misses such a pair with probability of about 0.02 d, four trees with that to the fourth power.
+A cut stands where few vectors spill, so it passes beside a group of near copies; and of the
+leaves that a vector spills into, each tree keeps the MOST reached by the fewest crossings.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from tessella.llm._base import checkpointed, components, small_batches, with_gro
 THRESHOLD = 0.95
 TREES = 4
 LEAF = 1024
-#: Vectors that the medians are taken from. All vectors are indexed.
+#: Vectors that the cuts are taken from. All vectors are indexed.
 SAMPLE = 16_384
 SPILL = 0.5
+#: Leaves of one vector in each tree, whatever the depth: shuffled places are at most TREES * MOST times the vectors.
+MOST = 4
+#: Share of a node's vectors that a cut may send down both sides.
+BOTH = 0.3
 #: Vectors of a leaf that one task compares with as many others.
 CHUNK = 2048
 _LEAST = 16
@@ -49,9 +55,9 @@ class Tree:
 def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, threshold: float = THRESHOLD, spill: float = SPILL, seed: int = 11, max_depth: int = 48) -> list[Tree]:
     """Trees over unit vectors, each split until a leaf holds about `leaf` of `rows` rows.
 
-    A node splits at the median of its sampled vectors; one with fewer than 2 * _LEAST of them
-    takes the medians along all further directions at once. A direction along which the spill
-    would take most vectors down both sides is passed over: its level splits nothing there.
+    A node splits by its sampled vectors where `_cut` says; one with fewer than 2 * _LEAST of
+    them takes the cuts along all further directions at once. A direction along which every cut
+    would take too many vectors down both sides is passed over: its level splits nothing there.
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
@@ -67,8 +73,8 @@ def fit_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LE
             node, depth, pool, size = todo.pop()
             if len(pool) >= 2 * _LEAST and size > leaf and depth < max_depth:
                 at = sample[pool] @ directions[depth]
-                cut = float(np.median(at))
-                if (np.abs(at - cut) <= margin).mean() <= 0.5:
+                cut, both = _cut(at, margin)
+                if both <= BOTH:
                     inner[node] = cut
                     for child, inside in ((2 * node, at <= cut + margin), (2 * node + 1, at > cut - margin)):
                         todo.append((child, depth + 1, pool[inside], size * inside.mean()))
@@ -89,15 +95,29 @@ def _tail(at: np.ndarray, depth: int, size: float, leaf: int, margin: float) ->
     for level in range(depth, at.shape[1]):
         if size <= leaf:
             break
-        cut = float(np.median(at[:, level]))
-        both = float((np.abs(at[:, level] - cut) <= margin).mean())
-        out.append(cut if both <= 0.5 else np.inf)
-        size *= (1 + both) / 2 if both <= 0.5 else 1
+        cut, both = _cut(at[:, level], margin)
+        out.append(cut if both <= BOTH else np.inf)
+        size *= (1 + both) / 2 if both <= BOTH else 1
     while out and out[-1] == np.inf:
         out.pop()
     return out
 
 
+def _cut(at: np.ndarray, margin: float) -> tuple[float, float]:
+    """Of cuts with a quarter of the values or more on each side, the one that sends the fewest down both for what it tells apart; and their share."""
+    x = np.sort(at)
+    ends = np.arange(max(1, len(x) // 4), max(2, len(x) - len(x) // 4 + 1))
+    ends = ends[ends < len(x)]
+    if not len(ends):
+        return 0.0, 1.0
+    cuts = (x[ends - 1] + x[ends]) / 2
+    both = (np.searchsorted(x, cuts + margin, "right") - np.searchsorted(x, cuts - margin, "left")) / len(x)
+    p = ends / len(x)
+    cost = np.log1p(both) / -(p * np.log(p) + (1 - p) * np.log(1 - p))
+    best = int(np.argmin(cost + 1e-9 * np.abs(p - 0.5)))
+    return float(cuts[best]), float(both[best])
+
+
 def _margin(dim: int, threshold: float, spill: float) -> float:
     return spill * float(np.sqrt(max(0.0, 2 - 2 * threshold) / dim))
 
@@ -110,20 +130,23 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def leaves_of(vectors: np.ndarray, forest: list[Tree], threshold: float = THRESHOLD, spill: float = SPILL) -> list[np.ndarray]:
-    """Sorted leaf numbers of each vector over all trees."""
-    margin = _margin(vectors.shape[1], threshold, spill)
-    found_v, found_l = [], []
+def _fewest(who: np.ndarray, cost: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` rows of least cost of each vector."""
+    order = np.lexsort((cost, who))
+    first = np.searchsorted(who[order], who[order], "left")
+    return order[np.arange(len(who)) - first < most]
 
-    def leave(who: np.ndarray, node: np.ndarray) -> None:
-        found_v.append(who)
-        found_l.append(node * len(forest) + t)
 
+def leaves_of(vectors: np.ndarray, forest: list[Tree], threshold: float = THRESHOLD, spill: float = SPILL, most: int = MOST) -> list[np.ndarray]:
+    """Sorted leaf numbers of each vector over all trees, at most `most` in each: those reached by the fewest and nearest crossings of a cut."""
+    margin = _margin(vectors.shape[1], threshold, spill)
+    found_v, found_l = [], []
     for t, tree in enumerate(forest):
         along = vectors @ tree.directions.T
-        who, node = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
+        who, node, cost = np.arange(len(vectors)), np.ones(len(vectors), np.int64), np.zeros(len(vectors))
         row, depth = np.full(len(vectors), -1), 0  # row of the tails, once below a node where the sample was spent
         start = np.zeros(len(vectors), np.int64)
+        left_at: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(who):
             at, inner = _find(tree.nodes, node)
             cut = np.where(inner & (row < 0), tree.cuts[at] if len(tree.cuts) else 0.0, np.nan)
@@ -135,15 +158,23 @@ def leaves_of(vectors: np.ndarray, forest: list[Tree], threshold: float = THRESH
                 level = np.minimum(depth - start, tree.tails.shape[1] - 1)
                 cut = np.where(below & (depth - start < tree.tails.shape[1]), tree.tails[np.maximum(row, 0), level], cut)
             done = np.isnan(cut)
-            leave(who[done], node[done])
-            who, node, row, start, cut = who[~done], node[~done], row[~done], start[~done], cut[~done]
+            left_at.append((who[done], node[done], cost[done]))
+            who, node, row, start, cut, cost = who[~done], node[~done], row[~done], start[~done], cut[~done], cost[~done]
             if not len(who):
                 break
             a = along[who, depth]
             left, right = a <= cut + margin, a > cut - margin  # an infinite cut sends all to the left
             pick = np.concatenate([np.flatnonzero(left), np.flatnonzero(right)])
             node = np.concatenate([2 * node[left], 2 * node[right] + 1])
+            crossed = np.concatenate([a[left] > cut[left], a[right] <= cut[right]])
+            cost = cost[pick] + np.where(crossed, 1 + np.abs(np.where(crossed, a[pick] - cut[pick], 0.0)) / (margin or 1.0), 0.0)
             who, row, start, depth = who[pick], row[pick], start[pick], depth + 1
+            kept = _fewest(who, cost, most)
+            who, node, row, start, cost = who[kept], node[kept], row[kept], start[kept], cost[kept]
+        v, leaf, cost = (np.concatenate(x) for x in zip(*left_at, strict=True))
+        kept = _fewest(v, cost, most)
+        found_v.append(v[kept])
+        found_l.append(leaf[kept] * len(forest) + t)
     v, leaf = np.concatenate(found_v), np.concatenate(found_l)
     order = np.lexsort((leaf, v))
     return np.split(leaf[order], np.cumsum(np.bincount(v, minlength=len(vectors)))[:-1])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._base import components
 from tessella.llm.signature_trees import SignatureTree, _bitmap, _folded, _survivors, keep_one_of_each, linked, shingles, similar_documents
-from tessella.llm.vector_forest import LEAF, fit_forest, leaves_of, near_duplicates
+from tessella.llm.vector_forest import LEAF, MOST, TREES, fit_forest, leaves_of, near_duplicates
 
 DOCS = "doc_id long, text string, node long, n long, component_id string"
 
@@ -199,6 +199,19 @@ def test_forest_is_bounded_by_its_sample():
     assert sizes(large).max() < sizes(small).max() < 2000 and np.median(sizes(large)) <= 4
 
 
+def test_places_of_near_copies_are_bounded():
+    """Cuts through a group of near copies sent each of its vectors into hundreds of leaves at millions of rows."""
+    rng = np.random.default_rng(7)
+    units = rng.standard_normal((8000, 64))
+    units[:400] = units[0] + 0.02 * rng.standard_normal((400, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    for rows in (10**5, 10**7, 10**9):
+        found = leaves_of(units, fit_forest(units, rows))
+        assert max(map(len, found)) <= TREES * MOST and min(map(len, found)) >= TREES
+        sets = [set(x.tolist()) for x in found[:400]]
+        assert all(sets[0] & x for x in sets)
+
+
 def test_recall_with_shipped_parameters(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((3000, 32))
