@@ -17,7 +17,7 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["atoms_windows_segments", "document_atoms"])
+@pytest.mark.parametrize("name", ["atoms_windows_segments", "document_atoms", "segment_metrics"])
 def test_blank_documents_have_their_row(spark, odd_dir, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd_dir}/documents.parquet/*.parquet'")
