@@ -17,7 +17,7 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["atoms_windows_segments", "document_atoms", "segment_metrics", "segment_texts"])
+@pytest.mark.parametrize("name", ["atoms_windows_segments", "document_atoms", "segment_metrics", "segment_texts", "split_sentences"])
 def test_blank_documents_have_their_row(spark, odd_dir, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd_dir}/documents.parquet/*.parquet'")
@@ -31,3 +31,4 @@ def test_blank_documents_have_their_row(spark, odd_dir, name):
 def test_operators_leave_blank_texts_out_unless_asked(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(BLANK)], "doc_id int, text string")
     assert chunking.segments(docs).count() == chunking.atoms(docs).count() == chunking.segment_texts(docs).count() == 0
+    assert {r.doc_id for r in chunking.sentences(docs).collect()} == {k for k, t in enumerate(BLANK) if t}
